@@ -152,3 +152,35 @@ def quality_rules(
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    lists = {k: "[" + ", ".join(f"'{w}'" for w in ws) + "]" for k, ws in COMMON_WORDS.items()}
+    common = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lists.items()) + " END"
+    every = "[" + ", ".join(f"'{w}'" for w in sorted({w for ws in COMMON_WORDS.values() for w in ws})) + "]"
+    n, m = len(CLASSES), len(COMMON_WORDS["en"]) + 1
+    gone = lambda pattern: f"(length(rest) - length(regexp_replace(rest, '{pattern}', '', 'g')))"
+    total = lambda x: f"list_sum({x})"
+    half = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({a} + {b}) / 2)) ELSE 0 END"
+
+    def distance(p: str, q: str, size: int) -> str:
+        terms = " + ".join(f"({half(f'({p}[{i}] / {total(p)})', f'({q}[{i}] / {total(q)})')} + {half(f'({q}[{i}] / {total(q)})', f'({p}[{i}] / {total(p)})')}) / 2" for i in range(1, size + 1))
+        return f"CASE WHEN {total(p)} > 0 AND {total(q)} > 0 THEN sqrt(greatest({terms}, 0)) END"
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({", ".join(f"'{k}'" for k in COMMON_WORDS)}) THEN lang ELSE '' END AS lang FROM documents),
+ w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, regexp_replace(text, '[a-z\x20\x09-\x0D]+', '', 'g') AS rest FROM d),
+ x AS (SELECT *, length(list_aggregate(list_concat(words, ['']), 'string_agg', '')) AS word_chars, {gone("[A-Z]+")} AS up, {gone("[0-9]+")} AS digit, {gone("[#*$%&|<>]+")} AS symbol, {gone("[^\\x00-\\x7F]+")} AS wide,
+   list_filter(words, lambda v: list_contains({every}, v)) AS hits, list_filter(string_split(text, chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]')) AS lines FROM w),
+ y AS (SELECT *, [word_chars - length(rest), up, digit, length(text) - word_chars, symbol, length(rest) - up - digit - symbol - wide, wide] AS classes,
+   list_transform(coalesce({common}, ['', '', '', '', '', '', '', '', '', '', '', '']), lambda c: CASE WHEN c = '' THEN 0 ELSE len(list_filter(hits, lambda v: v = c)) END) AS c0 FROM x),
+ z AS (SELECT *, list_concat(c0, [len(words) - list_sum(c0)]) AS common FROM y),
+ ref AS (SELECT lang, [{", ".join(f"sum(classes[{i}])" for i in range(1, n + 1))}] AS rc, [{", ".join(f"sum(common[{i}])" for i in range(1, m + 1))}] AS rw FROM z GROUP BY lang),
+ tri AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+ dup AS (SELECT r, i FROM tri JOIN (SELECT r, g FROM tri GROUP BY r, g HAVING count(*) > 1) USING (r, g)),
+ cov AS (SELECT r, count(DISTINCT i + k) AS n FROM dup, (VALUES (0), (1), (2)) AS o(k) GROUP BY r),
+ f AS (SELECT z.*, coalesce(cov.n, 0) AS n_repeat, {distance("classes", "rc", n)} AS cd, CASE WHEN z.lang <> '' THEN {distance("common", "rw", m)} END AS wd FROM z JOIN ref USING (lang) LEFT JOIN cov USING (r)),
+ g AS (SELECT *, len(words) < {MIN_WORDS} OR 100 * n_repeat > {MAX_REPEAT_PERCENT} * len(words) AS failed FROM f)
+SELECT doc_id, len(words)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, symbol::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words,
+ failed AS base_failed, NOT failed AND NOT (len(words) >= {MIN_DIVERGENCE_WORDS} AND (coalesce(cd, 0) > {MAX_CLASS_DISTANCE} OR coalesce(wd, 0) > {MAX_WORD_DISTANCE})) AS kept,
+ round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM g"""

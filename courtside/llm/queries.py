@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from courtside.llm.quality import op4_quality_rules
+from courtside.llm import licenses, quality
 
 QUERIES = {
-    "op4_quality_rules": op4_quality_rules,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op7_license_scan": licenses.op7_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": quality.oracle(),
+    "op7_license_scan": licenses.oracle(),
+}
