@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from courtside.llm import licenses, quality
+from courtside.llm import bpe, licenses, mixing, quality, secret_scan
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op3_mix_sources": mixing.op3_mix_sources,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_license_scan": licenses.op7_license_scan,
 }
 
