@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from courtside.llm import bpe, licenses, mixing, quality, secret_scan
+from courtside.llm import bpe, licenses, mixing, ngram_join, quality, secret_scan
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_license_scan": licenses.op7_license_scan,
+    "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
