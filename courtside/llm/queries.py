@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from courtside.llm import bpe, licenses, mixing, ngram_join, quality, secret_scan
+from courtside.llm import bpe, licenses, mixing, ngram_join, quality, secret_scan, topk
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_exact_top_k": topk.op6_exact_top_k,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality.oracle(),
+    "op6_exact_top_k": topk.ORACLE,
     "op7_license_scan": licenses.oracle(),
 }
