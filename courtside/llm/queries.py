@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from courtside.llm import bpe, licenses, mixing, ngram_join, quality, secret_scan, topk
+from courtside.llm import bpe, html_extract, licenses, mixing, ngram_join, quality, secret_scan, topk, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -12,10 +12,14 @@ QUERIES = {
     "op6_exact_top_k": topk.op6_exact_top_k,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
+    "op9_html_text": html_extract.op9_html_text,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality.oracle(),
     "op6_exact_top_k": topk.ORACLE,
     "op7_license_scan": licenses.oracle(),
+    "op9_html_text": html_extract.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
