@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from courtside.llm import bpe, html_extract, licenses, mixing, ngram_join, quality, secret_scan, topk, warc
+from courtside.llm import bpe, compaction, html_extract, licenses, mixing, ngram_join, quality, secret_scan, topk, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_compacted_shards": compaction.op2_compacted_shards,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_byte_bpe": bpe.op5_byte_bpe,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_compacted_shards": compaction.ORACLE,
     "op4_quality_rules": quality.oracle(),
     "op6_exact_top_k": topk.ORACLE,
     "op7_license_scan": licenses.oracle(),
