@@ -21,7 +21,7 @@ NEWTON_STEPS = 60
 #: A document above this share of its source's words is rounded on its own; a source has fewer than 1 / share of them.
 HEAVY = 0.01
 #: Rows of a source that are ranked together; a larger source is dealt to more groups.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 2_000
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
