@@ -1,10 +1,9 @@
-"""The registered queries of the library, with DuckDB SQL for each."""
+"""The registered queries of the library, with DuckDB SQL for each that SQL can express."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from courtside.plans import learned, metrics, projections, relations, sequences, streams
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+PLANS = (projections, sequences, relations, metrics, learned, streams)
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
