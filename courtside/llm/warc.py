@@ -26,6 +26,8 @@ LEAST_REVISIT_BYTES = 1000
 FILE_RECORDS = 3000
 #: Equal payloads are numbered in so many groups.
 SALTS = 64
+#: Digests that are broadcast at most (about 70 bytes each).
+BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 PRIMARY = ("response", "revisit", "resource")
@@ -40,11 +42,16 @@ def roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     html = text_of(html_col)
     rows = pages.select(F.col(id_col).alias("c_id"), F.col(url_col).cast("string").alias("c_url"), html.alias("c_html"))
     rows = rows.withColumns({"c_digest": F.sha1(F.encode("c_html", "UTF-8")), "c_bytes": F.octet_length("c_html").cast("long"), "c_salt": F.pmod(F.xxhash64("c_id", "c_url"), F.lit(SALTS))})
-    newest = rows.filter(F.col("c_bytes") >= least).groupBy(F.col("c_digest").alias("n_digest")).agg(F.max(F.struct("c_id", "c_salt")).alias("n"))
+    # only payloads that occur again need a number and a join; the others stay where they are read
+    again = rows.groupBy(F.col("c_digest").alias("n_digest")).agg(F.count("*").alias("n_rows"), F.max(F.struct("c_id", "c_salt")).alias("n")).filter("n_rows > 1")
+    again = stored(again.drop("n_rows"))
+    small = again.count() <= BROADCAST_ROWS  # else both sides are dealt by digest
+    rows = rows.join(F.broadcast(again) if small else again, F.col("c_digest") == F.col("n_digest"), "left")
     place = F.row_number().over(Window.partitionBy("c_digest", "c_salt").orderBy(F.desc_nulls_last("c_id"), F.desc_nulls_last("c_url")))
-    rows = rows.withColumn("c_place", place).join(newest, F.col("c_digest") == F.col("n_digest"), "left")
+    rows = rows.filter("n_digest is null").withColumn("c_place", F.lit(1)).unionByName(rows.filter("n_digest is not null").withColumn("c_place", place))
     number = lambda salt, at: F.concat_ws("-", "c_digest", salt.cast("string"), at.cast("string"))
-    revisit = F.col("n").isNotNull() & ~(F.col("c_id").eqNullSafe(F.col("n.c_id")) & (F.col("c_salt") == F.col("n.c_salt")) & (F.col("c_place") == 1))
+    first = F.col("c_id").eqNullSafe(F.col("n.c_id")) & (F.col("c_salt") == F.col("n.c_salt")) & (F.col("c_place") == 1)
+    revisit = F.col("n").isNotNull() & (F.col("c_bytes") >= least) & ~first
     return rows.select(
         "c_id", "c_url", "c_html", "c_bytes", "c_digest", number(F.col("c_salt"), F.col("c_place")).alias("c_number"), F.when(revisit, "revisit").otherwise("response").alias("c_role"),
         F.when(revisit, F.col("n.c_id")).alias("c_refers"), F.when(revisit, number(F.col("n.c_salt"), F.lit(1))).alias("c_refers_number"),
