@@ -102,9 +102,7 @@ class ShardStore:
             live, made = self.shards(version), []
             for run in runs:
                 files = max(1, -(-sum(s["bytes"] for s in run) // self.target_bytes))
-                merged = self._open(run)
-                # coalesce merges whole shards without a shuffle; several files need rows dealt evenly
-                merged = merged.coalesce(1) if files == 1 else merged.repartition(files)
+                merged = self._open(run).coalesce(files)  # whole shards of alike sizes are put together, without a shuffle
                 made += self._write(merged, 1 + max(s["level"] for s in run))
             gone = {s["name"] for run in runs for s in run}
             self._commit(version + 1, self._schema(version).json(), [*(s for s in live if s["name"] not in gone), *made])
