@@ -34,8 +34,9 @@ def profile_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_search(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "nation").select(F.lower(F.substring("n_name", 1, 2)).alias("wanted")).distinct()
-    return jn.name_search(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", words, "wanted").select("p_partkey", "wanted")
+    """Parts whose name holds one of the names' own beginnings, in capitals, wherever it stands."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name")
+    return jn.name_search(parts, "p_name", parts.select(F.upper(F.substring("p_name", 1, 3)).alias("wanted")).distinct(), "wanted").select("p_partkey", "wanted")
 
 
 def union_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -111,13 +112,30 @@ def feature_align(spark: SparkSession, d: str) -> DataFrame:
     return rt.aligned(m, ["l_orderkey", "l_linenumber"], ["tax", "elo_diff", "discount"])
 
 
-QUERIES = {f.__name__: f for f in (pair_join, anti_join, left_default, profile_join, name_search, union_sources, sort_limit, rank_slice, pair_enum, latest_row, career_diff, prior_rate, pair_h2h, onehot, feature_align)}
+def pairing_features(spark: SparkSession, d: str) -> DataFrame:
+    """Feature rows of hypothetical pairings, all suppliers of a nation: career differences and head to head, one half if none."""
+    m = history(spark, d)
+    careers = rt.careers(m, "a", "b", "a_won", "score").select("player", "matches", "wins")
+    pairs = pair_enum(spark, d).select(F.col("s_suppkey_a").alias("a"), F.col("s_suppkey_b").alias("b"))
+    both = jn.profile_join(pairs, careers, "a", "b", "player", ["matches", "wins"]).select("a", "b", *rt.differences({"matches": "matches", "wins": "wins"}))
+    met = pair_h2h(spark, d).select(F.col("low").alias("a"), F.col("high").alias("b"), F.col("low_rate").alias("h2h_rate"))
+    return rt.aligned(jn.left_default(both, met, ["a", "b"], {"h2h_rate": 0.5}), ["a", "b"], ["matches_diff", "wins_diff", "h2h_rate", "margin", "recent_winner"])
+
+
+PAIRING = f"""WITH {MH}, p AS (SELECT a AS player, a_won AS won FROM mh UNION ALL SELECT b, 1 - a_won FROM mh), c AS (SELECT player, count(*) AS matches, sum(won) AS wins FROM p GROUP BY player),
+ h AS (SELECT least(a, b) AS low, greatest(a, b) AS high, round(count(*) FILTER (CASE WHEN a_won = 1 THEN a ELSE b END = least(a, b)) / count(*), 6) AS rate FROM mh GROUP BY ALL),
+ q AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey)
+SELECT q.a, q.b, (x.matches - y.matches)::DOUBLE AS matches_diff, (x.wins - y.wins)::DOUBLE AS wins_diff, coalesce(h.rate, 0.5)::DOUBLE AS h2h_rate, 0.0::DOUBLE AS margin, 0.0::DOUBLE AS recent_winner
+FROM q JOIN c x ON x.player = q.a JOIN c y ON y.player = q.b LEFT JOIN h ON h.low = q.a AND h.high = q.b"""
+
+
+QUERIES = {f.__name__: f for f in (pair_join, anti_join, left_default, profile_join, name_search, union_sources, sort_limit, rank_slice, pair_enum, latest_row, career_diff, prior_rate, pair_h2h, onehot, feature_align, pairing_features)}
 ORACLES = {
     "pair_join": "SELECT doc_id, lang, source, quality, toxic FROM documents JOIN labels USING (doc_id)",
     "anti_join": "SELECT lang, count(*) AS unlabelled FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY lang",
     "left_default": "SELECT doc_id, lang, coalesce(quality, -1) AS quality, coalesce(toxic, 0) AS toxic FROM documents LEFT JOIN labels USING (doc_id)",
     "profile_join": f"WITH {MH}, s AS (SELECT * FROM supplier WHERE s_suppkey % 10 <> 0) SELECT l_orderkey, l_linenumber, x.s_name AS s_name_a, y.s_name AS s_name_b, x.s_nationkey = y.s_nationkey AS same_nation FROM mh JOIN s x ON x.s_suppkey = a JOIN s y ON y.s_suppkey = b",
-    "name_search": "WITH w AS (SELECT DISTINCT lower(substr(n_name, 1, 2)) AS wanted FROM nation) SELECT p_partkey, wanted FROM part JOIN w ON contains(lower(p_name), wanted)",
+    "name_search": "WITH w AS (SELECT DISTINCT lower(substr(p_name, 1, 3)) AS wanted FROM part) SELECT p_partkey, wanted FROM part JOIN w ON contains(lower(p_name), wanted)",
     "union_sources": "SELECT 'cust_' || c_custkey AS name, c_nationkey AS nation, NULL AS title, 'cust' AS origin FROM customer UNION ALL SELECT 'supp_' || s_suppkey, s_nationkey, s_name, 'supp' FROM supplier",
     "sort_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",
     "rank_slice": "SELECT * FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank BETWEEN 101 AND 300",
@@ -126,6 +144,7 @@ ORACLES = {
     "career_diff": CAREER,
     "prior_rate": PRIOR,
     "pair_h2h": H2H,
+    "pairing_features": PAIRING,
     "onehot": f"WITH {MH}, k AS (SELECT *, l_returnflag || '_vs_' || l_linestatus AS kind FROM mh) SELECT l_orderkey, l_linenumber, " + ", ".join(f"(kind = '{k}')::INTEGER AS kind_{k}" for k in ("A_vs_O", "N_vs_F", "N_vs_O", "R_vs_F", "R_vs_O")) + " FROM k",
     "feature_align": f"WITH {MH} SELECT l_orderkey, l_linenumber, coalesce(l_tax, 0) AS tax, 0.0::DOUBLE AS elo_diff, CASE WHEN a_won = 1 THEN l_discount ELSE 0 END AS discount FROM mh",
 }
