@@ -38,11 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder, which outlives lost executors.
 
-    The table lives as long as the session's checkpoint folder does.
+    The table lives until ``forget``, or as long as the session's checkpoint folder does. Shuffle files of the steps
+    before it go once the driver has collected the plans that made them, so it is asked to.
     """
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that no result reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(name: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import stored
+from courtside.llm.common import forget, stored
 
 
 def _stars(links: DataFrame, *, large: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """
     at, before = stored(links.select("a", "b").filter("a < b").distinct()), None
     for _ in range(rounds):
-        at = stored(_stars(_stars(at, large=True), large=False))
+        last, at = at, stored(_stars(_stars(at, large=True), large=False))
+        forget(last)
         mark = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break

@@ -1,16 +1,20 @@
 """N-gram Jaccard join: extended prefixes with single rare tokens and token combinations, then verification.
 
-The tokens of a document are the 64-bit hashes of its word shingles, in the order of their hashes. Two documents whose
-sets have the Jaccard similarity t share a token among the first n - ceil(t n) + 1 of each: its prefix.
-
-* Rare tokens, held by few prefixes, are indexed one by one.
-* Of a pair that shares no rare token, both prefixes hold a frequent one. The prefixes of such documents are extended to
-  their whole sets, and indexed by combinations of tokens: the order is cut into blocks, more than the tokens in which
-  two linked documents can differ, so that at least one block is the same in both. Such a block holds about 4 tokens
-  that must all agree, so a passage that many documents share no longer brings them together.
-
-Candidates are verified on their full sets. To find components, not all pairs are needed: each document is first
-verified with a few partners that share a key, and then every candidate pair whose ends are still apart.
+The tokens of a document are the 64-bit hashes of its word shingles, in the order of their hashes. Of two documents
+whose sets have the Jaccard similarity t, the first n - ceil(t n) + 1 of each, its prefix, share a token. Prefixes that
+are k tokens longer share k + 1; k is a fifth here, so that a passage in common doesn't make a candidate.
+
+* Rare tokens, held by few extended prefixes, are indexed one by one. A pair is a candidate if the rare tokens that it
+  shares, and the frequent ones that it may share, are enough.
+* Of a linked pair that shares no rare token, both prefixes hold more than k frequent ones. The prefixes of such
+  documents are extended to their whole sets, and indexed by combinations of tokens: the order is cut into blocks, more
+  than the tokens in which two linked documents can differ, so that at least one block is the same in both. A block
+  holds about 4 tokens that must all agree, so that what many documents share in part no longer brings them together.
+
+Candidates are verified on their full sets. To find components, not all pairs are needed. Each document is first
+verified with a few partners, those that hold a combination with its most typical holder. Of the members of such a
+family, only those can still be linked that share a difference from it; how many they share tells their overlap. Then
+comes every other candidate pair whose ends are still apart.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.llm.common import stored, table, text_of
+from courtside.llm.common import forget, stored, table, text_of
 from courtside.llm.graph import components
 
 #: Prefixes that hold a token, up to which it is rare; and partners that a document is first verified with.
@@ -32,6 +36,8 @@ PARTNERS = 2
 #: A document without an id is named by its set from here on, above all ids.
 NAMELESS = 1 << 62
 CACHED_WORDS = 200_000
+#: Names of documents that are broadcast at most (16 bytes each).
+BROADCAST_ROWS = 1_000_000
 U = np.uint64
 _MIX = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5), U(0x85EBCA77C2B2AE63), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)]
 
@@ -76,6 +82,11 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def extension(n: Column | int) -> Column | int:
+    """By how many tokens the prefix of a set of n is extended."""
+    return F.floor(n / 40) if isinstance(n, Column) else n // 40
+
+
 def size_class(n: int, percent: int) -> tuple[int, int, int]:
     """(class, largest size of this class, and of the next); linked sets lie in one class or in neighbouring ones."""
     at, low = 0, 1
@@ -123,7 +134,7 @@ def _features(width: int, percent: int):
                 own = tokens(text, width)
                 sets.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
-                prefixes.append(own[: len(own) - needed(len(own), percent) + 1 if len(own) else 0].view(np.int64))
+                prefixes.append(own[: len(own) - needed(len(own), percent) + 1 + extension(len(own)) if len(own) else 0].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.array([], np.int64)
             columns = [batch.column("j_id"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))]
@@ -145,37 +156,84 @@ def _combined(width: int, percent: int):
     return run
 
 
-def _verified(width: int, percent: int):
-    """Rows (a, b, j_text) sorted by a, its own text first (b null), to the linked pairs (a, b)."""
+def _compared(width: int, percent: int, differences: bool):
+    """Rows (a, b, j_text) sorted by a, its own text first (b null), to (a, b, n, linked, added, lost).
+
+    n is the size of b's set, added and lost are its tokens beside a's set and those that it lacks; empty if not asked for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, owns = None, []
         for batch in batches:
-            left, right = [], []
+            rows: list[tuple] = []
             for a, b, text in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "j_text")), strict=True):
                 other = tokens(text, width)
                 if b is None:
                     node, owns = a, [*owns, other] if a == node else [other]
                     continue
                 shared = [(own, len(np.intersect1d(own, other, assume_unique=True))) for own in owns]
-                if any(100 * both >= percent * (len(own) + len(other) - both) for own, both in shared):
-                    left.append(a)
-                    right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                linked = any(100 * both >= percent * (len(own) + len(other) - both) for own, both in shared)
+                if differences:
+                    rows.append((a, b, len(other), linked, *(np.setdiff1d(x, y, assume_unique=True).view(np.int64) for x, y in ((other, owns[0]), (owns[0], other)))))
+                elif linked:
+                    rows.append((a, b, len(other), True, (), ()))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "n", "linked", "added", "lost"])
 
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked. The text of each b travels to its a; no set meets more than one other at a time."""
+def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, *, differences: bool = True) -> DataFrame:
+    """a, b, n, linked, added, lost of each pair (a, b); without ``differences``, of linked pairs only.
+
+    The text of each b travels to its a. A node with many partners is dealt to several slices, each with its own text.
+    """
     sent = pairs.join(texts.select(F.col("j_node").alias("b"), "j_text"), "b").select("a", "b", "j_text")
     own = pairs.select("a").distinct().join(texts.select(F.col("j_node").alias("a"), "j_text"), "a").select("a", F.lit(None).cast("long").alias("b"), "j_text")
-    # a node with many partners is dealt to several slices, each with the node's own text
     slices = pairs.groupBy("a").count().select("a", F.expr("sequence(0, cast((count - 1) div 256 as int))").alias("all"), F.expr("cast((count - 1) div 256 + 1 as int)").alias("n"))
     sent = sent.join(slices.select("a", "n"), "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("n")).cast("int")).select("a", "slice", "b", "j_text")
     own = own.join(slices.select("a", F.explode("all").alias("slice")), "a").select("a", "slice", "b", "j_text")
     rows = sent.unionByName(own).repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", "j_text").mapInArrow(_verified(width, percent), "a long, b long").distinct()
+    return rows.select("a", "b", "j_text").mapInArrow(_compared(width, percent, differences), "a long, b long, n long, linked boolean, added array<long>, lost array<long>")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked."""
+    return compare(pairs, texts, width, percent, differences=False).select("a", "b").distinct()
+
+
+def _within(family: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """The linked pairs (a, b) of members of one family that are still apart.
+
+    Against the family's centre h, member i has A(i) added and L(i) lost tokens. Two members differ in the tokens that
+    only one of them added or lost, so what they share of both kinds tells their overlap exactly. Sharing all that their
+    counts allow but no added token, they still differ in A(1) + A(2) + |L(1) - L(2)|. So a linked pair either has
+    counts that leave room for that, which is asked of the few distinct counts of a family first, or shares an added
+    token, which members seldom do, as they were edited apart.
+    """
+    own = family.join(roots.withColumnRenamed("j_node", "b"), "b", "left").select(
+        F.col("a").alias("h"), F.col("b").alias("m"), "n", F.coalesce("root", "b").alias("root"), "linked", F.size("added").alias("na"), F.size("lost").alias("nl"), "added", "lost"
+    )
+    side = lambda df, x, *names: df.select("h", *(F.col(c).alias(f"{x}_{c}") for c in names))
+    most = F.floor((F.col("x_n") + F.col("y_n")) * (100 - percent) / (100 + percent))  # tokens in which a linked pair differs
+    counts = own.select("h", "n", "na", "nl", "linked").distinct()
+    room = side(counts, "x", "n", "na", "nl", "linked").join(side(counts.filter("not linked"), "y", "n", "na", "nl"), "h")
+    room = room.filter(F.col("x_na") + F.col("y_na") + F.abs(F.col("x_nl") - F.col("y_nl")) <= most).select("h", "x_na", "x_nl", "x_linked", "y_na", "y_nl")
+    slim = own.select("h", "m", "n", "root", "linked", "na", "nl")
+    one = side(slim, "x", "m", "root", "na", "nl", "linked").join(room, ["h", "x_na", "x_nl", "x_linked"])
+    one = one.join(side(slim.filter("not linked"), "y", "m", "root", "na", "nl"), ["h", "y_na", "y_nl"]).filter((F.col("x_root") != F.col("y_root")) & (F.col("x_m") != F.col("y_m")))
+    tokens_of = own.select("h", "m", "n", "root", "na", "nl", F.explode("added").alias("t"))
+    left, right = (tokens_of.select("h", "t", *(F.col(c).alias(f"{x}_{c}") for c in ("m", "n", "root", "na", "nl"))) for x in ("x", "y"))
+    fits = F.abs(F.col("x_na") - F.col("y_na")) + F.abs(F.col("x_nl") - F.col("y_nl")) <= most
+    two = left.join(right, ["h", "t"]).filter((F.col("x_m") < F.col("y_m")) & (F.col("x_root") != F.col("y_root")) & fits)
+    found = one.select("h", F.least("x_m", "y_m").alias("a"), F.greatest("x_m", "y_m").alias("b")).unionByName(two.select("h", F.col("x_m").alias("a"), F.col("y_m").alias("b"))).distinct()
+    for x in ("a", "b"):
+        found = found.join(own.select("h", F.col("m").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "added", "lost"))), ["h", x])
+    common = F.size(F.array_intersect("a_added", "b_added")) + F.size(F.array_intersect("a_lost", "b_lost"))
+    differ = F.size("a_added") + F.size("a_lost") + F.size("b_added") + F.size("b_lost") - 2 * common
+    shared = (F.col("a_n") + F.col("b_n") - differ) / 2
+    return found.filter(100 * shared >= percent * (F.col("a_n") + F.col("b_n") - shared)).select("a", "b")
 
 
 def _shared(index: DataFrame) -> DataFrame:
@@ -212,46 +270,72 @@ def jaccard_components(
     named = feats.select("j_id", "j_set", "j_n").join(nodes.select("j_set", "j_node"), "j_set", "left")
     named = stored(named.select("j_id", "j_n", F.coalesce("j_node", "j_id").alias("j_node")))
 
-    index = _shared(nodes.select("j_node", "j_n", F.explode("j_prefix").alias("j_key")))
-    index = stored(index.select("j_key", "j_node", "j_n", "j_held"))
-    asked = index.groupBy("j_node").agg(F.max(F.col("j_held") > rare).alias("j_often"))
+    forget(feats)
+
+    index = stored(_shared(nodes.select("j_node", "j_n", F.explode("j_prefix").alias("j_key"))).select("j_key", "j_node", "j_n", "j_held"))
+    forget(nodes)
+    few, many = index.filter(F.col("j_held") <= rare), index.filter(F.col("j_held") > rare)
+    common = many.groupBy("j_node").agg(F.min("j_n").alias("j_n"), F.count("*").alias("j_many"))
+    left, right = (few.select("j_key", F.col("j_node").alias(x), F.col("j_n").alias(f"{x}_n")) for x in ("a", "b"))
+    pairs = left.join(right, "j_key").filter((F.col("a") < F.col("b")) & _alike(F.col("a_n"), F.col("b_n"), percent))  # a key has ``rare`` holders at most
+    pairs = pairs.groupBy("a", "b").agg(F.min("a_n").alias("a_n"), F.min("b_n").alias("b_n"), F.count("*").alias("j_keys"))
+    enough = extension(F.least("a_n", "b_n")) + 1
+    sure, open_ = pairs.filter(F.col("j_keys") >= enough).select("a", "b", "j_keys"), pairs.filter(F.col("j_keys") < enough)
+    for x in ("a", "b"):
+        open_ = open_.join(common.select(F.col("j_node").alias(x), F.col("j_many").alias(f"{x}_many")), x)
+    open_ = open_.filter(F.col("j_keys") + F.least("a_many", "b_many") >= enough).select("a", "b", "j_keys")
+    pairs = stored(sure.unionByName(open_))
+    # a linked set has at least ``needed`` of this one's tokens, so its own extension is at least that set's
+    often = common.filter(F.col("j_many") > extension(F.ceil(F.col("j_n") * percent / 100))).select("j_node")
+
+    asked = stored(pairs.select(F.col("a").alias("j_node")).unionByName(pairs.select(F.col("b").alias("j_node"))).withColumn("j_often", F.lit(False)).unionByName(often.withColumn("j_often", F.lit(True))).groupBy("j_node").agg(F.max("j_often").alias("j_often")))
     texts = base.select(F.col("j_id").alias("j_node"), "j_text").filter("j_node is not null")
-    if feats.filter(F.col("j_id").isNull()).limit(1).count():  # the name of a row without an id needs its set
+    if base.filter(F.col("j_id").isNull()).limit(1).count():  # the name of a row without an id needs its set
         without = base.filter("j_id is null").mapInArrow(_with_set(width), "j_set binary, j_text string")
         texts = texts.unionByName(without.select(_nameless().alias("j_node"), "j_text"))
-    texts = stored(texts.join(asked, "j_node").dropDuplicates(["j_node", "j_text"]))
+    small = asked.count() <= BROADCAST_ROWS  # else texts and names are both dealt by name
+    texts = stored(texts.join(F.broadcast(asked) if small else asked, "j_node").dropDuplicates(["j_node", "j_text"]))
 
     combined = stored(texts.filter("j_often").mapInArrow(_combined(width, percent), "j_node long, j_n long, j_keys array<long>, j_poor boolean"))
     blocks = _shared(combined.select(F.explode("j_keys").alias("j_key"), "j_node", "j_n")).drop("j_held")
     # sets with too many small blocks can miss each other; among them, frequent tokens are indexed one by one as well
-    poor = index.filter(F.col("j_held") > rare).join(combined.filter("j_poor").select("j_node"), "j_node", "left_semi")
+    poor = many.join(combined.filter("j_poor").select("j_node"), "j_node", "left_semi")
     poor = _shared(poor.select(F.xxhash64("j_key").alias("j_key"), "j_node", "j_n")).drop("j_held")
-    keys = index.filter(F.col("j_held") <= rare).drop("j_held").unionByName(blocks).unionByName(poor)
-    keys = stored(keys.select("j_key", "j_node", "j_n"))
-
-    # each node with a few partners: one holder of each key, drawn by hash, serves all others of that key
-    drawn = F.min(F.struct(F.xxhash64("j_key", "j_node").alias("h"), "j_node", "j_n")).alias("hub")
-    hubs = keys.groupBy("j_key").agg(drawn).select("j_key", F.col("hub.j_node").alias("j_hub"), F.col("hub.j_n").alias("j_hub_n"))
-    spokes = keys.join(hubs, "j_key").filter((F.col("j_node") != F.col("j_hub")) & _alike(F.col("j_n"), F.col("j_hub_n"), percent))
-    spokes = spokes.groupBy("j_node", "j_hub").agg(F.count("*").alias("j_keys"))
-    best = F.row_number().over(Window.partitionBy("j_node").orderBy(F.desc("j_keys"), "j_hub"))
-    first = spokes.withColumn("j_best", best).filter(F.col("j_best") <= partners).select(F.least("j_node", "j_hub").alias("a"), F.greatest("j_node", "j_hub").alias("b")).distinct()
-    first = stored(first)
-    links = stored(verify(first, texts, width, percent))
-
-    # every candidate pair whose ends are still apart
-    roots = components(links)
-    placed = keys.join(roots.withColumnRenamed("node", "j_node"), "j_node", "left").withColumn("j_root", F.coalesce("root", "j_node")).drop("root")
+    keys = stored(blocks.unionByName(poor).select("j_key", "j_node", "j_n"))
+    forget(index, combined, asked)
+
+    # Holders of a combination gather around the one whose combinations are held most: the most typical of its family.
+    weight = _shared(keys.select("j_key", "j_node")).groupBy("j_node").agg(F.sum("j_held").alias("j_weight"))
+    keys = stored(keys.join(weight, "j_node"))
+    hubs = keys.groupBy("j_key").agg(F.max(F.struct("j_weight", "j_node", "j_n")).alias("hub")).select("j_key", F.col("hub.j_node").alias("j_hub"), F.col("hub.j_n").alias("j_hub_n"))
+    near = keys.join(hubs, "j_key").filter(_alike(F.col("j_n"), F.col("j_hub_n"), percent)).groupBy("j_node", "j_hub").agg(F.count("*").alias("j_keys"))
+    homes = stored(near.groupBy("j_node").agg(F.max_by("j_hub", F.struct("j_keys", "j_hub")).alias("j_home")))
+    family = stored(compare(homes.filter("j_node <> j_home").select(F.col("j_home").alias("a"), F.col("j_node").alias("b")), texts, width, percent))
+    known = pairs.withColumn("j_best", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("j_keys"), "a"))).filter(F.col("j_best") <= partners).select("a", "b")
+    tried = stored(known.join(family.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = stored(ordered(family.filter("linked")).unionByName(verify(tried, texts, width, percent)).distinct())
+    roots = stored(components(links).withColumnRenamed("node", "j_node"))
+
+    within = _within(family, roots, percent)
+
+    # candidates of different families that are still apart
+    placed = keys.join(roots, "j_node", "left").join(homes, "j_node", "left").select("j_key", "j_node", "j_n", F.coalesce("root", "j_node").alias("j_root"), F.coalesce("j_home", "j_node").alias("j_home"))
     placed = stored(placed)
-    mixed = placed.groupBy("j_key").agg(F.min("j_root").alias("low"), F.max("j_root").alias("high")).filter("low < high").select("j_key")
+    mixed = placed.groupBy("j_key").agg(F.min("j_root").alias("low"), F.max("j_root").alias("high"), F.min("j_home").alias("one"), F.max("j_home").alias("other")).filter("low < high and one < other").select("j_key")
     mixed = placed.join(mixed, "j_key")
-    left, right = (mixed.select("j_key", F.col("j_node").alias(x), F.col("j_n").alias(f"{x}_n"), F.col("j_root").alias(f"{x}_root")) for x in ("a", "b"))
-    apart = left.join(right, "j_key").filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _alike(F.col("a_n"), F.col("b_n"), percent))
-    apart = stored(apart.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(verify(apart, texts, width, percent))
-
-    roots = components(links)
-    out = named.join(roots.withColumnRenamed("node", "j_node"), "j_node", "left")
+    left, right = (mixed.select("j_key", *(F.col(f"j_{c}").alias(f"{x}_{c}") for c in ("node", "n", "root", "home"))) for x in ("a", "b"))
+    apart = left.join(right, "j_key").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & (F.col("a_home") != F.col("b_home")) & _alike(F.col("a_n"), F.col("b_n"), percent))
+    apart = apart.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    for x in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("j_node").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
+    pairs = pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    done = tried.unionByName(ordered(family))
+    apart = stored(apart.unionByName(pairs).distinct().join(done, ["a", "b"], "left_anti"))
+    links = stored(links.unionByName(within).unionByName(verify(apart, texts, width, percent)).distinct())
+    forget(keys, homes, family, placed, texts, tried, apart)
+
+    out = named.join(components(links).withColumnRenamed("node", "j_node"), "j_node", "left")
     found = F.coalesce("root", "j_node")
     return out.select(F.col("j_id").alias(id_col), F.col("j_n").alias("n_shingles"), F.when(found < NAMELESS, found).alias("component_id"))
 
