@@ -209,8 +209,8 @@ def _within(family: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     Against the family's centre h, member i has A(i) added and L(i) lost tokens. Two members differ in the tokens that
     only one of them added or lost, so what they share of both kinds tells their overlap exactly. Sharing all that their
     counts allow but no added token, they still differ in A(1) + A(2) + |L(1) - L(2)|. So a linked pair either has
-    counts that leave room for that, which is asked of the few distinct counts of a family first, or shares an added
-    token, which members seldom do, as they were edited apart.
+    counts that leave room for that, which is asked of the few distinct counts of a family first, or shares added
+    tokens, which members seldom do, as they were edited apart.
     """
     own = family.join(roots.withColumnRenamed("j_node", "b"), "b", "left").select(
         F.col("a").alias("h"), F.col("b").alias("m"), "n", F.coalesce("root", "b").alias("root"), "linked", F.size("added").alias("na"), F.size("lost").alias("nl"), "added", "lost"
@@ -223,7 +223,9 @@ def _within(family: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     slim = own.select("h", "m", "n", "root", "linked", "na", "nl")
     one = side(slim, "x", "m", "root", "na", "nl", "linked").join(room, ["h", "x_na", "x_nl", "x_linked"])
     one = one.join(side(slim.filter("not linked"), "y", "m", "root", "na", "nl"), ["h", "y_na", "y_nl"]).filter((F.col("x_root") != F.col("y_root")) & (F.col("x_m") != F.col("y_m")))
-    tokens_of = own.select("h", "m", "n", "root", "na", "nl", F.explode("added").alias("t"))
+    # without room, a pair shares at least na - n * (1 - t) / t added tokens, and one at least, so it meets in a prefix
+    least = F.greatest(F.lit(1), F.col("na") - F.floor(F.col("n") * (100 - percent) / percent))
+    tokens_of = own.select("h", "m", "n", "root", "na", "nl", F.explode(F.slice("added", F.lit(1), (F.col("na") - least + 1).cast("int"))).alias("t"))
     left, right = (tokens_of.select("h", "t", *(F.col(c).alias(f"{x}_{c}") for c in ("m", "n", "root", "na", "nl"))) for x in ("x", "y"))
     fits = F.abs(F.col("x_na") - F.col("y_na")) + F.abs(F.col("x_nl") - F.col("y_nl")) <= most
     two = left.join(right, ["h", "t"]).filter((F.col("x_m") < F.col("y_m")) & (F.col("x_root") != F.col("y_root")) & fits)
