@@ -41,8 +41,8 @@ NEVER_NAMES = {
     "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "promoted", "promotion", "related", "replies", "share", "sharing", "sidebar", "signup", "social", "sponsor",
     "sponsored", "subscribe", "toolbar", "widget",
 }
-#: Names of a container of the page, which may be called after what it also holds.
-KEPT_NAMES = {"article", "body", "container", "content", "entry", "has", "layout", "main", "no", "page", "post", "story", "text", "with", "without", "wrapper"}
+#: With one of these, an element's name says what else its page has.
+KEPT_NAMES = {"has", "layout", "no", "with", "without"}
 MAIN = {"article", "main"}
 #: An open element of the first kind ends when one of the second starts in it.
 CLOSES = {"p": BLOCK - {"option"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
@@ -78,7 +78,8 @@ class Page(HTMLParser):
         parent = self.open[-1]
         self.parents.append(parent)
         self.tags.append(tag)
-        self.never.append(tag in NEVER or self._unwanted(dict(attrs)))
+        whole = tag in MAIN or tag in ("html", "body")  # these may be named after any of their parts
+        self.never.append(tag in NEVER or (not whole and self._unwanted(dict(attrs))))
         self.inside.append(self.inside[parent] or tag in MAIN or dict(attrs).get("role") == "main")
         self.open.append(len(self.tags) - 1)
 
