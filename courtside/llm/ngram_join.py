@@ -97,15 +97,14 @@ def size_class(n: int, percent: int) -> tuple[int, int, int]:
         at, low = at + 1, high
 
 
-def combinations(own: np.ndarray, percent: int) -> tuple[list[int], bool]:
-    """Keys of a set's blocks, and whether too many of its blocks hold fewer than two tokens.
+def combinations(own: np.ndarray, percent: int) -> list[tuple[list[int], int, int]]:
+    """(keys of a set's blocks, class, blocks that a linked set shares at least) for the set's own class and the next.
 
-    A pair is compared in the class of its larger set, so each set has keys for its own class and for the next. Blocks
-    of fewer than two tokens have no key. A class has ``spare`` more blocks than two linked sets need, so a set with at
-    most that many such blocks still shares another one with any linked set.
+    A pair is compared in the class of its larger set. Blocks of fewer than two tokens have no key. A class has
+    ``spare`` more blocks than two linked sets need, so as many as the spare ones that aren't lost to small blocks are
+    the same in both, and one more. A set with too many small blocks is poor: the last number is then below 1.
     """
-    keys: list[int] = []
-    poor = False
+    out = []
     at, largest, next_largest = size_class(len(own), percent)
     mixed = _scramble(own)
     for number, top in ((at, largest), (at + 1, next_largest)):
@@ -117,9 +116,9 @@ def combinations(own: np.ndarray, percent: int) -> tuple[list[int], bool]:
         held = np.diff(np.append(starts, len(own)))
         sums = np.add.reduceat(mixed, starts)
         labels = _scramble(place[starts] * _MIX[0] + U((number + 1) * int(_MIX[1]) % 2**64) + held.astype(np.uint64))
-        keys += _scramble(sums + labels)[held >= 2].view(np.int64).tolist()
-        poor |= blocks - int((held >= 2).sum()) > spare
-    return keys, poor
+        keys = _scramble(sums + labels)[held >= 2].view(np.int64).tolist()
+        out.append((keys, number, 1 + spare - (blocks - len(keys))))
+    return out
 
 
 def _features(width: int, percent: int):
@@ -144,14 +143,16 @@ def _features(width: int, percent: int):
 
 
 def _combined(width: int, percent: int):
-    """(j_node, j_text) to (j_node, j_n, j_keys, j_poor)."""
+    """(j_node, j_text) to a row for each of its two classes: (j_node, j_n, j_keys, j_class, j_least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [tokens(text, width) for text in batch.column("j_text").to_pylist()]
-            made = [combinations(own, percent) for own in sets]
-            columns = [batch.column("j_node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([p for _, p in made], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["j_node", "j_n", "j_keys", "j_poor"])
+            rows = []
+            for node, text in zip(batch.column("j_node").to_pylist(), batch.column("j_text").to_pylist(), strict=True):
+                own = tokens(text, width)
+                rows += [(node, len(own), *made) for made in combinations(own, percent)]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], ["j_node", "j_n", "j_keys", "j_class", "j_least"])
 
     return run
 
@@ -298,12 +299,12 @@ def jaccard_components(
     small = asked.count() <= BROADCAST_ROWS  # else texts and names are both dealt by name
     texts = stored(texts.join(F.broadcast(asked) if small else asked, "j_node").dropDuplicates(["j_node", "j_text"]))
 
-    combined = stored(texts.filter("j_often").mapInArrow(_combined(width, percent), "j_node long, j_n long, j_keys array<long>, j_poor boolean"))
-    blocks = _shared(combined.select(F.explode("j_keys").alias("j_key"), "j_node", "j_n")).drop("j_held")
+    combined = stored(texts.filter("j_often").mapInArrow(_combined(width, percent), "j_node long, j_n long, j_keys array<long>, j_class int, j_least int"))
+    blocks = _shared(combined.select(F.explode("j_keys").alias("j_key"), "j_node", "j_n", "j_class", "j_least")).drop("j_held")
     # sets with too many small blocks can miss each other; among them, frequent tokens are indexed one by one as well
-    poor = many.join(combined.filter("j_poor").select("j_node"), "j_node", "left_semi")
-    poor = _shared(poor.select(F.xxhash64("j_key").alias("j_key"), "j_node", "j_n")).drop("j_held")
-    keys = stored(blocks.unionByName(poor).select("j_key", "j_node", "j_n"))
+    poor = many.join(combined.filter("j_least < 1").select("j_node"), "j_node", "left_semi")
+    poor = _shared(poor.select(F.xxhash64("j_key").alias("j_key"), "j_node", "j_n", F.lit(-1).alias("j_class"), F.lit(1).alias("j_least"))).drop("j_held")
+    keys = stored(blocks.unionByName(poor).select("j_key", "j_node", "j_n", "j_class", "j_least"))
     forget(index, combined, asked)
 
     # Holders of a combination gather around the one whose combinations are held most: the most typical of its family.
@@ -322,13 +323,14 @@ def jaccard_components(
     within = _within(family, roots, percent)
 
     # candidates of different families that are still apart
-    placed = keys.join(roots, "j_node", "left").join(homes, "j_node", "left").select("j_key", "j_node", "j_n", F.coalesce("root", "j_node").alias("j_root"), F.coalesce("j_home", "j_node").alias("j_home"))
+    placed = keys.join(roots, "j_node", "left").join(homes, "j_node", "left").select("j_key", "j_node", "j_n", "j_class", "j_least", F.coalesce("root", "j_node").alias("j_root"), F.coalesce("j_home", "j_node").alias("j_home"))
     placed = stored(placed)
     mixed = placed.groupBy("j_key").agg(F.min("j_root").alias("low"), F.max("j_root").alias("high"), F.min("j_home").alias("one"), F.max("j_home").alias("other")).filter("low < high and one < other").select("j_key")
     mixed = placed.join(mixed, "j_key")
-    left, right = (mixed.select("j_key", *(F.col(f"j_{c}").alias(f"{x}_{c}") for c in ("node", "n", "root", "home"))) for x in ("a", "b"))
-    apart = left.join(right, "j_key").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & (F.col("a_home") != F.col("b_home")) & _alike(F.col("a_n"), F.col("b_n"), percent))
-    apart = apart.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    left, right = (mixed.select("j_key", "j_class", *(F.col(f"j_{c}").alias(f"{x}_{c}") for c in ("node", "n", "root", "home", "least"))) for x in ("a", "b"))
+    apart = left.join(right, ["j_key", "j_class"]).filter((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & (F.col("a_home") != F.col("b_home")) & _alike(F.col("a_n"), F.col("b_n"), percent))
+    agreed = apart.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "j_class").agg(F.count("*").alias("j_same"), F.max(F.greatest("a_least", "b_least")).alias("j_least"))
+    apart = agreed.filter("j_same >= j_least").select("a", "b")
     for x in ("a", "b"):
         pairs = pairs.join(roots.select(F.col("j_node").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
     pairs = pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
