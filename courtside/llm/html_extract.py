@@ -3,11 +3,13 @@
 Every element is a binary variable, content or not. A node potential comes from its features, an edge potential joins it
 to its parent; both are smoothed log ratios of counts over labelled pages. Messages pass up the tree and down again
 (sum-product), which gives every element's exact marginal. Elements that are never main text, such as menus, forms and
-scripts, are fixed to "not content" as evidence.
+scripts, are fixed to "not content" as evidence, and so is what stands outside of the article that a page marks. Pages
+are also fitted on without their articles' tags, so that the model holds for pages that mark none.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from collections import Counter
@@ -44,6 +46,9 @@ NEVER_NAMES = {
 #: With one of these, an element's name says what else its page has.
 KEPT_NAMES = {"has", "layout", "no", "with", "without"}
 MAIN = {"article", "main"}
+ROOTS = {"#page", "html", "body"}
+#: Elements whose text no reader sees; the model learns nothing from them.
+UNSEEN = {"audio", "canvas", "datalist", "head", "iframe", "noscript", "object", "script", "style", "svg", "template", "title", "video"}
 #: An open element of the first kind ends when one of the second starts in it.
 CLOSES = {"p": BLOCK - {"option"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 #: Elements that an implied end doesn't reach beyond.
@@ -108,29 +113,40 @@ class Page(HTMLParser):
         self.pieces.append((self.open[-1], data))
 
     def features(self) -> list[tuple[str, ...]]:
-        """For each element: its kind, its parent's, whether it stands in the article, its text's length, and its links'."""
+        """The kind of each block element: in a marked article, nearly all links, text, or a root without text of its own.
+
+        Which block it is says nothing: menus and articles both have lists, and a paragraph may be a ``div``. Elements
+        within a line have no features of their own.
+        """
         n = len(self.tags)
-        own, linked, depth = [0] * n, [0] * n, [0] * n
+        own, in_link = [0] * n, [False] * n
         for piece in self.pieces:
             if piece:
                 own[piece[0]] += len(piece[1].strip())
-        in_link = [False] * n
         for i in range(1, n):
             in_link[i] = self.tags[i] == "a" or in_link[self.parents[i]]
-            depth[i] = depth[self.parents[i]] + 1
         whole = list(own)
         linked = [o if link else 0 for o, link in zip(own, in_link, strict=True)]
         for i in range(n - 1, 0, -1):
-            whole[self.parents[i]] += whole[i]
-            linked[self.parents[i]] += linked[i]
-        kind = lambda tag: tag if tag in BLOCK or tag in NEVER or tag in ("a", "b", "em", "i", "span", "strong", "#page") else "other"
-        return [
-            (
-                f"tag {kind(self.tags[i])}", f"parent {kind(self.tags[self.parents[i]]) if i else '-'}", f"inside {self.inside[i]}", f"length {min(whole[i].bit_length(), 12)}",
-                f"links {4 * linked[i] // whole[i] if whole[i] else '-'}", f"depth {min(depth[i], 8)}",
-            )
-            for i in range(n)
-        ]
+            if self.tags[i] not in UNSEEN:
+                whole[self.parents[i]] += whole[i]
+                linked[self.parents[i]] += linked[i]
+            if not self.is_block(i) and not self.never[i]:
+                own[self.parents[i]] += own[i]
+        out: list[tuple[str, ...]] = []
+        for i in range(n):
+            if not self.is_block(i):
+                out.append(())
+            elif self.inside[i]:
+                out.append(("kind article",))
+            elif self.tags[i] in ROOTS and not own[i]:
+                out.append(("kind root",))
+            else:
+                out.append(("kind links" if whole[i] and 4 * linked[i] >= 3 * whole[i] else "kind text",))
+        return out
+
+    def is_block(self, i: int) -> bool:
+        return self.tags[i] in BLOCK or self.tags[i] in ROOTS
 
     def barred(self) -> list[bool]:
         """Whether an element or one above it is never main text."""
@@ -139,14 +155,54 @@ class Page(HTMLParser):
             out[i] = out[i] or out[self.parents[i]]
         return out
 
+    def fixed(self) -> list[bool]:
+        """Whether an element is barred, or stands outside of the article that its page marks."""
+        marked = any(self.inside)
+        return [b or (marked and not i) for b, i in zip(self.barred(), self.inside, strict=True)]
+
+    def above(self, i: int) -> Iterator[int]:
+        """An element and all that it stands in."""
+        while i >= 0:
+            yield i
+            i = self.parents[i]
+
+    def unmarked(self) -> Page:
+        """The page without its articles' own tags: what they hold stands in their parents."""
+        out = copy.copy(self)
+        keep = [i for i, tag in enumerate(self.tags) if tag not in MAIN]
+        place = {i: at for at, i in enumerate(keep)}
+        for i, tag in enumerate(self.tags):
+            if tag in MAIN:
+                place[i] = place[self.parents[i]]
+        out.tags, out.never = [self.tags[i] for i in keep], [self.never[i] for i in keep]
+        out.parents = [place[self.parents[i]] if i else -1 for i in keep]
+        out.inside = [False] * len(keep)
+        out.pieces = [piece and (place[piece[0]], piece[1]) for piece in self.pieces]
+        return out
+
 
 def observations(page: Page) -> Counter:
-    """Counts of a labelled page: an element is content if it stands in the article and isn't barred."""
+    """Counts of a labelled page: an element is content if it stands in the article and isn't barred.
+
+    The page counts twice, as it is and without its articles' tags, when an article's parent is content as well. Of the
+    barred elements, those of links tell what menus are like. The others don't count, as what bars them is no feature.
+    """
     counts: Counter = Counter()
-    state = [i and not b for i, b in zip(page.inside, page.barred(), strict=True)]
-    for i, features in enumerate(page.features()):
-        counts.update((f, int(state[i])) for f in features)
-        counts[f"edge {int(state[page.parents[i]])}" if i else "root", int(state[i])] += 1
+    if not any(page.inside):
+        return counts
+    barred = page.barred()
+    bare = page.unmarked()
+    content = [i and not b for i, b in zip(page.inside, barred, strict=True)]
+    holds = {page.parents[i] for i, tag in enumerate(page.tags) if tag in MAIN and content[i]}
+    kept = [i for i, tag in enumerate(page.tags) if tag not in MAIN]
+    for view, state in ((page, content), (bare, [content[i] or i in holds for i in kept])):
+        out, fixed = view.barred(), view.fixed()
+        for i, features in enumerate(view.features()):
+            if not out[i] or (features == ("kind links",) and not any(view.tags[j] in UNSEEN for j in view.above(i))):
+                counts.update((f, int(state[i])) for f in features)
+            parent = view.parents[i]
+            if view.is_block(i) and not (i and out[parent]) and not (out[i] and fixed[parent]):
+                counts[f"edge {int(state[parent])}" if i else "root", int(state[i])] += 1
     return counts
 
 
@@ -169,11 +225,13 @@ class Model:
     def marginals(self, page: Page) -> list[float]:
         """Each element's probability to be content: messages from the leaves to the root, then from the root down."""
         (e00, e01), (e10, e11) = self.edge
-        n, barred = len(page.tags), page.barred()
+        n, barred, fixed = len(page.tags), page.barred(), page.fixed()
         log_odds = [min(max(sum(self.node.get(f, 0.0) for f in fs), -300.0), 300.0) for fs in page.features()]
-        own = [(1.0, 0.0) if b else (1 / (1 + math.exp(x)), 1 / (1 + math.exp(-x))) for x, b in zip(log_odds, barred, strict=True)]
+        own = [(1.0, 0.0) if b else (1 / (1 + math.exp(x)), 1 / (1 + math.exp(-x))) for x, b in zip(log_odds, fixed, strict=True)]
         belief, sent = list(own), [(1.0, 1.0)] * n
         for i in range(n - 1, 0, -1):
+            if barred[i]:
+                continue  # a menu in an article says nothing against the article
             b0, b1 = belief[i]
             m0, m1 = e00 * b0 + e01 * b1, e10 * b0 + e11 * b1
             sent[i] = (m0, m1)
@@ -193,7 +251,12 @@ class Model:
 
 def main_text(html: str, model: Model) -> str:
     page = Page(html)
-    wanted = [m >= 0.5 and not b for m, b in zip(model.marginals(page), page.barred(), strict=True)]
+    barred, marginals = page.barred(), model.marginals(page)
+    wanted: list[bool] = []
+    for i, m in enumerate(marginals):
+        # an element within a line goes with its block, but an article's own tag can be within one
+        follows = i and not page.is_block(i) and page.inside[i] == page.inside[page.parents[i]]
+        wanted.append(not barred[i] and (wanted[page.parents[i]] if follows else m >= 0.5))
     blocks: list[list[str]] = [[]]
     for piece in page.pieces:
         if piece is None:

@@ -88,3 +88,26 @@ def test_top_k(spark):
         assert [(x.vec_id, x.score) for x in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == [(i, int(scores[i])) for i in best]
     assert topk.top_k(df.limit(0), F.col("v_id") % 20 == 0).count() == 0
     assert topk.top_k(df.filter("vec_id in (0, 1)"), F.col("v_id") == 0).count() == 1
+
+
+PARAGRAPHS = ["A first paragraph of the page, with some words.", "Short", "The third, and a <a href='/l'>link</a> in it.", "7"]
+
+
+@pytest.mark.parametrize("outer", ["<article>{}</article>", "<div>{}</div>", "<div class='wrap'><div>{}</div></div>", "<section>{}</section>", "{}"])
+@pytest.mark.parametrize("inner", ["<p>{}</p>", "<div>{}</div>", "<ul><li>{}</li></ul>", "<table><tr><td>{}</td></tr></table>", "<blockquote>{}</blockquote>", "{}<hr>"])
+def test_html_without_article_or_paragraphs(pages, outer, inner):
+    """Held-out pages: whichever blocks a page uses, and whether or not it marks its article, all text stays and menus go."""
+    model = html_extract.Model(html_extract.fit(pages.filter("page_id < 20")))
+    body = outer.format("<h1>Head</h1>" + "".join(map(inner.format, PARAGRAPHS)))
+    html = f"<html><head><title>T</title></head><body><nav><ul><li><a href='/x'>Menu</a></li></ul></nav><div class='ad'>Buy</div>{body}<footer>End</footer></body></html>"
+    want = ["Head", "A first paragraph of the page, with some words.", "Short", "The third, and a link in it.", "7"]
+    assert html_extract.main_text(html, model).split("\n") == want
+
+
+def test_html_lists_of_links(pages):
+    """A list of nothing but links is a menu, unless it stands in the article."""
+    model = html_extract.Model(html_extract.fit(pages.filter("page_id < 20")))
+    links = "<ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul>"
+    assert html_extract.main_text(f"<body><article><p>Text</p>{links}</article></body>", model) == "Text\nOne\nTwo"
+    assert html_extract.main_text(f"<body><div>{links}</div><div><p>Text</p><p>More</p></div></body>", model) == "Text\nMore"
+    assert html_extract.main_text("<p>loose", model) == "loose"
