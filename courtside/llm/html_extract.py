@@ -43,6 +43,10 @@ NEVER_NAMES = {
     "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "promoted", "promotion", "related", "replies", "share", "sharing", "sidebar", "signup", "social", "sponsor",
     "sponsored", "subscribe", "toolbar", "widget",
 }
+#: As a whole class or id these bar their element; the other names are a feature of the model.
+BARRING_NAMES = {"ad", "ads", "advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "comments", "disqus", "navbar"}
+#: The ids of these are anchors in the text.
+ANCHORS = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
 #: With one of these, an element's name says what else its page has.
 KEPT_NAMES = {"has", "layout", "no", "with", "without"}
 MAIN = {"article", "main"}
@@ -60,7 +64,7 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.never, self.inside = ["#page"], [-1], [False], [False]
+        self.tags, self.parents, self.never, self.inside, self.named = ["#page"], [-1], [False], [False], [False]
         self.pieces: list[tuple[int, str] | None] = []
         self.open = [0]
         self.feed(html)
@@ -84,17 +88,22 @@ class Page(HTMLParser):
         self.parents.append(parent)
         self.tags.append(tag)
         whole = tag in MAIN or tag in ("html", "body")  # these may be named after any of their parts
-        self.never.append(tag in NEVER or (not whole and self._unwanted(dict(attrs))))
+        names = set() if whole else self._names(tag, dict(attrs))
+        self.never.append(tag in NEVER or bool(names & BARRING_NAMES) or (not whole and self._unwanted(dict(attrs))))
+        self.named.append(not whole and (self.named[parent] or bool(names & NEVER_NAMES)))
         self.inside.append(self.inside[parent] or tag in MAIN or dict(attrs).get("role") == "main")
         self.open.append(len(self.tags) - 1)
 
+    @staticmethod
+    def _names(tag: str, attrs: dict[str, str | None]) -> set[str]:
+        """Whole classes and ids: a compound one, such as related-work, may name anything."""
+        names = set(f"{attrs.get('class') or ''} {(tag not in ANCHORS and attrs.get('id')) or ''}".lower().split())
+        return set() if names & KEPT_NAMES else names
+
     @staticmethod
     def _unwanted(attrs: dict[str, str | None]) -> bool:
-        if not attrs:
-            return False
-        names = set(re.findall(r"[a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
         hidden = "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
-        return hidden or (attrs.get("role") or "").lower() in NEVER_ROLES or bool(names & NEVER_NAMES and not names & KEPT_NAMES)
+        return hidden or (attrs.get("role") or "").lower() in NEVER_ROLES
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -113,7 +122,7 @@ class Page(HTMLParser):
         self.pieces.append((self.open[-1], data))
 
     def features(self) -> list[tuple[str, ...]]:
-        """The kind of each block element: in a marked article, nearly all links, text, or a root without text of its own.
+        """The kind of each block element: in a marked article, named as a part, a root without text, links, or text.
 
         Which block it is says nothing: menus and articles both have lists, and a paragraph may be a ``div``. Elements
         within a line have no features of their own.
@@ -139,6 +148,8 @@ class Page(HTMLParser):
                 out.append(())
             elif self.inside[i]:
                 out.append(("kind article",))
+            elif self.named[i]:
+                out.append(("kind named",))
             elif self.tags[i] in ROOTS and not own[i]:
                 out.append(("kind root",))
             else:
@@ -176,7 +187,7 @@ class Page(HTMLParser):
                 place[i] = place[self.parents[i]]
         out.tags, out.never = [self.tags[i] for i in keep], [self.never[i] for i in keep]
         out.parents = [place[self.parents[i]] if i else -1 for i in keep]
-        out.inside = [False] * len(keep)
+        out.inside, out.named = [False] * len(keep), [self.named[i] for i in keep]
         out.pieces = [piece and (place[piece[0]], piece[1]) for piece in self.pieces]
         return out
 
@@ -185,7 +196,7 @@ def observations(page: Page) -> Counter:
     """Counts of a labelled page: an element is content if it stands in the article and isn't barred.
 
     The page counts twice, as it is and without its articles' tags, when an article's parent is content as well. Of the
-    barred elements, those of links tell what menus are like. The others don't count, as what bars them is no feature.
+    barred elements, those of links or a part's name tell what menus and parts are like. The others don't count, as what bars them is no feature.
     """
     counts: Counter = Counter()
     if not any(page.inside):
@@ -198,7 +209,7 @@ def observations(page: Page) -> Counter:
     for view, state in ((page, content), (bare, [content[i] or i in holds for i in kept])):
         out, fixed = view.barred(), view.fixed()
         for i, features in enumerate(view.features()):
-            if not out[i] or (features == ("kind links",) and not any(view.tags[j] in UNSEEN for j in view.above(i))):
+            if not out[i] or (features in (("kind links",), ("kind named",)) and not any(view.tags[j] in UNSEEN for j in view.above(i))):
                 counts.update((f, int(state[i])) for f in features)
             parent = view.parents[i]
             if view.is_block(i) and not (i and out[parent]) and not (out[i] and fixed[parent]):

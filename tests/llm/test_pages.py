@@ -111,3 +111,16 @@ def test_html_lists_of_links(pages):
     assert html_extract.main_text(f"<body><article><p>Text</p>{links}</article></body>", model) == "Text\nOne\nTwo"
     assert html_extract.main_text(f"<body><div>{links}</div><div><p>Text</p><p>More</p></div></body>", model) == "Text\nMore"
     assert html_extract.main_text("<p>loose", model) == "loose"
+
+
+@pytest.mark.parametrize("part", [
+    "<h2 id='related-work'>Kept</h2>", "<section id='social-history'><p>Kept</p></section>", "<div class='article-header'><h2>Kept</h2></div>", "<p class='notice-of-motion'>Kept</p>",
+    "<div class='ad-hoc-queries'>Kept</div>", "<h2 id='comments'>Kept</h2>", "<div class='header'><p>Kept</p></div>",
+])
+def test_html_names_of_parts(pages, part):
+    """Names don't take text out of an article; compound ones don't elsewhere. A part of a page without an article goes."""
+    model = html_extract.Model(html_extract.fit(pages.filter("page_id < 20")))
+    assert html_extract.main_text(f"<body><article><p>Text</p>{part}</article></body>", model) == "Text\nKept"
+    if "'header'" not in part:
+        assert html_extract.main_text(f"<body><div><p>Text</p>{part}</div></body>", model) == "Text\nKept"
+    assert html_extract.main_text("<body><div><p>Text</p></div><div id='footer'><p>End</p></div></body>", model) == "Text"
