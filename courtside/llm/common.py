@@ -35,16 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+#: Shuffle files go as soon as the query that made them ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder, which outlives lost executors.
 
     The table lives until ``forget``, or as long as the session's checkpoint folder does. Shuffle files of the steps
-    before it go once the driver has collected the plans that made them, so it is asked to.
+    before it go with the write that needs them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    path, before = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -21,19 +21,18 @@ def _stars(links: DataFrame, *, large: bool) -> DataFrame:
     return moved.filter("a < b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a, b; a < b), root being its component's smallest node.
 
-    Rounds go on until the links no longer change, which takes about the logarithm of the longest path. With fewer
-    ``rounds``, nodes of one component may keep different roots, but no two components ever share one. No links, no rows.
+    Rounds go on until the links no longer change, which takes about the logarithm of the longest path. No links, no rows.
     """
     at, before = stored(links.select("a", "b").filter("a < b").distinct()), None
-    for _ in range(rounds):
-        last, at = at, stored(_stars(_stars(at, large=True), large=False))
-        forget(last)
+    while True:
         mark = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break
         before = mark
+        last, at = at, stored(_stars(_stars(at, large=True), large=False))
+        forget(last)
     roots = at.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct().join(roots.select("node"), "node", "left_anti"))

@@ -2,19 +2,20 @@
 
 The tokens of a document are the 64-bit hashes of its word shingles, in the order of their hashes. Of two documents
 whose sets have the Jaccard similarity t, the first n - ceil(t n) + 1 of each, its prefix, share a token. Prefixes that
-are k tokens longer share k + 1; k is a fifth here, so that a passage in common doesn't make a candidate.
-
-* Rare tokens, held by few extended prefixes, are indexed one by one. A pair is a candidate if the rare tokens that it
-  shares, and the frequent ones that it may share, are enough.
-* Of a linked pair that shares no rare token, both prefixes hold more than k frequent ones. The prefixes of such
-  documents are extended to their whole sets, and indexed by combinations of tokens: the order is cut into blocks, more
-  than the tokens in which two linked documents can differ, so that at least one block is the same in both. A block
-  holds about 4 tokens that must all agree, so that what many documents share in part no longer brings them together.
-
-Candidates are verified on their full sets. To find components, not all pairs are needed. Each document is first
-verified with a few partners, those that hold a combination with its most typical holder. Of the members of such a
-family, only those can still be linked that share a difference from it; how many they share tells their overlap. Then
-comes every other candidate pair whose ends are still apart.
+are k tokens longer share k + 1; k is a fortieth of the set here, so that a passage in common seldom makes a candidate.
+
+1. Rare tokens, held by few extended prefixes, are indexed one by one. A pair is a candidate if the rare tokens that it
+   shares, and the frequent ones that it may share, are enough.
+2. Of a linked pair that shares no rare token, both prefixes hold more than k frequent ones. The prefixes of such
+   documents are extended to their whole sets, and indexed by combinations of tokens (``ngram_tokens.combinations``).
+3. Holders of a combination are not paired with each other. They gather around the most typical one, the centre, which
+   is compared with all: that is one comparison for each member. Two members that share enough combinations share a centre.
+4. Two members of a family that are not both linked to its centre can be linked only if they differ from it in the same
+   tokens. So these differences are joined by prefixes again, tokens that no two components share first, the rarest next.
+   They tell the overlap of two members exactly, without their texts.
+
+Nothing is capped: families and candidates are as large as the data make them. Links are found for components, so pairs
+whose ends are connected already are left out. Hash collisions of 64-bit tokens are the only approximation.
 """
 
 from __future__ import annotations
@@ -29,214 +30,102 @@ from pyspark.sql.window import Window
 
 from courtside.llm.common import forget, stored, table, text_of
 from courtside.llm.graph import components
+from courtside.llm.ngram_tokens import EXTENSION, combinations, prefix, tokens
 
 #: Prefixes that hold a token, up to which it is rare; and partners that a document is first verified with.
 RARE = 16
 PARTNERS = 2
-#: A document without an id is named by its set from here on, above all ids.
-NAMELESS = 1 << 62
-CACHED_WORDS = 200_000
-#: Names of documents that are broadcast at most (16 bytes each).
+#: Partners that a document is compared with in one go.
+SLICE = 32
+#: Names of documents that are broadcast at most (8 bytes each).
 BROADCAST_ROWS = 1_000_000
-U = np.uint64
-_MIX = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5), U(0x85EBCA77C2B2AE63), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)]
-
-
-class _Words(dict):
-    """64-bit hashes of words, by their bytes."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _Words()
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(33))) * _MIX[5]
-    return (x ^ (x >> U(29))) * _MIX[6]
-
-
-def tokens(text: str, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes; bytes.lower() and bytes.split() know ASCII letters and white space only."""
-    import xxhash
-
-    words = text.encode("utf-8").lower().split()
-    if len(words) < width:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = len(words) - width + 1
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out = _scramble(out + hashes[k : k + n] * _MIX[k % 5])
-    return np.unique(out)
-
-
-def needed(n: int, percent: int) -> int:
-    """Tokens of a set of n that a linked set must share."""
-    return -(-n * percent // 100)
-
-
-def extension(n: Column | int) -> Column | int:
-    """By how many tokens the prefix of a set of n is extended."""
-    return F.floor(n / 40) if isinstance(n, Column) else n // 40
-
-
-def size_class(n: int, percent: int) -> tuple[int, int, int]:
-    """(class, largest size of this class, and of the next); linked sets lie in one class or in neighbouring ones."""
-    at, low = 0, 1
-    while True:
-        high = low * 100 // percent + 1
-        if n < high:
-            return at, high - 1, high * 100 // percent
-        at, low = at + 1, high
-
-
-def combinations(own: np.ndarray, percent: int) -> list[tuple[list[int], int, int]]:
-    """(keys of a set's blocks, class, blocks that a linked set shares at least) for the set's own class and the next.
-
-    A pair is compared in the class of its larger set. Blocks of fewer than two tokens have no key. A class has
-    ``spare`` more blocks than two linked sets need, so as many as the spare ones that aren't lost to small blocks are
-    the same in both, and one more. A set with too many small blocks is poor: the last number is then below 1.
-    """
-    out = []
-    at, largest, next_largest = size_class(len(own), percent)
-    mixed = _scramble(own)
-    for number, top in ((at, largest), (at + 1, next_largest)):
-        differ = 2 * top * (100 - percent) // (100 + percent)
-        spare = differ // 4 + 2
-        blocks = differ + 1 + spare
-        place = ((own >> U(32)) * U(blocks)) >> U(32)
-        starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        held = np.diff(np.append(starts, len(own)))
-        sums = np.add.reduceat(mixed, starts)
-        labels = _scramble(place[starts] * _MIX[0] + U((number + 1) * int(_MIX[1]) % 2**64) + held.astype(np.uint64))
-        keys = _scramble(sums + labels)[held >= 2].view(np.int64).tolist()
-        out.append((keys, number, 1 + spare - (blocks - len(keys))))
-    return out
 
 
 def _features(width: int, percent: int):
-    """(j_id, j_text) to (j_id, j_set, j_n, j_prefix)."""
+    """(j_id, j_row, j_text) to (j_id, j_row, j_node, j_n, j_prefix); j_node is the hash of the set, null if empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            sets, sizes, prefixes = [], [], []
-            for text in batch.column("j_text").to_pylist():
-                own = tokens(text, width)
-                sets.append(xxhash.xxh3_128_digest(own.tobytes()))
-                sizes.append(len(own))
-                prefixes.append(own[: len(own) - needed(len(own), percent) + 1 + extension(len(own)) if len(own) else 0].view(np.int64))
+            sets = [tokens(text, width) for text in batch.column("j_text").to_pylist()]
+            nodes = np.array([xxhash.xxh3_64_intdigest(own.tobytes()) for own in sets], np.uint64).view(np.int64)
+            prefixes = [prefix(own, percent).view(np.int64) for own in sets]
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.array([], np.int64)
-            columns = [batch.column("j_id"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["j_id", "j_set", "j_n", "j_prefix"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("j_id"), batch.column("j_row"), pa.array(nodes, pa.int64(), mask=np.array([not len(own) for own in sets], bool)),
+                    pa.array([len(own) for own in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64())),
+                ],
+                ["j_id", "j_row", "j_node", "j_n", "j_prefix"],
+            )
 
     return run
 
 
 def _combined(width: int, percent: int):
-    """(j_node, j_text) to a row for each of its two classes: (j_node, j_n, j_keys, j_class, j_least)."""
+    """(j_node, j_text) to a row for each of its two classes: (j_node, j_n, j_class, j_least, j_keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for node, text in zip(batch.column("j_node").to_pylist(), batch.column("j_text").to_pylist(), strict=True):
                 own = tokens(text, width)
-                rows += [(node, len(own), *made) for made in combinations(own, percent)]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], ["j_node", "j_n", "j_keys", "j_class", "j_least"])
+                rows += [(node, len(own), number, least, keys) for keys, number, least in combinations(own, percent)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["j_node", "j_n", "j_class", "j_least", "j_keys"])
 
     return run
 
 
 def _compared(width: int, percent: int, differences: bool):
-    """Rows (a, b, j_text) sorted by a, its own text first (b null), to (a, b, n, linked, added, lost).
+    """Rows (a, b, j_text) sorted by a, its own text first (b null), to (a, b, a_n, b_n, linked, added, lost).
 
-    n is the size of b's set, added and lost are its tokens beside a's set and those that it lacks; empty if not asked for.
+    ``added`` are b's tokens that a lacks, ``lost`` the places in a's set of those that b lacks; both empty unless asked for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, owns = None, []
+        node, own = None, None
         for batch in batches:
             rows: list[tuple] = []
             for a, b, text in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "j_text")), strict=True):
                 other = tokens(text, width)
                 if b is None:
-                    node, owns = a, [*owns, other] if a == node else [other]
+                    node, own = a, other
                     continue
-                shared = [(own, len(np.intersect1d(own, other, assume_unique=True))) for own in owns]
-                linked = any(100 * both >= percent * (len(own) + len(other) - both) for own, both in shared)
-                if differences:
-                    rows.append((a, b, len(other), linked, *(np.setdiff1d(x, y, assume_unique=True).view(np.int64) for x, y in ((other, owns[0]), (owns[0], other)))))
-                elif linked:
-                    rows.append((a, b, len(other), True, (), ()))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "n", "linked", "added", "lost"])
+                if a != node:
+                    raise ValueError("a document came before its centre")
+                held = np.isin(own, other, assume_unique=True)
+                both = int(held.sum())
+                linked = 100 * both >= percent * (len(own) + len(other) - both)
+                added, lost = (np.setdiff1d(other, own, assume_unique=True).view(np.int64), np.flatnonzero(~held)) if differences else ((), ())
+                rows.append((a, b, len(own), len(other), linked, added, lost))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "a_n", "b_n", "linked", "added", "lost"])
 
     return run
 
 
-def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, *, differences: bool = True) -> DataFrame:
-    """a, b, n, linked, added, lost of each pair (a, b); without ``differences``, of linked pairs only.
+def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, *, differences: bool) -> DataFrame:
+    """a, b, a_n, b_n, linked, added, lost of each pair (a, b) of nodes.
 
     The text of each b travels to its a. A node with many partners is dealt to several slices, each with its own text.
     """
-    sent = pairs.join(texts.select(F.col("j_node").alias("b"), "j_text"), "b").select("a", "b", "j_text")
-    own = pairs.select("a").distinct().join(texts.select(F.col("j_node").alias("a"), "j_text"), "a").select("a", F.lit(None).cast("long").alias("b"), "j_text")
-    slices = pairs.groupBy("a").count().select("a", F.expr("sequence(0, cast((count - 1) div 256 as int))").alias("all"), F.expr("cast((count - 1) div 256 + 1 as int)").alias("n"))
-    sent = sent.join(slices.select("a", "n"), "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("n")).cast("int")).select("a", "slice", "b", "j_text")
-    own = own.join(slices.select("a", F.explode("all").alias("slice")), "a").select("a", "slice", "b", "j_text")
+    slices = pairs.groupBy("a").agg(F.expr("cast((count(*) - 1) div {0} + 1 as int)".format(SLICE)).alias("n"))
+    sent = pairs.join(slices, "a").select("a", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("slice"), "b")
+    sent = sent.join(texts.withColumnRenamed("j_node", "b"), "b").select("a", "slice", "b", "j_text")
+    own = slices.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice"), F.lit(None).cast("long").alias("b"))
+    own = own.join(texts.withColumnRenamed("j_node", "a"), "a").select("a", "slice", "b", "j_text")
     rows = sent.unionByName(own).repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", "j_text").mapInArrow(_compared(width, percent, differences), "a long, b long, n long, linked boolean, added array<long>, lost array<long>")
+    kind = "a long, b long, a_n long, b_n long, linked boolean, added array<long>, lost array<int>"
+    return rows.select("a", "b", "j_text").mapInArrow(_compared(width, percent, differences), kind)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    return compare(pairs, texts, width, percent, differences=False).select("a", "b").distinct()
-
-
-def _within(family: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """The linked pairs (a, b) of members of one family that are still apart.
-
-    Against the family's centre h, member i has A(i) added and L(i) lost tokens. Two members differ in the tokens that
-    only one of them added or lost, so what they share of both kinds tells their overlap exactly. Sharing all that their
-    counts allow but no added token, they still differ in A(1) + A(2) + |L(1) - L(2)|. So a linked pair either has
-    counts that leave room for that, which is asked of the few distinct counts of a family first, or shares added
-    tokens, which members seldom do, as they were edited apart.
-    """
-    own = family.join(roots.withColumnRenamed("j_node", "b"), "b", "left").select(
-        F.col("a").alias("h"), F.col("b").alias("m"), "n", F.coalesce("root", "b").alias("root"), "linked", F.size("added").alias("na"), F.size("lost").alias("nl"), "added", "lost"
-    )
-    side = lambda df, x, *names: df.select("h", *(F.col(c).alias(f"{x}_{c}") for c in names))
-    most = F.floor((F.col("x_n") + F.col("y_n")) * (100 - percent) / (100 + percent))  # tokens in which a linked pair differs
-    counts = own.select("h", "n", "na", "nl", "linked").distinct()
-    room = side(counts, "x", "n", "na", "nl", "linked").join(side(counts.filter("not linked"), "y", "n", "na", "nl"), "h")
-    room = room.filter(F.col("x_na") + F.col("y_na") + F.abs(F.col("x_nl") - F.col("y_nl")) <= most).select("h", "x_na", "x_nl", "x_linked", "y_na", "y_nl")
-    slim = own.select("h", "m", "n", "root", "linked", "na", "nl")
-    one = side(slim, "x", "m", "root", "na", "nl", "linked").join(room, ["h", "x_na", "x_nl", "x_linked"])
-    one = one.join(side(slim.filter("not linked"), "y", "m", "root", "na", "nl"), ["h", "y_na", "y_nl"]).filter((F.col("x_root") != F.col("y_root")) & (F.col("x_m") != F.col("y_m")))
-    # without room, a pair shares at least na - n * (1 - t) / t added tokens, and one at least, so it meets in a prefix
-    least = F.greatest(F.lit(1), F.col("na") - F.floor(F.col("n") * (100 - percent) / percent))
-    tokens_of = own.select("h", "m", "n", "root", "na", "nl", F.explode(F.slice("added", F.lit(1), (F.col("na") - least + 1).cast("int"))).alias("t"))
-    left, right = (tokens_of.select("h", "t", *(F.col(c).alias(f"{x}_{c}") for c in ("m", "n", "root", "na", "nl"))) for x in ("x", "y"))
-    fits = F.abs(F.col("x_na") - F.col("y_na")) + F.abs(F.col("x_nl") - F.col("y_nl")) <= most
-    two = left.join(right, ["h", "t"]).filter((F.col("x_m") < F.col("y_m")) & (F.col("x_root") != F.col("y_root")) & fits)
-    found = one.select("h", F.least("x_m", "y_m").alias("a"), F.greatest("x_m", "y_m").alias("b")).unionByName(two.select("h", F.col("x_m").alias("a"), F.col("y_m").alias("b"))).distinct()
-    for x in ("a", "b"):
-        found = found.join(own.select("h", F.col("m").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "added", "lost"))), ["h", x])
-    common = F.size(F.array_intersect("a_added", "b_added")) + F.size(F.array_intersect("a_lost", "b_lost"))
-    differ = F.size("a_added") + F.size("a_lost") + F.size("b_added") + F.size("b_lost") - 2 * common
-    shared = (F.col("a_n") + F.col("b_n") - differ) / 2
-    return found.filter(100 * shared >= percent * (F.col("a_n") + F.col("b_n") - shared)).select("a", "b")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _shared(index: DataFrame) -> DataFrame:
@@ -249,8 +138,75 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _nameless() -> Column:
-    return F.lit(NAMELESS) + F.xxhash64("j_set").bitwiseAND((1 << 61) - 1)
+def _differ(sizes: Column, percent: int) -> Column:
+    """In how many tokens two linked sets differ at most, by the sum of their sizes."""
+    return F.floor(sizes * (100 - percent) / (100 + percent))
+
+
+def rare_pairs(index: DataFrame, common: DataFrame, percent: int, rare: int) -> DataFrame:
+    """Candidates (a, b, j_keys) by single rare tokens of the extended prefixes; a token has ``rare`` holders at most."""
+    left, right = (index.filter(F.col("j_held") <= rare).select("j_key", F.col("j_node").alias(x), F.col("j_n").alias(f"{x}_n")) for x in ("a", "b"))
+    pairs = left.join(right, "j_key").filter((F.col("a") < F.col("b")) & _alike(F.col("a_n"), F.col("b_n"), percent))
+    pairs = pairs.groupBy("a", "b").agg(F.min(F.least("a_n", "b_n")).alias("n"), F.count("*").alias("j_keys"))
+    enough = F.floor(F.col("n") / EXTENSION) + 1
+    sure, open_ = pairs.filter(F.col("j_keys") >= enough), pairs.filter(F.col("j_keys") < enough)
+    for x in ("a", "b"):
+        open_ = open_.join(common.select(F.col("j_node").alias(x), F.col("j_many").alias(f"{x}_many")), x)
+    return sure.select("a", "b", "j_keys").unionByName(open_.filter(F.col("j_keys") + F.least("a_many", "b_many") >= enough).select("a", "b", "j_keys"))
+
+
+def memberships(combined: DataFrame, many: DataFrame) -> DataFrame:
+    """(a, b): b is a member of the family of centre a. Two linked sets share a family, or one is the other's centre.
+
+    The centre of a key is its holder whose keys are held most in all. Families are ordered by that weight, and a linked
+    set shares ``j_least`` keys, so a set may leave out the heaviest families as long as fewer of its keys go with them.
+    Among sets without a sure common key, frequent tokens of the extended prefixes are keys, one by one.
+    """
+    keys = combined.select(F.explode("j_keys").alias("j_key"), "j_node", "j_class", "j_least")
+    single = many.select("j_key", "j_node").join(combined.filter("j_least < 1").select("j_node", "j_class"), "j_node")
+    single = single.select(F.xxhash64("j_key", "j_class").alias("j_key"), "j_node", "j_class", F.lit(1).alias("j_least"))
+    keys = stored(_shared(keys.unionByName(single)))
+    weight = keys.groupBy("j_node").agg(F.sum("j_held").alias("j_weight"))
+    centres = keys.select("j_key", "j_node").join(weight, "j_node").groupBy("j_key").agg(F.max(F.struct("j_weight", F.col("j_node").alias("a"))).alias("centre"))
+    held = keys.join(centres, "j_key").groupBy("j_node", "j_class", "centre").agg(F.count("*").alias("n"), F.max("j_least").alias("j_least"))
+    by_weight = Window.partitionBy("j_node", "j_class").orderBy(F.desc("centre"))
+    held = held.withColumn("n", F.sum("n").over(by_weight)).filter(F.col("n") >= F.greatest(F.lit(1), "j_least"))
+    out = stored(held.select("centre.a", F.col("j_node").alias("b")).filter("a <> b").distinct())
+    forget(keys)
+    return out
+
+
+def within_families(family: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """The linked pairs (a, b) of members of one family whose components differ.
+
+    D is the set of tokens in which a member differs from the centre. Linked sets x, y differ in at most r (n_x + n_y)
+    tokens, r = (1 - t) / (1 + t), so they share o = (D_x + D_y - r (n_x + n_y)) / 2 of their D at least. A member that
+    isn't linked to the centre has D > r (n + n_centre), which makes o positive for all pairs with one. With that, prefixes
+    of D, and the places of a shared token in both, decide what is a candidate.
+    """
+    root = lambda x: roots.select(F.col("j_node").alias(x), F.col("root").alias(f"{x}_root"))
+    own = family.join(root("b"), "b", "left").withColumn("root", F.coalesce("b_root", "b"))
+    mixed = own.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("linked").alias("all")).filter("low < high and not all").select("a")
+    own = stored(own.join(mixed, "a").select("a", "b", "a_n", "b_n", "root", "linked", (F.size("added") + F.size("lost")).alias("d"), F.concat("added", F.col("lost").cast("array<long>")).alias("tokens")))
+    held = own.select("a", "b", "root", F.explode("tokens").alias("t"))
+    alive = held.groupBy("a", "t").agg(F.count("*").alias("f"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("a", "t", "f")
+    order = held.join(alive, ["a", "t"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("alive"))
+    most = _differ(F.col("b_n") + F.floor(F.col("b_n") * 100 / percent), percent)
+    first = F.when(F.col("linked"), F.col("d") - F.expr(f"(d * {100 + percent} - (b_n - a_n) * {100 - percent}) div {2 * (100 + percent)}")).otherwise(F.least("d", most + 1))
+    sides = stored(own.drop("tokens").join(order, ["a", "b"]).withColumn("dead", F.col("d") - F.size("alive")).withColumn("first", first))
+    placed = sides.select("a", "b", "b_n", "root", "linked", "d", "dead", F.posexplode(F.expr("slice(alive, 1, cast(greatest(0, first - dead) as int))")).alias("at", "token"))
+    placed = placed.withColumn("rest", F.col("d") - F.col("dead") - F.col("at") - 1).withColumn("t", F.col("token.t"))
+    left, right = (placed.select("a", "t", *(F.col(c).alias(f"{x}_{c}") for c in ("b", "b_n", "root", "linked", "d", "rest"))) for x in ("x", "y"))
+    least = (F.col("x_d") + F.col("y_d") - _differ(F.col("x_b_n") + F.col("y_b_n"), percent)) / 2
+    fits = (F.col("x_b") < F.col("y_b")) & (F.col("x_root") != F.col("y_root")) & ~(F.col("x_linked") & F.col("y_linked"))
+    fits = fits & _alike(F.col("x_b_n"), F.col("y_b_n"), percent) & (F.least("x_rest", "y_rest") + 1 >= least)
+    found = left.join(right, ["a", "t"]).filter(fits).select("a", F.col("x_b").alias("x"), F.col("y_b").alias("y")).distinct()
+    for x in ("x", "y"):
+        found = found.join(sides.select("a", F.col("b").alias(x), F.col("b_n").alias(f"{x}_n"), F.col("d").alias(f"{x}_d"), F.col("alive.t").alias(f"{x}_t")), ["a", x])
+    shared = (F.col("x_n") + F.col("y_n") - F.col("x_d") - F.col("y_d")) / 2 + F.size(F.array_intersect("x_t", "y_t"))
+    out = stored(found.filter(100 * shared >= percent * (F.col("x_n") + F.col("y_n") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    forget(own, sides)
+    return out
 
 
 def jaccard_components(
@@ -259,102 +215,58 @@ def jaccard_components(
     """One row per input row: id, n_shingles, component_id, the smallest id that is reachable by links.
 
     Two rows are linked if 100 * shared shingles >= ``percent`` * all shingles of both. A text with fewer than ``width``
-    words is one shingle; one without words, or null, has none and is linked with nothing but rows of the same id.
-    Rows of one id are one document. Ids are integers below 2**62. A row without an id takes part; its component_id is
-    null if no id is reachable. An empty table gives an empty result. Other columns of the input are not read.
+    words is one shingle; one without words, or null, has none, is linked with nothing, and has its own id. Each row
+    is judged by its own text, whatever other rows have its id. A row without an id takes part; its component_id is null if
+    no id is reachable. Ids are of any type with an order. An empty table gives an empty result. No other column is read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("j_id"), text_of(text_col).alias("j_text"))
-    feats = stored(base.mapInArrow(_features(width, percent), "j_id long, j_set binary, j_n long, j_prefix array<long>"))
-
-    # equal sets are one node, named by the smallest id
-    name = F.coalesce(F.min("j_id"), _nameless())
-    nodes = feats.filter("j_n > 0").groupBy("j_set").agg(name.alias("j_node"), F.min("j_n").alias("j_n"), F.first("j_prefix").alias("j_prefix"))
-    nodes = stored(nodes)
-    named = feats.select("j_id", "j_set", "j_n").join(nodes.select("j_set", "j_node"), "j_set", "left")
-    named = stored(named.select("j_id", "j_n", F.coalesce("j_node", "j_id").alias("j_node")))
-
-    forget(feats)
-
-    index = stored(_shared(nodes.select("j_node", "j_n", F.explode("j_prefix").alias("j_key"))).select("j_key", "j_node", "j_n", "j_held"))
-    forget(nodes)
-    few, many = index.filter(F.col("j_held") <= rare), index.filter(F.col("j_held") > rare)
+    base = docs.select(F.col(id_col).alias("j_id"), text_of(text_col).alias("j_text"))
+    base = base.select("j_id", F.xxhash64("j_text").alias("j_row"), "j_text")
+    kind = f"j_id {base.schema['j_id'].dataType.simpleString()}, j_row long, j_node long, j_n long, j_prefix array<long>"
+    feats = stored(base.mapInArrow(_features(width, percent), kind))
+
+    # equal sets are one node, with the text of one of its rows
+    nodes = stored(feats.filter("j_n > 0").groupBy("j_node").agg(F.min("j_n").alias("j_n"), F.min("j_row").alias("j_row"), F.first("j_prefix").alias("j_prefix")))
+    index = stored(_shared(nodes.select("j_node", "j_n", F.explode("j_prefix").alias("j_key"))))
+    many = index.filter(F.col("j_held") > rare)
     common = many.groupBy("j_node").agg(F.min("j_n").alias("j_n"), F.count("*").alias("j_many"))
-    left, right = (few.select("j_key", F.col("j_node").alias(x), F.col("j_n").alias(f"{x}_n")) for x in ("a", "b"))
-    pairs = left.join(right, "j_key").filter((F.col("a") < F.col("b")) & _alike(F.col("a_n"), F.col("b_n"), percent))  # a key has ``rare`` holders at most
-    pairs = pairs.groupBy("a", "b").agg(F.min("a_n").alias("a_n"), F.min("b_n").alias("b_n"), F.count("*").alias("j_keys"))
-    enough = extension(F.least("a_n", "b_n")) + 1
-    sure, open_ = pairs.filter(F.col("j_keys") >= enough).select("a", "b", "j_keys"), pairs.filter(F.col("j_keys") < enough)
-    for x in ("a", "b"):
-        open_ = open_.join(common.select(F.col("j_node").alias(x), F.col("j_many").alias(f"{x}_many")), x)
-    open_ = open_.filter(F.col("j_keys") + F.least("a_many", "b_many") >= enough).select("a", "b", "j_keys")
-    pairs = stored(sure.unionByName(open_))
+    pairs = stored(rare_pairs(index, common, percent, rare))
     # a linked set has at least ``needed`` of this one's tokens, so its own extension is at least that set's
-    often = common.filter(F.col("j_many") > extension(F.ceil(F.col("j_n") * percent / 100))).select("j_node")
-
-    asked = stored(pairs.select(F.col("a").alias("j_node")).unionByName(pairs.select(F.col("b").alias("j_node"))).withColumn("j_often", F.lit(False)).unionByName(often.withColumn("j_often", F.lit(True))).groupBy("j_node").agg(F.max("j_often").alias("j_often")))
-    texts = base.select(F.col("j_id").alias("j_node"), "j_text").filter("j_node is not null")
-    if base.filter(F.col("j_id").isNull()).limit(1).count():  # the name of a row without an id needs its set
-        without = base.filter("j_id is null").mapInArrow(_with_set(width), "j_set binary, j_text string")
-        texts = texts.unionByName(without.select(_nameless().alias("j_node"), "j_text"))
+    often = common.filter(F.col("j_many") > F.floor(F.ceil(F.col("j_n") * percent / 100) / EXTENSION)).select("j_node", F.lit(True).alias("often"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("j_node"), F.lit(False).alias("often"))
+    asked = ends.unionByName(often).groupBy("j_node").agg(F.max("often").alias("often"))
+    asked = stored(asked.join(nodes.select("j_node", "j_row"), "j_node"))
     small = asked.count() <= BROADCAST_ROWS  # else texts and names are both dealt by name
-    texts = stored(texts.join(F.broadcast(asked) if small else asked, "j_node").dropDuplicates(["j_node", "j_text"]))
-
-    combined = stored(texts.filter("j_often").mapInArrow(_combined(width, percent), "j_node long, j_n long, j_keys array<long>, j_class int, j_least int"))
-    blocks = _shared(combined.select(F.explode("j_keys").alias("j_key"), "j_node", "j_n", "j_class", "j_least")).drop("j_held")
-    # sets with too many small blocks can miss each other; among them, frequent tokens are indexed one by one as well
-    poor = many.join(combined.filter("j_least < 1").select("j_node"), "j_node", "left_semi")
-    poor = _shared(poor.select(F.xxhash64("j_key").alias("j_key"), "j_node", "j_n", F.lit(-1).alias("j_class"), F.lit(1).alias("j_least"))).drop("j_held")
-    keys = stored(blocks.unionByName(poor).select("j_key", "j_node", "j_n", "j_class", "j_least"))
-    forget(index, combined, asked)
-
-    # Holders of a combination gather around the one whose combinations are held most: the most typical of its family.
-    weight = _shared(keys.select("j_key", "j_node")).groupBy("j_node").agg(F.sum("j_held").alias("j_weight"))
-    keys = stored(keys.join(weight, "j_node"))
-    hubs = keys.groupBy("j_key").agg(F.max(F.struct("j_weight", "j_node", "j_n")).alias("hub")).select("j_key", F.col("hub.j_node").alias("j_hub"), F.col("hub.j_n").alias("j_hub_n"))
-    near = keys.join(hubs, "j_key").filter(_alike(F.col("j_n"), F.col("j_hub_n"), percent)).groupBy("j_node", "j_hub").agg(F.count("*").alias("j_keys"))
-    homes = stored(near.groupBy("j_node").agg(F.max_by("j_hub", F.struct("j_keys", "j_hub")).alias("j_home")))
-    family = stored(compare(homes.filter("j_node <> j_home").select(F.col("j_home").alias("a"), F.col("j_node").alias("b")), texts, width, percent))
-    known = pairs.withColumn("j_best", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("j_keys"), "a"))).filter(F.col("j_best") <= partners).select("a", "b")
-    tried = stored(known.join(family.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = stored(ordered(family.filter("linked")).unionByName(verify(tried, texts, width, percent)).distinct())
+    texts = base.select("j_row", "j_text").join(F.broadcast(asked) if small else asked, "j_row")
+    texts = stored(texts.groupBy("j_node").agg(F.first("j_text").alias("j_text"), F.first("often").alias("often")))
+
+    combined = stored(texts.filter("often").mapInArrow(_combined(width, percent), "j_node long, j_n long, j_class int, j_least int, j_keys array<long>"))
+    texts_of = texts.select("j_node", "j_text")
+    members = memberships(combined, many)
+    family = stored(compare(members, texts_of, width, percent, differences=True))
+    known = _ordered(family)
+    best = Window.partitionBy("b").orderBy(F.desc("j_keys"), "a")
+    tried = pairs.withColumn("best", F.row_number().over(best)).filter(F.col("best") <= partners).select("a", "b")
+    tried = stored(tried.join(known, ["a", "b"], "left_anti"))
+    links = stored(_ordered(family.filter("linked")).unionByName(compare(tried, texts_of, width, percent, differences=False).filter("linked").select("a", "b")).distinct())
     roots = stored(components(links).withColumnRenamed("node", "j_node"))
 
-    within = _within(family, roots, percent)
-
-    # candidates of different families that are still apart
-    placed = keys.join(roots, "j_node", "left").join(homes, "j_node", "left").select("j_key", "j_node", "j_n", "j_class", "j_least", F.coalesce("root", "j_node").alias("j_root"), F.coalesce("j_home", "j_node").alias("j_home"))
-    placed = stored(placed)
-    mixed = placed.groupBy("j_key").agg(F.min("j_root").alias("low"), F.max("j_root").alias("high"), F.min("j_home").alias("one"), F.max("j_home").alias("other")).filter("low < high and one < other").select("j_key")
-    mixed = placed.join(mixed, "j_key")
-    left, right = (mixed.select("j_key", "j_class", *(F.col(f"j_{c}").alias(f"{x}_{c}") for c in ("node", "n", "root", "home", "least"))) for x in ("a", "b"))
-    apart = left.join(right, ["j_key", "j_class"]).filter((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & (F.col("a_home") != F.col("b_home")) & _alike(F.col("a_n"), F.col("b_n"), percent))
-    agreed = apart.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "j_class").agg(F.count("*").alias("j_same"), F.max(F.greatest("a_least", "b_least")).alias("j_least"))
-    apart = agreed.filter("j_same >= j_least").select("a", "b")
+    # what is still apart: members of a family, and other candidates by rare tokens
+    more = within_families(family, roots, percent)
+    left = pairs.select("a", "b")
     for x in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("j_node").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
-    pairs = pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    done = tried.unionByName(ordered(family))
-    apart = stored(apart.unionByName(pairs).distinct().join(done, ["a", "b"], "left_anti"))
-    links = stored(links.unionByName(within).unionByName(verify(apart, texts, width, percent)).distinct())
-    forget(keys, homes, family, placed, texts, tried, apart)
-
-    out = named.join(components(links).withColumnRenamed("node", "j_node"), "j_node", "left")
-    found = F.coalesce("root", "j_node")
-    return out.select(F.col("j_id").alias(id_col), F.col("j_n").alias("n_shingles"), F.when(found < NAMELESS, found).alias("component_id"))
-
-
-def _with_set(width: int):
-    """(j_id, j_text) to (j_set, j_text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            sets = [xxhash.xxh3_128_digest(tokens(text, width).tobytes()) for text in batch.column("j_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), batch.column("j_text")], ["j_set", "j_text"])
-
-    return run
+        left = left.join(roots.select(F.col("j_node").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
+    left = left.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    left = stored(left.join(known.unionByName(tried), ["a", "b"], "left_anti"))
+    more = stored(more.unionByName(compare(left, texts_of, width, percent, differences=False).filter("linked").select("a", "b")).distinct())
+    joined = components(links.unionByName(more)).withColumnRenamed("node", "j_node")
+    forget(nodes, index, pairs, asked, texts, combined, members, family, tried, left)
+
+    named = feats.select("j_id", "j_n", "j_node").join(joined, "j_node", "left")
+    named = stored(named.select("j_id", "j_n", F.coalesce("root", "j_node").alias("root")))
+    smallest = named.filter("root is not null").groupBy("root").agg(F.min("j_id").alias("smallest"))
+    forget(feats)
+    out = named.join(smallest, "root", "left")
+    return out.select(F.col("j_id").alias(id_col), F.col("j_n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("j_id")).otherwise(F.col("smallest")).alias("component_id"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

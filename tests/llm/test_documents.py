@@ -136,6 +136,31 @@ def test_ngram_join(spark, rare):
     assert got == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_ngram_join_of_large_families(spark, width, percent):
+    """Hundreds of near copies around centres that are themselves alike, edited near the limit, and shared passages."""
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    edited = lambda words, n: [r.choice(vocab) if i in at else w for i, w in enumerate(words)] if (at := set(r.sample(range(len(words)), n))) or True else words
+    first, passage = [r.choice(vocab) for _ in range(140)], [r.choice(vocab) for _ in range(60)]
+    centres = [first, edited(first, 4), edited(first, 6), [r.choice(vocab) for _ in range(40)]]
+    rows = [(len(centres) * i + k, " ".join(edited(c, r.choice([0, 1, 1, 2, 3, 4, 5, 7, 10]))[: r.randrange(len(c) - 4, len(c) + 1)])) for k, c in enumerate(centres) for i in range(110)]
+    rows += [(10_000 + i, " ".join([r.choice(vocab) for _ in range(r.choice([3, 8, 30, 60]))] + passage)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df, width=width, percent=percent, rare=4).collect()}
+    want = brute_components(rows, width, percent)
+    assert got == want and 20 < len({c for _, c in want.values()}) < 500
+
+
+def test_ngram_join_ids(spark):
+    """Ids of any type; rows of one id are judged by their own texts, rows without an id take part."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", text), (None, text + " more"), ("a", "quite another text of seven words"), ("a", text), (None, "alone with five words here"), (None, None), ("e", " ")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df).collect()), key=str)
+    assert got == sorted([("b", 37, "a"), (None, 38, "a"), ("a", 3, "a"), ("a", 37, "a"), (None, 2, None), (None, 0, None), ("e", 0, "e")], key=str)
+
+
 def test_ngram_join_awkward(awkward, nothing):
     got = ngram_join.jaccard_components(awkward).collect()
     assert len(got) == awkward.count() and {x.component_id for x in got if x.doc_id == 3} == {3}
