@@ -1,9 +1,10 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each document gets the rate that is closest to 1 in word-weighted relative entropy while every source's words meet its
-target: an exponential tilt exp(lambda) with one multiplier per source. Newton's method on the convex dual finds all
-multipliers at once, each source's on its own row. Rates are then rounded into copies, so that the words taken from a
-source stay near its target.
+Documents get the rates r that are closest to 1 in relative entropy, sum(r log r - r), while the words of every source meet
+its target. The solution is an exponential tilt, r = exp(lambda * size) with one multiplier per source, cut at the most
+that a document may be repeated. The convex dual in all multipliers is solved by Newton's method: each step sums the
+gradient and the curvature of every source over its documents, in one grouped aggregation, until all targets are met.
+Rates are then rounded into copies, so that the words taken from a source stay near its target.
 """
 
 from __future__ import annotations
@@ -12,15 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.llm.common import stored, table, text_of, words_of
+from courtside.llm.common import forget, stored, table, text_of, words_of
 
 WEIGHTS = (5, 2, 1)
 #: A target and a document's copies stop at so many times the source's, or the document's, size.
 MOST = 3
-NEWTON_STEPS = 60
+#: Newton's method ends when all sources' words are within this share of their targets, and a tenth of a word.
+TOLERANCE = 1e-9
+#: Words are summed in whole units of this share, so that sums are exact and reruns agree.
+UNIT = 2.0**-20
 #: A document above this share of its source's words is rounded on its own; a source has fewer than 1 / share of them.
 HEAVY = 0.01
-#: Rows of a source that are ranked together; a larger source is dealt to more groups.
+#: Rows of a source that are sorted together; a larger source is dealt to more groups. It only bounds a task's sort. The
+#: more groups there are, the more of their rounding errors, each at most a light document, cancel out.
 GROUP_ROWS = 2_000
 
 
@@ -60,54 +65,90 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return per.withColumn("target", F.least(F.lit(level) * F.col("m_weight"), top.cast("double"))).drop("m_weight", "m_source")
 
 
-def balanced_rate(size: Column, target: Column, most: float = MOST, steps: int = NEWTON_STEPS) -> Column:
-    """exp(lambda) where lambda solves size * exp(lambda) = target, by Newton steps on the dual; at most ``most``."""
-    multiplier = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda x, _: x + target / (size * F.exp(x)) - 1)
-    rate = F.least(F.exp(multiplier), F.lit(float(most)))
-    near = F.round(rate)
-    return F.when((size <= 0) | (target <= 0), 0.0).when(F.abs(rate - near) < 1e-9, near).otherwise(rate)
+def rate_of(size: Column, tilt: Column, full: Column, most: float = MOST) -> Column:
+    """A document's rate: exp(tilt * size), ``most`` at the most or if all of its source is taken that often; 1 without words."""
+    return F.when(size <= 0, 1.0).when(full, float(most)).otherwise(F.least(F.lit(float(most)), F.exp(F.least(tilt * size, F.lit(700.0)))))
 
 
-def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+def tilts(sized: DataFrame, per: DataFrame, most: float = MOST) -> DataFrame:
+    """Adds m_tilt and m_full to the rows of ``per``: the dual's solution, by Newton steps over the documents.
+
+    Documents of one size share their rate, so the sums run over the (source, size) counts. A step that leaves the
+    interval in which a source's multiplier is known to lie is replaced by its middle, or doubled while it has one end only.
+    """
+    counts = stored(sized.filter("m_size > 0").groupBy("m_key", "m_size").agg(F.count("*").alias("n")))
+    mean = F.greatest(F.col("source_size"), F.lit(1)) / F.greatest(F.col("m_docs"), F.lit(1))
+    full, none = F.col("target") >= most * F.col("source_size") * (1 - 1e-12), F.lit(None).cast("double")
+    at = stored(per.select("m_key", "target", mean.alias("mean"), F.lit(0.0).alias("tilt"), none.alias("low"), none.alias("high"), (full | (F.col("source_size") <= 0)).alias("done"), full.alias("m_full")))
+    while True:
+        rate = rate_of(F.col("m_size"), F.col("tilt") / F.col("mean"), F.lit(False), most)
+        words = lambda x: F.sum(F.round(x / UNIT).cast("decimal(38,0)")).cast("double") * UNIT
+        sums = counts.join(at.filter("not done"), "m_key").groupBy("m_key").agg(
+            words(F.col("n") * F.col("m_size") * rate).alias("taken"),
+            words(F.when(rate < most, F.col("n") * F.col("m_size") * rate * F.col("m_size") / F.col("mean")).otherwise(0.0)).alias("slope"),
+        )
+        step = at.join(sums, "m_key", "left").withColumn("gap", F.col("taken") - F.col("target"))
+        step = step.withColumns({"low": F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("high"))})
+        newton = F.col("tilt") - F.try_divide("gap", "slope")
+        inside = newton.isNotNull() & (newton > F.coalesce("low", F.lit(float("-inf")))) & (newton < F.coalesce("high", F.lit(float("inf"))))
+        middle = F.coalesce((F.col("low") + F.col("high")) / 2, F.col("low") + F.greatest(F.lit(1.0), F.abs("low")), F.col("high") - F.greatest(F.lit(1.0), F.abs("high")))
+        moved = F.when(inside, newton).otherwise(middle)
+        done = F.col("done") | (F.abs("gap") <= TOLERANCE * F.col("target") + 0.1) | (F.abs(moved - F.col("tilt")) <= 1e-15 * F.abs("tilt"))
+        last, at = at, stored(step.select("m_key", "target", "mean", F.when(done, F.col("tilt")).otherwise(moved).alias("tilt"), "low", "high", done.alias("done"), "m_full"))
+        forget(last)
+        if not at.filter("not done").limit(1).count():
+            break
+    return per.join(at.select("m_key", (F.col("tilt") / F.col("mean")).alias("m_tilt"), "m_full"), "m_key")
+
+
+def copies(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST,
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
     """One row per input row: id, m_key, size, source_size, target, rate, copies.
 
     A source's few heavy documents are rounded one after another, largest first, each making up for what the ones
-    before it took too much or too little. All others share what is left, and are rounded at even steps along their
-    sizes. So a source's words differ from its target by little more than half its largest light document.
+    before it took too much or too little. All others share what is left. They are rounded in the order of their sizes: one
+    gets a further copy where the sum of the rates' fractions passes a whole number. So a source's words differ from its
+    target by little more than half its largest light document.
 
-    Null text has size 0 and gets no copy beyond its rate; a null source is a source of its own, the last one. Repeated
+    Null text has size 0 and is taken once, which adds no words; a null source is a source of its own, the last one. Repeated
     rows and null ids get one result row each. If there are no words, all targets are 0. An empty table gives an empty
     result. Other columns of the input are not read.
     """
     sized = stored(sizes(docs, id_col, text_col, source_col))
-    per = targets(sized, weights, most).withColumn("rate", balanced_rate(F.col("source_size"), F.col("target"), most))
-    per = stored(per.withColumn("m_groups", F.ceil(F.col("m_docs") / GROUP_ROWS)).select("m_key", "source_size", "target", "rate", "m_groups"))
-    joined = sized.drop("m_source").join(per, "m_key")
+    per = tilts(sized, stored(targets(sized, weights, most)), most)
+    per = stored(per.withColumn("m_groups", F.ceil(F.col("m_docs") / group_rows)).select("m_key", "source_size", "target", "m_tilt", "m_full", "m_groups"))
+    rate = F.round(rate_of(F.col("m_size"), F.col("m_tilt"), F.col("m_full"), most), 12)
+    joined = sized.drop("m_source").join(per, "m_key").withColumn("rate", rate).drop("m_tilt", "m_full")
     heavy = F.col("m_size") > HEAVY * F.col("source_size")
 
-    # fewer than 1 / HEAVY documents of each source: (size, id) and, by the same place, their copies
-    bulk = joined.filter(heavy).groupBy("m_key").agg(F.first("rate").alias("rate"), F.sort_array(F.collect_list(F.struct("m_size", "m_id")), asc=False).alias("m_bulk"))
-    low = F.floor(F.col("rate")).cast("double")
+    # fewer than 1 / HEAVY documents of each source: (size, id, rate) and, by the same place, their copies
+    bulk = joined.filter(heavy).groupBy("m_key").agg(F.sort_array(F.collect_list(F.struct("m_size", "m_id", "rate")), asc=False).alias("m_bulk"))
     start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<double>").alias("copies"))
 
     def take(state: Column, doc: Column) -> Column:
-        owed = state["owed"] + F.col("rate") * doc["m_size"] - low * doc["m_size"]
-        more = F.when((F.col("rate") > low) & (owed * 2 >= doc["m_size"]), 1.0).otherwise(0.0)
+        low = F.floor(doc["rate"]).cast("double")
+        owed = state["owed"] + (doc["rate"] - low) * doc["m_size"]
+        more = F.when((doc["rate"] > low) & (owed * 2 >= doc["m_size"]), 1.0).otherwise(0.0)
         return F.struct((owed - more * doc["m_size"]).alias("owed"), F.concat(state["copies"], F.array(low + more)).alias("copies"))
 
     bulk = bulk.withColumn("m_done", F.aggregate("m_bulk", start, take))
     bulk = stored(bulk.select("m_key", F.col("m_done.owed").alias("m_owed"), F.arrays_zip("m_bulk", "m_done.copies").alias("m_each"), F.aggregate("m_bulk", F.lit(0).cast("long"), lambda s, d: s + d["m_size"]).alias("m_words")))
-    one = bulk.select("m_key", F.explode("m_each").alias("e")).select("m_key", F.col("e.m_bulk.m_id").alias("m_id"), F.col("e.m_bulk.m_size").alias("m_size"), F.col("e.copies").cast("long").alias("copies"))
+    one = bulk.select("m_key", F.explode("m_each").alias("e")).select("m_key", F.col("e.m_bulk.m_id").alias("m_id"), F.col("e.m_bulk.m_size").alias("m_size"), F.col("e.m_bulk.rate").alias("rate"), F.col("e.copies").cast("long").alias("copies"))
     one = one.join(per, "m_key").select("m_id", "m_key", "m_size", "source_size", "target", "rate", "copies")
 
     light = joined.filter(~heavy).join(bulk.select("m_key", "m_owed", "m_words"), "m_key", "left")
     rest = F.col("source_size") - F.coalesce("m_words", F.lit(0))
     own = F.when(rest > 0, F.least(F.greatest(F.col("rate") + F.coalesce("m_owed", F.lit(0.0)) / rest, F.lit(0.0)), F.lit(float(most)))).otherwise(0.0)
     light = light.withColumns({"m_rate": own, "m_group": F.pmod(F.xxhash64("m_id", "m_size"), F.col("m_groups"))})
-    place = F.row_number().over(Window.partitionBy("m_key", "m_group").orderBy("m_size", "m_id"))
-    # the groups of a large source start at different phases
-    step = lambda k: F.floor(k * (F.col("m_rate") - F.floor("m_rate")) + (F.col("m_group") + 0.5) / F.col("m_groups"))
-    light = light.withColumn("m_place", place).withColumn("copies", (F.floor("m_rate") + step(F.col("m_place")) - step(F.col("m_place") - 1)).cast("long"))
+    # whole parts of 2**-40, so that the order of summing doesn't matter; groups of a large source start at different phases
+    part = F.round((F.col("m_rate") - F.floor("m_rate")) * 2.0**40).cast("decimal(38,0)")
+    upto = F.sum("m_part").over(Window.partitionBy("m_key", "m_group").orderBy("m_size", "m_id").rowsBetween(Window.unboundedPreceding, 0))
+    phase = (F.col("m_group") + 0.5) / F.col("m_groups")
+    light = light.withColumn("m_part", part).withColumn("m_upto", upto)
+    passed = lambda x: F.floor(x.cast("double") / 2.0**40 + phase)
+    light = light.withColumn("copies", (F.floor("m_rate") + passed(F.col("m_upto")) - passed(F.col("m_upto") - F.col("m_part"))).cast("long"))
     both = one.unionByName(light.select("m_id", "m_key", "m_size", "source_size", "target", "rate", "copies"))
     return both.select(F.col("m_id").alias(id_col), "m_key", F.col("m_size").alias("size"), "source_size", "target", "rate", "copies")
 

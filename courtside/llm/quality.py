@@ -2,7 +2,7 @@
 
 Each text gets exact rule counts, a histogram of character classes and one of common words. Both histograms are
 compared with the reference of the text's language by the Jensen-Shannon distance. The references are sums over all
-documents of a language, so they grow with the corpus but stay one row per known language.
+documents of a language that the base rules keep, so junk doesn't shift them; they are one row per known language.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def histograms(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
 
 
 def references(hist: DataFrame) -> DataFrame:
-    """One row per known language, and one for all others: summed histograms of all documents."""
+    """One row per known language, and one for all others: summed histograms of all rows."""
     n, m = len(CLASSES), len(COMMON_WORDS["en"]) + 1
     sums = [F.sum(F.col("q_classes")[i]).alias(f"c{i}") for i in range(n)] + [F.sum(F.col("q_common")[i]).alias(f"w{i}") for i in range(m)]
     return hist.groupBy("q_lang").agg(*sums).select(F.col("q_lang").alias("r_lang"), F.array(*(f"c{i}" for i in range(n))).alias("r_classes"), F.array(*(f"w{i}" for i in range(m))).alias("r_common"))
@@ -100,7 +100,8 @@ def rule_counts(hist: DataFrame) -> DataFrame:
 
     A 3-word window is compared by a hash of its words. Only a text in which two windows share a 64-bit hash is looked
     at further: sorting (hash, position) puts equal windows side by side, so its work is n log n and stays in its row;
-    neighbours count only if their words are equal.
+    neighbours count only if their words are equal. Where neighbours have equal leading bits of the hash but other words,
+    and in texts of more than 2**20 windows, the order is that of (hash, words, position), which nothing can interleave.
     """
     words, mask = F.col("q_words"), (1 << POSITION_BITS) - 1
     lines = F.filter(F.split("q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -111,13 +112,15 @@ def rule_counts(hist: DataFrame) -> DataFrame:
     windows = F.when(F.size(words) >= 4, F.transform(F.slice(words, 1, F.size(words) - 2), lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2)))).otherwise(none)
     out = out.withColumn("q_windows", windows)
     out = out.withColumn("q_repeats", F.size(F.array_distinct("q_windows")) < F.size("q_windows"))
-    short = F.size("q_windows") <= mask + 1
     packed = F.sort_array(F.transform("q_windows", lambda h, i: h.bitwiseAND(~mask).bitwiseOR(i.cast("long"))))
-    pairs = F.array_sort(F.transform("q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    order = F.when(short, F.transform(packed, lambda x: x.bitwiseAND(mask).cast("int"))).otherwise(F.transform(pairs, lambda x: x["i"]))
-    out = out.withColumn("q_order", F.when(F.col("q_repeats"), order))
-    place = lambda k: F.get("q_order", k)
+    out = out.withColumn("q_packed", F.when(F.col("q_repeats") & (F.size("q_windows") <= mask + 1), F.transform(packed, lambda x: x.bitwiseAND(mask).cast("int"))))
     same = lambda i, j: (F.get("q_windows", i) == F.get("q_windows", j)) & (word(i) == word(j)) & (word(i + 1) == word(j + 1)) & (word(i + 2) == word(j + 2))
+    lead = lambda i: F.get("q_windows", i).bitwiseAND(~mask)
+    clash = lambda i, j: F.coalesce((lead(i) == lead(j)) & ~same(i, j), F.lit(False))
+    clashes = F.exists(F.transform("q_packed", lambda i, k: clash(i, F.get("q_packed", k + 1))), lambda x: x)
+    exact = F.transform(F.array_sort(F.transform("q_windows", lambda h, i: F.struct(h.alias("h"), word(i).alias("a"), word(i + 1).alias("b"), word(i + 2).alias("c"), i.alias("i")))), lambda x: x["i"])
+    out = out.withColumn("q_order", F.when(F.col("q_packed").isNotNull() & ~clashes, F.col("q_packed")).when(F.col("q_repeats"), exact))
+    place = lambda k: F.get("q_order", k)
     found = F.filter("q_order", lambda i, k: F.coalesce(same(i, place(k + 1)), F.lit(False)) | F.when(k > 0, same(i, place(k - 1))).otherwise(False))
     out = out.withColumn("q_found", found)
     covered = F.size(F.array_distinct(F.flatten(F.transform("q_found", lambda i: F.array(i, i + 1, i + 2)))))
@@ -133,16 +136,17 @@ def quality_rules(
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of the words stand in repeated 3-word
     windows. kept: the base rules hold, and no distance is above its limit. Distances are held against their limits
     from ``min_divergence_words`` words on. Unknown and null languages share one reference and have no word distance.
+    Without any document of a language that the base rules keep, its distances are null.
 
     Null or empty text: all counts 0, base_failed, not kept, null distances. Repeated rows and null ids pass through,
     one result row each. An empty table gives an empty result. Other columns of the input are not read.
     """
     counted = rule_counts(histograms(docs, id_col, text_col, lang_col))
     counted = stored(counted.select("q_id", "q_lang", "q_word_chars", "q_symbol", "q_classes", "q_common", "n_words", "n_dup_lines", "n_repeat_words"))  # numbers only; two readers
-    reference = references(counted)  # at most one row per known language, and one more
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    reference = references(counted.filter(~failed))  # at most one row per known language, and one more
     out = counted.join(F.broadcast(reference), F.col("q_lang") == F.col("r_lang"), "left")
     out = out.withColumns({"class_distance": js_distance(F.col("q_classes"), F.col("r_classes")), "word_distance": F.when(F.col("q_lang") != "", js_distance(F.col("q_common"), F.col("r_common")))})
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     apart = (F.col("n_words") >= min_divergence_words) & ((F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance))
     return out.select(
         F.col("q_id").alias(id_col), "n_words", F.col("q_word_chars").alias("word_chars"), F.col("q_symbol").cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
@@ -175,12 +179,12 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
  y AS (SELECT *, [word_chars - length(rest), up, digit, length(text) - word_chars, symbol, length(rest) - up - digit - symbol - wide, wide] AS classes,
    list_transform(coalesce({common}, ['', '', '', '', '', '', '', '', '', '', '', '']), lambda c: CASE WHEN c = '' THEN 0 ELSE len(list_filter(hits, lambda v: v = c)) END) AS c0 FROM x),
  z AS (SELECT *, list_concat(c0, [len(words) - list_sum(c0)]) AS common FROM y),
- ref AS (SELECT lang, [{", ".join(f"sum(classes[{i}])" for i in range(1, n + 1))}] AS rc, [{", ".join(f"sum(common[{i}])" for i in range(1, m + 1))}] AS rw FROM z GROUP BY lang),
  tri AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
  dup AS (SELECT r, i FROM tri JOIN (SELECT r, g FROM tri GROUP BY r, g HAVING count(*) > 1) USING (r, g)),
  cov AS (SELECT r, count(DISTINCT i + k) AS n FROM dup, (VALUES (0), (1), (2)) AS o(k) GROUP BY r),
- f AS (SELECT z.*, coalesce(cov.n, 0) AS n_repeat, {distance("classes", "rc", n)} AS cd, CASE WHEN z.lang <> '' THEN {distance("common", "rw", m)} END AS wd FROM z JOIN ref USING (lang) LEFT JOIN cov USING (r)),
- g AS (SELECT *, len(words) < {MIN_WORDS} OR 100 * n_repeat > {MAX_REPEAT_PERCENT} * len(words) AS failed FROM f)
+ e AS (SELECT z.*, coalesce(cov.n, 0) AS n_repeat, len(words) < {MIN_WORDS} OR 100 * coalesce(cov.n, 0) > {MAX_REPEAT_PERCENT} * len(words) AS failed FROM z LEFT JOIN cov USING (r)),
+ ref AS (SELECT lang, [{", ".join(f"sum(classes[{i}])" for i in range(1, n + 1))}] AS rc, [{", ".join(f"sum(common[{i}])" for i in range(1, m + 1))}] AS rw FROM e WHERE NOT failed GROUP BY lang),
+ g AS (SELECT e.*, {distance("classes", "rc", n)} AS cd, CASE WHEN e.lang <> '' THEN {distance("common", "rw", m)} END AS wd FROM e LEFT JOIN ref USING (lang))
 SELECT doc_id, len(words)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, symbol::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words,
  failed AS base_failed, NOT failed AND NOT (len(words) >= {MIN_DIVERGENCE_WORDS} AND (coalesce(cd, 0) > {MAX_CLASS_DISTANCE} OR coalesce(wd, 0) > {MAX_WORD_DISTANCE})) AS kept,
  round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM g"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -28,10 +29,113 @@ def test_quality_counts(spark, awkward, nothing):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
         assert not (r.base_failed and r.kept)
-    assert quality.quality_rules(awkward).count() == awkward.count()
+    got = sorted(((r.doc_id, r.n_words, r.word_chars, r.base_failed, r.kept, r.class_distance) for r in quality.quality_rules(awkward).collect()), key=str)
+    assert [x[:5] for x in got] == sorted([(1, 0, 0, True, False), (2, 0, 0, True, False), (3, 1, 3, True, False), (3, 1, 3, True, False), (None, 60, 240, True, False), (4, 18000, 54000, True, False), (5, 0, 0, True, False), (6, 50, 150, True, False)], key=str)
+    assert all(x[5] is None for x in got)  # no document of any language passes the base rules
     assert quality.quality_rules(nothing).count() == 0
 
 
+def test_quality_distances(spark):
+    """Distances against a plain computation; below the minimum length they don't count."""
+    normal = ["the cat of the hill and a dog in that house is on the way with it " * 1 + " ".join(f"word{i}" for i in range(90 + k)) for k in range(30)]
+    odd = ["XQ!!9 " + " ".join(f"Q!{i}!7#" for i in range(100)), "XQ!!9 " + " ".join(f"Q!{i}!7#" for i in range(60))]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(normal + odd)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality_rules(df, max_word_distance=1.0).collect()}
+
+    def classes(t):
+        kind = lambda c: 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if c.isdigit() else 3 if c == " " else 4 if c in "#*$%&|<>" else 6 if ord(c) > 127 else 5
+        n = Counter(map(kind, t))
+        return [n[k] for k in range(7)]
+
+    total = [sum(c) for c in zip(*map(classes, normal + odd), strict=True)]
+    q = [x / sum(total) for x in total]
+    for i, t in enumerate(normal + odd):
+        p = [x / len(t) for x in classes(t)]
+        half = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x)
+        assert got[i].class_distance == pytest.approx(math.sqrt((half(p, q) + half(q, p)) / 2), abs=1e-6)
+    assert all(got[i].kept for i in range(30)) and not got[30].kept and got[31].kept  # 61 words are too few to compare
+
+
+def test_secrets_against_plain_scan(spark):
+    """Base spans against a scan by hand over random pieces."""
+    r = random.Random(5)
+    pieces = ["password", "Secret", "TOKEN", "api_key", "apikey", "passwd", "=", ":", " ", "  ", '"', "'", "AKIA", "A1B2C3", "Z" * 14, "0123456789abcdef", "ff", "x" * 11, "y" * 12, "\n", "é", "/", "-", "."]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(40))) for _ in range(400)]
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def runs(t, chars, least):
+        out, i = [], 0
+        while i < len(t):
+            j = i
+            while j < len(t) and t[j] in chars:
+                j += 1
+            if j - i >= least:
+                out.append((i, j))
+            i = max(j, i + 1)
+        return out
+
+    def assigned(t):
+        out, i = [], 0
+        while i < len(t):
+            end = None
+            for key in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+                if t[i : i + len(key)].lower() == key:
+                    j = i + len(key) + (t[i + len(key) : i + len(key) + 1] in ('"', "'"))
+                    while t[j : j + 1] == " ":
+                        j += 1
+                    if t[j : j + 1] in ("=", ":"):
+                        j += 1
+                        while t[j : j + 1] == " ":
+                            j += 1
+                        j += t[j : j + 1] in ('"', "'")
+                        k = j
+                        while k < len(t) and t[k] in value:
+                            k += 1
+                        if k > j:
+                            end = k
+                            if k - j >= 12:
+                                out.append((i, k))
+                    break
+            i = end or i + 1
+        return out
+
+    def access(t):
+        upper, out, i = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), [], 0
+        while (i := t.find("AKIA", i)) >= 0:
+            j = i + 4
+            while j < len(t) and t[j] in upper:
+                j += 1
+            out += [(i, j)] if j - i >= 18 else []
+            i = j
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in secret_scan.secret_spans(df, words=()).collect():
+        t = texts[x.doc_id]
+        spans = sorted([(a, 0, b) for a, b in assigned(t)] + [(a, 1, b) for a, b in access(t)] + [(a, 2, b) for a, b in runs(t, set("0123456789abcdef"), 16)])
+        assert x.base_sha256 == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest(), t
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(k == n for _, k, _ in spans) for n in range(3))
+
+
+def test_novelty_rates(spark):
+    """Near a sensitive word, random strings are reported and compounds of the corpus' words are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = secret_scan.common_words(docs)
+    assert 300 < len(words) <= secret_scan.SAMPLE_WORDS
+    texts, r = [x.text for x in docs.filter("length(text) > 1500").orderBy("doc_id").limit(150).collect()], random.Random(3)
+    rates = {}
+    for kind, make in {
+        "base64": lambda: base64.b64encode(r.randbytes(24)).decode(), "hex": lambda: r.randbytes(16).hex().upper(),
+        "hyphens": lambda: "-".join(r.choice(words) for _ in range(6)), "path": lambda: "/".join(r.choice(words) for _ in range(6)),
+    }.items():
+        found = 0
+        for t in texts:
+            at, planted = t.index(" ", r.randrange(1000)), make()
+            found += (at + 8, 3, at + 8 + len(planted)) in secret_scan.novel_spans(f"{t[:at]} secret {planted}{t[at:]}", [], words=words)
+        rates[kind] = found / len(texts)
+    assert min(rates["base64"], rates["hex"]) >= 0.95 and max(rates["hyphens"], rates["path"]) <= 0.05, rates
+
+
 def test_secrets(spark, awkward, nothing):
     secret = "wJalrXUtnFEMIK7MDENGbPxRfiCYzzQ9k2Vw8Lp0"
     texts = {1: f"my api_key: {secret} end", 2: "token=short", 3: "AKIA" + "A1" * 8 + " x", 4: "0123456789abcdef0", 5: f"auth bearer {secret} ok", 6: f"plain {secret}", 7: "Token = 'abcdefghijkl'"}
@@ -66,6 +170,15 @@ def test_mixing(spark, awkward, nothing):
         mine = [g for g in got if g.m_key == ("" if s is None else f"={s}")]
         assert mine[0].target == pytest.approx(target[s]) and all(0 <= g.copies <= 3 for g in mine)
         assert abs(sum(g.copies * g["size"] for g in mine) - target[s]) <= max(sizes[s])
+        low, high = -50.0, 50.0  # the dual's solution by bisection
+        for _ in range(200):
+            at = (low + high) / 2
+            low, high = (at, high) if sum(n * min(3, math.exp(min(at * n, 700))) for n in sizes[s]) < target[s] else (low, at)
+        for g in mine:
+            assert g.rate == pytest.approx(3.0 if target[s] >= 3 * whole[s] else min(3, math.exp(at * g["size"])), rel=1e-4)
+    grouped = mixing.copies(df, group_rows=20).collect()  # sources that are dealt to several groups
+    for s in whole:
+        assert abs(sum(g.copies * g["size"] for g in grouped if g.m_key == ("" if s is None else f"={s}")) - target[s]) <= 3 * max(sizes[s])
     assert mixing.copies(awkward).count() == awkward.count() and mixing.copies(nothing).count() == 0
 
 
