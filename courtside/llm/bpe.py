@@ -114,6 +114,23 @@ def _stitched(path: str, pattern: str):
     return run
 
 
+def _digested(path: str, pattern: str, *, encoded: bool):
+    """(b_id, ids) of encoded texts, or (b_id, b_text) of texts of one chunk, to (b_id, n_tokens, ids_sha256, decoded_sha256)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, pieces, tokens = codec(path, pattern)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for batch in batches:
+            if encoded:
+                all_ids = [x or b"" for x in batch.column("ids").to_pylist()]
+            else:
+                all_ids = [b"".join(map(pieces.__getitem__, split.findall(text))) for text in batch.column("b_text").to_pylist()]
+            columns = [batch.column("b_id"), pa.array([len(x) // 4 for x in all_ids], pa.int64()), pa.array(map(sha, all_ids), pa.string()), pa.array((sha(decode(x, tokens)) for x in all_ids), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["b_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
 def encode(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row per input row: id, ids (binary, unsigned 32-bit little-endian).
 
@@ -123,11 +140,21 @@ def encode(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id",
     empty table gives an empty result. Other columns of the input are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    short, long = _rows(docs, id_col, text_col, chunk)
+    short = short.mapInArrow(_whole(path, pattern), f"b_row long, b_id {kind}, ids binary").select("b_id", "ids")
+    return short.unionByName(_long(long, kind, path, pattern, chunk, overlap)).withColumnRenamed("b_id", id_col)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """b_row, b_id, b_text of the texts of one chunk, and of the longer ones."""
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), text_of(text_col)).alias("b_row"), F.col(id_col).alias("b_id"), text_of(text_col).alias("b_text"))
-    short = rows.filter(F.length("b_text") <= chunk).mapInArrow(_whole(path, pattern), f"b_row long, b_id {kind}, ids binary").select("b_id", "ids")
+    return rows.filter(F.length("b_text") <= chunk), rows.filter(F.length("b_text") > chunk)
+
 
+def _long(long: DataFrame, kind: str, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """b_id, ids of texts of several chunks."""
     # Equal rows are told apart by a number of their own, which travels with all their chunks.
-    long = rows.filter(F.length("b_text") > chunk).withColumn("b_row", F.monotonically_increasing_id())
+    long = long.withColumn("b_row", F.monotonically_increasing_id())
     count = F.greatest(F.ceil((F.length("b_text") - overlap) / chunk).cast("int"), F.lit(1))  # the last one alone reaches the end
     cut = long.withColumn("b_at", F.explode(F.sequence(F.lit(0), count - 1))).select(
         "b_row", "b_id", "b_at", (F.col("b_at") * chunk).cast("long").alias("b_start"), (F.length("b_text") <= (F.col("b_at") + 1) * chunk + overlap).alias("b_last"),
@@ -146,27 +173,30 @@ def encode(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id",
     again = again.select("b_row", "b_id", F.lit(0).alias("b_at"), F.lit(0).cast("long").alias("b_start"), "b_text", *(F.lit(None).cast(t).alias(c) for c, t in (("b_cuts", "array<long>"), ("b_from", "long"), ("b_to", "long"))))
     parts = good.unionByName(again).mapInArrow(_stitched(path, pattern), f"b_row long, b_id {kind}, b_at int, ids binary")
     joined = parts.groupBy("b_row").agg(F.first("b_id").alias("b_id"), F.array_sort(F.collect_list(F.struct("b_at", "ids"))).alias("parts"))
-    joined = joined.select("b_id", F.aggregate("parts", F.lit(b""), lambda s, x: F.concat(s, x["ids"])).alias("ids"))
-    return short.unionByName(joined).withColumnRenamed("b_id", id_col)
+    return joined.select("b_id", F.aggregate("parts", F.lit(b""), lambda s, x: F.concat(s, x["ids"])).alias("ids"))
+
+
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def digests(encoded: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 of encoded texts; null ids count as none."""
     kind = encoded.schema[id_col].dataType.simpleString()
+    rows = encoded.select(F.col(id_col).alias("b_id"), "ids")
+    return rows.mapInArrow(_digested(path, pattern, encoded=True), f"b_id {kind}, {_DIGESTS}").withColumnRenamed("b_id", id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, tokens = codec(path, pattern)
-        for batch in batches:
-            all_ids = [x or b"" for x in batch.column("ids").to_pylist()]
-            sha = lambda x: hashlib.sha256(x).hexdigest()
-            columns = [batch.column(id_col), pa.array([len(x) // 4 for x in all_ids], pa.int64()), pa.array(map(sha, all_ids), pa.string()), pa.array((sha(decode(x, tokens)) for x in all_ids), pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encode_digests(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``digests`` of ``encode``, without sending the ids from one Python worker to a second one."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    short, long = _rows(docs, id_col, text_col, chunk)
+    out = short.select("b_id", "b_text").mapInArrow(_digested(path, pattern, encoded=False), f"b_id {kind}, {_DIGESTS}")
+    long = _long(long, kind, path, pattern, chunk, overlap).mapInArrow(_digested(path, pattern, encoded=True), f"b_id {kind}, {_DIGESTS}")
+    return out.unionByName(long).withColumnRenamed("b_id", id_col)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     how = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    return digests(encode(table(spark, sf_dir, "documents"), **how), **how)
+    return encode_digests(table(spark, sf_dir, "documents"), **how)

@@ -209,6 +209,7 @@ def test_bpe(spark, awkward, nothing):
         assert [int.from_bytes(x.ids[i : i + 4], "little") for i in range(0, len(x.ids), 4)] == plain.encode_ordinary(texts[x.doc_id])
     for x in bpe.digests(got, **how).collect():
         assert x.decoded_sha256 == hashlib.sha256(texts[x.doc_id].encode()).hexdigest()
+    assert sorted(bpe.digests(got, **how).collect()) == sorted(bpe.encode_digests(df, **how, chunk=200, overlap=40).collect())
     assert bpe.encode(awkward, **how, chunk=50, overlap=10).count() == awkward.count() and bpe.encode(nothing, **how).count() == 0
 
 
