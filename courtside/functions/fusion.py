@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The live model's weight at the start and at the end, points of a set, and floors of a late match.
+#: The live model's weight at the start and at the end, points of a set; least progress once a side is one
+#: set away, and once that set's leading score is late.
 LIVE_START, LIVE_END, POINTS = 0.35, 0.85, 11
+ONE_SET_AWAY, LATE_SCORE, LATE = 0.6, 8, 0.85
 
 
 def progress(p1: Column, p2: Column, sets1: Column, sets2: Column, sets_to_win: Column) -> Column:
-    """0 to 1: sets decided and the current set's share; at least 0.6 when one set is left to either side, 0.85 to both."""
-    most, both = sets_to_win * 2 - 1, sets_to_win - 1
-    done = (sets1 + sets2 + F.least(F.lit(1.0), F.greatest(p1, p2) / POINTS)) / most
-    floor = F.when((sets1 == both) & (sets2 == both), 0.85).when((sets1 == both) | (sets2 == both), 0.6).otherwise(0.0)
-    return F.least(F.lit(1.0), F.greatest(done, floor))
+    """0 to 1: points played, those of decided sets included, of the points of a match that goes the distance.
+
+    Once the leader needs one more set, at least 0.6; with 8 points or more on the leading score as well, 0.85.
+    """
+    done = F.least(F.lit(1.0), ((sets1 + sets2) * POINTS + p1 + p2) / ((sets_to_win * 2 - 1) * float(POINTS)))
+    away = F.greatest(sets1, sets2) == sets_to_win - 1
+    floor = F.when(away & (F.greatest(p1, p2) >= LATE_SCORE), LATE).when(away, ONE_SET_AWAY).otherwise(0.0)
+    return F.greatest(done, floor)
 
 
 def live_weight(at: Column) -> Column:

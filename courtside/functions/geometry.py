@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: The table's size in metres, and how far around it a position still counts.
 TABLE_LENGTH, TABLE_WIDTH = 2.74, 1.525
 POSITION_MARGIN, CONTAINS_MARGIN = 3.0, 0.1
+#: Fixed value: lengths below this count as none in angles.
+SMALL = 1e-9
 
 
 def center(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
@@ -124,16 +126,16 @@ def shortest_side(quad: Sequence[Point]) -> Column:
 
 
 def joint_angle(a: Point, b: Point, c: Point) -> Column:
-    """Degrees at b between a and c; null for null points and arms of length zero."""
+    """Degrees at b between a and c; null for null points and where the arms' lengths multiply to less than SMALL."""
     ux, uy, vx, vy = a[0] - b[0], a[1] - b[1], c[0] - b[0], c[1] - b[1]
-    cosine = F.try_divide(ux * vx + uy * vy, F.hypot(ux, uy) * F.hypot(vx, vy))
-    return F.degrees(F.acos(clamp(cosine, -1.0, 1.0)))
+    size = F.hypot(ux, uy) * F.hypot(vx, vy)
+    return F.when(size >= SMALL, F.degrees(F.acos(clamp((ux * vx + uy * vy) / size, -1.0, 1.0))))
 
 
 def lean_angle(top: Point, bottom: Point) -> Column:
-    """Degrees of the line from bottom to top against the vertical, positive to the right; picture y points down."""
-    dx, dy = top[0] - bottom[0], bottom[1] - top[1]
-    return F.when((dx != 0) | (dy != 0), F.degrees(F.atan2(dx, dy)))
+    """Degrees of the line from top to bottom against the downward vertical, positive if the bottom is farther right."""
+    dx, dy = bottom[0] - top[0], bottom[1] - top[1]
+    return F.when((F.abs(dx) >= SMALL) | (F.abs(dy) >= SMALL), F.degrees(F.atan2(dx, dy)))
 
 
 def landmark(points: Column, at: int, least: float = 0.5) -> Point:
@@ -152,19 +154,38 @@ def midpoint(a: Point, b: Point) -> Point:
 SHOULDERS, ELBOWS, WRISTS, HIPS, KNEES, ANKLES = (11, 12), (13, 14), (15, 16), (23, 24), (25, 26), (27, 28)
 
 
+def full_frame(points: Column, crop_width: Column, x_offset: Column, width: Column) -> Column:
+    """Landmarks of a crop as landmarks of the whole picture: x in shares of its width; y and visibility stay."""
+    return F.transform(points, lambda p: F.struct(((p["x"] * crop_width + x_offset) / width).alias("x"), p["y"].alias("y"), p["visibility"].alias("visibility")))
+
+
 def pose_row(points: Column) -> dict[str, Column]:
-    """A pose's measures: visibility, trunk lean, elbows, knees (front is the one farther left), heights, stance."""
-    joint = {name: tuple(landmark(points, i) for i in at) for name, at in (("shoulder", SHOULDERS), ("elbow", ELBOWS), ("wrist", WRISTS), ("hip", HIPS), ("knee", KNEES), ("ankle", ANKLES))}
-    seen = F.transform(points, lambda p: p["visibility"])
+    """The measures of one pose that need no other frame; heights grow upwards, x and y are shares of the picture.
+
+    Both elbows and hands are measured whatever their visibility; everything else needs landmarks that are visible enough.
+    The dominant arm is the one that is seen better. The front leg is the one whose ankle is farther left; with one ankle
+    hidden it is the known leg, and there is no back leg.
+    """
+    parts = (("shoulder", SHOULDERS), ("elbow", ELBOWS), ("wrist", WRISTS), ("hip", HIPS), ("knee", KNEES), ("ankle", ANKLES))
+    joint = {name: tuple(landmark(points, i) for i in at) for name, at in parts}
+    raw = {name: tuple(landmark(points, i, float("-inf")) for i in at) for name, at in parts}
+    seen = {name: tuple(F.get(points, F.lit(i))["visibility"] for i in at) for name, at in parts}
+    summary = F.array(*(v for name in ("shoulder", "hip", "knee", "ankle", "wrist") for v in seen[name]))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
     shoulders, hips = midpoint(*joint["shoulder"]), midpoint(*joint["hip"])
-    elbow = [joint_angle(joint["shoulder"][i], joint["elbow"][i], joint["wrist"][i]) for i in (0, 1)]
+    arm = [(seen["shoulder"][i] + seen["elbow"][i] + seen["wrist"][i]) / 3 for i in (0, 1)]
+    left = arm[0] >= arm[1]
+    elbow = lambda of, i: joint_angle(of["shoulder"][i], of["elbow"][i], of["wrist"][i])
     knee = [joint_angle(joint["hip"][i], joint["knee"][i], joint["ankle"][i]) for i in (0, 1)]
-    left_first = F.coalesce(joint["ankle"][0][0] <= joint["ankle"][1][0], F.lit(True))
-    hands = [joint["wrist"][i][1] for i in (0, 1)]
+    ankles = [joint["ankle"][i][0] for i in (0, 1)]
+    body = F.filter(F.array(*(joint[name][i][1] for name in ("shoulder", "hip", "knee") for i in (0, 1))), lambda y: y.isNotNull())
     return {
-        "visibility_mean": F.aggregate(seen, F.lit(0.0), lambda s, v: s + v) / F.size(seen), "visibility_min": F.array_min(seen),
-        "angle_trunk_lean": lean_angle(shoulders, hips), "angle_elbow_left": elbow[0], "angle_elbow_right": elbow[1],
-        "angle_knee_front": F.when(left_first, F.coalesce(knee[0], knee[1])).otherwise(F.coalesce(knee[1], knee[0])),
-        "angle_knee_back": F.when(left_first, F.coalesce(knee[1], knee[0])).otherwise(F.coalesce(knee[0], knee[1])),
-        "com_height": midpoint(shoulders, hips)[1], "hand_height": F.least(*hands), "stance_length": F.abs(joint["ankle"][0][0] - joint["ankle"][1][0]),
+        "visibility_mean": total(summary) / 10, "visibility_min": F.array_min(summary), "visibility_left_arm": arm[0], "visibility_right_arm": arm[1],
+        "angle_trunk_lean": lean_angle(shoulders, hips),
+        "angle_elbow_dom": F.when(left, elbow(joint, 0)).otherwise(elbow(joint, 1)), "angle_elbow_left": elbow(raw, 0), "angle_elbow_right": elbow(raw, 1),
+        "angle_knee_front": F.when(ankles[0] <= ankles[1], knee[0]).when(ankles[0] > ankles[1], knee[1]).otherwise(F.coalesce(F.nullif(knee[0], F.lit(0.0)), knee[1])),
+        "angle_knee_back": F.when(ankles[0] <= ankles[1], knee[1]).when(ankles[0] > ankles[1], knee[0]),
+        "com_height": F.when(F.size(body) > 0, 1 - total(body) / F.greatest(F.size(body), F.lit(1))),
+        "hand_height": 1 - F.when(left, joint["wrist"][0][1]).otherwise(joint["wrist"][1][1]),
+        "hand_height_left": 1 - raw["wrist"][0][1], "hand_height_right": 1 - raw["wrist"][1][1], "stance_length": F.abs(ankles[0] - ankles[1]),
     }

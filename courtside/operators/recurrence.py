@@ -43,12 +43,12 @@ def scene_step(state: tuple[str, int], row: tuple[float, float], cut: float = CU
     """(scene, frames since the last look), (diff, table share) to (scene, is_cut, process).
 
     A large difference in gameplay is a cut; the frame after it is looked at, then each ``poll``-th. Seeing the table
-    returns to gameplay, which is reported as a cut.
+    returns to gameplay. ``is_cut`` is true in that frame only, where trackers start anew, not where gameplay ends.
     """
     scene, waited = state
     diff, seen = row
     if scene == "gameplay":
-        return (("cut", 0), ("cut", True, False)) if diff is not None and diff > cut else (state, ("gameplay", False, True))
+        return (("cut", 0), ("cut", False, False)) if diff is not None and diff > cut else (state, ("gameplay", False, True))
     waited += 1
     if scene == "cut" or waited >= poll:
         if seen is not None and seen >= share:

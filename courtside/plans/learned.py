@@ -32,7 +32,7 @@ SCENE = f"""WITH RECURSIVE {TR}, s AS (
  SELECT t.match_id, t.frame,
   CASE WHEN s.scene = 'gameplay' THEN CASE WHEN t.x > 30 THEN 'cut' ELSE 'gameplay' END WHEN s.scene = 'cut' OR s.waited + 1 >= 15 THEN CASE WHEN t.conf >= 0.04 THEN 'gameplay' ELSE 'other' END ELSE s.scene END,
   CASE WHEN s.scene = 'gameplay' OR s.scene = 'cut' OR s.waited + 1 >= 15 THEN 0 ELSE s.waited + 1 END,
-  CASE WHEN s.scene = 'gameplay' THEN t.x > 30 WHEN s.scene = 'cut' OR s.waited + 1 >= 15 THEN t.conf >= 0.04 ELSE false END,
+  CASE WHEN s.scene = 'gameplay' THEN false WHEN s.scene = 'cut' OR s.waited + 1 >= 15 THEN t.conf >= 0.04 ELSE false END,
   CASE WHEN s.scene = 'gameplay' THEN NOT t.x > 30 WHEN s.scene = 'cut' OR s.waited + 1 >= 15 THEN t.conf >= 0.04 ELSE false END
  FROM s JOIN tr t ON t.match_id = s.match_id AND t.frame = s.frame + 1)
 SELECT match_id, frame, scene, is_cut, process FROM s WHERE frame > 0"""
@@ -76,10 +76,10 @@ SELECT match_id, frame, p1 AS p1_score, p2 AS p2_score, s1 AS p1_sets, s2 AS p2_
 
 
 def elo(spark: SparkSession, d: str) -> DataFrame:
-    """Ratings of the match history, one pool per side's nation: the suppliers of a nation play against numbered guests."""
+    """Ratings of the match history, one pool per nation: its suppliers play against its own numbered guests only."""
     _workers(spark)
     m = history(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("pool")), "a")
-    m = m.select("pool", "l_orderkey", "l_linenumber", "day", F.col("a").cast("string").alias("a"), F.concat(F.lit("guest "), F.col("b").cast("string")).alias("b"), "a_won")
+    m = m.select("pool", "l_orderkey", "l_linenumber", "day", F.col("a").cast("string").alias("a"), F.concat_ws(" ", F.lit("guest"), F.col("pool").cast("string"), F.col("b").cast("string")).alias("b"), "a_won")
     out = rt.elo(m, "pool", "a", "b", "a_won", ["day", "l_orderkey", "l_linenumber"])
     return out.select("pool", "l_orderkey", "l_linenumber", *(r6(F.col(c), c) for c in ("elo_a", "elo_b", "elo_a_after", "elo_b_after")))
 

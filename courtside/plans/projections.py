@@ -138,15 +138,16 @@ def angles(spark: SparkSession, d: str) -> DataFrame:
     return _corners(spark, d).select("vec_id", r6(geo.joint_angle(p[0], p[1], p[2]), "joint"), r6(geo.lean_angle(p[0], p[3]), "lean"))
 
 
-ANGLES_SQL = f"""WITH p AS (SELECT vec_id, {_P} AS q FROM embeddings), v AS (SELECT vec_id, q[1].x - q[2].x AS ux, q[1].y - q[2].y AS uy, q[3].x - q[2].x AS vx, q[3].y - q[2].y AS vy, q[1].x - q[4].x AS dx, q[4].y - q[1].y AS dy FROM p)
-SELECT vec_id, round(degrees(acos(least(greatest((ux * vx + uy * vy) / (sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy)), -1), 1))), 6) AS joint, round(degrees(atan2(dx, dy)), 6) AS lean FROM v"""
+ANGLES_SQL = f"""WITH p AS (SELECT vec_id, {_P} AS q FROM embeddings), v AS (SELECT vec_id, q[1].x - q[2].x AS ux, q[1].y - q[2].y AS uy, q[3].x - q[2].x AS vx, q[3].y - q[2].y AS vy, q[4].x - q[1].x AS dx, q[4].y - q[1].y AS dy FROM p)
+SELECT vec_id, CASE WHEN sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy) >= 1e-9 THEN round(degrees(acos(least(greatest((ux * vx + uy * vy) / (sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy)), -1), 1))), 6) END AS joint, CASE WHEN abs(dx) >= 1e-9 OR abs(dy) >= 1e-9 THEN round(degrees(atan2(dx, dy)), 6) END AS lean FROM v"""
 
 
 def _landmarks(spark: SparkSession, d: str) -> DataFrame:
+    """Landmarks of a crop that is half as wide as the picture, on its left for even ids and on its right for odd ones."""
     e = F.col("embedding")
     at = lambda i: e[i % 64].cast("double")
     points = F.array(*(F.struct(at(i).alias("x"), at(i + 31).alias("y"), (F.abs(at(i + 7)) * 4).alias("visibility")) for i in range(33)))
-    return table(spark, d, "embeddings").select("vec_id", points.alias("points"))
+    return table(spark, d, "embeddings").select("vec_id", geo.full_frame(points, F.lit(640), F.col("vec_id") % 2 * 640, F.lit(1280)).alias("points"))
 
 
 def pose_row(spark: SparkSession, d: str) -> DataFrame:
@@ -156,21 +157,25 @@ def pose_row(spark: SparkSession, d: str) -> DataFrame:
 def _pose_sql() -> str:
     at = lambda i: f"embedding[{i % 64 + 1}]::DOUBLE"
     used = (11, 12, 13, 14, 15, 16, 23, 24, 25, 26, 27, 28)
-    cols = ", ".join(f"CASE WHEN abs({at(i + 7)}) * 4 >= 0.5 THEN {at(i)} END AS x{i}, CASE WHEN abs({at(i + 7)}) * 4 >= 0.5 THEN {at(i + 31)} END AS y{i}" for i in used)
-    vis = ", ".join(f"abs({at(i + 7)}) * 4" for i in range(33))
-    mid = lambda c, a, b: f"coalesce(({c}{a} + {c}{b}) / 2, {c}{a}, {c}{b})"
-
-    def angle(a: int, b: int, c: int) -> str:
-        dot = f"((x{a} - x{b}) * (x{c} - x{b}) + (y{a} - y{b}) * (y{c} - y{b}))"
-        size = f"(sqrt((x{a} - x{b}) ** 2 + (y{a} - y{b}) ** 2) * sqrt((x{c} - x{b}) ** 2 + (y{c} - y{b}) ** 2))"
-        return f"(CASE WHEN {dot} IS NOT NULL THEN degrees(acos(least(greatest({dot} / {size}, -1), 1))) END)"
-
-    lk, rk = angle(23, 25, 27), angle(24, 26, 28)
-    return f"""WITH j AS (SELECT vec_id, [{vis}] AS v, {cols} FROM embeddings),
- k AS (SELECT *, {mid("x", 11, 12)} AS sx, {mid("y", 11, 12)} AS sy, {mid("x", 23, 24)} AS hx, {mid("y", 23, 24)} AS hy, {angle(11, 13, 15)} AS el, {angle(12, 14, 16)} AS er, {lk} AS kl, {rk} AS kr, coalesce(x27 <= x28, true) AS lf FROM j)
-SELECT vec_id, round(list_sum(v) / 33, 6) AS visibility_mean, round(list_min(v), 6) AS visibility_min, round(CASE WHEN sx - hx <> 0 OR hy - sy <> 0 THEN degrees(atan2(sx - hx, hy - sy)) END, 6) AS angle_trunk_lean,
- round(el, 6) AS angle_elbow_left, round(er, 6) AS angle_elbow_right, round(CASE WHEN lf THEN coalesce(kl, kr) ELSE coalesce(kr, kl) END, 6) AS angle_knee_front, round(CASE WHEN lf THEN coalesce(kr, kl) ELSE coalesce(kl, kr) END, 6) AS angle_knee_back,
- round(coalesce((sy + hy) / 2, sy, hy), 6) AS com_height, round(least(y15, y16), 6) AS hand_height, round(abs(x27 - x28), 6) AS stance_length FROM k"""
+    cols = ", ".join(f"abs({at(i + 7)}) * 4 AS v{i}, ({at(i)} * 640 + (vec_id % 2) * 640) / 1280 AS rx{i}, {at(i + 31)} AS ry{i}" for i in used)
+    gated = ", ".join(f"CASE WHEN v{i} >= 0.5 THEN rx{i} END AS x{i}, CASE WHEN v{i} >= 0.5 THEN ry{i} END AS y{i}" for i in used)
+    mid = lambda c, a, b: f"CASE WHEN {c}{a} IS NULL THEN {c}{b} WHEN {c}{b} IS NULL THEN {c}{a} ELSE ({c}{a} + {c}{b}) / 2 END"
+    ten = [f"v{i}" for i in (11, 12, 23, 24, 25, 26, 27, 28, 15, 16)]
+
+    def angle(a: int, b: int, c: int, r: str = "") -> str:
+        dot = f"(({r}x{a} - {r}x{b}) * ({r}x{c} - {r}x{b}) + ({r}y{a} - {r}y{b}) * ({r}y{c} - {r}y{b}))"
+        size = f"(sqrt(({r}x{a} - {r}x{b}) ** 2 + ({r}y{a} - {r}y{b}) ** 2) * sqrt(({r}x{c} - {r}x{b}) ** 2 + ({r}y{c} - {r}y{b}) ** 2))"
+        return f"(CASE WHEN {size} >= 1e-9 THEN degrees(acos(least(greatest({dot} / {size}, -1), 1))) END)"
+
+    return f"""WITH j AS (SELECT vec_id, {cols} FROM embeddings), g AS (SELECT *, {gated} FROM j),
+ k AS (SELECT *, {mid("x", 11, 12)} AS sx, {mid("y", 11, 12)} AS sy, {mid("x", 23, 24)} AS hx, {mid("y", 23, 24)} AS hy, {angle(23, 25, 27)} AS kl, {angle(24, 26, 28)} AS kr,
+  (v11 + v13 + v15) / 3 AS al, (v12 + v14 + v16) / 3 AS ar, list_filter([y11, y12, y23, y24, y25, y26], lambda y: y IS NOT NULL) AS body FROM g)
+SELECT vec_id, round(({" + ".join(ten)}) / 10, 6) AS visibility_mean, round(least({", ".join(ten)}), 6) AS visibility_min, round(al, 6) AS visibility_left_arm, round(ar, 6) AS visibility_right_arm,
+ round(CASE WHEN abs(hx - sx) >= 1e-9 OR abs(hy - sy) >= 1e-9 THEN degrees(atan2(hx - sx, hy - sy)) END, 6) AS angle_trunk_lean,
+ round(CASE WHEN al >= ar THEN {angle(11, 13, 15)} ELSE {angle(12, 14, 16)} END, 6) AS angle_elbow_dom, round({angle(11, 13, 15, "r")}, 6) AS angle_elbow_left, round({angle(12, 14, 16, "r")}, 6) AS angle_elbow_right,
+ round(CASE WHEN x27 IS NULL OR x28 IS NULL THEN CASE WHEN kl IS NULL OR kl = 0 THEN kr ELSE kl END WHEN x27 <= x28 THEN kl ELSE kr END, 6) AS angle_knee_front,
+ round(CASE WHEN x27 IS NULL OR x28 IS NULL THEN NULL WHEN x27 <= x28 THEN kr ELSE kl END, 6) AS angle_knee_back, round(1 - list_sum(body) / len(body), 6) AS com_height,
+ round(1 - CASE WHEN al >= ar THEN y15 ELSE y16 END, 6) AS hand_height, round(1 - ry15, 6) AS hand_height_left, round(1 - ry16, 6) AS hand_height_right, round(abs(x27 - x28), 6) AS stance_length FROM k"""
 
 
 def winner_target(spark: SparkSession, d: str) -> DataFrame:
@@ -240,8 +245,8 @@ def fusion(spark: SparkSession, d: str) -> DataFrame:
     return t.select("match_id", "frame", r6(at, "progress"), r6(fz.live_weight(at), "weight"), *(r6(v, k) for k, v in out.items()))
 
 
-FUSION_SQL = f"""WITH {TR}, p AS (SELECT *, y % 3 AS s1, event_id % 3 AS s2, ((y % 3) + (event_id % 3) + least(1.0, greatest(y % 12, event_id % 12) / 11.0::DOUBLE)) / 5.0::DOUBLE AS done FROM tr),
- q AS (SELECT *, least(1.0, greatest(done, CASE WHEN s1 = 2 AND s2 = 2 THEN 0.85 WHEN s1 = 2 OR s2 = 2 THEN 0.6 ELSE 0 END))::DOUBLE AS g, CASE WHEN player = 1 THEN (y % 10) / 10.0::DOUBLE END AS career FROM p),
+FUSION_SQL = f"""WITH {TR}, p AS (SELECT *, y % 3 AS s1, event_id % 3 AS s2, (((y % 3) + (event_id % 3)) * 11 + (y % 12) + (event_id % 12)) / 55.0::DOUBLE AS done FROM tr),
+ q AS (SELECT *, greatest(least(1.0, done), CASE WHEN greatest(s1, s2) <> 2 THEN 0 WHEN greatest(y % 12, event_id % 12) >= 8 THEN 0.85 ELSE 0.6 END)::DOUBLE AS g, CASE WHEN player = 1 THEN (y % 10) / 10.0::DOUBLE END AS career FROM p),
  w AS (SELECT *, 0.35::DOUBLE + (0.85::DOUBLE - 0.35::DOUBLE) * (g * g * (3 - 2 * g)) AS w FROM q),
  m AS (SELECT *, coalesce(w * conf + (1 - w) * career, conf) AS mean FROM w),
  f AS (SELECT *, CASE WHEN career IS NOT NULL AND event_type = 'click' THEN (1 - g) * 0.25 + g * mean ELSE mean END AS prob FROM m)

@@ -221,7 +221,7 @@ TWO_SIDED = f"""WITH {TR}, g AS (SELECT match_id, (frame // 6)::BIGINT AS slot,
 
 def match_winner(spark: SparkSession, d: str) -> DataFrame:
     last = scored(spark, d).groupBy("match_id").agg(F.max_by(F.struct("p1", "p2"), "frame").alias("s"))
-    return last.select("match_id", F.when(F.col("s.p1") > F.col("s.p2"), 1).when(F.col("s.p1") < F.col("s.p2"), 0).alias("label"))
+    return last.select("match_id", F.when(F.col("s.p1") > F.col("s.p2"), 1).otherwise(0).alias("label"))
 
 
 def range_join(spark: SparkSession, d: str) -> DataFrame:
@@ -300,7 +300,7 @@ ORACLES = {
     "zone_pivot": f"WITH {SCORED} SELECT match_id, rally_id, " + ", ".join(f"count(*) FILTER (y % 9 = {z}) AS landing_zone_{z}" for z in range(9)) + " FROM scored GROUP BY ALL",
     "digit_assembly": DIGITS,
     "two_sided_read": TWO_SIDED,
-    "match_winner": f"WITH {SCORED}, l AS (SELECT match_id, arg_max({{'a': p1, 'b': p2}}, frame) AS s FROM scored GROUP BY ALL) SELECT match_id, CASE WHEN s.a > s.b THEN 1 WHEN s.a < s.b THEN 0 END AS label FROM l",
+    "match_winner": f"WITH {SCORED}, l AS (SELECT match_id, arg_max({{'a': p1, 'b': p2}}, frame) AS s FROM scored GROUP BY ALL) SELECT match_id, CASE WHEN s.a > s.b THEN 1 ELSE 0 END AS label FROM l",
     "range_join": f"WITH {RALLIES} SELECT r.match_id, r.rally_id, count(*) AS frames, round(sum(t.x), 6) AS sum_x FROM rallies r JOIN tr t ON t.match_id = r.match_id AND t.frame BETWEEN r.start_frame AND r.end_frame GROUP BY ALL",
     "asof_join": ASOF,
     "locf": f"WITH {TR} SELECT match_id, frame, last_value(CASE WHEN event_type = 'view' THEN x END IGNORE NULLS) OVER ({BY_FRAME} ROWS UNBOUNDED PRECEDING) AS last_pose FROM tr",

@@ -48,6 +48,22 @@ def test_angles(spark):
     assert angle((1, 1), (0, 0), (1, 0)) == pytest.approx(45)
     assert angle((0, 0), (0, 0), (1, 0)) is None
     assert angle((None, 0), (0, 0), (1, 0)) is None
+    lean = lambda *p: one(spark, geo.lean_angle(*(point(*q) for q in p)))[0]
+    assert lean((0, 0), (0, 10)) == 0 and lean((0, 0), (5, 10)) == pytest.approx(26.565, abs=1e-3) and lean((0, 0), (-5, 10)) < 0
+    assert abs(lean((0, 5), (10, 5))) == pytest.approx(90) and lean((5, 5), (5, 5)) is None and lean((None, 0), (0, 10)) is None
+
+
+def test_pose_row(spark):
+    """All measures of a pose whose right arm is seen better and whose right ankle is hidden, by hand."""
+    at = {i: (0.5, 0.5, 0.9) for i in range(33)}
+    at |= {11: (0.4, 0.2, 0.6), 12: (0.6, 0.2, 0.9), 13: (0.4, 0.4, 0.3), 14: (0.6, 0.4, 0.9), 15: (0.6, 0.4, 0.6), 16: (0.8, 0.4, 0.9), 23: (0.5, 0.6, 0.9), 24: (0.7, 0.6, 0.9), 25: (0.5, 0.8, 0.9), 27: (0.5, 1.0, 0.9), 28: (0.7, 1.0, 0.1)}
+    points = F.array(*(F.struct(F.lit(at[i][0]).alias("x"), F.lit(at[i][1]).alias("y"), F.lit(at[i][2]).alias("visibility")) for i in range(33)))
+    got = dict(zip(geo.pose_row(points), one(spark, *geo.pose_row(points).values()), strict=True))
+    assert (got["visibility_min"], got["angle_knee_back"], got["stance_length"]) == (0.1, None, None)
+    want = {"visibility_mean": 0.76, "visibility_left_arm": 0.5, "visibility_right_arm": 0.9, "angle_elbow_dom": 90, "angle_elbow_left": 90, "angle_elbow_right": 90, "angle_knee_front": 180, "hand_height": 0.6, "hand_height_left": 0.6, "com_height": 1 - (0.2 + 0.2 + 0.6 + 0.6 + 0.8 + 0.5) / 6}
+    assert {k: got[k] for k in want} == pytest.approx(want) and got["angle_trunk_lean"] == pytest.approx(math.degrees(math.atan2(0.1, 0.4)))
+    moved = one(spark, geo.full_frame(points, F.lit(640), F.lit(640), F.lit(1280)))[0]
+    assert (moved[11]["x"], moved[11]["y"], moved[11]["visibility"]) == (pytest.approx(0.7), 0.2, 0.6)
 
 
 def test_quads(spark):
@@ -70,6 +86,8 @@ def test_text(spark):
 
 def test_fusion_weights(spark):
     assert tuple(one(spark, *(fz.live_weight(F.lit(g)) for g in (0.0, 0.5, 1.0)))) == pytest.approx((0.35, 0.6, 0.85))
+    at = lambda *v: one(spark, fz.progress(*map(F.lit, v)))[0]
+    assert [at(5, 5, 0, 0, 3), at(9, 8, 2, 0, 3), at(7, 2, 2, 0, 3), at(3, 2, 2, 2, 3), at(30, 28, 2, 2, 3), at(0, 0, 0, 0, 4)] == pytest.approx([10 / 55, 0.85, 0.6, 49 / 55, 1, 0])
 
 
 def test_speed_and_winner(spark):
@@ -154,7 +172,8 @@ def test_recurrences(spark):
     rows = [(1, i, d, s) for i, (d, s) in enumerate([(0.0, 0.0), (40.0, 0.0), (0.0, 0.0), *[(0.0, 0.5)] * 15, (0.0, 0.0)])]
     out = rc.scene_gate(spark.createDataFrame(rows, "k int, f int, d double, s double"), ["k"], ["f"], "d", "s").orderBy("f").collect()
     assert [r.scene for r in out][:4] == ["gameplay", "cut", "other", "other"]
-    assert out[17].scene == "gameplay" and out[17].is_cut and not out[16].is_cut
+    assert out[17].scene == "gameplay" and [i for i, r in enumerate(out) if r.is_cut] == [17]
+    assert [i for i, r in enumerate(out) if r.process] == [0, 17, 18]
     state, _ = rc.score_step((0, 0, 0, 0), ("p1", "point", -1))
     assert state == (0, 0, 0, 0)
     state, _ = rc.score_step((4, 2, 0, 1), ("p1", "set", 1))
