@@ -131,10 +131,11 @@ def top_k(
 
     Components become floor(scale * x), so scores are whole numbers. Ties go to the smaller id. Null vectors and those
     with null or non-finite components take no part; a vector meets only those of its own length. With fewer than k
-    others, a query has all of them. Rows without an id take no part; rows that repeat an id count once. An empty table
+    others, a query has all of them. Rows without an id take no part; rows that repeat an id count once, with the vector that
+    is the least in order. An empty table
     gives an empty result. Other columns of the input are not read.
     """
-    points = stored(usable(vectors.filter(F.col(id_col).isNotNull()), id_col, vector_col, scale).dropDuplicates(["v_id"]))
+    points = stored(usable(vectors.filter(F.col(id_col).isNotNull()), id_col, vector_col, scale).groupBy("v_id").agg(F.min("v").alias("v"), F.min_by("v_dim", "v").alias("v_dim")))
     counts = points.groupBy("v_dim").agg(F.ceil(F.count("*") / shard_rows).alias("v_shards"))  # one row per vector length
     placed = points.join(F.broadcast(counts), "v_dim").withColumn("v_shard", F.pmod(F.xxhash64("v_id"), F.col("v_shards")))
     kinds = "v_dim int, v_shard long, nodes int, points binary, ids binary, spans binary, children binary, low binary, high binary"

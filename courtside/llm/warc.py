@@ -74,7 +74,7 @@ def write_archives(captures: DataFrame, path: str) -> None:
     url = F.regexp_replace(F.regexp_replace("c_url", "\r", "%0D"), "\n", "%0A")
     main, date, again = _urn("response", "c_number"), F.lit(DATE), F.col("c_role") == "revisit"
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("c_bytes").cast("string"), F.lit(END))
-    fields = F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("c_id").cast("string")), F.concat(F.lit("refers-to-page: "), F.col("c_refers").cast("string")), F.lit(""))
+    fields = F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("c_id").cast("string")), F.lit(""))
     request = _record(F.lit("request"), [("WARC-Record-ID", _urn("request", "c_number")), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http; msgtype=request"))], F.lit(f"GET / HTTP/1.1{END}"))
     response = _record(
         F.col("c_role"),
@@ -171,17 +171,28 @@ def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     return path
 
 
+def digested(captures: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, verified of assembled captures.
+
+    A revisit's refers_to is the page of the record that its WARC-Refers-To names; null if that isn't there. verified is
+    false for a response whose payload doesn't have the digest that its header states; a revisit carries no payload.
+    """
+    page = F.get(F.filter(F.get("metadata", F.lit(0))["fields"], lambda e: e["key"] == "page-id"), F.lit(0))["value"].cast("long")
+    each = stored(captures.select("capture_id", page.alias("page_id"), *(F.col(f"response.{c}").alias(c) for c in ("payload_bytes", "payload_digest", "type", "refers_to", "verified"))))
+    # only the few responses that some revisit names are joined
+    named = each.filter("refers_to is not null").select(F.col("refers_to").alias("n_id")).distinct()
+    named = each.select(F.col("capture_id").alias("n_id"), F.col("page_id").alias("n_page")).join(named, "n_id")
+    again = each.filter("refers_to is not null").join(named, F.col("refers_to") == F.col("n_id"), "left")
+    rows = each.filter("refers_to is null").withColumn("n_page", F.lit(None).cast("long")).unionByName(again.drop("n_id"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("n_page").alias("refers_to"), F.coalesce("verified", F.lit(True)).alias("verified"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = assemble(stored(read_archives(spark, archive(table(spark, sf_dir, "pages")), payload=False)))
-    field = lambda name: F.get(F.filter(F.get("metadata", F.lit(0))["fields"], lambda e: e["key"] == name), F.lit(0))["value"].cast("long")
-    return captures.select(
-        field("page-id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"), field("refers-to-page").alias("refers_to"),
-    )
+    return digested(assemble(stored(read_archives(spark, archive(table(spark, sf_dir, "pages")), payload=False))))
 
 
 ORACLE = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
  m AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
- CASE WHEN last <> page_id THEN last END AS refers_to FROM p LEFT JOIN m USING (d)"""
+ CASE WHEN last <> page_id THEN last END AS refers_to, true AS verified FROM p LEFT JOIN m USING (d)"""

@@ -290,6 +290,16 @@ def test_compaction(spark, awkward, nothing, tmp_path):
     assert store.read().count() == store.read(before).count() == 5 * awkward.count()
     with pytest.raises(compaction.Conflict):
         store._commit(store.version(), awkward.schema.json(), [])
+    with pytest.raises(ValueError, match="schema"):
+        store.append(awkward.select("doc_id"))
+    assert store.vacuum() > 0 and store.read().count() == 5 * awkward.count() and len(list(tmp_path.glob("store/shards/*/*.parquet"))) == len(store.shards())
+    arrived = compaction.ShardStore(spark, f"file://{tmp_path}/arrived", target_bytes=4 << 20)
+    rows = spark.range(2000).select("id", F.concat_ws(" ", *(F.xxhash64("id", F.lit(k)) for k in range(8))).alias("text")).coalesce(1)
+    compaction.arrive(arrived, rows)
+    tiers = [{arrived.tier(s["bytes"]) for s in arrived.shards(v)} for v in (1, 7)]
+    assert arrived.version() == 7 and len(arrived.shards()) == 7 and len(tiers[1]) > 1
+    assert arrived.compact() == 9 and [s["level"] for s in arrived.shards(8)].count(1) == 1 and [s["level"] for s in arrived.shards(9)] == [2]
+    assert sorted(r.id for r in arrived.read().collect()) == list(range(2000)) == sorted(r.id for r in arrived.read(7).collect())
     other = compaction.ShardStore(spark, f"file://{tmp_path}/empty")
     other.append(nothing)
     assert other.read().count() == 0

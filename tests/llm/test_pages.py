@@ -65,6 +65,19 @@ def test_warc(spark, pages):
     assert sorted(payloads) == sorted(x.encode() for x in (big, "", "", "short", "short", "WARC/1.1\r\n\r\n" * 200))
     assert all(r.response.payload_digest == hashlib.sha1(bytes(r.response.payload or b"")).hexdigest() for r in out if r.response.type == "response")
     assert warc.assemble(warc.read_archives(spark, warc.archive(df.limit(0)))).count() == 0
+    got = {(r.page_id, r.record_type, r.refers_to, r.verified) for r in warc.digested(warc.assemble(records)).collect() if r.payload_bytes == 1500}
+    assert {x for x in got if x[1] == "revisit" and x[0] is not None} <= {(1, "revisit", 2, True), (2, "revisit", 2, True)} and (1, "revisit", 2, True) in got
+
+
+def test_damaged_payload(spark, tmp_path):
+    """A payload that doesn't have the digest of its header is reported; the rest is read."""
+    import gzip
+
+    df = spark.createDataFrame([(1, "u", "y" * 2000), (2, "v", "z" * 2000)], "page_id long, url string, html string")
+    for i, file in enumerate(sorted(__import__("pathlib").Path(warc.archive(df).removeprefix("file:")).glob("part-*"))):
+        (tmp_path / f"{i}.warc").write_bytes(gzip.decompress(file.read_bytes()).replace(b"yyyy", b"yxyy", 1))
+    got = {r.page_id: r.verified for r in warc.digested(warc.assemble(warc.read_archives(spark, f"file://{tmp_path}/*.warc"))).collect()}
+    assert got == {1: False, 2: True}
 
 
 def test_assembly_follows_names(spark):
