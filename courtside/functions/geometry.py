@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: The table's size in metres, and how far around it a position still counts.
 TABLE_LENGTH, TABLE_WIDTH = 2.74, 1.525
 POSITION_MARGIN, CONTAINS_MARGIN = 3.0, 0.1
+#: A calibration's largest error in metres and its shortest side in pixels.
+REPROJECTION, SIDE = 0.15, 10.0
 #: Fixed value: lengths below this count as none in angles.
 SMALL = 1e-9
 
@@ -125,6 +127,15 @@ def shortest_side(quad: Sequence[Point]) -> Column:
     return F.least(*(F.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(quad, [*quad[1:], quad[0]], strict=True)))
 
 
+def calibration_valid(quad: Sequence[Point]) -> Column:
+    """Whether the quad's corners map to the table's within REPROJECTION, and no side is shorter than SIDE; never null."""
+    h = list(homography(quad).values())
+    corners = ((0.0, 0.0), (TABLE_LENGTH, 0.0), (TABLE_LENGTH, TABLE_WIDTH), (0.0, TABLE_WIDTH))
+    off = [F.hypot(x - u, y - v) for (x, y), (u, v) in zip((to_meters(h, *p) for p in quad), corners, strict=True)]
+    known = off[0].isNotNull() & off[1].isNotNull() & off[2].isNotNull() & off[3].isNotNull()
+    return F.coalesce(known & (F.greatest(*off) <= REPROJECTION) & (shortest_side(quad) >= SIDE), F.lit(False))
+
+
 def joint_angle(a: Point, b: Point, c: Point) -> Column:
     """Degrees at b between a and c; null for null points and where the arms' lengths multiply to less than SMALL."""
     ux, uy, vx, vy = a[0] - b[0], a[1] - b[1], c[0] - b[0], c[1] - b[1]

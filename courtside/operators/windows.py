@@ -103,6 +103,22 @@ def stable_run(df: DataFrame, keys: Names, order: Names, value: str, reliable: C
     return out.withColumn(name, F.last(held, ignorenulls=True).over(back)).drop("v_ok", "v_breaks", "v_value", "v_before", "v_new", "v_island", "v_count")
 
 
+#: Fixed value: more sets than these can't be won.
+MOST_SETS = 5
+
+
+def stable_sets(df: DataFrame, keys: Names, order: Names, value: str, reliable: Column, runs: int = 4, most: int = MOST_SETS, name: str = "stable_sets") -> DataFrame:
+    """Adds the set count that last held for ``runs`` reads in a row. A null or an impossible count ends a run, as an unreliable one does."""
+    return stable_run(df, keys, order, value, reliable & F.col(value).isNotNull() & (F.col(value) <= most), runs, name)
+
+
+def obscured(df: DataFrame, keys: Names, order: Names, read: Column, reliable: Column, name: str = "obscured") -> DataFrame:
+    """Adds whether the last read so far was unreliable; false before the first. Rows that aren't reads keep the flag."""
+    back = along(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    flag = F.last(F.when(read, ~F.coalesce(reliable, F.lit(False))), ignorenulls=True).over(back)
+    return df.withColumn(name, F.coalesce(flag, F.lit(False)))
+
+
 def tumbling_vote(df: DataFrame, keys: Names, order: Names, value: str, length: int = 3) -> DataFrame:
     """One row per full block of ``length`` rows: keys, block, vote (a value that occurs twice or more, the earliest such)."""
     numbered = df.withColumn("v_at", F.row_number().over(along(keys, order)) - 1).withColumn("block", F.floor(F.col("v_at") / length))

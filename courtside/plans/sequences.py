@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
+from courtside.functions import fusion as fz
+from courtside.operators import features as ft
 from courtside.operators import joins as jn
 from courtside.operators import windows as win
-from courtside.plans.inputs import BY_FRAME, TR, tracks
+from courtside.plans.inputs import BY_FRAME, TR, table, tracks
 
 KEYS, ORDER = ["match_id"], ["frame"]
 r6 = lambda c, n: F.round(c, 6).alias(n)
@@ -274,11 +276,65 @@ def expanding(spark: SparkSession, d: str) -> DataFrame:
 EXPANDING = f"""WITH {FEATURES} SELECT match_id, rally_id, round(avg(x_diff) OVER a, 9) AS x_diff_mean, round(avg(conf_mean) OVER a, 9) AS conf_mean_mean, round(avg(x_diff) OVER b, 9) AS x_diff_last3, round(avg(conf_mean) OVER b, 9) AS conf_mean_last3, (row_number() OVER a)::INTEGER AS rally_number
 FROM features WINDOW a AS (PARTITION BY match_id ORDER BY rally_id ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY match_id ORDER BY rally_id ROWS 2 PRECEDING)"""
 
+def rally_model_features(spark: SparkSession, d: str) -> DataFrame:
+    """The eight features of each rally: events as poses of two players, those without errors as the ball's rows."""
+    s = scored(spark, d)
+    pose = s.select("match_id", "rally_id", (F.col("player") + 1).alias("player_id"), F.col("x").alias("v_hand_speed"), F.col("conf").alias("com_height"), (F.col("y") - 50).alias("v_torso_x"), (F.col("x") * 2).alias("angle_elbow_dom"), F.col("conf").alias("visibility_mean"))
+    out = ft.rally_features(pose, s.filter(_ok()).withColumnRenamed("x", "speed_mps"), KEYS + ["rally_id"])
+    return out.select("match_id", "rally_id", *(r6(F.col(c), c) for c in ft.RALLY_FEATURES[:-1]), "rally_duration_frames")
+
+
+_SIDES = lambda agg, v: f"coalesce({agg}({v}) FILTER (player = 0), 0) - coalesce({agg}({v}) FILTER (player = 1), 0)"
+MODEL_FEATURES = f"""WITH {SCORED}, side AS (SELECT match_id, rally_id, {_SIDES("avg", "x")} AS hand, {_SIDES("stddev_samp", "conf")} AS com, {_SIDES("avg", "abs(y - 50)")} AS move, {_SIDES("avg", "x * 2")} AS elbow,
+  (coalesce(avg(conf) FILTER (player = 0), 0) + coalesce(avg(conf) FILTER (player = 1), 0)) / 2 AS vis FROM scored GROUP BY ALL),
+ flight AS (SELECT match_id, rally_id, avg(x) AS mean, max(x) AS most, max(frame) - min(frame) AS frames FROM scored WHERE event_type <> 'error' GROUP BY ALL)
+SELECT match_id, rally_id, round(hand, 6) AS hand_speed_diff, round(com, 6) AS com_std_diff, round(move, 6) AS movement_diff, round(elbow, 6) AS elbow_diff, round(vis, 6) AS visibility_avg,
+ round(coalesce(mean, 0), 6) AS ball_speed_mean, round(coalesce(most, 0), 6) AS ball_speed_max, coalesce(frames, 0)::BIGINT AS rally_duration_frames FROM side LEFT JOIN flight USING (match_id, rally_id)"""
+
+
+def set_debounce(spark: SparkSession, d: str) -> DataFrame:
+    """Set counts of which every eighth is missing and some are impossible, held for two reads."""
+    t = tracks(spark, d).withColumn("sets", F.when(F.col("y") % 8 != 0, F.col("y") % 7))
+    return win.stable_sets(t, KEYS, ORDER, "sets", _ok(), runs=2).select("match_id", "frame", "stable_sets")
+
+
+SETS = f"""WITH {TR}, t AS (SELECT match_id, frame, CASE WHEN event_type <> 'error' AND y % 8 <> 0 AND y % 7 <= 5 THEN y % 7 END AS v FROM tr),
+ u AS (SELECT *, CASE WHEN v = lag(v) OVER ({BY_FRAME}) THEN v END AS held FROM t)
+SELECT match_id, frame, last_value(held IGNORE NULLS) OVER ({BY_FRAME} ROWS UNBOUNDED PRECEDING) AS stable_sets FROM u"""
+
+
+def obscured_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Views and errors are reads, errors obscured ones."""
+    out = win.obscured(tracks(spark, d), KEYS, ORDER, F.col("event_type").isin("view", "error"), _ok())
+    return out.select("match_id", "frame", "obscured")
+
+
+def calibration_in_force(spark: SparkSession, d: str) -> DataFrame:
+    """Signups mark the table anew, those with a small y wrongly; each click has the last mark that is valid."""
+    t = tracks(spark, d)
+    marks = t.filter("event_type = 'signup'").select("match_id", "frame", F.col("x").alias("left"), F.col("y").alias("top"))
+    return ft.calibration_at(t.filter("event_type = 'click'").select("match_id", "frame"), marks, KEYS, "frame", ["left", "top"], F.col("top") >= 20)
+
+
+def profile_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """The last live value of each match beside its player's balance, for the two thirds of the matches that have one."""
+    live = tracks(spark, d).groupBy("match_id").agg(F.max_by("conf", "frame").alias("live"))
+    career = table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("match_id"), (F.col("c_acctbal") / 10000).alias("p"))
+    out = ft.with_profile(live, career, KEYS, "p")
+    fused = fz.fused(F.col("live"), F.col("profile_probability"), F.lit(0.5))["probability"]
+    return out.select("match_id", "live", r6(F.col("profile_probability"), "profile_probability"), "has_profile", r6(fused, "probability"))
+
+
 QUERIES = {f.__name__: f for f in (
-    speed_px, speed_m, trail, rolling_rate, running_max, pose_velocity, epoch, freeze_after, vote, stable_run, tumbling_vote, change_log, toggle_gate, clamped_sum, segments, gate, in_play, rally_stats,
+    rally_model_features, set_debounce, obscured_flags, calibration_in_force, profile_fusion, speed_px, speed_m, trail, rolling_rate, running_max, pose_velocity, epoch, freeze_after, vote, stable_run, tumbling_vote, change_log, toggle_gate, clamped_sum, segments, gate, in_play, rally_stats,
     zone_pivot, digit_assembly, two_sided_read, match_winner, range_join, asof_join, locf, best_box, rally_features, expanding,
 )}
 ORACLES = {
+    "rally_model_features": MODEL_FEATURES,
+    "set_debounce": SETS,
+    "obscured_flags": f"WITH {TR} SELECT match_id, frame, coalesce(last_value(CASE event_type WHEN 'view' THEN false WHEN 'error' THEN true END IGNORE NULLS) OVER ({BY_FRAME} ROWS UNBOUNDED PRECEDING), false) AS obscured FROM tr",
+    "calibration_in_force": f'WITH {TR} SELECT c.match_id, c.frame, m.x AS "left", m.y AS top FROM (SELECT * FROM tr WHERE event_type = \'click\') c ASOF LEFT JOIN (SELECT * FROM tr WHERE event_type = \'signup\' AND y >= 20) m ON c.match_id = m.match_id AND c.frame >= m.frame',
+    "profile_fusion": f"WITH {TR}, l AS (SELECT match_id, arg_max(conf, frame) AS live FROM tr GROUP BY ALL), p AS (SELECT match_id, live, CASE WHEN match_id % 3 <> 0 THEN c_acctbal / 10000 END AS q FROM l LEFT JOIN customer ON c_custkey = match_id) SELECT match_id, live, round(q, 6) AS profile_probability, q IS NOT NULL AS has_profile, round(coalesce(0.6::DOUBLE * live + 0.4::DOUBLE * q, live), 6) AS probability FROM p",
     "speed_px": SPEED_PX,
     "speed_m": SPEED_M,
     "trail": f"WITH {TR} SELECT match_id, frame, count(*) OVER w AS points, first_value(x) OVER w AS oldest_x, round(sum(x) OVER w, 6) AS sum_x FROM tr WINDOW w AS ({BY_FRAME} ROWS 29 PRECEDING)",

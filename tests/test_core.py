@@ -181,6 +181,32 @@ def test_recurrences(spark):
     assert rc.score_step((3, 1, 2, 0), ("p1", "swap", 0))[0] == (1, 3, 0, 2)
 
 
+def test_rally_features(spark):
+    """By hand: two poses of player 1, one of player 2, a rally with a ball only and one without a ball."""
+    from courtside.operators import features as ft
+
+    poses = spark.createDataFrame([(1, 1, 2.0, 0.5, -3.0, 90.0, 0.8), (1, 1, 4.0, 0.7, 1.0, None, 0.6), (1, 2, 1.0, 0.4, 2.0, 60.0, 0.5), (2, 2, 1.0, 0.1, 1.0, 30.0, 0.4), (None, 1, 9.0, 9.0, 9.0, 9.0, 9.0)], "r int, player_id int, v_hand_speed double, com_height double, v_torso_x double, angle_elbow_dom double, visibility_mean double")
+    ball = spark.createDataFrame([(1, 10, 3.0), (1, 16, 5.0), (3, 7, None)], "r int, frame int, speed_mps double")
+    got = {x.r: tuple(x)[1:] for x in ft.rally_features(poses, ball, ["r"]).collect()}
+    assert got[1] == pytest.approx((2.0, math.sqrt(0.02), 0.0, 30.0, 0.6, 4.0, 5.0, 6))
+    assert got[2] == pytest.approx((-1.0, 0.0, -1.0, -30.0, 0.2, 0.0, 0.0, 0)) and got[3] == (0,) * 8 and len(got) == 3
+
+
+def test_stable_sets_and_obscured(spark):
+    rows = [(1, i, v, ok) for i, (v, ok) in enumerate([(1, True), (1, True), (None, True), (1, True), (1, True), (7, True), (2, True), (2, True), (2, True), (3, False)])]
+    df = spark.createDataFrame(rows, "k int, f int, v int, ok boolean")
+    out = win.stable_sets(df, ["k"], ["f"], "v", F.col("ok"), runs=3).orderBy("f").collect()
+    assert [x.stable_sets for x in out] == [None] * 8 + [2, 2]
+    flags = win.obscured(df, ["k"], ["f"], F.col("f") % 3 == 0, F.col("ok")).orderBy("f").collect()
+    assert [x.obscured for x in flags] == [False] * 9 + [True]
+
+
+def test_calibration_valid(spark):
+    quad = lambda *points: [(F.lit(float(x)), F.lit(float(y))) for x, y in points]
+    good, point, small, line = quad((200, 300), (1080, 300), (1080, 500), (200, 500)), quad(*[(5, 5)] * 4), quad((0, 0), (5, 0), (5, 3), (0, 3)), quad((0, 0), (100, 0), (200, 0), (300, 0))
+    assert [one(spark, geo.calibration_valid(q))[0] for q in (good, point, small, line)] == [True, False, False, False]
+
+
 def test_elo(spark):
     assert rt.elo_step({}, "a", "b", 1) == (1500, 1500, 1516, 1484)
     df = spark.createDataFrame([(1, 1, "a", "b", 1), (1, 2, "a", "b", 1), (2, 1, "a", "b", 0)], "pool int, t int, a string, b string, w int")
