@@ -23,7 +23,7 @@ TOLERANCE = 1e-9
 #: Words are summed in whole units of this share, so that sums are exact and reruns agree.
 UNIT = 2.0**-20
 #: A document above this share of its source's words is rounded on its own; a source has fewer than 1 / share of them.
-HEAVY = 0.01
+HEAVY = 0.004
 #: Rows of a source that are sorted together; a larger source is dealt to more groups. It only bounds a task's sort. The
 #: more groups there are, the more of their rounding errors, each at most a light document, cancel out.
 GROUP_ROWS = 2_000
