@@ -242,7 +242,8 @@ def fusion(spark: SparkSession, d: str) -> DataFrame:
     t = tracks(spark, d)
     at = fz.progress(F.col("y") % 12, F.col("event_id") % 12, F.col("y") % 3, F.col("event_id") % 3, F.lit(3))
     out = fz.fused(F.col("conf"), F.when(F.col("player") == 1, F.col("y") % 10 / 10.0), at, F.when(F.col("event_type") == "click", 0.25))
-    return t.select("match_id", "frame", r6(at, "progress"), r6(fz.live_weight(at), "weight"), *(r6(v, k) for k, v in out.items()))
+    r9 = lambda c, n: F.round(c, 9).alias(n)  # noqa: E731  at 6 digits some values are ties
+    return t.select("match_id", "frame", r9(at, "progress"), r9(fz.live_weight(at), "weight"), *(r9(v, k) for k, v in out.items()))
 
 
 FUSION_SQL = f"""WITH {TR}, p AS (SELECT *, y % 3 AS s1, event_id % 3 AS s2, (((y % 3) + (event_id % 3)) * 11 + (y % 12) + (event_id % 12)) / 55.0::DOUBLE AS done FROM tr),
@@ -250,7 +251,7 @@ FUSION_SQL = f"""WITH {TR}, p AS (SELECT *, y % 3 AS s1, event_id % 3 AS s2, (((
  w AS (SELECT *, 0.35::DOUBLE + (0.85::DOUBLE - 0.35::DOUBLE) * (g * g * (3 - 2 * g)) AS w FROM q),
  m AS (SELECT *, coalesce(w * conf + (1 - w) * career, conf) AS mean FROM w),
  f AS (SELECT *, CASE WHEN career IS NOT NULL AND event_type = 'click' THEN (1 - g) * 0.25 + g * mean ELSE mean END AS prob FROM m)
-SELECT match_id, frame, round(g, 6) AS progress, round(w, 6) AS weight, round(prob, 6) AS probability, round(abs(prob - 0.5) * 2, 6) AS confidence FROM f"""
+SELECT match_id, frame, round(g, 9) AS progress, round(w, 9) AS weight, round(prob, 9) AS probability, round(abs(prob - 0.5) * 2, 9) AS confidence FROM f"""
 
 QUERIES = {f.__name__: f for f in (conf_filter, decimate, box_geometry, homography, landing_zone, side_swap, score_context, map_lookup, packet, quad_quality, angles, pose_row, winner_target, score_parse, name_parse, label_format, label_parse, json_extract, page_fields, page_links, fusion)}
 ORACLES = {
