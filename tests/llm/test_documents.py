@@ -193,6 +193,25 @@ def test_licenses(spark, awkward, nothing):
     assert licenses.license_scan(awkward).count() == awkward.count() and licenses.license_scan(nothing).count() == 0
 
 
+def test_license_signatures(spark):
+    """Each signature's own words, fused versions and lookalikes, against the rules run one by one."""
+    import re
+
+    words = lambda w: " ".join("some" if t == "*" else t.rstrip("?").split("|")[0] for t in w.split())
+    texts = [words(w) for *_, w in licenses.SIGNATURES] + ["GPLv3+ license", "LGPLv2.1 license", "licensed under the Apache2", "an MIT-licensed tool", "released under AGPLv3", "the gplus license plate", "apache2go", "a mitigated licence"]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    rules = licenses.signature_rules()
+    for i, text in enumerate(texts):
+        bare = re.sub(licenses.SEPARATORS, "><", text.lower()).strip("<>")
+        marked = f"<{bare}>"
+        hits = sorted((m.start(), -m.end(), priority, rule, label, score) for rule, label, priority, score, pattern, _ in rules for m in re.finditer(pattern, marked))
+        kept = [h for k, h in enumerate(hits) if all(-b[1] < -h[1] or b[2] > h[2] for b in hits[:k])]
+        base = {label for phrase, label in licenses.PHRASES if licenses.marked(phrase) in marked}
+        assert got[i] == (",".join(sorted({h[4] for h in kept} | base)), max((h[5] for h in kept), default=0.5 if base else 0.0)), text
+    assert all(got[i][0] for i in range(len(licenses.SIGNATURES)))
+    assert [got[len(licenses.SIGNATURES) + i][0] for i in range(8)] == ["gpl-3", "lgpl-2.1", "apache-2", "mit", "agpl-3", "", "", ""]
+
+
 def test_bpe(spark, awkward, nothing):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     import tiktoken
