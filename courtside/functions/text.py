@@ -60,3 +60,10 @@ def label_parts(line: Column) -> dict[str, Column]:
     parts = F.split(F.trim(line), r"\s+")
     get = lambda i, t: F.when(F.size(parts) >= 5, F.get(parts, F.lit(i)).try_cast(t))
     return {"cls": get(0, "int"), **{n: get(i, "double") for i, n in enumerate(("cx", "cy", "w", "h"), 1)}}
+
+
+def forecast(a: Column, b: Column, chance_a: Column, matches: Column, wins_a: Column, wins_b: Column, recent: Column) -> Column:
+    """The forecast of a pairing: both chances in percent, the head to head, and its last result. A fixed format."""
+    first = F.round(chance_a * 100, 1)
+    lines = "%-22s %5.1f%% chance to win\n%-22s %5.1f%% chance to win\nHead-to-Head (%d matches): %s %d – %d %s\n%s"
+    return F.format_string(lines, a, first, b, F.round(100 - first, 1), matches, a, wins_a, wins_b, b, recent)

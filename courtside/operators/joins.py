@@ -67,14 +67,19 @@ def profile_join(rows: DataFrame, profiles: DataFrame, a: str, b: str, profile_k
     return rows.join(side(a, "a"), a).join(side(b, "b"), b)
 
 
-def name_search(rows: DataFrame, name: str, searches: DataFrame, text: str) -> DataFrame:
-    """Rows whose name holds a searched text, case ignored, literally. ``searches`` is a small list of the caller's.
+def name_search(rows: DataFrame, name: str, searches: DataFrame, text: str, gram: int = 3) -> DataFrame:
+    """Rows whose name holds a searched text, case ignored, literally; the text comes in lower case.
 
-    The list is turned into one array, so that rows are scanned once and nothing is multiplied before it matches.
+    Each search is keyed by its first ``gram`` characters, each row by the distinct pieces of that length and less of its
+    name, so both sides may be large: they meet on a piece, and what meets is checked. A null name or search finds nothing.
     """
-    wanted = searches.agg(F.collect_set(F.lower(text)).alias("j_wanted"))
-    hit = F.filter("j_wanted", lambda t: F.contains(F.lower(name), t))
-    return rows.join(F.broadcast(wanted)).withColumn(text, F.explode(hit)).drop("j_wanted")
+    wanted = searches.select(F.lower(text).alias(text)).distinct().withColumn("j_piece", F.substring(text, 1, gram))
+    low = F.lower(name)
+    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    cut = lambda n: F.transform(places, lambda i: F.substring(low, i, F.lit(n)))
+    pieces = [cut(n) for n in range(gram + 1)]
+    keyed = rows.withColumn("j_piece", F.explode(F.array_distinct(F.concat(*pieces))))
+    return keyed.join(wanted, "j_piece").filter(F.contains(low, F.col(text))).drop("j_piece")
 
 
 def unordered_pair(a: Column, b: Column) -> tuple[Column, Column]:

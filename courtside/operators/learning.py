@@ -62,6 +62,25 @@ def folds(df: DataFrame, fold: str, pipelines: dict[str, Pipeline], label: str =
     return out
 
 
+def meta(live: str, career: str, label: str = "label") -> Pipeline:
+    """The meta model: logistic regression on a live and a career probability. ``folds`` by match leaves one out."""
+    return logistic([live, career], label)
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """A fitted model as an artefact in a shared folder, over one that is there."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def even_chances(df: DataFrame) -> DataFrame:
+    """What the default model says of every row: even chances, not reliable."""
+    return df.withColumns({"p1": F.lit(0.5), "p2": F.lit(0.5), "confidence": F.lit(0.0), "reliable": F.lit(False)})
+
+
 class WinModel:
     """What a user supplies for live prediction: packets in, p1, p2, confidence and reliable out, a frame at a time."""
 

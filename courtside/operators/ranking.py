@@ -27,12 +27,13 @@ def hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
-def hash_split(df: DataFrame, key: str, ratios: dict[str, float], seed: int = 42, cap: int | None = None) -> DataFrame:
+def hash_split(df: DataFrame, key: str, ratios: dict[str, float], seed: int = 42, cap: int | None = None, digits: int = 3) -> DataFrame:
     """Adds split: exact cuts at int(n * ratio) of the hashed order, the last split takes the rest.
 
-    With ``cap``, the first ``cap`` rows of that order are split and the others go.
+    With ``cap``, the first ``cap`` rows of that order are split and the others go. Rows are ranked in 16 ** ``digits``
+    buckets side by side; one digit more for each 16 times the rows keeps the buckets as small.
     """
-    rows = global_rank(df.withColumn("r_hash", hash_order(key, seed)), F.substring("r_hash", 1, 3), ["r_hash", key])
+    rows = global_rank(df.withColumn("r_hash", hash_order(key, seed)), F.substring("r_hash", 1, digits), ["r_hash", key])
     total = df.agg(F.count("*").alias("r_n"))
     if cap is not None:
         rows, total = rows.filter(F.col("rank") <= cap), total.withColumn("r_n", F.least("r_n", F.lit(cap)))
@@ -54,20 +55,28 @@ def time_split(df: DataFrame, bucket: Column, order: Sequence[str], share: float
     return rows.withColumn("split", F.when(F.col("rank") <= F.floor(F.col("r_n") * share), "train").otherwise("test")).drop("r_n")
 
 
-def group_folds(df: DataFrame, group: str, label: str, folds: int = 3) -> DataFrame:
+def group_folds(df: DataFrame, group: str, label: str, folds: int = 3, bucket: Column | None = None) -> DataFrame:
     """group, n_rows, n_positive, fold: whole groups dealt so that folds hold alike many rows of either class.
 
     Groups in falling order of their positives, then rows, go back and forth over the folds. This needs only the groups'
-    ranks, so it stays a distributed sort of the group table.
+    ranks, so it stays a distributed sort of the group table. Groups of equal counts are ranked together unless
+    ``bucket``, which must rise with the group's own order, parts them.
     """
     groups = df.groupBy(group).agg(F.count("*").alias("n_rows"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n_positive"))
-    ranked = global_rank(groups, -F.floor(F.log2(F.col("n_positive") + 1)), [F.desc("n_positive"), F.desc("n_rows"), F.asc(group)])
+    ranked = global_rank(groups, F.struct(-F.col("n_positive"), -F.col("n_rows"), F.lit(0) if bucket is None else bucket), [F.asc(group)])
     at = F.pmod(F.col("rank") - 1, F.lit(2 * folds))
     return ranked.withColumn("fold", F.when(at < folds, at).otherwise(2 * folds - 1 - at).cast("int")).drop("rank")
 
 
 def rank_slice(df: DataFrame, bucket: Column, order: Sequence[str | Column], start: int, count: int) -> DataFrame:
-    return global_rank(df, bucket, order).filter(F.col("rank").between(start, start + count - 1))
+    """The rows of ranks start to start + count - 1, with rank. Only the buckets that these fall into are sorted."""
+    rows = df.withColumn("r_bucket", bucket)
+    before = Window.orderBy("r_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("r_bucket").agg(F.count("*").alias("r_n")).withColumn("r_start", F.coalesce(F.sum("r_n").over(before), F.lit(0)))
+    starts = starts.filter((F.col("r_start") < start + count - 1) & (F.col("r_start") + F.col("r_n") >= start)).drop("r_n")
+    local = F.row_number().over(Window.partitionBy("r_bucket").orderBy(*order))
+    ranked = rows.join(starts, "r_bucket").withColumn("rank", local + F.col("r_start")).drop("r_bucket", "r_start")
+    return ranked.filter(F.col("rank").between(start, start + count - 1))
 
 
 def latest_row(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 #: Frame difference of a cut, least share of table colour, and frames between two looks.
 CUT, TABLE_SHARE, POLL = 30.0, 0.04, 15
-#: Weight of a new corner position, largest jump, least area, and the range of aspects.
+#: Weight of a new corner position, and its largest jump.
 EMA, JUMP = 0.3, 50.0
 
 Step = Callable[[Any, tuple], tuple[Any, tuple]]
@@ -72,7 +72,10 @@ def ema_step(state: tuple[float | None, float | None, int], row: tuple[float, fl
 
 
 def score_step(state: tuple[int, int, int, int], row: tuple[str, str, int]) -> tuple[tuple, tuple]:
-    """(points 1, 2, sets 1, 2), (player, kind, delta) to the four: points stop at 0, a set clears both, a swap swaps all."""
+    """(points 1, 2, sets 1, 2), (player, kind, delta) to the four: points stop at 0, a set clears both, a swap swaps all.
+
+    The live form; ``windows.manual_score`` gives the same in batch.
+    """
     p1, p2, s1, s2 = state
     player, kind, delta = row
     if kind == "swap":
@@ -92,7 +95,3 @@ def scene_gate(df: DataFrame, keys: Sequence[str], order: Sequence[str], diff: s
 
 def smoothed(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, y: str, valid: str) -> DataFrame:
     return scan(df, keys, order, [x, y, valid], (None, None, 0), ema_step, "smooth_x double, smooth_y double, since_valid int")
-
-
-def manual_score(df: DataFrame, keys: Sequence[str], order: Sequence[str], player: str, kind: str, delta: str) -> DataFrame:
-    return scan(df, keys, order, [player, kind, delta], (0, 0, 0, 0), score_step, "p1_score int, p2_score int, p1_sets int, p2_sets int")

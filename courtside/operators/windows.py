@@ -191,6 +191,27 @@ def clamped_sum(df: DataFrame, keys: Names, order: Names, delta: str, reset: Col
     return out.drop("v_sum", "v_epoch")
 
 
+def manual_score(df: DataFrame, keys: Names, order: Names, player: str, kind: str, delta: str) -> DataFrame:
+    """Adds p1_score, p2_score, p1_sets, p2_sets of hand-entered events: point, set and swap; other kinds change nothing.
+
+    Events are booked on the person who sits on the named side, which the parity of the swaps so far tells; a person's
+    points are a sum clamped at 0 that starts anew with each set won, and at the end persons go back to their sides.
+    A player other than p1 counts as p2; a null delta as 0.
+    """
+    is_a = F.coalesce(F.col(player) == "p1", F.lit(False)) == (F.col("v_swaps") % 2 == 0)
+    booked = lambda what, who: F.when((F.col(kind) == what) & who, F.col(delta)).otherwise(0)
+    out = df.withColumns({"v_swaps": epoch(F.col(kind) == "swap", keys, order), "v_set": epoch((F.col(kind) == "set") & (F.col(delta) > 0), keys, order)})
+    out = out.withColumns({f"v_{what}_{side}": booked(what, who) for what in ("point", "set") for side, who in (("a", is_a), ("b", ~is_a))})
+    for side in "ab":
+        out = clamped_sum(out, keys, order, f"v_set_{side}", name=f"v_sets_{side}")
+    for side in "ab":
+        out = clamped_sum(out, [*keys, "v_set"], order, f"v_point_{side}", name=f"v_score_{side}")
+    home = F.col("v_swaps") % 2 == 0
+    sides = lambda what: (F.when(home, F.col(f"v_{what}_a")).otherwise(F.col(f"v_{what}_b")), F.when(home, F.col(f"v_{what}_b")).otherwise(F.col(f"v_{what}_a")))
+    (p1, p2), (s1, s2) = sides("score"), sides("sets")
+    return out.select(*df.columns, *(c.cast("int").alias(n) for n, c in (("p1_score", p1), ("p2_score", p2), ("p1_sets", s1), ("p2_sets", s2))))
+
+
 def running_max(df: DataFrame, keys: Names, order: Names, value: str, name: str = "running_max") -> DataFrame:
     return df.withColumn(name, F.max(value).over(along(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
 

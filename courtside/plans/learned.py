@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from courtside.operators import learning as ml
 from courtside.operators import ratings as rt
 from courtside.operators import recurrence as rc
+from courtside.operators import windows as win
 from courtside.plans.inputs import TR, history, table, tracks
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
@@ -59,10 +60,9 @@ SELECT match_id, frame, round(x, 6) AS smooth_x, round(y, 6) AS smooth_y, since
 
 def manual_score(spark: SparkSession, d: str) -> DataFrame:
     """Points and sets from events: purchases score, errors take back, signups win a set, every 40th row swaps sides."""
-    _workers(spark)
     kind = F.when(F.col("frame") % 40 == 0, "swap").when(F.col("event_type") == "signup", "set").when(F.col("event_type").isin("purchase", "error"), "point").otherwise("none")
     t = tracks(spark, d).select("match_id", "frame", F.when(F.col("player") == 0, "p1").otherwise("p2").alias("player"), kind.alias("kind"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("delta"))
-    return rc.manual_score(t, ["match_id"], ["frame"], "player", "kind", "delta").select("match_id", "frame", "p1_score", "p2_score", "p1_sets", "p2_sets")
+    return win.manual_score(t, ["match_id"], ["frame"], "player", "kind", "delta").select("match_id", "frame", "p1_score", "p2_score", "p1_sets", "p2_sets")
 
 
 MANUAL = f"""WITH RECURSIVE {TR}, t AS (SELECT match_id, frame, player, CASE WHEN frame % 40 = 0 THEN 'swap' WHEN event_type = 'signup' THEN 'set' WHEN event_type IN ('purchase', 'error') THEN 'point' ELSE 'none' END AS kind, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS delta FROM tr), s AS (
@@ -109,11 +109,18 @@ def win_probability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def default_model(spark: SparkSession, d: str) -> DataFrame:
-    _workers(spark)
-    return ml.apply_model(tracks(spark, d).select("match_id", "frame"), ml.WinModel())
+    return ml.even_chances(tracks(spark, d).select("match_id", "frame"))
+
+
+def meta_model(spark: SparkSession, d: str) -> DataFrame:
+    """The meta model's metrics on each of four folds of matches that have a live and a career probability."""
+    t = tracks(spark, d).groupBy("match_id").agg(F.max_by("conf", "frame").alias("live"), F.max_by("player", "frame").alias("label"))
+    career = table(spark, d, "customer").select(F.col("c_custkey").alias("match_id"), ((F.col("c_acctbal") + 1000) / 11000).cast("double").alias("career"))
+    rows = t.join(career, "match_id").withColumn("fold", F.pmod("match_id", F.lit(4)))
+    return ml.folds(rows, "fold", {"meta": ml.meta("live", "career")})
 
 
-QUERIES = {f.__name__: f for f in (scene_gate, skipped_frames, ema, manual_score, elo, model_comparison, win_probability, default_model)}
+QUERIES = {f.__name__: f for f in (scene_gate, skipped_frames, ema, manual_score, elo, model_comparison, win_probability, default_model, meta_model)}
 ORACLES = {
     "scene_gate": SCENE,
     "skipped_frames": f"WITH q AS ({SCENE}) SELECT match_id, count(*) FILTER (NOT process) AS skipped, count(*) FILTER (is_cut) AS cuts FROM q GROUP BY match_id",

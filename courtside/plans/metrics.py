@@ -61,7 +61,7 @@ def time_split(spark: SparkSession, d: str) -> DataFrame:
 
 def group_fold(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").withColumn("label", (F.col("o_orderstatus") == "F").cast("int"))
-    return rk.group_folds(o, "o_custkey", "label")
+    return rk.group_folds(o, "o_custkey", "label", bucket=F.floor(F.col("o_custkey") / 4096))
 
 
 FOLDS = """WITH g AS (SELECT o_custkey, count(*) AS n_rows, count(*) FILTER (o_orderstatus = 'F') AS n_positive FROM orders GROUP BY o_custkey), r AS (SELECT *, row_number() OVER (ORDER BY n_positive DESC, n_rows DESC, o_custkey) - 1 AS k FROM g)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from courtside.functions import text as tx
 from courtside.operators import joins as jn
 from courtside.operators import ranking as rk
 from courtside.operators import ratings as rt
@@ -102,6 +103,18 @@ H2H = f"""WITH {MH}, p AS (SELECT least(a, b) AS low, greatest(a, b) AS high, CA
 SELECT low, high, count(*) AS matches, count(*) FILTER (winner = low) AS low_wins, round(count(*) FILTER (winner = low) / count(*), 6) AS low_rate, arg_max(winner, {{'d': day, 'o': l_orderkey, 'n': l_linenumber}}) AS last_winner FROM p GROUP BY low, high"""
 
 
+def forecast(spark: SparkSession, d: str) -> DataFrame:
+    """The forecast of each pair that has met, from its head to head."""
+    h = pair_h2h(spark, d).withColumns({"a": F.concat(F.lit("Player "), "low"), "b": F.concat(F.lit("Player "), "high")})
+    recent = F.concat(F.lit("Most recent winner: Player "), "last_winner")
+    chance = F.floor(F.col("low_rate") * 1000) / 1000
+    return h.select("low", "high", tx.forecast(F.col("a"), F.col("b"), chance, F.col("matches"), F.col("low_wins"), F.col("matches") - F.col("low_wins"), recent).alias("forecast"))
+
+
+FORECAST = f"""WITH h AS ({H2H}), f AS (SELECT *, 'Player ' || low AS a, 'Player ' || high AS b, round(floor(low_rate * 1000) / 10, 1)::DOUBLE AS pa FROM h)
+SELECT low, high, printf('%-22s %5.1f%% chance to win', a, pa) || chr(10) || printf('%-22s %5.1f%% chance to win', b, round(100 - pa, 1)) || chr(10) || printf('Head-to-Head (%d matches): %s %d – %d %s', matches, a, low_wins, matches - low_wins, b) || chr(10) || 'Most recent winner: Player ' || last_winner AS forecast FROM f"""
+
+
 def onehot(spark: SparkSession, d: str) -> DataFrame:
     m = history(spark, d).withColumn("kind", F.concat_ws("_vs_", "l_returnflag", "l_linestatus"))
     return rt.one_hot(m, "kind", ["A_vs_F", "A_vs_O", "N_vs_F", "N_vs_O", "R_vs_F", "R_vs_O"], "kind_").select("l_orderkey", "l_linenumber", "kind_A_vs_O", "kind_N_vs_F", "kind_N_vs_O", "kind_R_vs_F", "kind_R_vs_O")
@@ -129,7 +142,7 @@ SELECT q.a, q.b, (x.matches - y.matches)::DOUBLE AS matches_diff, (x.wins - y.wi
 FROM q JOIN c x ON x.player = q.a JOIN c y ON y.player = q.b LEFT JOIN h ON h.low = q.a AND h.high = q.b"""
 
 
-QUERIES = {f.__name__: f for f in (pair_join, anti_join, left_default, profile_join, name_search, union_sources, sort_limit, rank_slice, pair_enum, latest_row, career_diff, prior_rate, pair_h2h, onehot, feature_align, pairing_features)}
+QUERIES = {f.__name__: f for f in (pair_join, anti_join, left_default, profile_join, name_search, union_sources, sort_limit, rank_slice, pair_enum, latest_row, career_diff, prior_rate, pair_h2h, forecast, onehot, feature_align, pairing_features)}
 ORACLES = {
     "pair_join": "SELECT doc_id, lang, source, quality, toxic FROM documents JOIN labels USING (doc_id)",
     "anti_join": "SELECT lang, count(*) AS unlabelled FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY lang",
@@ -144,6 +157,7 @@ ORACLES = {
     "career_diff": CAREER,
     "prior_rate": PRIOR,
     "pair_h2h": H2H,
+    "forecast": FORECAST,
     "pairing_features": PAIRING,
     "onehot": f"WITH {MH}, k AS (SELECT *, l_returnflag || '_vs_' || l_linestatus AS kind FROM mh) SELECT l_orderkey, l_linenumber, " + ", ".join(f"(kind = '{k}')::INTEGER AS kind_{k}" for k in ("A_vs_O", "N_vs_F", "N_vs_O", "R_vs_F", "R_vs_O")) + " FROM k",
     "feature_align": f"WITH {MH} SELECT l_orderkey, l_linenumber, coalesce(l_tax, 0) AS tax, 0.0::DOUBLE AS elo_diff, CASE WHEN a_won = 1 THEN l_discount ELSE 0 END AS discount FROM mh",

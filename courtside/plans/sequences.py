@@ -285,9 +285,10 @@ def rally_model_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SIDES = lambda agg, v: f"coalesce({agg}({v}) FILTER (player = 0), 0) - coalesce({agg}({v}) FILTER (player = 1), 0)"
-MODEL_FEATURES = f"""WITH {SCORED}, side AS (SELECT match_id, rally_id, {_SIDES("avg", "x")} AS hand, {_SIDES("stddev_samp", "conf")} AS com, {_SIDES("avg", "abs(y - 50)")} AS move, {_SIDES("avg", "x * 2")} AS elbow,
+MODEL_SIDES = f"""WITH {SCORED}, side AS (SELECT match_id, rally_id, {_SIDES("avg", "x")} AS hand, {_SIDES("stddev_samp", "conf")} AS com, {_SIDES("avg", "abs(y - 50)")} AS move, {_SIDES("avg", "x * 2")} AS elbow,
   (coalesce(avg(conf) FILTER (player = 0), 0) + coalesce(avg(conf) FILTER (player = 1), 0)) / 2 AS vis FROM scored GROUP BY ALL),
- flight AS (SELECT match_id, rally_id, avg(x) AS mean, max(x) AS most, max(frame) - min(frame) AS frames FROM scored WHERE event_type <> 'error' GROUP BY ALL)
+ flight AS (SELECT match_id, rally_id, avg(x) AS mean, max(x) AS most, max(frame) - min(frame) AS frames FROM scored WHERE event_type <> 'error' GROUP BY ALL)"""
+MODEL_FEATURES = f"""{MODEL_SIDES}
 SELECT match_id, rally_id, round(hand, 6) AS hand_speed_diff, round(com, 6) AS com_std_diff, round(move, 6) AS movement_diff, round(elbow, 6) AS elbow_diff, round(vis, 6) AS visibility_avg,
  round(coalesce(mean, 0), 6) AS ball_speed_mean, round(coalesce(most, 0), 6) AS ball_speed_max, coalesce(frames, 0)::BIGINT AS rally_duration_frames FROM side LEFT JOIN flight USING (match_id, rally_id)"""
 

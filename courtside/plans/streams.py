@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtside.operators import features as ft
+from courtside.operators import recurrence as rc
+from courtside.plans import learned
 from courtside.plans import sequences as sq
-from courtside.plans.inputs import tracks
+from courtside.plans.inputs import BY_FRAME, TR, tracks
 from courtside.streaming import tracks as live
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
@@ -60,26 +64,84 @@ def stream_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Events per type and day, by event time with a watermark: late rows behind the watermark go, none do here."""
+    """Events per type and day, by event time; each micro-batch writes the counts so far over those before."""
     t = tracks(spark, d).select("match_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "x")
-
-    def query(s: DataFrame) -> DataFrame:
-        counts = s.withWatermark("ts", "400 days").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.max("x").alias("max_x"))
-        return counts.select(F.col("window.start").alias("day"), "event_type", "n", "max_x")
-
     folder = _folder(spark)
     t.write.parquet(f"{folder}/in")
-    name = f"counts_{uuid.uuid4().hex}"
-    run = query(spark.readStream.schema(t.schema).parquet(f"{folder}/in")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    counts = spark.readStream.schema(t.schema).parquet(f"{folder}/in").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.max("x").alias("max_x"))
+    day = counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "max_x")
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")
+    run = day.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", "max_x")
+    return spark.read.schema(day.schema).parquet(f"{folder}/out")
+
+
+def stream_clamped_sum(spark: SparkSession, d: str) -> DataFrame:
+    delta = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    t = tracks(spark, d).select("match_id", "frame", delta.alias("delta"), (F.col("event_type") == "signup").alias("reset"))
+    return drained(spark, t, lambda s: live.stateful(s, "match_id", ["frame"], ["delta", "reset"], [0], live.clamp_step, "score long", ["frame"])).select("match_id", "frame", "score")
+
+
+def stream_scene_gate(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks(spark, d).select("match_id", "frame", "x", "conf")
+    out = drained(spark, t, lambda s: live.stateful(s, "match_id", ["frame"], ["x", "conf"], ["gameplay", 0], rc.scene_step, "scene string, is_cut boolean, process boolean", ["frame"]))
+    return out.select("match_id", "frame", "scene", "is_cut", "process")
+
+
+def stream_ema(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks(spark, d).select("match_id", "frame", "x", F.col("y").cast("double").alias("y"), (F.col("event_type") != "error").alias("valid"))
+    out = drained(spark, t, lambda s: live.stateful(s, "match_id", ["frame"], ["x", "y", "valid"], [None, None, 0], rc.ema_step, "smooth_x double, smooth_y double, since_valid int", ["frame"]))
+    return out.select("match_id", "frame", r6(F.col("smooth_x"), "smooth_x"), r6(F.col("smooth_y"), "smooth_y"), "since_valid")
+
+
+def stream_speed_reset(spark: SparkSession, d: str) -> DataFrame:
+    """Speeds whose track history starts anew at each signup, as it does at a scene's cut."""
+    t = tracks(spark, d).select("match_id", "frame", "x", F.col("y").cast("double").alias("y"), F.lit(30.0).alias("rate"), (F.col("event_type") == "signup").alias("cut"))
+    step = live.reset_at(live.speed_step, [None, None, []])
+    out = drained(spark, t, lambda s: live.stateful(s, "match_id", ["frame"], ["x", "y", "rate", "cut"], [None, None, []], step, "speed double, smooth_speed double", ["frame"]))
+    return out.select("match_id", "frame", r6(F.col("speed"), "speed"), r6(F.col("smooth_speed"), "smooth_speed"))
+
+
+def _predicted(spark: SparkSession, d: str) -> DataFrame:
+    """Events as poses of two players and as the ball's rows, and an end row per match, through the live predictor."""
+    s = sq.scored(spark, d)
+    rows = s.select(
+        "match_id", "rally_id", "frame", (F.col("player") + 1).alias("player_id"), F.col("x").alias("hand"), F.col("conf").alias("com"), (F.col("y") - 50).alias("torso"), (F.col("x") * 2).alias("elbow"),
+        F.col("conf").alias("visible"), (F.col("event_type") != "error").alias("flies"), F.col("x").alias("speed"),
+    )
+    rows = rows.unionByName(rows.groupBy("match_id").agg((F.max("frame") + 1).alias("frame")), allowMissingColumns=True)
+    step = lambda state, row: live.predict_step(state, row, lambda v: 1 / (1 + math.exp(-v[0] / 100)))
+    columns = ["rally_id", "frame", "player_id", "hand", "com", "torso", "elbow", "visible", "flies", "speed"]
+    outputs = ", ".join(["ended long", *(f"{c} double" for c in ft.RALLY_FEATURES), "probability double"])
+    return drained(spark, rows, lambda s: live.stateful(s, "match_id", ["frame"], columns, live.PREDICTOR, step, outputs, ["frame", "rally_id"]))
+
+
+def stream_rally_features(spark: SparkSession, d: str) -> DataFrame:
+    """The eight features of each rally as it ends; the last one of a match is flushed by the end row."""
+    out = _predicted(spark, d).filter("ended is not null")
+    return out.select("match_id", F.col("ended").alias("rally_id"), *(r6(F.col(c), c) for c in ft.RALLY_FEATURES[:-1]), F.col("rally_duration_frames").cast("long").alias("rally_duration_frames"))
+
+
+def stream_chances(spark: SparkSession, d: str) -> DataFrame:
+    """The chance in force at each frame: that of the last rally that ended, even before the first."""
+    return _predicted(spark, d).filter("rally_id is not null").select("match_id", "frame", r6(F.col("probability"), "probability"))
 
 
-QUERIES = {f.__name__: f for f in (stream_speed_px, stream_change_log, stream_stable_run, stream_gate, stream_window_counts)}
+QUERIES = {f.__name__: f for f in (
+    stream_speed_px, stream_change_log, stream_stable_run, stream_gate, stream_window_counts, stream_clamped_sum, stream_scene_gate, stream_ema, stream_speed_reset, stream_rally_features, stream_chances,
+)}
 ORACLES = {
     "stream_speed_px": sq.SPEED_PX,
     "stream_change_log": sq.ORACLES["change_log"],
     "stream_stable_run": sq.STABLE,
     "stream_gate": sq.GATE,
     "stream_window_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, max(value) AS max_x FROM events GROUP BY ALL",
+    "stream_clamped_sum": sq.ORACLES["clamped_sum"],
+    "stream_scene_gate": learned.SCENE,
+    "stream_ema": learned.EMA,
+    "stream_speed_reset": f"""WITH {TR}, e AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER ({BY_FRAME}) AS part FROM tr), s AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) * 30 AS speed FROM e WINDOW w AS (PARTITION BY match_id, part ORDER BY frame))
+SELECT match_id, frame, round(speed, 6) AS speed, round(coalesce(avg(speed) OVER (PARTITION BY match_id, part ORDER BY frame ROWS 4 PRECEDING), 0), 6) AS smooth_speed FROM s""",
+    "stream_rally_features": sq.MODEL_FEATURES,
+    "stream_chances": f"""{sq.MODEL_SIDES}, c AS (SELECT match_id, rally_id, lag(1 / (1 + exp(-hand / 100))) OVER (PARTITION BY match_id ORDER BY rally_id) AS p FROM side)
+SELECT match_id, frame, round(coalesce(p, 0.5), 6) AS probability FROM scored JOIN c USING (match_id, rally_id)""",
 }

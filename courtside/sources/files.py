@@ -41,6 +41,16 @@ def write_logs(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.partitionBy("match_id").format(kind).option("header", True).mode("append").save(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Datasets, histories and metrics: CSV parts with a header, over what is there."""
+    df.write.option("header", True).mode("overwrite").csv(path)
+
+
+def write_score_log(df: DataFrame, path: str) -> None:
+    """timestamp_sec, frame, score of the scoreboard reader, appended."""
+    df.select("timestamp_sec", "frame", "score").write.option("header", True).mode("append").csv(path)
+
+
 def read_sessions(spark: SparkSession, root: str) -> DataFrame:
     """match, player1_name, player2_name, sets_to_win, best_of of the newest session of each folder, with defaults."""
     rows = spark.read.json(f"{root}/*/broadcast_session*.json", schema=SESSION, multiLine=True).withColumn("file", F.col("_metadata.file_path"))

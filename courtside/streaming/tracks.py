@@ -1,8 +1,8 @@
 """Live forms of kinematics, votes, change-logs and gates: keyed state over an unbounded stream of frames.
 
-Frames of a key arrive in order; each micro-batch is sorted within its key, and rows behind the watermark are late and
-go. State is a few numbers per key, and a timer drops it when a key falls silent. The update functions are those of the
-batch tests, one step per row.
+Frames of a key must arrive in order from one micro-batch to the next; within a micro-batch they are sorted. There is no
+watermark: a row that comes late is taken as the next one. State is a few numbers per key, and a timer can drop it when a
+key falls silent. The update functions are those of the batch tests, one step per row.
 """
 
 from __future__ import annotations
@@ -98,3 +98,69 @@ def gate_step(state: list, row: tuple, seen: int = 4, missing: int = 30) -> tupl
     elif not playing and run >= missing:
         active = False
     return [int(new_segment), playing, run, active], (active, playing and was)
+
+
+def clamp_step(state: list, row: tuple) -> tuple[list, tuple]:
+    """[sum], (delta, reset) to (sum that never goes below 0)."""
+    delta, reset = row
+    total = max(0, (0 if reset else state[0]) + (delta or 0))
+    return [total], (total,)
+
+
+def reset_at(step: Step, start: Any) -> Step:
+    """``step`` for rows with one more value at their end: where that is true, as at a cut, the state starts anew before the row."""
+
+    def run(state: Any, row: tuple) -> tuple[Any, tuple]:
+        return step(start if row[-1] else state, row[:-1])
+
+    return run
+
+
+#: State of ``predict_step``: the open rally, per player [[n, sum] of four measures, [n, mean, squares] of one], the ball's
+#: [n, sum, max, first frame, last frame], and the last chance.
+_SIDE = [[[0, 0.0]] * 4, [0, 0.0, 0.0]]
+PREDICTOR = [None, _SIDE, _SIDE, [0, 0.0, None, None, None], 0.5]
+
+
+def _summed(side: list, values: tuple, com: float | None) -> list:
+    sums, (n, mean, squares) = side
+    sums = [[k, total] if v is None else [k + 1, total + v] for (k, total), v in zip(sums, values, strict=True)]
+    if com is not None:
+        n, off = n + 1, com - mean
+        mean += off / n
+        squares += off * (com - mean)
+    return [sums, [n, mean, squares]]
+
+
+def rally_values(one: list, two: list, ball: list) -> list[float]:
+    """The eight features of a rally from its sums, in the order of ``features.RALLY_FEATURES``."""
+    mean = lambda side, i: side[0][i][1] / side[0][i][0] if side[0][i][0] else 0.0
+    spread = lambda side: (side[1][2] / (side[1][0] - 1)) ** 0.5 if side[1][0] > 1 else 0.0
+    apart = lambda i: mean(one, i) - mean(two, i)
+    n, total, most, first, last = ball
+    return [apart(0), spread(one) - spread(two), apart(1), apart(2), (mean(one, 3) + mean(two, 3)) / 2, total / n if n else 0.0, float(most or 0.0), float(last - first if first is not None else 0)]
+
+
+def predict_step(state: list, row: tuple, chance: Callable[[list[float]], float]) -> tuple[list, tuple]:
+    """PREDICTOR state, (rally, frame, player, hand speed, com, torso speed, elbow, visibility, in flight, ball speed) to
+    (the rally that this row ends, its eight features, the chance in force).
+
+    A rally is summed while it lasts. The first row of another one, or an end row without a rally, ends it: its features
+    go out with that row, and their chance holds until the next rally ends. Sums are kept, not rows.
+    """
+    rally, one, two, ball, p = state
+    new, frame, player, hand, com, torso, elbow, visible, flies, speed = row
+    ended, values = None, [None] * 8
+    if rally is not None and new != rally:
+        ended, values = int(rally), rally_values(one, two, ball)
+        p = chance(values)
+    if new != rally:
+        one, two, ball = PREDICTOR[1:4]
+    if new is not None:
+        measures = (hand, None if torso is None else abs(torso), elbow, visible)
+        one, two = (_summed(one, measures, com), two) if player == 1 else (one, _summed(two, measures, com)) if player == 2 else (one, two)
+        if flies:
+            n, total, most, first, last = ball
+            known = speed is not None
+            ball = [n + known, total + (speed if known else 0.0), max((v for v in (most, speed) if v is not None), default=None), frame if first is None else min(first, frame), frame if last is None else max(last, frame)]
+    return [new, one, two, ball, p], (ended, *values, p)

@@ -236,3 +236,102 @@ def test_files(spark, tmp_path):
     labels = spark.createDataFrame([("a", 0, 0.5, 0.5, 0.1, 0.1)], "name string, cls int, cx double, cy double, w double, h double")
     files.write_labels(labels, str(tmp_path / "labels"))
     assert files.read_labels(spark, str(tmp_path / "labels/*/*.txt")).select("cx").first()[0] == 0.5
+
+
+def test_log_kinds_and_lists(spark, tmp_path):
+    """Each kind of log, and the small readers and writers, on files by hand."""
+    from courtside.sources import files
+
+    folder = tmp_path / "m1"
+    folder.mkdir()
+    (folder / "scores_1.csv").write_text("frame,timestamp_sec,player1_score,player1_sets\n5,0.5,3,1\n")
+    (folder / "rallies_1.csv").write_text("rally_id,rally_start_frame,rally_end_frame\n1,10,40\n2,50,\n")
+    (folder / "pose_frames_1.csv").write_text("frame,timestamp_sec,player_id,visibility_mean\n7,0.7,2,0.25\n")
+    log = lambda kind: files.read_logs(spark, str(tmp_path), kind)
+    assert log("scores").select("frame", "player1_score", "player2_obscured").first()[:] == (5, 3, None)
+    assert sorted(tuple(r) for r in log("rallies").select("rally_id", "rally_end_frame").collect()) == [(1, 40), (2, None)]
+    assert log("pose_frames").select("player_id", "visibility_mean", "v_com_y").first()[:] == (2, 0.25, None)
+    files.write_logs(log("scores"), str(tmp_path / "logs"))
+    assert spark.read.parquet(str(tmp_path / "logs")).select("match_id", "frame").first()[:] == (1, 5)
+
+    (tmp_path / "c.json").write_text('{"fps": 30, "rois": {"p1": [1, 2, 3, 4]}, "table_corners": [[0, 1], [2, 3]]}')
+    c = files.read_config(spark, str(tmp_path / "c.json")).first()
+    assert (c.fps, c.rois["p1"], c.table_corners[1], c.ball_model) == (30.0, [1, 2, 3, 4], [2.0, 3.0], None)
+    (tmp_path / "h.csv").write_text('ID_A,Player A,Match  Score\n 7 ,Ann,3-1\n')
+    h = files.read_history(spark, str(tmp_path / "h.csv"))
+    assert h.columns == ["ID_A", "a", "score"] and h.first()[:] == ("7", "Ann", "3-1")
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "train.txt").write_text("a.jpg\n\n b.jpg \n")
+    assert sorted(tuple(r) for r in files.read_splits(spark, str(tmp_path / "s")).collect()) == [("train", "a.jpg"), ("train", "b.jpg")]
+    images = tmp_path / "x" / "export1" / "valid" / "images"
+    images.mkdir(parents=True)
+    (images / "f_000001.jpg").write_bytes(b"x")
+    assert [tuple(r) for r in files.find_exports(spark, str(tmp_path / "x")).collect()] == [("export1", "val", "f_000001")]
+
+    scores = spark.createDataFrame([(0.5, 15, 3, "x")], "timestamp_sec double, frame int, score int, other string")
+    files.write_csv(scores, str(tmp_path / "out"))
+    files.write_csv(scores, str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 1
+    for _ in range(2):
+        files.write_score_log(scores, str(tmp_path / "log"))
+    assert spark.read.csv(str(tmp_path / "log"), header=True).columns == ["timestamp_sec", "frame", "score"] and spark.read.csv(str(tmp_path / "log"), header=True).count() == 2
+    scores.write.parquet(str(tmp_path / "live"))
+    assert files.live_rows(spark, str(tmp_path / "live"), "timestamp_sec double, frame int, score int").isStreaming
+
+
+def test_manual_score(spark):
+    """Batch against the live step on random events, nulls included."""
+    rng = random.Random(5)
+    rows = [(k, i, rng.choice(["p1", "p2", None]), rng.choice(["point"] * 6 + ["set", "swap", "none", None]), rng.choice([1, 1, 1, -1])) for k in range(4) for i in range(80)]
+    got = {(r.k, r.f): r[5:] for r in win.manual_score(spark.createDataFrame(rows, "k int, f int, p string, kind string, d int"), ["k"], ["f"], "p", "kind", "d").collect()}
+    for k in range(4):
+        state = (0, 0, 0, 0)
+        for _, i, *row in rows[k * 80 : k * 80 + 80]:
+            state, out = rc.score_step(state, tuple(row))
+            assert got[k, i] == out
+
+
+def test_name_search(spark):
+    names = spark.createDataFrame([(1, "Ann Lee"), (2, "LEE"), (3, None), (4, ""), (5, "aaaa")], "i int, n string")
+    wanted = spark.createDataFrame([("lee",), ("LEE",), ("nn le",), ("a",), ("aaa",), ("",), (None,), ("%",)], "w string")
+    low = {1: "ann lee", 2: "lee", 4: "", 5: "aaaa"}
+    assert sorted((r.i, r.w) for r in jn.name_search(names, "n", wanted, "w").collect()) == sorted((i, w) for i, n in low.items() for w in ("lee", "nn le", "a", "aaa", "") if w in n)
+
+
+def test_rank_slice(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("k"))
+    out = rk.rank_slice(df, F.floor(F.col("k") / 40), ["k"], 75, 100)
+    assert sorted((r["rank"], r.k) for r in out.collect()) == [(i + 1, i) for i in range(74, 174)]
+
+
+def test_predictor():
+    """Rallies that end by a next one or by an end row, against plain sums; state stays as small as it starts."""
+    rng = random.Random(3)
+    rows = [(1 + i // 20, i, rng.choice([1, 2, None]), rng.random(), rng.choice([None, rng.random()]), rng.uniform(-1, 1), rng.random(), rng.random(), rng.random() < 0.5, rng.choice([None, rng.random()])) for i in range(60)]
+    state, ended = live.PREDICTOR, []
+    for row in [*rows, (None, 60, *[None] * 8)]:
+        state, (rally, *values, p) = live.predict_step(state, row, lambda v: v[0])
+        if rally is not None:
+            ended.append((rally, values))
+            assert p == values[0]
+    assert [r for r, _ in ended] == [1, 2, 3] and live.PREDICTOR[4] == 0.5 and live.PREDICTOR[1][0][0] == [0, 0.0]
+    mean = lambda v: sum(v) / len(v) if v else 0.0
+    for rally, values in ended:
+        side = lambda p, c: [r[c] for r in rows if r[0] == rally and r[2] == p and r[c] is not None]
+        dev = lambda v: math.sqrt(sum((x - mean(v)) ** 2 for x in v) / (len(v) - 1)) if len(v) > 1 else 0.0
+        fly = [r for r in rows if r[0] == rally and r[8]]
+        speeds = [r[9] for r in fly if r[9] is not None]
+        want = [mean(side(1, 3)) - mean(side(2, 3)), dev(side(1, 4)) - dev(side(2, 4)), mean([abs(x) for x in side(1, 5)]) - mean([abs(x) for x in side(2, 5)]), mean(side(1, 6)) - mean(side(2, 6))]
+        want += [(mean(side(1, 7)) + mean(side(2, 7))) / 2, mean(speeds), max(speeds, default=0.0), fly[-1][1] - fly[0][1] if fly else 0]
+        assert values == pytest.approx(want)
+
+
+def test_models_on_disk(spark, tmp_path):
+    """A saved model scores as before; the user's model runs over batches."""
+    from courtside.operators import learning as ml
+
+    df = spark.createDataFrame([(i / 20, (i * 7 % 20) / 20, int(i > 9)) for i in range(20)], "live double, career double, label int")
+    model = ml.meta("live", "career").fit(df)
+    ml.save(model, str(tmp_path / "model"))
+    assert ml.scored(ml.load(str(tmp_path / "model")), df).collect() == ml.scored(model, df).collect()
+    assert ml.apply_model(df, ml.WinModel()).select("p1", "reliable").distinct().collect() == ml.even_chances(df).select("p1", "reliable").distinct().collect()
