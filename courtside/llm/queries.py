@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from courtside.llm import bpe, compaction, html_extract, licenses, mixing, ngram_join, quality, secret_scan, topk, warc
+from courtside.llm import bpe, compaction, html_extract, licenses, mixing, ngram_join, quality, secret_scan, token_counts, topk, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
     "op9_html_text": html_extract.op9_html_text,
     "op10_warc": warc.op10_warc,
+    "op13_token_counts": token_counts.op13_token_counts,
 }
 
 ORACLES: dict[str, str] = {
