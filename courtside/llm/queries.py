@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from courtside.llm import bpe, compaction, html_extract, lexical_search, licenses, mixing, ngram_join, quality, secret_scan, token_counts, topk, warc
+from courtside.llm import bpe, compaction, conversation_trie, html_extract, lexical_search, licenses, mixing, ngram_join, quality, secret_scan, token_counts, topk, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
     "op9_html_text": html_extract.op9_html_text,
     "op10_warc": warc.op10_warc,
+    "op11_conversation_trie": conversation_trie.op11_conversation_trie,
     "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_token_counts": token_counts.op13_token_counts,
 }
@@ -26,5 +27,6 @@ ORACLES: dict[str, str] = {
     "op7_license_scan": licenses.oracle(),
     "op9_html_text": html_extract.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_conversation_trie": conversation_trie.ORACLE,
     "op12_lexical_search": lexical_search.ORACLE,
 }
