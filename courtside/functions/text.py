@@ -30,10 +30,15 @@ def win_share(text: Column) -> Column:
     return F.coalesce(F.when(F.size(parts) == 2, F.try_divide(side(0), side(0) + side(1))), F.trim(text).try_cast("double"), F.lit(0.5))
 
 
-def padded_games(text: Column, games: int = 5) -> Column:
-    """The games "n:m" of a text as "n-m", padded to ``games`` with N/A."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"\d+:\d+"), F.lit(0)), lambda g: F.replace(g, F.lit(":"), F.lit("-")))
-    return F.slice(F.concat(found, F.array_repeat(F.lit("N/A"), games)), 1, games)
+def games(text: Column) -> Column:
+    """The games "n:m" of a text as "n-m"."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\d+:\d+"), F.lit(0)), lambda g: F.replace(g, F.lit(":"), F.lit("-")))
+
+
+def padded_games(text: Column, most: Column | int = 5) -> Column:
+    """The first ``most`` games of a text, padded with N/A."""
+    most = F.lit(most) if isinstance(most, int) else most
+    return F.slice(F.concat(games(text), F.array_repeat(F.lit("N/A"), most)), F.lit(1), most)
 
 
 def frame_number(name: Column) -> Column:
@@ -41,10 +46,21 @@ def frame_number(name: Column) -> Column:
     return F.regexp_extract(name, r"(\d+)", 1).try_cast("long")
 
 
+#: Fixed value: a name, and an id in brackets after it; whatever follows the brackets doesn't count.
+NAME_AND_ID = r"^(.+?)\s*\(#(\d+)\)"
+
+
 def name_and_id(text: Column) -> tuple[Column, Column]:
-    """Name and id of "name (#id)"; the whole text and null otherwise."""
-    found = F.regexp_extract(text, r"^(.+?) \(#(\d+)\)$", 1)
-    return F.when(found != "", found).otherwise(text), F.regexp_extract(text, r"^(.+?) \(#(\d+)\)$", 2).try_cast("long")
+    """Name and id of "name (#id) ..."; the whole text and null otherwise."""
+    found = F.regexp_extract(text, NAME_AND_ID, 1)
+    return F.when(found != "", F.trim(found)).otherwise(text), F.regexp_extract(text, NAME_AND_ID, 2).try_cast("long")
+
+
+def page_players(name: Column) -> tuple[Column, Column]:
+    """The two players of a page of matches "h2h_<n>_<a>_vs_<b>.html", blanks for underscores; null for other names."""
+    found = lambda i: F.regexp_extract(name, r"^h2h_\d+_(.*)_vs_(.*)\.html", i)
+    named = F.regexp_like(name, F.lit(r"^h2h_\d+_.*_vs_.*\.html"))
+    return tuple(F.when(named, F.replace(found(i), F.lit("_"), F.lit(" "))) for i in (1, 2))
 
 
 def safe_name(text: Column) -> Column:

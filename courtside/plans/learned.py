@@ -10,19 +10,13 @@ from courtside.operators import ratings as rt
 from courtside.operators import recurrence as rc
 from courtside.operators import windows as win
 from courtside.plans.inputs import TR, history, table, tracks
+from courtside.shipping import ship
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
 
 
-def _workers(spark: SparkSession) -> None:
-    """Python workers find this package where the driver has it, unless the session says otherwise."""
-    from pathlib import Path
-
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-
-
 def scene_gate(spark: SparkSession, d: str) -> DataFrame:
-    _workers(spark)
+    ship(spark)
     out = rc.scene_gate(tracks(spark, d).select("match_id", "frame", "x", "conf"), ["match_id"], ["frame"], "x", "conf")
     return out.select("match_id", "frame", "scene", "is_cut", "process")
 
@@ -44,7 +38,7 @@ def skipped_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ema(spark: SparkSession, d: str) -> DataFrame:
-    _workers(spark)
+    ship(spark)
     t = tracks(spark, d).select("match_id", "frame", "x", F.col("y").cast("double").alias("y"), (F.col("event_type") != "error").alias("valid"))
     return rc.smoothed(t, ["match_id"], ["frame"], "x", "y", "valid").select("match_id", "frame", r6(F.col("smooth_x"), "smooth_x"), r6(F.col("smooth_y"), "smooth_y"), "since_valid")
 
@@ -77,7 +71,7 @@ SELECT match_id, frame, p1 AS p1_score, p2 AS p2_score, s1 AS p1_sets, s2 AS p2_
 
 def elo(spark: SparkSession, d: str) -> DataFrame:
     """Ratings of the match history, one pool per nation: its suppliers play against its own numbered guests only."""
-    _workers(spark)
+    ship(spark)
     m = history(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("pool")), "a")
     m = m.select("pool", "l_orderkey", "l_linenumber", "day", F.col("a").cast("string").alias("a"), F.concat_ws(" ", F.lit("guest"), F.col("pool").cast("string"), F.col("b").cast("string")).alias("b"), "a_won")
     out = rt.elo(m, "pool", "a", "b", "a_won", ["day", "l_orderkey", "l_linenumber"])

@@ -14,6 +14,7 @@ from courtside.operators import recurrence as rc
 from courtside.plans import learned
 from courtside.plans import sequences as sq
 from courtside.plans.inputs import BY_FRAME, TR, tracks
+from courtside.shipping import ship
 from courtside.streaming import tracks as live
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
@@ -27,9 +28,7 @@ def _folder(spark: SparkSession) -> str:
 
 def drained(spark: SparkSession, rows: DataFrame, query) -> DataFrame:
     """Write the rows as files in frame order, read them as a stream, apply ``query``, and wait until all is done."""
-    from pathlib import Path
-
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    ship(spark)
     folder = _folder(spark)
     rows.repartition("match_id").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
