@@ -146,13 +146,10 @@ def segments(df: DataFrame, keys: Names, order: Names, first: str, second: str,
 
 
 def segment_winner(first: Column, second: Column, next_first: Column, next_second: Column, strict: bool = False) -> Column:
-    """p1 or p2 if exactly one side's score changed (``strict``: rose), else unknown; also for the last, open segment."""
-    if strict:
-        one, two = next_first > first, next_second > second
-        same_one, same_two = next_first == first, next_second == second
-    else:
-        one, two = next_first != first, next_second != second
-        same_one, same_two = ~one, ~two
+    """p1 or p2 if exactly one side's score changed (``strict``: rose, from a known one), else unknown. Null equals null."""
+    changed = lambda old, new: ~old.eqNullSafe(new)
+    one, two = (F.coalesce(b > a, F.lit(False)) if strict else changed(a, b) for a, b in ((first, next_first), (second, next_second)))
+    same_one, same_two = ~changed(first, next_first), ~changed(second, next_second)
     return F.when(one & same_two, "p1").when(two & same_one, "p2").otherwise("unknown")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from courtside.functions import fusion as fz
 from courtside.operators import features as ft
 from courtside.operators import joins as jn
+from courtside.operators import rallies as ra
 from courtside.operators import windows as win
 from courtside.plans.inputs import BY_FRAME, TR, table, tracks
 
@@ -132,11 +133,11 @@ SELECT match_id, frame, (total - least(0, min(total) OVER (PARTITION BY match_id
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """TR with a stable pair (running counts of purchases and signups, known from the first of each), rallies and the gate's input."""
+    """TR with a stable pair (running counts of purchases and signups, known from the first of each), its points and the gate's input."""
     t = tracks(spark, d)
     count = lambda kind: F.sum(F.when(F.col("event_type") == kind, 1)).over(win.along(KEYS, ORDER).rowsBetween(Window.unboundedPreceding, 0)).cast("long")
     t = t.withColumns({"p1": count("purchase"), "p2": count("signup"), "in_play": F.col("event_type").isin("view", "click", "purchase")})
-    return win.segments(t, KEYS, ORDER, "p1", "p2").withColumn("rally_id", F.col("rally_id").cast("long"))
+    return ra.point_rows(t, KEYS, ORDER, "p1", "p2").withColumn("rally_id", F.col("rally_id").cast("long"))
 
 
 SCORED = f"""{TR}, p AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 END) OVER ({BY_FRAME})::BIGINT AS p1, sum(CASE WHEN event_type = 'signup' THEN 1 END) OVER ({BY_FRAME})::BIGINT AS p2,
@@ -146,17 +147,52 @@ SCORED = f"""{TR}, p AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1
 
 
 def rallies(spark: SparkSession, d: str) -> DataFrame:
-    """match_id, rally_id, start_frame, end_frame, p1, p2, winner of each segment; the last one is open."""
-    g = scored(spark, d).groupBy("match_id", "rally_id").agg(F.min("frame").alias("start_frame"), F.min_by(F.struct("p1", "p2"), "frame").alias("s"))
-    w = win.along(KEYS, ["rally_id"])
-    after = F.lead("s").over(w)
-    g = g.withColumns({"end_frame": F.lead("start_frame").over(w), "p1": F.col("s.p1"), "p2": F.col("s.p2"), "winner": win.segment_winner(F.col("s.p1"), F.col("s.p2"), after["p1"], after["p2"])})
-    return g.drop("s")
+    """match_id, rally_id, start_frame, end_frame, winner, and the start scores p1, p2 of each point; the last one is open."""
+    return ra.point_spans(scored(spark, d), KEYS, "frame", ["p1", "p2"]).withColumnRenamed("first_frame", "start_frame").drop("last_frame")
 
 
-RALLIES = f"""{SCORED}, f AS (SELECT match_id, rally_id, min(frame) AS start_frame, arg_min({{'a': p1, 'b': p2}}, frame) AS s FROM scored GROUP BY ALL),
- rallies AS (SELECT match_id, rally_id, start_frame, lead(start_frame) OVER w AS end_frame, s.a AS p1, s.b AS p2, CASE WHEN s.a <> (lead(s) OVER w).a AND s.b = (lead(s) OVER w).b THEN 'p1' WHEN s.b <> (lead(s) OVER w).b AND s.a = (lead(s) OVER w).a THEN 'p2' ELSE 'unknown' END AS winner
-  FROM f WINDOW w AS (PARTITION BY match_id ORDER BY rally_id))"""
+RALLIES = f"""{SCORED}, b AS (SELECT *, lag(p1) OVER w AS b1, lag(p2) OVER w AS b2 FROM scored WINDOW w AS ({BY_FRAME})),
+ f AS (SELECT match_id, rally_id, min(frame) AS start_frame, arg_max({{'a': p1, 'b': p2}}, frame) FILTER (is_start OR (b1 IS NULL AND p1 IS NOT NULL AND p2 IS NOT NULL)) AS s,
+  max(CASE WHEN is_start THEN CASE WHEN p1 <> b1 AND p2 IS NOT DISTINCT FROM b2 THEN 'p1' WHEN p1 = b1 AND p2 IS DISTINCT FROM b2 THEN 'p2' ELSE 'unknown' END END) AS won FROM b GROUP BY ALL),
+ rallies AS (SELECT match_id, rally_id, start_frame, lead(start_frame) OVER w AS end_frame, coalesce(lead(won) OVER w, 'unknown') AS winner, s.a AS p1, s.b AS p2 FROM f WINDOW w AS (PARTITION BY match_id ORDER BY rally_id))"""
+
+
+def _ball(spark: SparkSession, d: str) -> DataFrame:
+    """Up to two positions of a frame, in metres: on the table, beside it, or unknown; errors have no speed."""
+    t = tracks(spark, d).select("match_id", "frame", "x", "y", "conf", "player", "event_type")
+    one = t.select("match_id", "frame", F.when(F.col("event_type") != "signup", F.col("conf") * 3 - 0.15).alias("x_m"), (F.col("y") % 16 / 10.0 - 0.05).alias("y_m"), F.when(_ok(), F.col("x") / 7).alias("speed_mps"))
+    two = t.filter("player = 1").select("match_id", "frame", (F.col("y") % 40 / 10.0 - 0.6).alias("x_m"), (F.col("conf") * 1.5).alias("y_m"), (F.col("x") / 11).alias("speed_mps"))
+    return one.unionByName(two)
+
+
+def rally_records(spark: SparkSession, d: str) -> DataFrame:
+    """The rally log of TR: sets are counts of clicks, errors skip the running point in some frames and take it back in others."""
+    event = F.when((F.col("event_type") == "error") & (F.col("frame") % 3 == 0), ra.SKIP).when((F.col("event_type") == "error") & (F.col("frame") % 3 == 1), ra.UNDO)
+    clicks = F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).over(win.along(KEYS, ORDER))
+    frames = scored(spark, d).select("match_id", "frame", (F.col("frame") / 30.0).alias("timestamp_sec"), "p1", "p2", clicks.alias("s1"), F.col("player").alias("s2"), (F.col("frame") % 50 != 7).alias("ok"), event.alias("event"))
+    return ra.rally_records(frames, _ball(spark, d), KEYS, scores=("p1", "p2"), sets=("s1", "s2"), calibrated="ok", event="event", seen=2, missing=3)
+
+
+_ON = "x_m BETWEEN -0.1 AND 2.84 AND y_m BETWEEN -0.1 AND 1.625"
+RECORDS = f"""WITH {RALLIES}, ball AS (SELECT match_id, frame, CASE WHEN event_type <> 'signup' THEN conf * 3 - 0.15::DOUBLE END AS x_m, y % 16 / 10.0::DOUBLE - 0.05::DOUBLE AS y_m, CASE WHEN event_type <> 'error' THEN x / 7 END AS speed FROM tr
+  UNION ALL SELECT match_id, frame, y % 40 / 10.0::DOUBLE - 0.6::DOUBLE, conf * 1.5::DOUBLE, x / 11 FROM tr WHERE player = 1),
+ play AS (SELECT match_id, frame, bool_or(CASE WHEN frame % 50 <> 7 THEN coalesce({_ON}, false) ELSE x_m IS NOT NULL END) AS playing FROM ball GROUP BY ALL),
+ r AS (SELECT s.*, playing, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY frame) AS s1, player AS s2, lag(p1) OVER (PARTITION BY match_id ORDER BY frame) AS b1,
+  CASE WHEN event_type = 'error' AND frame % 3 = 0 THEN 'skip' WHEN event_type = 'error' AND frame % 3 = 1 THEN 'undo' END AS said FROM scored s JOIN play USING (match_id, frame)),
+ t AS (SELECT *, CASE WHEN playing IS NOT DISTINCT FROM lag(playing) OVER w THEN 0 ELSE 1 END AS turn FROM r WINDOW w AS (PARTITION BY match_id, rally_id ORDER BY frame)),
+ i AS (SELECT *, sum(turn) OVER (PARTITION BY match_id, rally_id ORDER BY frame) AS island FROM t),
+ l AS (SELECT *, row_number() OVER (PARTITION BY match_id, rally_id, island ORDER BY frame) AS n FROM i),
+ a AS (SELECT *, coalesce(last_value(CASE WHEN playing AND n >= 2 THEN true WHEN NOT playing AND n >= 3 THEN false END IGNORE NULLS) OVER (PARTITION BY match_id, rally_id ORDER BY frame ROWS UNBOUNDED PRECEDING), false) AS open FROM l),
+ c AS (SELECT *, playing AND coalesce(lag(open) OVER (PARTITION BY match_id, rally_id ORDER BY frame), false) AS takes, max(CASE WHEN said = 'skip' THEN frame END) OVER (PARTITION BY match_id, rally_id) AS cut,
+  coalesce(arg_max(said, frame) FILTER (said IS NOT NULL) OVER (PARTITION BY match_id, rally_id) = 'skip', false) AS skipped FROM a),
+ k AS (SELECT c.match_id, c.rally_id, CASE WHEN speed > 0 THEN speed END AS up, CASE WHEN {_ON} THEN least(2, floor(greatest(0, least(1.525::DOUBLE, y_m)) / (1.525::DOUBLE / 3))) * 3 + least(2, floor(greatest(0, least(2.74::DOUBLE, x_m)) / (2.74::DOUBLE / 3))) END AS zone
+  FROM c JOIN ball b ON b.match_id = c.match_id AND b.frame = c.frame WHERE takes AND c.frame % 50 <> 7 AND NOT skipped AND (cut IS NULL OR c.frame > cut) AND x_m IS NOT NULL),
+ z AS (SELECT match_id, rally_id, avg(up) AS m, max(up) AS h, CASE WHEN count(up) > 1 THEN stddev_pop(up) END AS s, {", ".join(f"count(*) FILTER (zone = {n}) AS z{n}" for n in range(9))} FROM k GROUP BY ALL),
+ e AS (SELECT match_id, rally_id, max(frame) AS last, max(skipped) AS skipped, arg_max(coalesce(p1, -1), frame) >= 0 AS known, arg_max({{'a': s1, 'b': s2}}, frame) FILTER (is_start OR (b1 IS NULL AND p1 IS NOT NULL AND p2 IS NOT NULL)) AS s FROM c GROUP BY ALL)
+SELECT match_id, rally_id::INTEGER AS rally_id, CASE WHEN rally_id = 0 THEN 0 ELSE start_frame END::BIGINT AS rally_start_frame, coalesce(end_frame, last)::BIGINT AS rally_end_frame, CASE WHEN rally_id = 0 THEN 0 ELSE start_frame / 30.0::DOUBLE END AS rally_start_time,
+ coalesce(end_frame, last) / 30.0::DOUBLE AS rally_end_time, p1::INTEGER AS p1_score_start, p2::INTEGER AS p2_score_start, e.s.a::INTEGER AS p1_sets_start, e.s.b::INTEGER AS p2_sets_start, round(m, 4) AS mean_speed_mps, round(h, 4) AS max_speed_mps, round(z.s, 4) AS speed_std_mps,
+ {", ".join(f"coalesce(z{n}, 0)::INTEGER AS landing_zone_{n}" for n in range(9))}, winner AS point_winner, e.skipped::INTEGER AS skipped
+FROM rallies JOIN e USING (match_id, rally_id) LEFT JOIN z USING (match_id, rally_id) WHERE end_frame IS NOT NULL OR known"""
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
@@ -327,7 +363,7 @@ def profile_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    rally_model_features, set_debounce, obscured_flags, calibration_in_force, profile_fusion, speed_px, speed_m, trail, rolling_rate, running_max, pose_velocity, epoch, freeze_after, vote, stable_run, tumbling_vote, change_log, toggle_gate, clamped_sum, segments, gate, in_play, rally_stats,
+    rally_model_features, set_debounce, obscured_flags, calibration_in_force, profile_fusion, speed_px, speed_m, trail, rolling_rate, running_max, pose_velocity, epoch, freeze_after, vote, stable_run, tumbling_vote, change_log, toggle_gate, clamped_sum, segments, rally_records, gate, in_play, rally_stats,
     zone_pivot, digit_assembly, two_sided_read, match_winner, range_join, asof_join, locf, best_box, rally_features, expanding,
 )}
 ORACLES = {
@@ -351,6 +387,7 @@ ORACLES = {
     "toggle_gate": f"WITH {TR} SELECT match_id, frame, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER ({BY_FRAME}) % 2 = 1 AS gate_open FROM tr",
     "clamped_sum": CLAMPED,
     "segments": f"WITH {RALLIES} SELECT * FROM rallies",
+    "rally_records": RECORDS,
     "gate": GATE,
     "in_play": f"WITH {TR} SELECT match_id, (frame // 5)::BIGINT AS slot, bool_or(event_type IN ('view', 'click', 'purchase')) AS in_play, max(x) AS max_x FROM tr GROUP BY ALL",
     "rally_stats": RALLY_STATS,
