@@ -7,11 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courtside.functions import fusion as fz
 from courtside.operators import joins as jn
+from courtside.operators import windows as win
 
-#: The eight features, in the order that models read them.
+#: The eight features, in the order that models read them.
 RALLY_FEATURES = ["hand_speed_diff", "com_std_diff", "movement_diff", "elbow_diff", "visibility_avg", "ball_speed_mean", "ball_speed_max", "rally_duration_frames"]
 
+#: What a match's model reads after a point, in this order: means over all its rallies and the last three, the score, the rally's number.
+MODEL_FEATURES = [*RALLY_FEATURES, *(f"{c}_last3" for c in RALLY_FEATURES), "score_diff", "total_points", "rally_number"]
+
 
 def rally_features(
     poses: DataFrame, ball: DataFrame, keys: Sequence[str], *, player: str = "player_id", frame: str = "frame", hand_speed: str = "v_hand_speed", com: str = "com_height", torso: str = "v_torso_x",
@@ -34,6 +39,19 @@ def rally_features(
     return pose.join(balls, list(keys), "full_outer").select(*keys, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in RALLY_FEATURES))
 
 
+def model_features(rallies: DataFrame, keys: Sequence[str], rally: str, scores: tuple[str, str], sets: tuple[str, str] | None = None, set_points: float = 11) -> DataFrame:
+    """keys, rally and MODEL_FEATURES: one row per rally, with what is known of its match once it has ended.
+
+    ``rallies`` has RALLY_FEATURES and the scores at the rally's end; a set counts ``set_points``, without ``sets`` nothing.
+    """
+    out = win.expanding(rallies, keys, [rally], RALLY_FEATURES, recent=3)
+    s1, s2 = (F.col(sets[0]), F.col(sets[1])) if sets else (F.lit(0), F.lit(0))
+    score = fz.score_context(F.coalesce(scores[0], F.lit(0)), F.coalesce(scores[1], F.lit(0)), s1, s2, set_points)
+    means = [F.col(f"{c}_mean").cast("double").alias(c) for c in RALLY_FEATURES]
+    recent = [F.col(f"{c}_last3").cast("double").alias(f"{c}_last3") for c in RALLY_FEATURES]
+    return out.select(*keys, rally, *means, *recent, *(c.cast("double").alias(n) for n, c in score.items()), F.col("row_in_key").cast("double").alias("rally_number"))
+
+
 def calibration_at(frames: DataFrame, calibrations: DataFrame, keys: Sequence[str], frame: str, corners: Sequence[str], valid: Column) -> DataFrame:
     """Adds the corners in force at each frame: the last valid calibration at or before it, null before the first."""
     return jn.asof_join(frames, calibrations.filter(valid), list(keys), frame, list(corners), {})

@@ -82,12 +82,20 @@ def even_chances(df: DataFrame) -> DataFrame:
 
 
 class WinModel:
-    """What a user supplies for live prediction: packets in, p1, p2, confidence and reliable out, a frame at a time."""
+    """What a user supplies for live prediction. ``predict`` sees packets, a batch of frames at a time, without memory; ``on_point``
+    sees the features of a match after each of its points, and its chance holds until the next one.
+
+    A match is reset by a row of the live stream that says so, or by silence (``streaming.win_model``).
+    """
 
     def predict(self, packets):
-        """Default: even chances, not reliable."""
+        """p1, p2, confidence and reliable beside the packets. Default: even chances, not reliable."""
         return packets.assign(p1=0.5, p2=0.5, confidence=0.0, reliable=False)
 
+    def on_point(self, vector: Sequence[float]) -> float | None:
+        """The first player's chance after a point, None to leave things as they are (the default)."""
+        return None
+
 
 def apply_model(df: DataFrame, model: WinModel, outputs: str = "p1 double, p2 double, confidence double, reliable boolean") -> DataFrame:
     """Run a model over Arrow batches of packets."""

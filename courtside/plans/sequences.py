@@ -329,6 +329,39 @@ SELECT match_id, rally_id, round(hand, 6) AS hand_speed_diff, round(com, 6) AS c
  round(coalesce(mean, 0), 6) AS ball_speed_mean, round(coalesce(most, 0), 6) AS ball_speed_max, coalesce(frames, 0)::BIGINT AS rally_duration_frames FROM side LEFT JOIN flight USING (match_id, rally_id)"""
 
 
+def pose_events(spark: SparkSession, d: str) -> DataFrame:
+    """TR's events as poses of two players with the score at each."""
+    return scored(spark, d).select(
+        "match_id", "rally_id", "frame", (F.col("player") + 1).alias("player_id"), F.col("x").alias("hand"), F.col("conf").alias("com"), (F.col("y") - 50).alias("torso"), (F.col("x") * 2).alias("elbow"), F.col("conf").alias("visible"),
+        _ok().alias("flies"), F.col("x").alias("speed"), F.col("p1").cast("int").alias("p1_score"), F.col("p2").cast("int").alias("p2_score"), F.col("player").alias("p1_sets"), (F.col("y") % 3).alias("p2_sets"),
+    )
+
+
+def win_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The nineteen values of every point: the score is that of the row that ends it, or of the match's last row."""
+    s = pose_events(spark, d)
+    pose = s.select("match_id", "rally_id", "player_id", F.col("hand").alias("v_hand_speed"), F.col("com").alias("com_height"), F.col("torso").alias("v_torso_x"), F.col("elbow").alias("angle_elbow_dom"), F.col("visible").alias("visibility_mean"))
+    eight = ft.rally_features(pose, s.filter("flies").withColumnRenamed("speed", "speed_mps"), [*KEYS, "rally_id"])
+    score = F.struct("p1_score", "p2_score", "p1_sets", "p2_sets")
+    ends = s.groupBy("match_id", "rally_id").agg(F.min_by(score, "frame").alias("first"), F.max_by(score, "frame").alias("last"))
+    ends = ends.withColumn("end", F.coalesce(F.lead("first").over(win.along(KEYS, ["rally_id"])), "last")).select("match_id", "rally_id", "end.*")
+    out = ft.model_features(eight.join(ends, ["match_id", "rally_id"]), KEYS, "rally_id", ("p1_score", "p2_score"), ("p1_sets", "p2_sets"))
+    return out.select("match_id", "rally_id", *(F.round(c, 9).alias(c) for c in ft.MODEL_FEATURES))
+
+
+def _vectors_sql() -> str:
+    eight = dict(zip(ft.RALLY_FEATURES, ("hand", "com", "move", "elbow", "vis", "coalesce(mean, 0)", "coalesce(most, 0)", "coalesce(frames, 0)"), strict=True))
+    means = ", ".join(f"round(avg({c}) OVER a, 9) AS {c}, round(avg({c}) OVER b, 9) AS {c}_last3" for c in eight)
+    return f"""{MODEL_SIDES}, eight AS (SELECT match_id, rally_id, {", ".join(f"({v})::DOUBLE AS {c}" for c, v in eight.items())} FROM side LEFT JOIN flight USING (match_id, rally_id)),
+ edges AS (SELECT match_id, rally_id, arg_min({{'p1': p1, 'p2': p2, 's1': player, 's2': y % 3}}, frame) AS head, arg_max({{'p1': p1, 'p2': p2, 's1': player, 's2': y % 3}}, frame) AS tail FROM scored GROUP BY ALL),
+ ends AS (SELECT match_id, rally_id, coalesce(lead(head) OVER (PARTITION BY match_id ORDER BY rally_id), tail) AS e FROM edges),
+ vectors AS (SELECT match_id, rally_id, {means}, (coalesce(e.p1, 0) - coalesce(e.p2, 0) + 11 * (e.s1 - e.s2))::DOUBLE AS score_diff, (coalesce(e.p1, 0) + coalesce(e.p2, 0) + 11 * (e.s1 + e.s2))::DOUBLE AS total_points,
+  (row_number() OVER a)::DOUBLE AS rally_number FROM eight JOIN ends USING (match_id, rally_id) WINDOW a AS (PARTITION BY match_id ORDER BY rally_id ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY match_id ORDER BY rally_id ROWS 2 PRECEDING))"""
+
+
+VECTORS = _vectors_sql()
+
+
 def set_debounce(spark: SparkSession, d: str) -> DataFrame:
     """Set counts of which every eighth is missing and some are impossible, held for two reads."""
     t = tracks(spark, d).withColumn("sets", F.when(F.col("y") % 8 != 0, F.col("y") % 7))
@@ -363,11 +396,12 @@ def profile_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    rally_model_features, set_debounce, obscured_flags, calibration_in_force, profile_fusion, speed_px, speed_m, trail, rolling_rate, running_max, pose_velocity, epoch, freeze_after, vote, stable_run, tumbling_vote, change_log, toggle_gate, clamped_sum, segments, rally_records, gate, in_play, rally_stats,
+    rally_model_features, win_vectors, set_debounce, obscured_flags, calibration_in_force, profile_fusion, speed_px, speed_m, trail, rolling_rate, running_max, pose_velocity, epoch, freeze_after, vote, stable_run, tumbling_vote, change_log, toggle_gate, clamped_sum, segments, rally_records, gate, in_play, rally_stats,
     zone_pivot, digit_assembly, two_sided_read, match_winner, range_join, asof_join, locf, best_box, rally_features, expanding,
 )}
 ORACLES = {
     "rally_model_features": MODEL_FEATURES,
+    "win_vectors": f"{VECTORS} SELECT * FROM vectors",
     "set_debounce": SETS,
     "obscured_flags": f"WITH {TR} SELECT match_id, frame, coalesce(last_value(CASE event_type WHEN 'view' THEN false WHEN 'error' THEN true END IGNORE NULLS) OVER ({BY_FRAME} ROWS UNBOUNDED PRECEDING), false) AS obscured FROM tr",
     "calibration_in_force": f'WITH {TR} SELECT c.match_id, c.frame, m.x AS "left", m.y AS top FROM (SELECT * FROM tr WHERE event_type = \'click\') c ASOF LEFT JOIN (SELECT * FROM tr WHERE event_type = \'signup\' AND y >= 20) m ON c.match_id = m.match_id AND c.frame >= m.frame',

@@ -16,6 +16,7 @@ from courtside.plans import sequences as sq
 from courtside.plans.inputs import BY_FRAME, TR, tracks
 from courtside.shipping import ship
 from courtside.streaming import tracks as live
+from courtside.streaming import win_model as wm
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
 
@@ -93,6 +94,12 @@ def stream_ema(spark: SparkSession, d: str) -> DataFrame:
     return out.select("match_id", "frame", r6(F.col("smooth_x"), "smooth_x"), r6(F.col("smooth_y"), "smooth_y"), "since_valid")
 
 
+def stream_corner_tracker(spark: SparkSession, d: str) -> DataFrame:
+    step = lambda state, row: tuple(map(list, rc.corner_step(tuple(state), row)))
+    out = drained(spark, learned.corner_rows(spark, d), lambda s: live.stateful(s, "match_id", ["frame"], [*rc.CORNERS, "found", "marked"], list(rc.TRACKER), step, rc.CORNER_OUTPUTS, ["frame"]))
+    return learned._corners_out(out)
+
+
 def stream_speed_reset(spark: SparkSession, d: str) -> DataFrame:
     """Speeds whose track history starts anew at each signup, as it does at a scene's cut."""
     t = tracks(spark, d).select("match_id", "frame", "x", F.col("y").cast("double").alias("y"), F.lit(30.0).alias("rate"), (F.col("event_type") == "signup").alias("cut"))
@@ -126,10 +133,46 @@ def stream_chances(spark: SparkSession, d: str) -> DataFrame:
     return _predicted(spark, d).filter("rally_id is not null").select("match_id", "frame", r6(F.col("probability"), "probability"))
 
 
+#: A model of a few of the nineteen values, which SQL can say too.
+_LIVE = wm.Linear([0.0] * 19, [1.0] * 19, [0.01] + [0.0] * 7 + [0.005] + [0.0] * 7 + [0.05, 0.0, -0.001], 0.1)
+
+
+def _live_model(spark: SparkSession, d: str) -> DataFrame:
+    """Events through the live win model: odd frames come first, even ones in a later micro-batch, end rows with the latter."""
+    ship(spark)
+    s = sq.pose_events(spark, d).withColumn("reset", F.lit(False))
+    ends = s.groupBy("match_id").agg((F.max("frame") + 1).alias("frame"))
+    # a row of no match far ahead moves the watermark over all others
+    ahead = spark.range(1).select(F.lit(-1).cast("long").alias("match_id"), F.lit(400_000_000).cast("int").alias("frame"))
+    rows = s.unionByName(ends, allowMissingColumns=True).unionByName(ahead, allowMissingColumns=True).withColumn("ts", F.timestamp_seconds(F.col("frame")))
+    folder, files = _folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for part in (1, 0):
+        rows.filter((F.col("frame") % 2 == part) | (F.lit(part == 0) & F.col("rally_id").isNull())).repartition(files, "match_id").write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
+    run = wm.predicted(stream, _LIVE, keep=["frame", "rally_id"], delay="3650 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def stream_win_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The nineteen values of every point, as it ends."""
+    out = _live_model(spark, d).filter("ended is not null")
+    return out.select("match_id", F.col("ended").alias("rally_id"), *(F.round(F.get("vector", F.lit(i)), 9).alias(c) for i, c in enumerate(ft.MODEL_FEATURES)))
+
+
+def stream_win_chances(spark: SparkSession, d: str) -> DataFrame:
+    """The model's answer in force at each frame."""
+    out = _live_model(spark, d).filter("rally_id is not null")
+    return out.select("match_id", "frame", *(F.round(c, 9).alias(c) for c in ("player1_win_prob", "player2_win_prob", "confidence")), "model_ready")
+
+
 QUERIES = {f.__name__: f for f in (
-    stream_speed_px, stream_change_log, stream_stable_run, stream_gate, stream_window_counts, stream_clamped_sum, stream_scene_gate, stream_ema, stream_speed_reset, stream_rally_features, stream_chances,
+    stream_win_vectors, stream_win_chances, stream_corner_tracker, stream_speed_px, stream_change_log, stream_stable_run, stream_gate, stream_window_counts, stream_clamped_sum, stream_scene_gate, stream_ema, stream_speed_reset, stream_rally_features, stream_chances,
 )}
 ORACLES = {
+    "stream_win_vectors": f"{sq.VECTORS} SELECT * FROM vectors",
+    "stream_win_chances": f"""{sq.VECTORS}, c AS (SELECT match_id, rally_id, lag(1 / (1 + exp(-(0.1::DOUBLE + 0.01::DOUBLE * hand_speed_diff + 0.005::DOUBLE * hand_speed_diff_last3 + 0.05::DOUBLE * score_diff - 0.001::DOUBLE * rally_number)))) OVER (PARTITION BY match_id ORDER BY rally_id) AS p FROM vectors)
+SELECT match_id, frame, round(coalesce(p, 0.5), 9) AS player1_win_prob, round(1 - coalesce(p, 0.5), 9) AS player2_win_prob, round(abs(coalesce(p, 0.5) - 0.5) * 2, 9) AS confidence, p IS NOT NULL AS model_ready FROM scored JOIN c USING (match_id, rally_id)""",
     "stream_speed_px": sq.SPEED_PX,
     "stream_change_log": sq.ORACLES["change_log"],
     "stream_stable_run": sq.STABLE,
@@ -138,6 +181,7 @@ ORACLES = {
     "stream_clamped_sum": sq.ORACLES["clamped_sum"],
     "stream_scene_gate": learned.SCENE,
     "stream_ema": learned.EMA,
+    "stream_corner_tracker": learned.TRACKER_SQL,
     "stream_speed_reset": f"""WITH {TR}, e AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER ({BY_FRAME}) AS part FROM tr), s AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) * 30 AS speed FROM e WINDOW w AS (PARTITION BY match_id, part ORDER BY frame))
 SELECT match_id, frame, round(speed, 6) AS speed, round(coalesce(avg(speed) OVER (PARTITION BY match_id, part ORDER BY frame ROWS 4 PRECEDING), 0), 6) AS smooth_speed FROM s""",
     "stream_rally_features": sq.MODEL_FEATURES,
