@@ -123,6 +123,19 @@ def quad_aspect(quad: Sequence[Point]) -> Column:
     return F.try_divide(side(quad[0], quad[1]) + side(quad[3], quad[2]), side(quad[1], quad[2]) + side(quad[0], quad[3]))
 
 
+#: Least area of a table in pixels, its range against a first one, and the range of width over height.
+QUAD_AREA, AREA_RATIO, ASPECT = 500.0, (0.3, 3.0), (1.2, 5.0)
+
+
+def quad_passes(quad: Sequence[Point], first_area: Column | None = None) -> Column:
+    """Whether four corners can be a table: convex, large enough, wider than high, and of about the first one's area if it is given and not 0."""
+    area, aspect = quad_area(quad), quad_aspect(quad)
+    fits = is_convex(quad) & (area >= QUAD_AREA) & aspect.between(*ASPECT)
+    if first_area is not None:
+        fits = fits & F.coalesce(F.try_divide(area, first_area).between(*AREA_RATIO), F.lit(True))
+    return F.coalesce(fits, F.lit(False))
+
+
 def shortest_side(quad: Sequence[Point]) -> Column:
     return F.least(*(F.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(quad, [*quad[1:], quad[0]], strict=True)))
 

@@ -71,6 +71,54 @@ def ema_step(state: tuple[float | None, float | None, int], row: tuple[float, fl
     return (x, y, 0), (x, y, 0)
 
 
+#: Least area of a table in pixels, its range against the first one, and the range of width over height.
+QUAD_AREA, AREA_RATIO, ASPECT, QUAD_HEIGHT = 500.0, (0.3, 3.0), (1.2, 5.0), 1.0
+
+
+def area_of(quad: Sequence[float]) -> float:
+    """Shoelace area of four points x, y, x, y, ..."""
+    return abs(sum(quad[i] * quad[(i + 3) % 8] - quad[(i + 2) % 8] * quad[i + 1] for i in range(0, 8, 2))) / 2
+
+
+def quad_passes(quad: Sequence[float], first_area: float) -> bool:
+    """Whether four corners TL, TR, BR, BL can be a table: convex, large enough, of about the first one's area, wider than high."""
+    turns = set()
+    for i in range(0, 8, 2):
+        (xa, ya), (xb, yb), (xc, yc) = (quad[j % 8 : j % 8 + 2] for j in (i, i + 2, i + 4))
+        turns.add((xb - xa) * (yc - yb) - (yb - ya) * (xc - xb) > 0)
+    area = area_of(quad)
+    if len(turns) > 1 or area < QUAD_AREA or (first_area > 0 and not AREA_RATIO[0] <= area / first_area <= AREA_RATIO[1]):
+        return False
+    side = lambda a, b: ((quad[2 * a] - quad[2 * b]) ** 2 + (quad[2 * a + 1] - quad[2 * b + 1]) ** 2) ** 0.5
+    width, height = (side(0, 1) + side(3, 2)) / 2, (side(0, 3) + side(1, 2)) / 2
+    return height >= QUAD_HEIGHT and ASPECT[0] <= width / height <= ASPECT[1]
+
+
+#: No corners yet.
+TRACKER = (None, 0.0, 0)
+
+
+def corner_step(state: tuple, row: tuple, weight: float = EMA, jump: float = JUMP) -> tuple[tuple, tuple]:
+    """(corners, area when they were set, rows since they were valid), (eight coordinates, found, marked) to (eight coordinates, is_valid, rows since).
+
+    A row that marks the table (by hand, or after a cut) sets the corners as they are, and so does the first one with all of
+    them. Else they move towards the row's by ``weight``, unless a point is missing or not found, one has jumped, or the
+    quad would no longer be a table: then the old ones stay, and are not valid until a row passes again.
+    """
+    corners, area, since = state
+    *points, found, marked = row
+    known = all(p is not None and p == p for p in points)
+    if known and (marked or (corners is None and found)):
+        corners = [float(p) for p in points]
+        return (corners, area_of(corners), 0), (*corners, True, 0)
+    if known and found and corners is not None:
+        moved = [((points[i] - corners[i]) ** 2 + (points[i + 1] - corners[i + 1]) ** 2) ** 0.5 for i in range(0, 8, 2)]
+        smooth = [weight * p + (1 - weight) * c for p, c in zip(points, corners, strict=True)]
+        if max(moved) <= jump and quad_passes(smooth, area):
+            return (smooth, area, 0), (*smooth, True, 0)
+    return (corners, area, since + 1), (*(corners or [None] * 8), False, since + 1)
+
+
 def score_step(state: tuple[int, int, int, int], row: tuple[str, str, int]) -> tuple[tuple, tuple]:
     """(points 1, 2, sets 1, 2), (player, kind, delta) to the four: points stop at 0, a set clears both, a swap swaps all.
 
@@ -95,3 +143,15 @@ def scene_gate(df: DataFrame, keys: Sequence[str], order: Sequence[str], diff: s
 
 def smoothed(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, y: str, valid: str) -> DataFrame:
     return scan(df, keys, order, [x, y, valid], (None, None, 0), ema_step, "smooth_x double, smooth_y double, since_valid int")
+
+
+CORNERS = [f"{axis}_{corner}" for corner in ("tl", "tr", "br", "bl") for axis in "xy"]
+CORNER_OUTPUTS = ", ".join([*(f"smooth_{c} double" for c in CORNERS), "is_valid boolean", "since_valid int"])
+
+
+def tracked_corners(df: DataFrame, keys: Sequence[str], order: Sequence[str], found: str, marked: str, corners: Sequence[str] = CORNERS) -> DataFrame:
+    """Adds the table's four smoothed corners, whether they are valid, and for how many rows they haven't been; see ``corner_step``.
+
+    ``corners`` are the eight coordinate columns of TL, TR, BR, BL; ``geometry.ordered_corners`` puts marked points in that order.
+    """
+    return scan(df, keys, order, [*corners, found, marked], TRACKER, corner_step, CORNER_OUTPUTS)

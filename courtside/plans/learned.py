@@ -52,6 +52,63 @@ EMA = f"""WITH RECURSIVE {TR}, t AS (SELECT match_id, frame, x, y::DOUBLE AS y,
 SELECT match_id, frame, round(x, 6) AS smooth_x, round(y, 6) AS smooth_y, since AS since_valid FROM s WHERE frame > 0"""
 
 
+#: TR as a camera's corners: (left, top) + (width, height) by match, each point off by a few pixels of the row's values.
+_OFF = {"tl": (0, 0, 0.11, 0.3), "tr": (1, 0, 0.23, -0.2), "br": (1, 1, 0.17, 0.5), "bl": (0, 1, 0.3, -0.4)}
+
+
+def corner_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Corners as a tracker finds them: errors aren't found, signups mark anew at another size, some rows jump or cross over."""
+    t = tracks(spark, d)
+    width, height = 260 + t.match_id % 7 * 70, 200.0 + F.when(F.col("event_type") == "signup", F.col("y") * 2).otherwise(F.col("y") % 30)
+    far = F.when(F.col("y") % 23 == 0, 80.0).otherwise(0.0)
+    cross = F.when(F.col("y") % 19 == 0, F.col("x")).otherwise(0.0)
+    points = {}
+    for corner, (right, low, dx, dy) in _OFF.items():
+        points[f"x_{corner}"] = 200 + right * width + dx * F.col("x") + (far if corner == "br" else 0) + (cross if corner == "tl" else 0)
+        points[f"y_{corner}"] = 300 + low * height + dy * F.col("y")
+    points["x_bl"] = F.when(F.col("y") % 31 != 0, points["x_bl"])
+    return t.select("match_id", "frame", *(c.cast("double").alias(n) for n, c in points.items()), (F.col("event_type") != "error").alias("found"), (F.col("event_type") == "signup").alias("marked"))
+
+
+def _corners_out(out: DataFrame) -> DataFrame:
+    return out.select("match_id", "frame", *(r6(F.col(f"smooth_{c}"), f"smooth_{c}") for c in rc.CORNERS), "is_valid", "since_valid")
+
+
+def corner_tracker(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return _corners_out(rc.tracked_corners(corner_rows(spark, d), ["match_id"], ["frame"], "found", "marked"))
+
+
+def _corners_sql() -> str:
+    """A recursive query: p are the row's points, s the state, n the smoothed ones."""
+    points = []
+    for corner, (right, low, dx, dy) in _OFF.items():
+        more = " + CASE WHEN y % 23 = 0 THEN 80 ELSE 0 END" if corner == "br" else " + CASE WHEN y % 19 = 0 THEN x ELSE 0 END" if corner == "tl" else ""
+        x = f"200 + {right} * (260 + match_id % 7 * 70) + {dx}::DOUBLE * x{more}"
+        points.append(f"({x if corner != 'bl' else f'CASE WHEN y % 31 <> 0 THEN {x} END'})::DOUBLE AS x_{corner}")
+        points.append(f"(300 + {low} * (200 + CASE WHEN event_type = 'signup' THEN y * 2 ELSE y % 30 END) + {dy}::DOUBLE * y)::DOUBLE AS y_{corner}")
+    names = ["tl", "tr", "br", "bl"]
+    area = lambda t: "abs(" + " + ".join(f"{t}.x_{a} * {t}.y_{b} - {t}.x_{b} * {t}.y_{a}" for a, b in zip(names, names[1:] + names[:1], strict=True)) + ") / 2"
+    turn = lambda a, b, c: f"(n.x_{b} - n.x_{a}) * (n.y_{c} - n.y_{b}) - (n.y_{b} - n.y_{a}) * (n.x_{c} - n.x_{b}) > 0"
+    turns = [turn(names[i], names[(i + 1) % 4], names[(i + 2) % 4]) for i in range(4)]
+    side = lambda a, b: f"sqrt((n.x_{a} - n.x_{b}) ** 2 + (n.y_{a} - n.y_{b}) ** 2)"
+    aspect = f"({side('tl', 'tr')} + {side('bl', 'br')}) / ({side('tl', 'bl')} + {side('tr', 'br')})"
+    jumps = f"greatest({', '.join(f'sqrt((t.x_{c} - s.x_{c}) ** 2 + (t.y_{c} - s.y_{c}) ** 2)' for c in names)})"
+    passes = f"n.known AND t.found AND s.x_tl IS NOT NULL AND {jumps} <= 50 AND ({' AND '.join(f'({t})' for t in turns)} OR NOT ({' OR '.join(f'({t})' for t in turns)})) AND {area('n')} >= 500 AND (s.area = 0 OR {area('n')} / s.area BETWEEN 0.3 AND 3) AND {aspect} BETWEEN 1.2 AND 5"
+    smooth = ", ".join(f"0.3::DOUBLE * t.{c} + 0.7::DOUBLE * s.{c} AS {c}" for c in rc.CORNERS)
+    sets = "n.known AND (t.marked OR (s.x_tl IS NULL AND t.found))"
+    out = ", ".join(f"CASE WHEN {sets} THEN t.{c} WHEN {passes} THEN n.{c} ELSE s.{c} END AS {c}" for c in rc.CORNERS)
+    return f"""WITH RECURSIVE {TR}, t AS (SELECT match_id, frame, {", ".join(points)}, event_type <> 'error' AS found, event_type = 'signup' AS marked FROM tr), s AS (
+ SELECT match_id, 0 AS frame, {", ".join(f"NULL::DOUBLE AS {c}" for c in rc.CORNERS)}, 0::DOUBLE AS area, false AS is_valid, 0 AS since FROM (SELECT DISTINCT match_id FROM t)
+ UNION ALL
+ SELECT t.match_id, t.frame, {out}, CASE WHEN {sets} THEN {area("t")} ELSE s.area END, coalesce({sets} OR ({passes}), false), CASE WHEN {sets} OR ({passes}) THEN 0 ELSE s.since + 1 END
+ FROM s JOIN t ON t.match_id = s.match_id AND t.frame = s.frame + 1, LATERAL (SELECT {smooth}, {" AND ".join(f"t.{c} IS NOT NULL" for c in rc.CORNERS)} AS known) n)
+SELECT match_id, frame, {", ".join(f"round({c}, 6) AS smooth_{c}" for c in rc.CORNERS)}, is_valid, since AS since_valid FROM s WHERE frame > 0"""
+
+
+TRACKER_SQL = _corners_sql()
+
+
 def manual_score(spark: SparkSession, d: str) -> DataFrame:
     """Points and sets from events: purchases score, errors take back, signups win a set, every 40th row swaps sides."""
     kind = F.when(F.col("frame") % 40 == 0, "swap").when(F.col("event_type") == "signup", "set").when(F.col("event_type").isin("purchase", "error"), "point").otherwise("none")
@@ -114,11 +171,12 @@ def meta_model(spark: SparkSession, d: str) -> DataFrame:
     return ml.folds(rows, "fold", {"meta": ml.meta("live", "career")})
 
 
-QUERIES = {f.__name__: f for f in (scene_gate, skipped_frames, ema, manual_score, elo, model_comparison, win_probability, default_model, meta_model)}
+QUERIES = {f.__name__: f for f in (scene_gate, skipped_frames, ema, corner_tracker, manual_score, elo, model_comparison, win_probability, default_model, meta_model)}
 ORACLES = {
     "scene_gate": SCENE,
     "skipped_frames": f"WITH q AS ({SCENE}) SELECT match_id, count(*) FILTER (NOT process) AS skipped, count(*) FILTER (is_cut) AS cuts FROM q GROUP BY match_id",
     "ema": EMA,
+    "corner_tracker": TRACKER_SQL,
     "manual_score": MANUAL,
     "default_model": f"WITH {TR} SELECT match_id, frame, 0.5::DOUBLE AS p1, 0.5::DOUBLE AS p2, 0.0::DOUBLE AS confidence, false AS reliable FROM tr",
 }
