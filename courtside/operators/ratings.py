@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from courtside.operators import joins as jn
+from courtside.operators.graph import components
+
 START, K = 1500.0, 32.0
 
 
@@ -33,16 +36,30 @@ def differences(columns: dict[str, str]) -> list[Column]:
     return [(F.col(f"{c}_a") - F.col(f"{c}_b")).alias(f"{name}_diff") for c, name in columns.items()]
 
 
-def prior_win_rates(matches: DataFrame, a: str, b: str, a_won: str, order: Sequence[str], start: float = 0.5) -> DataFrame:
+def prior_win_rates(matches: DataFrame, a: str, b: str, a_won: str, order: Sequence[str], start: float = 0.5, bucket: Column | None = None) -> DataFrame:
     """Adds prior_a and prior_b: each side's share of wins in its earlier matches, ``start`` before the first.
 
-    Both sides' rows are put back together by the match's order columns, which must name it.
+    Sums come in two levels, so that no player's matches meet in one task: a player's totals per ``bucket`` of time (the
+    first order column, if not given; it must not fall as the order rises) are summed over the buckets before, and matches
+    are counted within their bucket. Both sides of a match go through one scan and are put back together by the order
+    columns, which must name it.
     """
-    rows = player_rows(matches, a, b, a_won)
-    before = Window.partitionBy("player").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("prior", F.coalesce(F.avg("won").over(before), F.lit(start)))
-    prior = rows.groupBy(*order).agg(F.max(F.when(F.col("side") == "A", F.col("prior"))).alias("prior_a"), F.max(F.when(F.col("side") == "B", F.col("prior"))).alias("prior_b"))
-    return matches.join(prior, list(order))
+    won = F.col(a_won).cast("long")
+    sides = F.array(*(F.struct(F.col(p).alias("player"), F.lit(s).alias("side"), w.alias("won")) for p, s, w in ((a, "A", won), (b, "B", 1 - won))))
+    bucket = F.col(order[0]) if bucket is None else bucket
+    rows = matches.select(F.struct(*matches.columns).alias("m_match"), *(F.col(o).alias(f"m_{i}") for i, o in enumerate(order)), bucket.alias("m_bucket"), F.explode(sides).alias("m_side"))
+    rows = rows.select(F.when(F.col("m_side.side") == "A", F.col("m_match")).alias("m_match"), *(f"m_{i}" for i in range(len(order))), "m_bucket", "m_side.*")
+    sums = lambda by: [F.coalesce(F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in ("m_n", "m_won")]
+    totals = rows.groupBy("player", "m_bucket").agg(F.count("*").alias("m_n"), F.sum("won").alias("m_won"))
+    n, w = sums(Window.partitionBy("player").orderBy("m_bucket"))
+    totals = totals.select(F.col("player").alias("t_player"), F.col("m_bucket").alias("t_bucket"), n.alias("t_n"), w.alias("t_won"))
+    n, w = sums(Window.partitionBy("player", "m_bucket").orderBy(*(f"m_{i}" for i in range(len(order)))))
+    rows = rows.withColumns({"m_n": F.lit(1), "m_won": F.col("won")}).withColumns({"m_before": n, "m_wins": w})
+    rows = rows.join(totals, F.col("player").eqNullSafe(F.col("t_player")) & F.col("m_bucket").eqNullSafe(F.col("t_bucket")))
+    prior = F.coalesce(F.try_divide(F.col("m_wins") + F.col("t_won"), F.col("m_before") + F.col("t_n")), F.lit(start))
+    of = lambda side: F.max(F.when(F.col("side") == side, prior))
+    whole = rows.groupBy(*(f"m_{i}" for i in range(len(order)))).agg(F.first("m_match", ignorenulls=True).alias("m_match"), of("A").alias("prior_a"), of("B").alias("prior_b"))
+    return whole.select("m_match.*", "prior_a", "prior_b")
 
 
 def head_to_head(matches: DataFrame, a: str, b: str, a_won: str, order: Column) -> DataFrame:
@@ -73,13 +90,21 @@ def elo_step(ratings: dict, a, b, a_won: int, k: float = K, start: float = START
     return ra, rb, ra + change, rb - change
 
 
-def elo(matches: DataFrame, pool: str, a: str, b: str, a_won: str, order: Sequence[str], k: float = K, start: float = START) -> DataFrame:
+def pools(matches: DataFrame, a: str, b: str) -> DataFrame:
+    """player, pool: players who met, directly or through others, share a pool, named by the smallest of them."""
+    return components(matches.select(a, b).distinct(), a, b).select(F.col("node").alias("player"), F.col("root").alias("pool"))
+
+
+def elo(matches: DataFrame, pool: str | None, a: str, b: str, a_won: str, order: Sequence[str], k: float = K, start: float = START) -> DataFrame:
     """Adds elo_a, elo_b (before) and elo_a_after, elo_b_after.
 
     Ratings depend on all earlier matches of both sides, so matches run in order within a pool: a set of players who
     only meet each other, such as a tour or a league. Pools run side by side; rows of a pool stream through one task,
-    which keeps its players' ratings only.
+    which keeps its players' ratings only. Without a ``pool`` column pools are found from who met whom, by the first player.
     """
+    if pool is None:
+        found = pools(matches, a, b).withColumnRenamed("player", "m_player").withColumnRenamed("pool", "m_pool")
+        return elo(matches.join(found, F.col(a) == F.col("m_player")).drop("m_player"), "m_pool", a, b, a_won, order, k, start).drop("m_pool")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in matches.schema.fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,3 +119,24 @@ def elo(matches: DataFrame, pool: str, a: str, b: str, a_won: str, order: Sequen
 
     rows = matches.repartition(pool).sortWithinPartitions(pool, *order)
     return rows.mapInPandas(run, f"{kinds}, elo_a double, elo_b double, elo_a_after double, elo_b_after double")
+
+
+#: Fixed value: what keeps a win rate of no matches from dividing by 0.
+NO_MATCHES = 1e-6
+
+
+def career_differences(a: str = "_a", b: str = "_b") -> list[Column]:
+    """elo_diff, age_diff, events_diff, matches_diff, win_rate_diff, titles_diff of rows with both sides' elo, age, events, matches, wins, titles."""
+    plain = lambda c: (F.col(f"{c}{a}") - F.col(f"{c}{b}")).alias(f"{c}_diff")
+    rate = lambda s: F.col(f"wins{s}") / (F.col(f"matches{s}") + NO_MATCHES)
+    return [*map(plain, ("elo", "age", "events", "matches")), (rate(a) - rate(b)).alias("win_rate_diff"), plain("titles")]
+
+
+def rated_careers(matches: DataFrame, profiles: DataFrame, a: str, b: str, a_won: str, order: Sequence[str], player: str = "player", pool: str | None = None) -> DataFrame:
+    """Each match of two players with a profile (age, events, matches, wins, titles): its columns, the ratings in force before it, and ``career_differences``.
+
+    All matches count for the ratings, also those of players without a profile.
+    """
+    rated = elo(matches, pool, a, b, a_won, order).drop("elo_a_after", "elo_b_after")
+    both = jn.profile_join(rated, profiles, a, b, player, ["age", "events", "matches", "wins", "titles"])
+    return both.select(*matches.columns, "elo_a", "elo_b", *career_differences())

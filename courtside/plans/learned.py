@@ -9,7 +9,7 @@ from courtside.operators import learning as ml
 from courtside.operators import ratings as rt
 from courtside.operators import recurrence as rc
 from courtside.operators import windows as win
-from courtside.plans.inputs import TR, history, table, tracks
+from courtside.plans.inputs import MH, TR, history, table, tracks
 from courtside.shipping import ship
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
@@ -126,13 +126,44 @@ MANUAL = f"""WITH RECURSIVE {TR}, t AS (SELECT match_id, frame, player, CASE WHE
 SELECT match_id, frame, p1 AS p1_score, p2 AS p2_score, s1 AS p1_sets, s2 AS p2_sets FROM s WHERE frame > 0"""
 
 
+def pooled_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The match history with nations' suppliers against their own numbered guests, who meet nobody else."""
+    m = history(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("nation")), "a")
+    guest = F.concat_ws(" ", F.lit("guest"), F.col("nation").cast("string"), F.col("b").cast("string"))
+    return m.select("l_orderkey", "l_linenumber", "day", F.col("a").cast("string").alias("a"), guest.alias("b"), "a_won")
+
+
 def elo(spark: SparkSession, d: str) -> DataFrame:
-    """Ratings of the match history, one pool per nation: its suppliers play against its own numbered guests only."""
+    """Ratings before and after each match, in pools of players that are found from who met whom."""
+    ship(spark)
+    out = rt.elo(pooled_matches(spark, d), None, "a", "b", "a_won", ["day", "l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", *(r6(F.col(c), c) for c in ("elo_a", "elo_b", "elo_a_after", "elo_b_after")))
+
+
+def career_features(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides' careers and ratings in force at each match, apart; ages, events and titles are made of the players' numbers."""
     ship(spark)
-    m = history(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("pool")), "a")
-    m = m.select("pool", "l_orderkey", "l_linenumber", "day", F.col("a").cast("string").alias("a"), F.concat_ws(" ", F.lit("guest"), F.col("pool").cast("string"), F.col("b").cast("string")).alias("b"), "a_won")
-    out = rt.elo(m, "pool", "a", "b", "a_won", ["day", "l_orderkey", "l_linenumber"])
-    return out.select("pool", "l_orderkey", "l_linenumber", *(r6(F.col(c), c) for c in ("elo_a", "elo_b", "elo_a_after", "elo_b_after")))
+    m = pooled_matches(spark, d)
+    sums = rt.player_rows(m, "a", "b", "a_won").groupBy("player").agg(F.count("*").alias("matches"), F.sum("won").alias("wins"))
+    number = F.regexp_extract("player", r"(\d+)$", 1).cast("int")
+    profiles = sums.select("player", "matches", "wins", (18 + number % 20).alias("age"), (number % 90).alias("events"), (number % 11).alias("titles")).filter(number % 9 != 0)
+    out = rt.rated_careers(m, profiles, "a", "b", "a_won", ["day", "l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", *(F.round(f"{c}_diff", 6).alias(f"{c}_diff") for c in ("elo", "age", "events", "matches", "win_rate", "titles")))
+
+
+#: Matches one after the other in each nation, whose pools lie within it; r are all its players' ratings, by number.
+RATED = f"""WITH RECURSIVE {MH}, pm AS MATERIALIZED (SELECT l_orderkey, l_linenumber, s_nationkey AS nation, day, a::VARCHAR AS a, 'guest ' || s_nationkey || ' ' || b AS b, a_won FROM mh JOIN supplier ON s_suppkey = a),
+ pl AS MATERIALIZED (SELECT nation, player, row_number() OVER (PARTITION BY nation ORDER BY player) AS i FROM (SELECT DISTINCT nation, a AS player FROM pm UNION SELECT DISTINCT nation, b FROM pm)),
+ ms AS MATERIALIZED (SELECT pm.*, x.i AS ia, y.i AS ib, row_number() OVER (PARTITION BY pm.nation ORDER BY day, l_orderkey, l_linenumber) AS n FROM pm JOIN pl x ON x.nation = pm.nation AND x.player = a JOIN pl y ON y.nation = pm.nation AND y.player = b),
+ rs AS (SELECT nation, 0::BIGINT AS n, 0::BIGINT AS l_orderkey, 0 AS l_linenumber, NULL::DOUBLE AS ea, NULL::DOUBLE AS eb, NULL::DOUBLE AS up, list_transform(range(count(*)), lambda i: 1500::DOUBLE) AS r FROM pl GROUP BY nation
+  UNION ALL
+  SELECT nation, n, l_orderkey, l_linenumber, ea, eb, up, list_transform(r, lambda v, i: v + CASE i WHEN ia THEN up WHEN ib THEN -up ELSE 0 END)
+  FROM (SELECT ms.*, r, r[ia] AS ea, r[ib] AS eb, 32 * (a_won - 1 / (1 + 10 ** ((r[ib] - r[ia]) / 400))) AS up FROM rs JOIN ms ON ms.nation = rs.nation AND ms.n = rs.n + 1)),
+ rated AS (SELECT l_orderkey, l_linenumber, ea, eb, up FROM rs WHERE n > 0)"""
+CAREERS = f"""{RATED}, c AS (SELECT player, count(*) AS matches, sum(won)::BIGINT AS wins, regexp_extract(player, '(\\d+)$', 1)::INTEGER AS k FROM (SELECT a AS player, a_won AS won FROM pm UNION ALL SELECT b, 1 - a_won FROM pm) GROUP BY player)
+SELECT l_orderkey, l_linenumber, round(ea - eb, 6) AS elo_diff, x.k % 20 - y.k % 20 AS age_diff, x.k % 90 - y.k % 90 AS events_diff, x.matches - y.matches AS matches_diff,
+ round(x.wins / (x.matches + 1e-6::DOUBLE) - y.wins / (y.matches + 1e-6::DOUBLE), 6) AS win_rate_diff, x.k % 11 - y.k % 11 AS titles_diff
+FROM pm JOIN rated USING (l_orderkey, l_linenumber) JOIN c x ON x.player = a JOIN c y ON y.player = b WHERE x.k % 9 <> 0 AND y.k % 9 <> 0"""
 
 
 FEATURES = ["x_diff", "y_diff", "conf_mean", "duration"]
@@ -171,12 +202,14 @@ def meta_model(spark: SparkSession, d: str) -> DataFrame:
     return ml.folds(rows, "fold", {"meta": ml.meta("live", "career")})
 
 
-QUERIES = {f.__name__: f for f in (scene_gate, skipped_frames, ema, corner_tracker, manual_score, elo, model_comparison, win_probability, default_model, meta_model)}
+QUERIES = {f.__name__: f for f in (scene_gate, skipped_frames, ema, corner_tracker, manual_score, elo, career_features, model_comparison, win_probability, default_model, meta_model)}
 ORACLES = {
     "scene_gate": SCENE,
     "skipped_frames": f"WITH q AS ({SCENE}) SELECT match_id, count(*) FILTER (NOT process) AS skipped, count(*) FILTER (is_cut) AS cuts FROM q GROUP BY match_id",
     "ema": EMA,
     "corner_tracker": TRACKER_SQL,
     "manual_score": MANUAL,
+    "elo": f"{RATED} SELECT l_orderkey, l_linenumber, round(ea, 6) AS elo_a, round(eb, 6) AS elo_b, round(ea + up, 6) AS elo_a_after, round(eb - up, 6) AS elo_b_after FROM rated",
+    "career_features": CAREERS,
     "default_model": f"WITH {TR} SELECT match_id, frame, 0.5::DOUBLE AS p1, 0.5::DOUBLE AS p2, 0.0::DOUBLE AS confidence, false AS reliable FROM tr",
 }

@@ -89,9 +89,11 @@ def prior_rate(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", F.round("prior_a", 9).alias("prior_a"), F.round("prior_b", 9).alias("prior_b"), F.round(F.col("prior_a") - F.col("prior_b"), 9).alias("prior_diff"))
 
 
-PRIOR = f"""WITH {MH}, p AS (SELECT a AS player, 'A' AS side, a_won AS won, day, l_orderkey, l_linenumber FROM mh UNION ALL SELECT b, 'B', 1 - a_won, day, l_orderkey, l_linenumber FROM mh),
- r AS (SELECT *, coalesce(avg(won) OVER (PARTITION BY player ORDER BY day, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5) AS prior FROM p)
-SELECT x.l_orderkey, x.l_linenumber, round(x.prior, 9) AS prior_a, round(y.prior, 9) AS prior_b, round(x.prior - y.prior, 9) AS prior_diff FROM r x JOIN r y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber AND x.side = 'A' AND y.side = 'B'"""
+#: Both sides of a match lie next to each other in one list, so that the history is read once and nothing is joined.
+PRIOR = f"""WITH {MH}, p AS (SELECT day, l_orderkey, l_linenumber, unnest([{{'player': a, 'side': 'A', 'won': a_won}}, {{'player': b, 'side': 'B', 'won': 1 - a_won}}]) AS s FROM mh),
+ r AS (SELECT l_orderkey, l_linenumber, s.side AS side, coalesce(avg(s.won) OVER (PARTITION BY s.player ORDER BY day, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5) AS prior FROM p),
+ w AS (SELECT l_orderkey, l_linenumber, max(prior) FILTER (side = 'A') AS prior_a, max(prior) FILTER (side = 'B') AS prior_b FROM r GROUP BY l_orderkey, l_linenumber)
+SELECT l_orderkey, l_linenumber, round(prior_a, 9) AS prior_a, round(prior_b, 9) AS prior_b, round(prior_a - prior_b, 9) AS prior_diff FROM w"""
 
 
 def pair_h2h(spark: SparkSession, d: str) -> DataFrame:
