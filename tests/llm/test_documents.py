@@ -118,22 +118,45 @@ def test_secrets_against_plain_scan(spark):
 
 
 def test_novelty_rates(spark):
-    """Near a sensitive word, random strings are reported and compounds of the corpus' words are not."""
+    """Near a sensitive word, random strings of every length are reported and compounds of the corpus' words are not."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     words = secret_scan.common_words(docs)
     assert 300 < len(words) <= secret_scan.SAMPLE_WORDS
     texts, r = [x.text for x in docs.filter("length(text) > 1500").orderBy("doc_id").limit(150).collect()], random.Random(3)
-    rates = {}
-    for kind, make in {
-        "base64": lambda: base64.b64encode(r.randbytes(24)).decode(), "hex": lambda: r.randbytes(16).hex().upper(),
-        "hyphens": lambda: "-".join(r.choice(words) for _ in range(6)), "path": lambda: "/".join(r.choice(words) for _ in range(6)),
-    }.items():
+
+    def rate(make, times):
         found = 0
-        for t in texts:
+        for t in texts[:times]:
             at, planted = t.index(" ", r.randrange(1000)), make()
             found += (at + 8, 3, at + 8 + len(planted)) in secret_scan.novel_spans(f"{t[:at]} secret {planted}{t[at:]}", [], words=words)
-        rates[kind] = found / len(texts)
-    assert min(rates["base64"], rates["hex"]) >= 0.95 and max(rates["hyphens"], rates["path"]) <= 0.05, rates
+        return found / times
+
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"base64": upper + lower + digits + "+/", "base62": upper + lower + digits, "base32": upper + "234567", "hex": digits + "ABCDEF"}
+    for length in (20, 32, 47, 48, 64, 100, 256, 512, 1024, 4096):
+        rates = {kind: rate(lambda: "".join(r.choice(letters) for _ in range(length)), 100 if length < 500 else 40) for kind, letters in alphabets.items()}  # noqa: B023
+        assert min(rates.values()) >= 0.95, (length, rates)
+    for n in (4, 6, 12, 40):
+        rates = {joint: rate(lambda: joint.join(r.choice(words) for _ in range(n)), 100) for joint in "-/_"}  # noqa: B023
+        assert max(rates.values()) <= 0.05, (n, rates)
+
+
+def test_secret_pieces():
+    """Pieces cover a candidate from end to end, whatever its length."""
+    for length in range(20, 400):
+        cut = secret_scan.pieces(7, 7 + length)
+        covered = {i for a, b in cut for i in range(a, b)}
+        assert covered == set(range(7, 7 + length)) and (len(cut) == 1 or all(b - a == secret_scan.PIECE for a, b in cut))
+
+
+def test_secret_context():
+    """Only words outside a candidate make its surroundings sensitive, and only as words or parts of names."""
+    r = random.Random(8)
+    code = base64.b64encode(r.randbytes(33)).decode()
+    near = lambda t: bool(secret_scan.novel_spans(t, []))
+    assert all(near(t.format(code)) for t in ("my secret {}", "{} is the token", "API_KEYS: {}", "apiKey {}", "userToken={}", "x_auth={}"))
+    assert not any(near(t.format(code)) for t in ("a monkey {}", "keyboard {}", "nothing {}", "turkey={}", "{} authority"))
+    assert not near(f"see key/{code}") and not near("api docs at /usr/local/lib/python3.11/site-packages/requests/api.py") and not near("key layout: QWERTYUIOPASDFGHJKLZXCVBNM")
 
 
 def test_secrets(spark, awkward, nothing):
