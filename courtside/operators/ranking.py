@@ -68,6 +68,60 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int = 3, bucket: C
     return ranked.withColumn("fold", F.when(at < folds, at).otherwise(2 * folds - 1 - at).cast("int")).drop("rank")
 
 
+#: Kinds of groups, by their counts, that are dealt one after the other; more go back and forth over the folds.
+KINDS = 200_000
+#: Groups of a kind per fold that are dealt one by one; what is above goes to all folds alike.
+ONE_BY_ONE = 50
+
+
+def dealt(kinds: Sequence[tuple[int, int, int]], folds: int) -> list[list[int]]:
+    """For each kind (rows, positives, groups), how many of its groups each fold gets.
+
+    One group at a time goes where the squares of the folds' shares of either class grow least, then to the fold with fewer
+    rows, then to the first. Kinds come in the order given; equal parts of a large kind, which change no difference between
+    folds, come first.
+    """
+    rows, positives = sum(n * m for n, _, m in kinds), sum(p * m for _, p, m in kinds)
+    heavy, light = max(1, positives) ** 2, max(1, rows - positives) ** 2
+    held, out = [[0, 0] for _ in range(folds)], []
+    for n, p, groups in kinds:
+        even = max(0, groups // folds - ONE_BY_ONE)
+        quota = [even] * folds
+        for fold in held:
+            fold[0] += even * (n - p)
+            fold[1] += even * p
+        for _ in range(groups - even * folds):
+            at = min(range(folds), key=lambda i: (held[i][0] * (n - p) * heavy + held[i][1] * p * light, held[i][0] + held[i][1], i))  # noqa: B023
+            quota[at] += 1
+            held[at][0] += n - p
+            held[at][1] += p
+        out.append(quota)
+    return out
+
+
+def stratified_folds(df: DataFrame, group: str, label: str, folds: int = 3, digits: int = 2) -> DataFrame:
+    """group, n_rows, n_positive, fold: whole groups, each dealt with regard to what the folds hold so far.
+
+    Groups in falling order of how far apart their classes are, then of rows and positives. Groups of equal counts are one
+    kind: the driver deals a table of kinds, not of groups, and the groups of a kind take its quotas in the order of their
+    hash. With more than KINDS kinds, which it doesn't collect, ``group_folds`` deals.
+    """
+    groups = df.groupBy(group).agg(F.count("*").alias("n_rows"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n_positive"))
+    kinds = groups.groupBy("n_rows", "n_positive").count()
+    apart = F.abs(2 * F.col("n_positive") - F.col("n_rows"))
+    first = kinds.orderBy(apart.desc(), F.desc("n_rows"), F.desc("n_positive")).limit(KINDS + 1).collect()
+    if len(first) > KINDS:
+        return group_folds(df, group, label, folds)
+    cuts = [(r[0], r[1], [sum(q[: i + 1]) for i in range(folds)]) for r, q in zip(first, dealt([tuple(r) for r in first], folds), strict=True)]
+    quotas = df.sparkSession.createDataFrame(cuts, "n_rows long, n_positive long, cuts array<long>")
+    named = groups.withColumn("r_hash", hash_order(group, 0))
+    # ranks within a kind: a kind's own start is the smallest rank that it has
+    ranked = global_rank(named, F.struct("n_rows", "n_positive", F.substring("r_hash", 1, digits)), ["r_hash", group])
+    starts = ranked.groupBy("n_rows", "n_positive").agg(F.min("rank").alias("r_first"))
+    placed = ranked.join(starts, ["n_rows", "n_positive"]).join(quotas, ["n_rows", "n_positive"])
+    return placed.select(group, "n_rows", "n_positive", F.size(F.filter("cuts", lambda c: c <= F.col("rank") - F.col("r_first"))).alias("fold"))
+
+
 def rank_slice(df: DataFrame, bucket: Column, order: Sequence[str | Column], start: int, count: int) -> DataFrame:
     """The rows of ranks start to start + count - 1, with rank. Only the buckets that these fall into are sorted."""
     rows = df.withColumn("r_bucket", bucket)

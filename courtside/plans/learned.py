@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtside.operators import fold_fits as ff
 from courtside.operators import learning as ml
 from courtside.operators import ratings as rt
 from courtside.operators import recurrence as rc
@@ -202,7 +203,16 @@ def meta_model(spark: SparkSession, d: str) -> DataFrame:
     return ml.folds(rows, "fold", {"meta": ml.meta("live", "career")})
 
 
-QUERIES = {f.__name__: f for f in (scene_gate, skipped_frames, ema, corner_tracker, manual_score, elo, career_features, model_comparison, win_probability, default_model, meta_model)}
+def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
+    """Each match's meta probability from a model of all others, beside its label."""
+    ship(spark)
+    t = tracks(spark, d).groupBy("match_id").agg(F.max_by("conf", "frame").alias("live"), F.max_by("player", "frame").alias("label"))
+    career = table(spark, d, "customer").select(F.col("c_custkey").alias("match_id"), ((F.col("c_acctbal") + 1000) / 11000).cast("double").alias("career"))
+    out = ff.held_out(t.join(career, "match_id"), "match_id", ["live", "career"], "label")
+    return out.select("match_id", "label", r6(F.col("probability"), "probability"), "predicted")
+
+
+QUERIES = {f.__name__: f for f in (scene_gate, skipped_frames, ema, corner_tracker, manual_score, elo, career_features, model_comparison, win_probability, default_model, meta_model, leave_one_out)}
 ORACLES = {
     "scene_gate": SCENE,
     "skipped_frames": f"WITH q AS ({SCENE}) SELECT match_id, count(*) FILTER (NOT process) AS skipped, count(*) FILTER (is_cut) AS cuts FROM q GROUP BY match_id",

@@ -68,6 +68,27 @@ FOLDS = """WITH g AS (SELECT o_custkey, count(*) AS n_rows, count(*) FILTER (o_o
 SELECT o_custkey, n_rows, n_positive, (CASE WHEN k % 6 < 3 THEN k % 6 ELSE 5 - k % 6 END)::INTEGER AS fold FROM r"""
 
 
+def stratified_fold(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").withColumn("label", (F.col("o_orderstatus") == "F").cast("int"))
+    return rk.stratified_folds(o, "o_custkey", "label")
+
+
+def _stratified_sql() -> str:
+    """Groups one after the other, a and b being the negatives and positives that the folds hold; then each kind's quotas in order of hash."""
+    cost = lambda i: f"{{'cost': a[{i + 1}] * (k.n_rows - k.n_positive)::HUGEINT * hv + b[{i + 1}] * k.n_positive::HUGEINT * lt, 'rows': a[{i + 1}] + b[{i + 1}], 'fold': {i}}}"
+    at = f"list_sort([{', '.join(cost(i) for i in range(3))}])[1].fold"
+    add = lambda c, v: f"[{', '.join(f'{c}[{i + 1}] + CASE WHEN pick = {i} THEN {v} ELSE 0 END' for i in range(3))}]"
+    return f"""WITH RECURSIVE g AS MATERIALIZED (SELECT o_custkey, count(*) AS n_rows, count(*) FILTER (o_orderstatus = 'F') AS n_positive FROM orders GROUP BY o_custkey),
+ t AS MATERIALIZED (SELECT greatest(1, sum(n_positive))::HUGEINT * greatest(1, sum(n_positive)) AS hv, greatest(1, sum(n_rows - n_positive))::HUGEINT * greatest(1, sum(n_rows - n_positive)) AS lt FROM g),
+ k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY abs(2 * n_positive - n_rows) DESC, n_rows DESC, n_positive DESC, o_custkey) AS i FROM g),
+ s AS (SELECT 0::BIGINT AS i, 0::BIGINT AS n_rows, 0::BIGINT AS n_positive, -1 AS pick, [0, 0, 0]::HUGEINT[] AS a, [0, 0, 0]::HUGEINT[] AS b
+  UNION ALL
+  SELECT i, n_rows, n_positive, pick, {add("a", "n_rows - n_positive")}, {add("b", "n_positive")} FROM (SELECT k.i, k.n_rows, k.n_positive, a, b, {at} AS pick FROM s JOIN k ON k.i = s.i + 1 CROSS JOIN t)),
+ f AS (SELECT n_rows, n_positive, pick AS fold, row_number() OVER (PARTITION BY n_rows, n_positive ORDER BY pick) AS place FROM s WHERE i > 0),
+ h AS (SELECT *, row_number() OVER (PARTITION BY n_rows, n_positive ORDER BY md5('0|' || o_custkey), o_custkey) AS place FROM g)
+SELECT o_custkey, h.n_rows, h.n_positive, f.fold::INTEGER AS fold FROM h JOIN f ON f.n_rows = h.n_rows AND f.n_positive = h.n_positive AND f.place = h.place"""
+
+
 def standardise(spark: SparkSession, d: str) -> DataFrame:
     return mt.standardised(table(spark, d, "documents").select("doc_id", "n_chars"), ["n_chars"], population=True).select("doc_id", r6(F.col("n_chars_std"), "n_chars_std"))
 
@@ -92,7 +113,7 @@ def fold_means(spark: SparkSession, d: str) -> DataFrame:
 
 CONFUSION = f"WITH {LABELLED}, c AS (SELECT lang, count(*) AS n, count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label = 0 AND prediction = 1) AS fp, count(*) FILTER (label = 1 AND prediction = 0) AS fn, count(*) FILTER (label = 0 AND prediction = 0) AS tn FROM lb GROUP BY lang), k AS (SELECT lang, n, tp, fp, fn, tn, {METRICS} FROM c)"
 
-QUERIES = {f.__name__: f for f in (confusion, auc, mean_iou, value_presence, hash_split, capped_split, split_counts, time_split, group_fold, standardise, latency_stats, fusion_weights, fold_means)}
+QUERIES = {f.__name__: f for f in (confusion, auc, mean_iou, value_presence, hash_split, capped_split, split_counts, time_split, group_fold, stratified_fold, standardise, latency_stats, fusion_weights, fold_means)}
 ORACLES = {
     "confusion": f"{CONFUSION} SELECT * FROM k",
     "auc": f"WITH {LABELLED} SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, round((SELECT sum(CASE WHEN p.score > q.score THEN 1 WHEN p.score = q.score THEN 0.5::DOUBLE ELSE 0 END) FROM lb p, lb q WHERE p.label = 1 AND q.label = 0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS auc FROM lb",
@@ -103,6 +124,7 @@ ORACLES = {
     "split_counts": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS rank, count(*) OVER () AS n FROM documents) SELECT CASE WHEN rank <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN rank <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split, count(*) AS docs, count(quality) AS labels FROM r LEFT JOIN labels USING (doc_id) GROUP BY ALL",
     "time_split": "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank, count(*) OVER () AS n FROM orders) SELECT o_orderkey, CASE WHEN rank <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM r",
     "group_fold": FOLDS,
+    "stratified_fold": _stratified_sql(),
     "standardise": "SELECT doc_id, round((n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER (), 6) AS n_chars_std FROM documents",
     "latency_stats": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(count(*) * 1000 / sum(value), 6) AS per_second, round(count(*) * 1000 / sum(value) / 30, 6) AS real_time_ratio FROM events GROUP BY event_type",
     "fusion_weights": f"WITH {LABELLED}, a AS (SELECT avg((label = prediction)::INTEGER) AS one, avg((label = (score > 800)::INTEGER)::INTEGER) AS two FROM lb) SELECT round(one, 6) AS accuracy_one, round(two, 6) AS accuracy_two, round(one / (one + two), 4) AS weight_one, round(two / (one + two), 4) AS weight_two FROM a",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
 from courtside.functions import text as tx
@@ -36,18 +39,53 @@ def read_logs(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return rows.join(F.broadcast(ranked), "match")
 
 
-def write_logs(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """One directory per match."""
+def write_logs(df: DataFrame, path: str, kind: str = "parquet", run: str | None = None) -> None:
+    """One directory per match, appended; with the name of a run, once for that run (``write_once``)."""
+    if run is not None:
+        write_once(df, run, path, kind)
+        return
     df.write.partitionBy("match_id").format(kind).option("header", True).mode("append").save(path)
 
 
+def write_once(batch: DataFrame, batch_id: int | str, path: str, kind: str = "parquet") -> bool:
+    """Commit a batch under its id: what is there already stays, so a batch that comes again adds nothing. Whether it was new.
+
+    Rows go to a folder that readers pass over and get their name, ``batch_id=...``, by a rename as the last step. That is
+    atomic on HDFS and local file systems; on an object store without renames a reader may see a batch in parts.
+    """
+    spark = batch.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    done, part = folder(f"{path}/batch_id={batch_id}"), folder(f"{path}/_parts/{batch_id}-{uuid.uuid4().hex}")
+    store = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(done):
+        return False
+    batch.write.partitionBy("match_id").format(kind).option("header", True).save(part.toString())
+    if store.exists(done) or not store.rename(part, done):
+        store.delete(part, True)
+        return False
+    return True
+
+
+def read_once(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+    """All rows of the batches that were committed; ``schema`` includes match_id."""
+    return spark.read.schema(f"{schema}, batch_id string").option("header", True).format(kind).load(path).drop("batch_id")
+
+
+def stream_logs(stream: DataFrame, path: str, checkpoint: str, kind: str = "parquet") -> DataStreamWriter:
+    """A log written from a stream, every micro-batch once: a batch that is run again after a failure finds itself committed."""
+    return stream.writeStream.foreachBatch(lambda batch, batch_id: write_once(batch, batch_id, path, kind) and None).option("checkpointLocation", checkpoint)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Datasets, histories and metrics: CSV parts with a header, over what is there."""
     df.write.option("header", True).mode("overwrite").csv(path)
 
 
-def write_score_log(df: DataFrame, path: str) -> None:
-    """timestamp_sec, frame, score of the scoreboard reader, appended."""
+def write_score_log(df: DataFrame, path: str, run: str | None = None) -> None:
+    """timestamp_sec, frame, score of the scoreboard reader, appended; with the name of a run, once for that run, by match."""
+    if run is not None:
+        write_once(df.select("match_id", "timestamp_sec", "frame", "score"), run, path, "csv")
+        return
     df.select("timestamp_sec", "frame", "score").write.option("header", True).mode("append").csv(path)
 
 
