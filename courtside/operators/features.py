@@ -39,6 +39,33 @@ def rally_features(
     return pose.join(balls, list(keys), "full_outer").select(*keys, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in RALLY_FEATURES))
 
 
+#: The fields of a live packet, by its parts.
+BALL = ["detected", "position_px", "position_m", "speed_mps", "speed_pps", "trajectory_px"]
+SCORE = ["player1_score", "player2_score", "player1_sets", "player2_sets", "sets_to_win", "score_reliable"]
+RALLY = ["is_active", "rally_id", "rally_duration_sec", "mean_speed_mps", "max_speed_mps", "landing_zones"]
+
+
+def packets(df: DataFrame, keys: Sequence[str], ball: dict[str, Column], score: dict[str, Column], rally: dict[str, Column], poses: tuple[Column, Column], frame: str = "frame", time: str = "timestamp_sec") -> DataFrame:
+    """keys and ``packet``: each frame's row as the nested record that a live model sees.
+
+    ``ball``, ``score`` and ``rally`` give the columns of BALL, SCORE and RALLY; what is left out is null, but sets are 0,
+    sets_to_win 3, scores reliable, a rally idle with no zone hit. Without a detection the ball has no position, speed or
+    trajectory. ``poses`` are a struct per player, or null; its debug_landmarks are dropped.
+    """
+    defaults = {"detected": F.lit(False), "player1_sets": F.lit(0), "player2_sets": F.lit(0), "sets_to_win": F.lit(3), "score_reliable": F.lit(True), "is_active": F.lit(False), "rally_id": F.lit(0), "rally_duration_sec": F.lit(0.0)}
+    defaults |= {"landing_zones": F.array_repeat(F.lit(0).cast("long"), 9)}
+    part = lambda names, given: {n: F.coalesce(given[n], defaults[n]) if n in given and n in defaults else given.get(n, defaults.get(n, F.lit(None))) for n in names}
+    seen = part(BALL, ball)
+    seen |= {n: F.when(seen["detected"], c) for n, c in seen.items() if n != "detected"}
+    fields = lambda columns: F.struct(*(c.alias(n) for n, c in columns.items()))
+    players = [F.when(p.isNotNull(), p.dropFields("debug_landmarks")).alias(f"player{i}") for i, p in enumerate(poses, 1)]
+    whole = F.struct(
+        F.col(frame).alias("frame_idx"), F.col(time).alias("timestamp_sec"), fields(seen).alias("ball"), fields(part(SCORE, score)).alias("score"), fields(part(RALLY, rally)).alias("rally"),
+        F.struct(*players).alias("pose"), F.col(time).alias("match_elapsed_sec"),
+    )
+    return df.select(*keys, whole.alias("packet"))
+
+
 def model_features(rallies: DataFrame, keys: Sequence[str], rally: str, scores: tuple[str, str], sets: tuple[str, str] | None = None, set_points: float = 11) -> DataFrame:
     """keys, rally and MODEL_FEATURES: one row per rally, with what is known of its match once it has ended.
 

@@ -82,6 +82,32 @@ def name_search(rows: DataFrame, name: str, searches: DataFrame, text: str, gram
     return keyed.join(wanted, "j_piece").filter(F.contains(low, F.col(text))).drop("j_piece")
 
 
+def player_search(matches: DataFrame, searches: DataFrame, text: str, sides: dict[str, str], order: Column, columns: Names, gram: int = 3) -> DataFrame:
+    """For each searched text, the last match with a player whose name holds it (case ignored): side, name, and that side's columns.
+
+    ``sides`` maps a side to its name column; ``columns`` exist as <c>_<side>. If both names hold the text, the first side
+    is the player. Searches that find nobody have no row. Of matches at the same place the one with the larger values counts.
+    """
+    both = None
+    for rank, (side, name) in enumerate(sides.items()):
+        own = matches.select(order.alias("j_order"), F.lit(-rank).alias("j_rank"), F.lit(side).alias("side"), F.col(name).alias("name"), *(F.col(f"{c}_{side}").alias(c) for c in columns))
+        both = own if both is None else both.unionByName(own)
+    found = name_search(both, F.col("name"), searches, text, gram)
+    last = found.groupBy(text).agg(F.max_by(F.struct("side", "name", *columns), F.struct("j_order", "j_rank", "name", *columns)).alias("r"))
+    return last.select(text, "r.*")
+
+
+def frame_pairs(left: DataFrame, right: DataFrame, game: str, name: str) -> DataFrame:
+    """Rows of both sides of one game whose file names have the same frame number, however it is padded: images and masks.
+
+    The right side's name is ``<name>_right``; ``pair`` names both, so that frames of two games don't clash. Names without a
+    number pair with nothing.
+    """
+    number = lambda df: df.withColumn("frame", F.regexp_extract(name, r"(\d+)(?!.*\d)", 1).try_cast("long")).filter("frame is not null")
+    other = number(right.select(game, F.col(name))).withColumnRenamed(name, f"{name}_right")
+    return number(left).join(other, [game, "frame"]).withColumn("pair", F.concat_ws("_", F.col(game).cast("string"), F.col("frame").cast("string")))
+
+
 def unordered_pair(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b), F.greatest(a, b)
 

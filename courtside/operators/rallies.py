@@ -61,6 +61,17 @@ def speed_and_zones(speed: Column, zone: Column) -> list[Column]:
     return [*stats, *(F.count_if(zone == z).alias(f"landing_zone_{z}") for z in range(ZONES))]
 
 
+def live_stats(df: DataFrame, keys: Names, order: Names, speed: Column, zone: Column) -> DataFrame:
+    """Adds live_mean_speed, live_max_speed (of speeds above 0, null before the first) and live_zone_0.. of the rows so far of each key.
+
+    ``keys`` name a point; speeds and zones of rows that aren't samples are null.
+    """
+    w = win.along(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    up = F.when(speed > 0, speed)
+    stats = {"live_mean_speed": F.avg(up).over(w), "live_max_speed": F.max(up).over(w)}
+    return df.withColumns(stats | {f"live_zone_{z}": F.count_if(zone == z).over(w) for z in range(ZONES)})
+
+
 def rally_records(
     frames: DataFrame, tracks: DataFrame, keys: Names, *, frame: str = "frame", time: str = "timestamp_sec", scores: tuple[str, str] = ("player1_score", "player2_score"),
     sets: tuple[str, str] = ("player1_sets", "player2_sets"), x: str = "x_m", y: str = "y_m", speed: str = "speed_mps", calibrated: str | None = None, event: str | None = None,

@@ -133,6 +133,13 @@ def rank_slice(df: DataFrame, bucket: Column, order: Sequence[str | Column], sta
     return ranked.filter(F.col("rank").between(start, start + count - 1))
 
 
+def most_common(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, value, n: the most frequent value of each key, the smallest of those that tie. Nulls don't count."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    most = counts.groupBy(*keys).agg(F.max("n").alias("n"))
+    return counts.join(most, [*keys, "n"]).groupBy(*keys, "n").agg(F.min(value).alias(value)).select(*keys, value, "n")
+
+
 def latest_row(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str]) -> DataFrame:
     """The columns of each key's last row: a max_by, so rows combine before they are exchanged."""
     best = F.max_by(F.struct(*columns), order).alias("r")

@@ -70,8 +70,16 @@ def head_to_head(matches: DataFrame, a: str, b: str, a_won: str, order: Column)
     return rows.groupBy("low", "high").agg(F.count("*").alias("matches"), won.alias("low_wins"), F.round(won / F.count("*"), 6).alias("low_rate"), F.max_by("winner", "m_order").alias("last_winner"))
 
 
-def one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str) -> DataFrame:
-    """0/1 columns for all sorted values but the first; a null has 0 everywhere."""
+#: Different values that one-hot columns are made of at most.
+VALUES = 1000
+
+
+def one_hot(df: DataFrame, column: str, values: Sequence[str] | None, prefix: str) -> DataFrame:
+    """0/1 columns for all sorted values but the first; a null has 0 everywhere. Without ``values``, those of the data, up to VALUES."""
+    if values is None:
+        values = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(VALUES + 1).collect()]
+        if len(values) > VALUES:
+            raise ValueError(f"{column} has more than {VALUES} values")
     return df.withColumns({f"{prefix}{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in sorted(values)[1:]})
 
 

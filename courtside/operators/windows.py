@@ -226,6 +226,26 @@ def velocity(df: DataFrame, keys: Names, order: Names, frame: str, x: str, y: st
     return df.withColumn(name, F.when(seconds > 0, F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)) / seconds))
 
 
+def rate_of(df: DataFrame, keys: Names, order: Names, frame: str, value: str, rate: float, name: str) -> DataFrame:
+    """Adds how fast a value changes against the previous row, with its sign; null if either row lacks it or no time has passed."""
+    w = along(keys, order)
+    seconds = (F.col(frame) - F.lag(frame).over(w)) / rate
+    return df.withColumn(name, F.when(seconds > 0, (F.col(value) - F.lag(value).over(w)) / seconds))
+
+
+def pose_velocities(df: DataFrame, keys: Names, order: Names, frame: str, rate: float, points: dict[str, tuple[str, str]], values: dict[str, str]) -> DataFrame:
+    """Adds the speeds of ``points`` (name to x, y), which have no sign, and the rates of ``values`` (name to column), which have one.
+
+    Such as the hands' speeds, the torso's rate along x and the centre of mass' rate along y. All look at a player's pose row
+    before, and share its sort.
+    """
+    for name, (x, y) in points.items():
+        df = velocity(df, keys, order, frame, x, y, rate, name)
+    for name, value in values.items():
+        df = rate_of(df, keys, order, frame, value, rate, name)
+    return df
+
+
 def expanding(df: DataFrame, keys: Names, order: Names, columns: Names, recent: int = 3) -> DataFrame:
     """Adds <c>_mean over all rows so far, <c>_last<n> over the last few, and row_in_key."""
     w = along(keys, order)

@@ -110,11 +110,14 @@ SELECT match_id, frame, {", ".join(f"round({c}, 6) AS smooth_{c}" for c in rc.CO
 TRACKER_SQL = _corners_sql()
 
 
-def manual_score(spark: SparkSession, d: str) -> DataFrame:
+def manual_events(spark: SparkSession, d: str) -> DataFrame:
     """Points and sets from events: purchases score, errors take back, signups win a set, every 40th row swaps sides."""
     kind = F.when(F.col("frame") % 40 == 0, "swap").when(F.col("event_type") == "signup", "set").when(F.col("event_type").isin("purchase", "error"), "point").otherwise("none")
-    t = tracks(spark, d).select("match_id", "frame", F.when(F.col("player") == 0, "p1").otherwise("p2").alias("player"), kind.alias("kind"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("delta"))
-    return win.manual_score(t, ["match_id"], ["frame"], "player", "kind", "delta").select("match_id", "frame", "p1_score", "p2_score", "p1_sets", "p2_sets")
+    return tracks(spark, d).select("match_id", "frame", F.when(F.col("player") == 0, "p1").otherwise("p2").alias("player"), kind.alias("kind"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("delta"))
+
+
+def manual_score(spark: SparkSession, d: str) -> DataFrame:
+    return win.manual_score(manual_events(spark, d), ["match_id"], ["frame"], "player", "kind", "delta").select("match_id", "frame", "p1_score", "p2_score", "p1_sets", "p2_sets")
 
 
 MANUAL = f"""WITH RECURSIVE {TR}, t AS (SELECT match_id, frame, player, CASE WHEN frame % 40 = 0 THEN 'swap' WHEN event_type = 'signup' THEN 'set' WHEN event_type IN ('purchase', 'error') THEN 'point' ELSE 'none' END AS kind, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS delta FROM tr), s AS (

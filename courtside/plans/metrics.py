@@ -41,6 +41,11 @@ def value_presence(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("cls", "event_type").agg(F.count("*").alias("n"))
 
 
+def most_common(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent value of each event type, the smallest of those that tie."""
+    return rk.most_common(tracks(spark, d), ["event_type"], "y")
+
+
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
     return rk.hash_split(table(spark, d, "documents").select("doc_id"), "doc_id", {"train": 0.8, "val": 0.1, "test": 0.1}).select("doc_id", "split", "rank")
 
@@ -113,7 +118,7 @@ def fold_means(spark: SparkSession, d: str) -> DataFrame:
 
 CONFUSION = f"WITH {LABELLED}, c AS (SELECT lang, count(*) AS n, count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label = 0 AND prediction = 1) AS fp, count(*) FILTER (label = 1 AND prediction = 0) AS fn, count(*) FILTER (label = 0 AND prediction = 0) AS tn FROM lb GROUP BY lang), k AS (SELECT lang, n, tp, fp, fn, tn, {METRICS} FROM c)"
 
-QUERIES = {f.__name__: f for f in (confusion, auc, mean_iou, value_presence, hash_split, capped_split, split_counts, time_split, group_fold, stratified_fold, standardise, latency_stats, fusion_weights, fold_means)}
+QUERIES = {f.__name__: f for f in (confusion, auc, mean_iou, value_presence, most_common, hash_split, capped_split, split_counts, time_split, group_fold, stratified_fold, standardise, latency_stats, fusion_weights, fold_means)}
 ORACLES = {
     "confusion": f"{CONFUSION} SELECT * FROM k",
     "auc": f"WITH {LABELLED} SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, round((SELECT sum(CASE WHEN p.score > q.score THEN 1 WHEN p.score = q.score THEN 0.5::DOUBLE ELSE 0 END) FROM lb p, lb q WHERE p.label = 1 AND q.label = 0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS auc FROM lb",
@@ -124,6 +129,7 @@ ORACLES = {
     "split_counts": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS rank, count(*) OVER () AS n FROM documents) SELECT CASE WHEN rank <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN rank <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split, count(*) AS docs, count(quality) AS labels FROM r LEFT JOIN labels USING (doc_id) GROUP BY ALL",
     "time_split": "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank, count(*) OVER () AS n FROM orders) SELECT o_orderkey, CASE WHEN rank <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM r",
     "group_fold": FOLDS,
+    "most_common": f"WITH {TR}, c AS (SELECT event_type, y, count(*) AS n FROM tr GROUP BY ALL) SELECT event_type, min(y) AS y, n FROM c WHERE (event_type, n) IN (SELECT (event_type, max(n)) FROM c GROUP BY event_type) GROUP BY event_type, n",
     "stratified_fold": _stratified_sql(),
     "standardise": "SELECT doc_id, round((n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER (), 6) AS n_chars_std FROM documents",
     "latency_stats": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(count(*) * 1000 / sum(value), 6) AS per_second, round(count(*) * 1000 / sum(value) / 30, 6) AS real_time_ratio FROM events GROUP BY event_type",

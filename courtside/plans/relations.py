@@ -122,6 +122,38 @@ def onehot(spark: SparkSession, d: str) -> DataFrame:
     return rt.one_hot(m, "kind", ["A_vs_F", "A_vs_O", "N_vs_F", "N_vs_O", "R_vs_F", "R_vs_O"], "kind_").select("l_orderkey", "l_linenumber", "kind_A_vs_O", "kind_N_vs_F", "kind_N_vs_O", "kind_R_vs_F", "kind_R_vs_O")
 
 
+def onehot_found(spark: SparkSession, d: str) -> DataFrame:
+    """The same columns from the values that the data have."""
+    m = history(spark, d).withColumn("kind", F.concat_ws("_vs_", "l_returnflag", "l_linestatus"))
+    out = rt.one_hot(m, "kind", None, "kind_")
+    return out.select("l_orderkey", "l_linenumber", *(c for c in out.columns if c.startswith("kind_")))
+
+
+def player_search(spark: SparkSession, d: str) -> DataFrame:
+    """Players whose name holds the end of a part's name or a number, with what their last match says of them."""
+    names = table(spark, d, "supplier").select("s_suppkey", F.col("s_name"))
+    of = lambda s: names.select(F.col("s_suppkey").alias(s), F.col("s_name").alias(f"name_{s}"))
+    m = history(spark, d).join(of("a"), "a").join(of("b"), "b").withColumns({"key_a": F.col("a"), "key_b": F.col("b"), "units_a": F.col("score"), "units_b": -F.col("score")})
+    texts = names.select(F.substring("s_name", -3, 3).alias("wanted")).unionByName(table(spark, d, "part").select(F.substring("p_name", 1, 4).alias("wanted")))
+    return jn.player_search(m, texts, "wanted", {"a": "name_a", "b": "name_b"}, F.struct("day", "l_orderkey", "l_linenumber"), ["key", "units"])
+
+
+SEARCH = f"""WITH {MH}, w AS (SELECT DISTINCT lower(right(s_name, 3)) AS wanted FROM supplier UNION SELECT DISTINCT lower(substr(p_name, 1, 4)) FROM part),
+ p AS (SELECT x.s_suppkey AS key, x.s_name AS name, 'a' AS side, score AS units, day, l_orderkey, l_linenumber FROM mh JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b
+  UNION ALL SELECT y.s_suppkey, y.s_name, 'b', -score, day, l_orderkey, l_linenumber FROM mh JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b),
+ f AS (SELECT wanted, p.* FROM w JOIN (SELECT DISTINCT name FROM p) n ON contains(lower(n.name), wanted) JOIN p USING (name)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY day DESC, l_orderkey DESC, l_linenumber DESC, side) AS k FROM f)
+SELECT wanted, side, name, key, units FROM r WHERE k = 1"""
+
+
+def mask_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Images and masks of a game by frame number, which one side pads with zeros and the other doesn't."""
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("game"), "o_orderkey", "o_orderstatus")
+    images = o.filter("o_orderstatus <> 'P'").select("game", F.format_string("img_%08d.jpg", "o_orderkey").alias("name"))
+    masks = o.filter("o_orderstatus <> 'O'").select("game", F.concat(F.lit("mask2_frame"), "o_orderkey", F.lit(".png")).alias("name"))
+    return jn.frame_pairs(images, masks, "game", "name").select("game", "frame", "name", "name_right", "pair")
+
+
 def feature_align(spark: SparkSession, d: str) -> DataFrame:
     m = history(spark, d).select("l_orderkey", "l_linenumber", F.when(F.col("a_won") == 1, F.col("l_discount")).alias("discount"), F.col("l_tax").alias("tax"))
     return rt.aligned(m, ["l_orderkey", "l_linenumber"], ["tax", "elo_diff", "discount"])
@@ -144,7 +176,7 @@ SELECT q.a, q.b, (x.matches - y.matches)::DOUBLE AS matches_diff, (x.wins - y.wi
 FROM q JOIN c x ON x.player = q.a JOIN c y ON y.player = q.b LEFT JOIN h ON h.low = q.a AND h.high = q.b"""
 
 
-QUERIES = {f.__name__: f for f in (pair_join, anti_join, left_default, profile_join, name_search, union_sources, sort_limit, rank_slice, pair_enum, latest_row, career_diff, prior_rate, pair_h2h, forecast, onehot, feature_align, pairing_features)}
+QUERIES = {f.__name__: f for f in (pair_join, anti_join, left_default, profile_join, name_search, union_sources, sort_limit, rank_slice, pair_enum, latest_row, career_diff, prior_rate, pair_h2h, forecast, onehot, onehot_found, player_search, mask_pairs, feature_align, pairing_features)}
 ORACLES = {
     "pair_join": "SELECT doc_id, lang, source, quality, toxic FROM documents JOIN labels USING (doc_id)",
     "anti_join": "SELECT lang, count(*) AS unlabelled FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY lang",
@@ -164,3 +196,8 @@ ORACLES = {
     "onehot": f"WITH {MH}, k AS (SELECT *, l_returnflag || '_vs_' || l_linestatus AS kind FROM mh) SELECT l_orderkey, l_linenumber, " + ", ".join(f"(kind = '{k}')::INTEGER AS kind_{k}" for k in ("A_vs_O", "N_vs_F", "N_vs_O", "R_vs_F", "R_vs_O")) + " FROM k",
     "feature_align": f"WITH {MH} SELECT l_orderkey, l_linenumber, coalesce(l_tax, 0) AS tax, 0.0::DOUBLE AS elo_diff, CASE WHEN a_won = 1 THEN l_discount ELSE 0 END AS discount FROM mh",
 }
+ORACLES |= {
+    "onehot_found": ORACLES["onehot"],
+    "player_search": SEARCH,
+    "mask_pairs": "SELECT o_custkey % 50 AS game, o_orderkey AS frame, printf('img_%08d.jpg', o_orderkey) AS name, 'mask2_frame' || o_orderkey || '.png' AS name_right, (o_custkey % 50) || '_' || o_orderkey AS pair FROM orders WHERE o_orderstatus NOT IN ('P', 'O')",
+}

@@ -362,6 +362,60 @@ def _vectors_sql() -> str:
 VECTORS = _vectors_sql()
 
 
+def pose_velocities(spark: SparkSession, d: str) -> DataFrame:
+    """A player's hand, torso and centre of mass against the pose before; errors lack the hand, signups the torso."""
+    t = tracks(spark, d).withColumns({"hx": F.when(_ok(), F.col("x")), "hy": F.col("y").cast("double"), "torso": F.when(F.col("event_type") != "signup", F.col("x") - 50), "com": F.col("conf")})
+    out = win.pose_velocities(t, ["match_id", "player"], ORDER, "frame", 30.0, {"v_hand_speed": ("hx", "hy")}, {"v_torso_x": "torso", "v_com_y": "com"})
+    return out.select("match_id", "player", "frame", *(r6(F.col(c), c) for c in ("v_hand_speed", "v_torso_x", "v_com_y")))
+
+
+VELOCITIES = f"""WITH {TR}, p AS (SELECT *, CASE WHEN event_type <> 'error' THEN x END AS hx, CASE WHEN event_type <> 'signup' THEN x - 50 END AS torso FROM tr),
+ v AS (SELECT *, (frame - lag(frame) OVER w) / 30.0::DOUBLE AS dt, hx - lag(hx) OVER w AS dx, y - lag(y) OVER w AS dy, torso - lag(torso) OVER w AS dt_x, conf - lag(conf) OVER w AS dc FROM p WINDOW w AS (PARTITION BY match_id, player ORDER BY frame))
+SELECT match_id, player, frame, round(sqrt(dx * dx + dy * dy) / dt, 6) AS v_hand_speed, round(dt_x / dt, 6) AS v_torso_x, round(dc / dt, 6) AS v_com_y FROM v"""
+
+
+def point_samples(spark: SparkSession, d: str) -> DataFrame:
+    """TR by points; the gate's collected rows are samples with a speed and a zone."""
+    g = win.gate(scored(spark, d), ["match_id", "rally_id"], ORDER, F.col("in_play"), seen=2, missing=3)
+    return g.withColumns({"speed": F.when(F.col("collects"), F.col("x")), "zone": F.when(F.col("collects"), (F.col("y") % 9).cast("int"))})
+
+
+def _stats_out(out: DataFrame) -> DataFrame:
+    return out.select("match_id", "rally_id", "frame", F.round("live_mean_speed", 9).alias("live_mean_speed"), "live_max_speed", *(F.col(f"live_zone_{z}").cast("long").alias(f"live_zone_{z}") for z in range(9)))
+
+
+def live_rally_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _stats_out(ra.live_stats(point_samples(spark, d), ["match_id", "rally_id"], ORDER, F.col("speed"), F.col("zone")))
+
+
+LIVE = f"""{GATE.replace("SELECT match_id, rally_id, frame, is_active, in_play AND", ", g AS (SELECT *, in_play AND", 1)}),
+ u AS (SELECT *, CASE WHEN collects AND x > 0 THEN x END AS up, CASE WHEN collects THEN y % 9 END AS zone FROM g),
+ live AS (SELECT match_id, rally_id, frame, is_active, event_type, x, y, conf, p1, p2, player, round(avg(up) OVER w, 9) AS live_mean_speed, max(up) OVER w AS live_max_speed, {", ".join(f"count(*) FILTER (zone = {z}) OVER w AS live_zone_{z}" for z in range(9))} FROM u WINDOW w AS (PARTITION BY match_id, rally_id ORDER BY frame))"""
+
+
+def packets(spark: SparkSession, d: str) -> DataFrame:
+    """Live packets, flattened again: their ball, score, running rally and one player's pose."""
+    s = win.trail(win.pixel_speed(ra.live_stats(point_samples(spark, d), ["match_id", "rally_id"], ORDER, F.col("speed"), F.col("zone")), KEYS, ORDER, "frame", "x", "y", 30.0), KEYS, ORDER, ["x", "y"], 5)
+    began = F.min("frame").over(Window.partitionBy("match_id", "rally_id"))
+    s = s.withColumns({"timestamp_sec": F.col("frame") / 30.0, "lasted": F.when(F.col("is_active"), (F.col("frame") - began) / 30.0)})
+    ball = {"detected": _ok(), "position_px": F.struct("x", "y"), "speed_pps": F.col("smooth_speed"), "trajectory_px": F.col("trail")}
+    score = {"player1_score": F.col("p1"), "player2_score": F.col("p2"), "score_reliable": F.when(F.col("event_type") == "error", False)}
+    rally = {"is_active": F.col("is_active"), "rally_id": F.col("rally_id"), "rally_duration_sec": F.col("lasted"), "mean_speed_mps": F.col("live_mean_speed"), "max_speed_mps": F.col("live_max_speed"), "landing_zones": F.array(*(f"live_zone_{z}" for z in range(9)))}
+    pose = F.struct(F.col("conf").alias("visibility_mean"), F.col("x").alias("debug_landmarks"))
+    p = ft.packets(s, KEYS, ball, score, rally, tuple(F.when(F.col("player") == i, pose) for i in (0, 1)))
+    return p.select(
+        "match_id", "packet.frame_idx", r6(F.col("packet.timestamp_sec"), "timestamp_sec"), "packet.ball.detected", "packet.ball.position_px.x", r6(F.col("packet.ball.speed_pps"), "speed_pps"), F.size("packet.ball.trajectory_px").alias("points"),
+        "packet.score.player1_score", "packet.score.player2_sets", "packet.score.sets_to_win", "packet.score.score_reliable", "packet.rally.is_active", r6(F.col("packet.rally.rally_duration_sec"), "rally_duration_sec"), "packet.rally.max_speed_mps",
+        F.col("packet.rally.landing_zones")[4].alias("zone_4"), F.col("packet.pose.player1.visibility_mean").alias("visibility_1"), F.col("packet.pose.player2.visibility_mean").alias("visibility_2"), F.size(F.map_keys(F.from_json(F.to_json("packet.pose.player1"), "map<string,string>"))).alias("pose_fields"),
+    )
+
+
+PACKETS = f"""{LIVE}, s AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) * 30 AS speed, min(frame) OVER (PARTITION BY match_id, rally_id) AS began FROM live WINDOW w AS ({BY_FRAME}))
+SELECT match_id, frame AS frame_idx, round(frame / 30.0::DOUBLE, 6) AS timestamp_sec, event_type <> 'error' AS detected, CASE WHEN event_type <> 'error' THEN x END AS x, CASE WHEN event_type <> 'error' THEN round(coalesce(avg(speed) OVER ({BY_FRAME} ROWS 4 PRECEDING), 0), 6) END AS speed_pps,
+ CASE WHEN event_type <> 'error' THEN least(frame, 5) END::INTEGER AS points, p1 AS player1_score, 0 AS player2_sets, 3 AS sets_to_win, event_type <> 'error' AS score_reliable, is_active, CASE WHEN is_active THEN round((frame - began) / 30.0::DOUBLE, 6) ELSE 0 END AS rally_duration_sec,
+ live_max_speed AS max_speed_mps, live_zone_4 AS zone_4, CASE WHEN player = 0 THEN conf END AS visibility_1, CASE WHEN player = 1 THEN conf END AS visibility_2, CASE WHEN player = 0 THEN 1 END AS pose_fields FROM s"""
+
+
 def set_debounce(spark: SparkSession, d: str) -> DataFrame:
     """Set counts of which every eighth is missing and some are impossible, held for two reads."""
     t = tracks(spark, d).withColumn("sets", F.when(F.col("y") % 8 != 0, F.col("y") % 7))
@@ -396,12 +450,15 @@ def profile_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    rally_model_features, win_vectors, set_debounce, obscured_flags, calibration_in_force, profile_fusion, speed_px, speed_m, trail, rolling_rate, running_max, pose_velocity, epoch, freeze_after, vote, stable_run, tumbling_vote, change_log, toggle_gate, clamped_sum, segments, rally_records, gate, in_play, rally_stats,
+    rally_model_features, win_vectors, pose_velocities, live_rally_stats, packets, set_debounce, obscured_flags, calibration_in_force, profile_fusion, speed_px, speed_m, trail, rolling_rate, running_max, pose_velocity, epoch, freeze_after, vote, stable_run, tumbling_vote, change_log, toggle_gate, clamped_sum, segments, rally_records, gate, in_play, rally_stats,
     zone_pivot, digit_assembly, two_sided_read, match_winner, range_join, asof_join, locf, best_box, rally_features, expanding,
 )}
 ORACLES = {
     "rally_model_features": MODEL_FEATURES,
     "win_vectors": f"{VECTORS} SELECT * FROM vectors",
+    "pose_velocities": VELOCITIES,
+    "live_rally_stats": f"{LIVE} SELECT * EXCLUDE (is_active, event_type, x, y, conf, p1, p2, player) FROM live",
+    "packets": PACKETS,
     "set_debounce": SETS,
     "obscured_flags": f"WITH {TR} SELECT match_id, frame, coalesce(last_value(CASE event_type WHEN 'view' THEN false WHEN 'error' THEN true END IGNORE NULLS) OVER ({BY_FRAME} ROWS UNBOUNDED PRECEDING), false) AS obscured FROM tr",
     "calibration_in_force": f'WITH {TR} SELECT c.match_id, c.frame, m.x AS "left", m.y AS top FROM (SELECT * FROM tr WHERE event_type = \'click\') c ASOF LEFT JOIN (SELECT * FROM tr WHERE event_type = \'signup\' AND y >= 20) m ON c.match_id = m.match_id AND c.frame >= m.frame',

@@ -100,6 +100,55 @@ def stream_corner_tracker(spark: SparkSession, d: str) -> DataFrame:
     return learned._corners_out(out)
 
 
+def _live_steps(spark: SparkSession, rows: DataFrame, columns: list[str], start: list, step, outputs: str, keep: list[str]) -> DataFrame:
+    return drained(spark, rows, lambda s: live.stateful(s, "match_id", ["frame"], columns, start, step, outputs, keep))
+
+
+def stream_speed_m(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks(spark, d).select("match_id", "frame", "x", F.col("y").cast("double").alias("y"), (F.col("event_type") != "error").alias("valid"))
+    out = _live_steps(spark, t, ["frame", "x", "y", "valid"], [None, None, None, [], None], live.metric_step, "metric_x double, metric_y double, metric_speed double", ["frame"])
+    return out.select("match_id", "frame", r6(F.col("metric_x"), "metric_x"), r6(F.col("metric_y"), "metric_y"), r6(F.col("metric_speed"), "metric_speed"))
+
+
+def stream_trail(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks(spark, d).select("match_id", "frame", "x", F.col("y").cast("double").alias("y"))
+    out = _live_steps(spark, t, ["x", "y"], [], live.trail_step, "xs array<double>, ys array<double>", ["frame"])
+    return out.select("match_id", "frame", F.size("xs").alias("points"), F.get("xs", F.lit(0)).alias("oldest_x"), r6(F.aggregate("xs", F.lit(0.0), lambda s, x: s + x), "sum_x"))
+
+
+def stream_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points as they begin and end: the number of each row's, whether it starts there, and who won the one before."""
+    out = _live_steps(spark, sq.scored(spark, d).select("match_id", "frame", "p1", "p2"), ["p1", "p2"], [None, None, 0], live.point_step, "rally_id long, is_start boolean, won_before string", ["frame"])
+    return out.select("match_id", "frame", "rally_id", "is_start", "won_before")
+
+
+def stream_set_debounce(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks(spark, d).select("match_id", "frame", F.when(F.col("y") % 8 != 0, F.col("y") % 7).alias("sets"), (F.col("event_type") != "error").alias("ok"))
+    return _live_steps(spark, t, ["sets", "ok"], [None, 0, None], lambda s, row: live.sets_step(s, row, runs=2), "stable_sets int", ["frame"]).select("match_id", "frame", "stable_sets")
+
+
+def stream_obscured(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks(spark, d).select("match_id", "frame", F.col("event_type").isin("view", "error").alias("read"), (F.col("event_type") != "error").alias("ok"))
+    return _live_steps(spark, t, ["read", "ok"], [False], live.obscured_step, "obscured boolean", ["frame"]).select("match_id", "frame", "obscured")
+
+
+def stream_toggle_gate(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks(spark, d).select("match_id", "frame", (F.col("event_type") == "signup").alias("toggle"))
+    return _live_steps(spark, t, ["toggle"], [False], live.toggle_step, "gate_open boolean", ["frame"]).select("match_id", "frame", "gate_open")
+
+
+def stream_manual_score(spark: SparkSession, d: str) -> DataFrame:
+    step = lambda s, row: (list((r := rc.score_step(tuple(s), row))[0]), r[1])
+    out = _live_steps(spark, learned.manual_events(spark, d), ["player", "kind", "delta"], [0, 0, 0, 0], step, "p1_score int, p2_score int, p1_sets int, p2_sets int", ["frame"])
+    return out.select("match_id", "frame", "p1_score", "p2_score", "p1_sets", "p2_sets")
+
+
+def stream_rally_stats(spark: SparkSession, d: str) -> DataFrame:
+    t = sq.point_samples(spark, d).select("match_id", "frame", "rally_id", "speed", "zone")
+    outputs = ", ".join(["live_mean_speed double, live_max_speed double", *(f"live_zone_{z} long" for z in range(9))])
+    return sq._stats_out(_live_steps(spark, t, ["rally_id", "speed", "zone"], live.LIVE_STATS, live.stats_step, outputs, ["frame", "rally_id"]))
+
+
 def stream_speed_reset(spark: SparkSession, d: str) -> DataFrame:
     """Speeds whose track history starts anew at each signup, as it does at a scene's cut."""
     t = tracks(spark, d).select("match_id", "frame", "x", F.col("y").cast("double").alias("y"), F.lit(30.0).alias("rate"), (F.col("event_type") == "signup").alias("cut"))
@@ -167,7 +216,7 @@ def stream_win_chances(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_win_vectors, stream_win_chances, stream_corner_tracker, stream_speed_px, stream_change_log, stream_stable_run, stream_gate, stream_window_counts, stream_clamped_sum, stream_scene_gate, stream_ema, stream_speed_reset, stream_rally_features, stream_chances,
+    stream_win_vectors, stream_win_chances, stream_corner_tracker, stream_speed_m, stream_trail, stream_points, stream_set_debounce, stream_obscured, stream_toggle_gate, stream_manual_score, stream_rally_stats, stream_speed_px, stream_change_log, stream_stable_run, stream_gate, stream_window_counts, stream_clamped_sum, stream_scene_gate, stream_ema, stream_speed_reset, stream_rally_features, stream_chances,
 )}
 ORACLES = {
     "stream_win_vectors": f"{sq.VECTORS} SELECT * FROM vectors",
@@ -181,6 +230,15 @@ SELECT match_id, frame, round(coalesce(p, 0.5), 9) AS player1_win_prob, round(1
     "stream_clamped_sum": sq.ORACLES["clamped_sum"],
     "stream_scene_gate": learned.SCENE,
     "stream_ema": learned.EMA,
+    "stream_speed_m": sq.SPEED_M,
+    "stream_trail": sq.ORACLES["trail"],
+    "stream_points": f"""WITH {sq.SCORED}, b AS (SELECT *, lag(p1) OVER w AS b1, lag(p2) OVER w AS b2 FROM scored WINDOW w AS ({BY_FRAME}))
+SELECT match_id, frame, rally_id, is_start, CASE WHEN is_start THEN CASE WHEN p1 <> b1 AND p2 IS NOT DISTINCT FROM b2 THEN 'p1' WHEN p1 = b1 AND p2 IS DISTINCT FROM b2 THEN 'p2' ELSE 'unknown' END END AS won_before FROM b""",
+    "stream_set_debounce": sq.SETS,
+    "stream_obscured": sq.ORACLES["obscured_flags"],
+    "stream_toggle_gate": sq.ORACLES["toggle_gate"],
+    "stream_manual_score": learned.MANUAL,
+    "stream_rally_stats": sq.ORACLES["live_rally_stats"],
     "stream_corner_tracker": learned.TRACKER_SQL,
     "stream_speed_reset": f"""WITH {TR}, e AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER ({BY_FRAME}) AS part FROM tr), s AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) * 30 AS speed FROM e WINDOW w AS (PARTITION BY match_id, part ORDER BY frame))
 SELECT match_id, frame, round(speed, 6) AS speed, round(coalesce(avg(speed) OVER (PARTITION BY match_id, part ORDER BY frame ROWS 4 PRECEDING), 0), 6) AS smooth_speed FROM s""",

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.window import Window
 
 from courtside.functions import text as tx
+from courtside.operators.ranking import global_rank
 
 TRAJECTORIES = "frame long, track_id int, x double, y double, speed_pps double, x_m double, y_m double, speed_mps double"
 SCORES = "frame long, timestamp_sec double, " + ", ".join(f"player{p}_{c} int" for c in ("score", "sets", "obscured", "sets_obscured") for p in (1, 2))
@@ -27,6 +27,10 @@ KINDS = {"trajectories": TRAJECTORIES, "scores": SCORES, "rallies": RALLIES, "po
 SESSION = "player_names array<string>, sets_to_win int, best_of int, score_mode string"
 
 
+#: Folders are numbered side by side for each beginning of so many letters of their names.
+FOLDER_LETTERS = 12
+
+
 def read_logs(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """All match folders' logs of one kind, by an explicit schema; short rows have nulls at their end.
 
@@ -34,9 +38,8 @@ def read_logs(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """
     rows = spark.read.csv(f"{root}/*/{kind}_*.csv", schema=KINDS[kind], header=True, mode="PERMISSIVE", enforceSchema=True)
     rows = rows.withColumn("match", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
-    names = rows.select("match").distinct()
-    ranked = names.withColumn("match_id", F.row_number().over(Window.orderBy("match")))  # one row per match folder
-    return rows.join(F.broadcast(ranked), "match")
+    ranked = global_rank(rows.select("match").distinct(), F.substring("match", 1, FOLDER_LETTERS), ["match"], "match_id")
+    return rows.join(ranked, "match")
 
 
 def write_logs(df: DataFrame, path: str, kind: str = "parquet", run: str | None = None) -> None:
@@ -153,5 +156,15 @@ def live_rows(spark: SparkSession, path: str, schema: str, files_per_batch: int
 
 
 def write_weights(df: DataFrame, path: str) -> None:
-    """One JSON document: the summary columns, and all matches as a nested list. Matches are rows of a small table."""
-    df.groupBy("weight_cv", "weight_profile").agg(F.array_sort(F.collect_list(F.struct("match_id", "cv", "profile", "fused"))).alias("matches")).coalesce(1).write.mode("overwrite").json(path)
+    """The fusion's JSON in two parts: ``summary``, one line of weights and the number of matches, and ``matches``, one line each.
+
+    Matches aren't put into one document, so that their number doesn't matter.
+    """
+    df.groupBy("weight_cv", "weight_profile").agg(F.count("*").alias("matches")).write.mode("overwrite").json(f"{path}/summary")
+    df.select("match_id", "cv", "profile", "fused").write.mode("overwrite").json(f"{path}/matches")
+
+
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    """Each match's probabilities beside the weights that fused them."""
+    summary = spark.read.json(f"{path}/summary", schema="weight_cv double, weight_profile double, matches long").drop("matches")
+    return spark.read.json(f"{path}/matches", schema="match_id long, cv double, profile double, fused double").join(F.broadcast(summary.limit(1)))  # one row

@@ -8,6 +8,7 @@ key falls silent. The update functions are those of the batch tests, one step pe
 from __future__ import annotations
 
 import json
+import statistics
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -107,6 +108,78 @@ def clamp_step(state: list, row: tuple) -> tuple[list, tuple]:
     return [total], (total,)
 
 
+def metric_step(state: list, row: tuple, rate: float = 1.0, limit: float = 40.0, smooth: int = 5) -> tuple[list, tuple]:
+    """[x, y, frame, accepted speeds, median], (frame, x, y, valid) to (x, y, speed) carried over rows that aren't valid.
+
+    A speed counts from the valid point before; one above ``limit`` is rejected, and the median of the last ones holds.
+    """
+    x, y, at, speeds, speed = state
+    frame, new_x, new_y, valid = row
+    if valid:
+        known = None not in (x, y, new_x, new_y)
+        if at is not None and frame > at and known:
+            step = ((new_x - x) ** 2 + (new_y - y) ** 2) ** 0.5 / ((frame - at) / rate)
+            if step <= limit:
+                speeds = [*speeds, step][-smooth:]
+                speed = statistics.median(speeds)
+        x, y, at = (x if new_x is None else float(new_x)), (y if new_y is None else float(new_y)), frame
+    return [x, y, at, speeds, speed], (x, y, speed)
+
+
+def trail_step(state: list, row: tuple, length: int = 30) -> tuple[list, tuple]:
+    """The last points, a point to all of them, oldest first, by coordinate."""
+    state = [*state, [float(v) for v in row]][-length:]
+    return state, tuple([p[i] for p in state] for i in range(len(row)))
+
+
+def point_step(state: list, row: tuple) -> tuple[list, tuple]:
+    """[first score, second score, point], the row's scores to (point, is_start, who won the point before); see ``rallies.point_rows``."""
+    first, second, point = state
+    starts = first is not None and row[0] is not None and (first, second) != row
+    one, two = row[0] != first, row[1] != second
+    winner = ("p1" if one and not two else "p2" if two and not one else "unknown") if starts else None
+    point += starts
+    return [*row, point], (point, starts, winner)
+
+
+def sets_step(state: list, row: tuple, runs: int = 4, most: int = 5) -> tuple[list, tuple]:
+    """[value, run, stable], (sets, reliable) to the count that last held for ``runs`` reads; a null or impossible one ends a run."""
+    value, run, stable = state
+    sets, reliable = row
+    if not reliable or sets is None or sets > most:
+        return [None, 0, stable], (stable,)
+    run = run + 1 if sets == value else 1
+    return [int(sets), run, int(sets) if run >= runs else stable], (int(sets) if run >= runs else stable,)
+
+
+def obscured_step(state: list, row: tuple) -> tuple[list, tuple]:
+    """[flag], (is a read, reliable) to whether the last read was unreliable."""
+    read, reliable = row
+    state = [not reliable] if read else state
+    return state, (state[0],)
+
+
+def toggle_step(state: list, row: tuple) -> tuple[list, tuple]:
+    """[open], (toggle) to whether an odd number of toggles came so far."""
+    state = [state[0] != bool(row[0])]
+    return state, (state[0],)
+
+
+#: Of no point: its number, speeds' number, sum and largest, and hits of nine zones.
+LIVE_STATS = [None, 0, 0.0, None, [0] * 9]
+
+
+def stats_step(state: list, row: tuple) -> tuple[list, tuple]:
+    """LIVE_STATS, (point, speed, zone) to (mean, max, nine counts) of the point's samples so far; see ``rallies.live_stats``."""
+    point, speed, zone = row
+    _, n, total, most, zones = state if state[0] == point else [point, *LIVE_STATS[1:]]
+    if speed is not None and speed > 0:
+        n, total, most = n + 1, total + speed, speed if most is None else max(most, speed)
+    if zone is not None:
+        zones = [z + (i == zone) for i, z in enumerate(zones)]
+    return [point, n, total, most, zones], (total / n if n else None, most, *zones)
+
+
 def reset_at(step: Step, start: Any) -> Step:
     """``step`` for rows with one more value at their end: where that is true, as at a cut, the state starts anew before the row."""
 
