@@ -34,8 +34,8 @@ BLOCK = {
     "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 NEVER = {
-    "aside", "audio", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "header", "iframe", "input", "menu", "nav", "noscript", "object", "script", "select", "style", "svg",
-    "template", "textarea", "title", "video",
+    "aside", "audio", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "header", "iframe", "input", "label", "legend", "menu", "nav", "noscript", "object", "script", "select", "style",
+    "svg", "template", "textarea", "title", "video",
 }
 NEVER_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 NEVER_NAMES = {
@@ -43,8 +43,13 @@ NEVER_NAMES = {
     "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "promoted", "promotion", "related", "replies", "share", "sharing", "sidebar", "signup", "social", "sponsor",
     "sponsored", "subscribe", "toolbar", "widget",
 }
-#: As a whole class or id these bar their element; the other names are a feature of the model.
-BARRING_NAMES = {"ad", "ads", "advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "comments", "disqus", "navbar"}
+#: As the last part of a block's class or id (user-comments, but not related-work) these bar it, also in an article; the other names are a feature of the model.
+BARRING_NAMES = {
+    "ad", "ads", "advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "navbar", "newsletter", "replies", "sidebar", "teaser", "teasers",
+}
+#: What a name that begins with comment may end with, and what a header's may begin with, unless it is an article's own.
+COMMENT_PARTS, SITE = {"area", "body", "form", "list", "section", "thread"}, {"global", "page", "site", "top"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: The ids of these are anchors in the text.
 ANCHORS = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
 #: With one of these, an element's name says what else its page has.
@@ -65,18 +70,50 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.never, self.inside, self.named = ["#page"], [-1], [False], [False], [False]
+        self.by_name = [False]
         self.pieces: list[tuple[int, str] | None] = []
-        self.open = [0]
+        self.open, self.often = [0], Counter()
         self.feed(html)
         self.close()
+        self._settle()
+
+    def _settle(self) -> None:
+        """What only the whole page tells: a form or a named block around the page's article, or around most of its text, bars nothing.
+
+        An article's own header is text if it has a heading. What a block is named after holds for all that stands in it.
+        """
+        n = len(self.tags)
+        holds, headed, seen = [t in MAIN or t == "h1" for t in self.tags], [t in HEADINGS for t in self.tags], [0] * n
+        for piece in self.pieces:
+            if piece:
+                seen[piece[0]] += len(piece[1].strip())
+        for i in range(n - 1, 0, -1):
+            up = self.parents[i]
+            holds[up], headed[up] = holds[up] or holds[i], headed[up] or headed[i]
+            if self.tags[i] not in UNSEEN:
+                seen[up] += seen[i]
+        for i in range(1, n):
+            around = holds[i] or 2 * seen[i] > seen[0]
+            if self.tags[i] == "form" and around:
+                self.never[i] = False
+            elif self.tags[i] == "header" and self.inside[i] and headed[i] and not self.by_name[i]:
+                self.never[i] = False
+            self.never[i] = self.never[i] or (self.by_name[i] and not holds[i])
+            self.named[i] = self.named[self.parents[i]] or (self.named[i] and not holds[i])
+
+    def _end(self, at: int) -> None:
+        """Closes the elements from a place in the list of open ones on."""
+        self.often.subtract(self.tags[i] for i in self.open[at:])
+        del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.pieces.append(None)
-            for at in range(len(self.open) - 1, 0, -1):
+            ends = any(self.often[inner] and tag in by for inner, by in CLOSES.items())
+            for at in range(len(self.open) - 1, 0, -1) if ends else ():
                 inner = self.tags[self.open[at]]
                 if tag in CLOSES.get(inner, ()):
-                    del self.open[at:]
+                    self._end(at)
                     break
                 if inner in SCOPES:
                     break
@@ -84,21 +121,35 @@ class Page(HTMLParser):
             self.pieces.append((self.open[-1], " "))
         if tag in VOID:
             return
-        parent = self.open[-1]
+        parent, given = self.open[-1], dict(attrs)
+        names = self._names(tag, given)
+        if tag == "article" and self._names(tag, {"class": next(iter((given.get("class") or given.get("id") or "").split()), "")}) & BARRING_NAMES:
+            tag = "div"  # by its first name a reader's comment, or a piece of another article
+        whole = tag in MAIN or tag in ("html", "body")  # these may be named after any of their parts
         self.parents.append(parent)
         self.tags.append(tag)
-        whole = tag in MAIN or tag in ("html", "body")  # these may be named after any of their parts
-        names = set() if whole else self._names(tag, dict(attrs))
-        self.never.append(tag in NEVER or bool(names & BARRING_NAMES) or (not whole and self._unwanted(dict(attrs))))
-        self.named.append(not whole and (self.named[parent] or bool(names & NEVER_NAMES)))
-        self.inside.append(self.inside[parent] or tag in MAIN or dict(attrs).get("role") == "main")
+        self.never.append(tag in NEVER or (not whole and self._unwanted(given)))
+        self.by_name.append(not whole and tag in BLOCK and bool(names & BARRING_NAMES))
+        self.named.append(not whole and bool(names & NEVER_NAMES))
+        self.inside.append(self.inside[parent] or tag in MAIN or given.get("role") == "main")
         self.open.append(len(self.tags) - 1)
+        self.often[tag] += 1
 
     @staticmethod
     def _names(tag: str, attrs: dict[str, str | None]) -> set[str]:
-        """Whole classes and ids: a compound one, such as related-work, may name anything."""
-        names = set(f"{attrs.get('class') or ''} {(tag not in ANCHORS and attrs.get('id')) or ''}".lower().split())
-        return set() if names & KEPT_NAMES else names
+        """What its classes and its id call an element: the last part of each, as a compound name such as related-work may begin with anything."""
+        names = f"{attrs.get('class') or ''} {(tag not in ANCHORS and attrs.get('id')) or ''}".lower().split()
+        out, parted = set(), [re.split("[-_]+", name) for name in names]
+        if any(len(parts) == 1 and parts[0] in KEPT_NAMES for parts in parted):
+            return out
+        for parts in parted:
+            if KEPT_NAMES.intersection(parts):
+                continue
+            if parts[-1] != "header" or len(parts) == 1 or parts[0] in SITE:
+                out.add(parts[-1])
+            if parts[0] == "comment" and parts[-1] in COMMENT_PARTS:
+                out.add("comments")
+        return out
 
     @staticmethod
     def _unwanted(attrs: dict[str, str | None]) -> bool:
@@ -113,9 +164,14 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.pieces.append(None)
+        if not self.often[tag]:
+            if tag == "article" and self.often["div"]:
+                tag = "div"  # one that counts as another block
+            else:
+                return
         for at in range(len(self.open) - 1, 0, -1):
             if self.tags[self.open[at]] == tag:
-                del self.open[at:]
+                self._end(at)
                 return
 
     def handle_data(self, data: str) -> None:
@@ -143,6 +199,7 @@ class Page(HTMLParser):
             if not self.is_block(i) and not self.never[i]:
                 own[self.parents[i]] += own[i]
         out: list[tuple[str, ...]] = []
+        follows, cites = [False] * n, [False] * n  # whether a text block stands in the element so far; whether it cites
         for i in range(n):
             if not self.is_block(i):
                 out.append(())
@@ -153,7 +210,12 @@ class Page(HTMLParser):
             elif self.tags[i] in ROOTS and not own[i]:
                 out.append(("kind root",))
             else:
-                out.append(("kind links" if whole[i] and 4 * linked[i] >= 3 * whole[i] else "kind text",))
+                up = self.parents[i]
+                links = whole[i] and 4 * linked[i] >= 3 * whole[i]
+                # a list of links after text in one block is the text's own, as sources are
+                cites[i] = bool(links and i and (cites[up] or (follows[up] and self.tags[up] not in ROOTS)))
+                out.append(("kind links" if links and not cites[i] else "kind text",))
+                follows[up] = follows[up] or (bool(i) and not links and whole[i] > 0)
         return out
 
     def is_block(self, i: int) -> bool:
@@ -171,11 +233,12 @@ class Page(HTMLParser):
         marked = any(self.inside)
         return [b or (marked and not i) for b, i in zip(self.barred(), self.inside, strict=True)]
 
-    def above(self, i: int) -> Iterator[int]:
-        """An element and all that it stands in."""
-        while i >= 0:
-            yield i
-            i = self.parents[i]
+    def unseen(self) -> list[bool]:
+        """Whether no reader sees an element's text."""
+        out = [tag in UNSEEN for tag in self.tags]
+        for i in range(1, len(out)):
+            out[i] = out[i] or out[self.parents[i]]
+        return out
 
     def unmarked(self) -> Page:
         """The page without its articles' own tags: what they hold stands in their parents."""
@@ -207,9 +270,9 @@ def observations(page: Page) -> Counter:
     holds = {page.parents[i] for i, tag in enumerate(page.tags) if tag in MAIN and content[i]}
     kept = [i for i, tag in enumerate(page.tags) if tag not in MAIN]
     for view, state in ((page, content), (bare, [content[i] or i in holds for i in kept])):
-        out, fixed = view.barred(), view.fixed()
+        out, fixed, unseen = view.barred(), view.fixed(), view.unseen()
         for i, features in enumerate(view.features()):
-            if not out[i] or (features in (("kind links",), ("kind named",)) and not any(view.tags[j] in UNSEEN for j in view.above(i))):
+            if not out[i] or (features in (("kind links",), ("kind named",)) and not unseen[i]):
                 counts.update((f, int(state[i])) for f in features)
             parent = view.parents[i]
             if view.is_block(i) and not (i and out[parent]) and not (out[i] and fixed[parent]):

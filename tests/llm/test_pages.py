@@ -137,3 +137,40 @@ def test_html_names_of_parts(pages, part):
     if "'header'" not in part:
         assert html_extract.main_text(f"<body><div><p>Text</p>{part}</div></body>", model) == "Text\nKept"
     assert html_extract.main_text("<body><div><p>Text</p></div><div id='footer'><p>End</p></div></body>", model) == "Text"
+
+
+@pytest.fixture(scope="module")
+def model(pages):
+    return html_extract.Model(html_extract.fit(pages.filter("page_id < 20")))
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<body><form id='f'><nav>Menu</nav><article><h1>A</h1><p>Text</p></article><p><label>Name</label><input></p></form></body>", "A\nText"),
+    ("<body><form id='f'><div><p>A long text of the page, in a form around all of it</p></div><select><option>x</select></form></body>", "A long text of the page, in a form around all of it"),
+    ("<body><article><p>A text that is longer than the form</p><form><p>Name</p></form></article></body>", "A text that is longer than the form"),
+    ("<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>Lead</p></header><p>Text</p><header>By</header></article></body>", "Title\nLead\nText"),
+    ("<body><article><p>Text</p><div class='comment'>Nice</div><div class='newsletter'>Sign</div><section class='user-comments'>Me</section><div id='sidebar'>S</div></article></body>", "Text"),
+    ("<body><article class='post comments'><p>Text</p></article><div class='comment-list'><article class='comment-body'><p>Me too</p></article></div><article class='teaser'><p>Next</p></article></body>", "Text"),
+    ("<body><div class='cookie-banner'>We use</div><div class='top-nav'>Go</div><div><p>Text</p></div><div class='user-comments'><p>Me</p></div><div class='site-footer'><p>End</p></div></body>", "Text"),
+    ("<body><div><h1>A</h1><p>Text</p><h2>Sources</h2><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul></div></body>", "A\nText\nSources\nOne\nTwo"),
+    ("<body><div class='layout has-sidebar'><p>Text</p></div><div class='no-sidebar'><p>More</p></div></body>", "Text\nMore"),
+    ("<body><div class='page sidebar'><h1>A</h1><p>Text</p></div></body>", "A\nText"),
+    ("<body><article><pre>x = 1 <span class='comment'># kept</span></pre></article></body>", "x = 1 # kept"),
+])
+def test_html_parts_and_wrappers(model, html, want):
+    """Forms and named blocks around a page, an article's own header, and what readers and sites add to an article."""
+    assert html_extract.main_text(html, model) == want
+
+
+def test_html_deep_markup(model):
+    """Tens of thousands of open elements and stray ends take time in proportion to the page."""
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        deep = "<b>" * n + "x" + "</i>" * n + "<p>y" * 50 + "<div>" * n + "z"
+        began = time.process_time()
+        assert html_extract.main_text(f"<body><article>{deep}</article></body>", model).endswith("z")
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1
+    assert html_extract.main_text("<body><article>" + "<p>word " * 30_000 + "</article></body>", model).count("\n") == 29_999
