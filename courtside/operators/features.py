@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtside.functions import fusion as fz
+from courtside.functions import geometry as geo
 from courtside.operators import joins as jn
 from courtside.operators import windows as win
 
@@ -84,6 +85,19 @@ def calibration_at(frames: DataFrame, calibrations: DataFrame, keys: Sequence[st
     return jn.asof_join(frames, calibrations.filter(valid), list(keys), frame, list(corners), {})
 
 
+def calibrated_positions(frames: DataFrame, calibrations: DataFrame, keys: Sequence[str], frame: str, corners: Sequence[str], u: str, v: str, usable: Column | None = None) -> DataFrame:
+    """Adds x_m, y_m, the place on the table of pixel (u, v) by the calibration in force: the last one at or before the frame that is valid.
+
+    ``corners`` are the eight coordinate columns of TL, TR, BR, BL, from marks or from a tracker, whose rows that aren't
+    ``usable`` (such as its ``is_valid``) count as none. Null before the first calibration and for places far from the table.
+    """
+    quad = [(F.col(corners[i]), F.col(corners[i + 1])) for i in range(0, 8, 2)]
+    valid = geo.calibration_valid(quad) if usable is None else usable & geo.calibration_valid(quad)
+    placed = calibration_at(frames, calibrations, keys, frame, corners, valid)
+    x, y = geo.to_meters(list(geo.homography(quad).values()), F.col(u), F.col(v))
+    return placed.withColumns({"x_m": x, "y_m": y}).drop(*corners)
+
+
 def with_profile(live: DataFrame, career: DataFrame, keys: Sequence[str], probability: str, name: str = "profile_probability") -> DataFrame:
     """Adds each match's career probability, null if there is none, and ``has_profile``. A match has one career row at most."""
     found = career.select(*keys, F.col(probability).alias(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtside.operators import features as ft
 from courtside.operators import fold_fits as ff
 from courtside.operators import learning as ml
 from courtside.operators import ratings as rt
@@ -110,6 +111,27 @@ SELECT match_id, frame, {", ".join(f"round({c}, 6) AS smooth_{c}" for c in rc.CO
 TRACKER_SQL = _corners_sql()
 
 
+def tracked_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks as pixels, placed on the table by the tracked corners in force."""
+    corners = [f"smooth_{c}" for c in rc.CORNERS]
+    clicks = tracks(spark, d).filter("event_type = 'click'").select("match_id", "frame", (200 + F.col("x") * 4).alias("u"), (F.col("y") * 2 + 300.0).alias("v"))
+    out = ft.calibrated_positions(clicks, corner_tracker(spark, d), ["match_id"], "frame", corners, "u", "v", F.col("is_valid"))
+    return out.select("match_id", "frame", r6(F.col("x_m"), "x_m"), r6(F.col("y_m"), "y_m"))
+
+
+def _positions_sql() -> str:
+    """The map of the unit square onto the corners has a closed form; a click's place is its inverse."""
+    c = {k: f"smooth_{k}" for k in rc.CORNERS}
+    return f"""WITH q AS ({TRACKER_SQL}), {TR},
+ e AS (SELECT q.*, {c["x_tr"]} - {c["x_br"]} AS ax, {c["y_tr"]} - {c["y_br"]} AS ay, {c["x_bl"]} - {c["x_br"]} AS bx, {c["y_bl"]} - {c["y_br"]} AS by_, {c["x_tl"]} - {c["x_tr"]} + {c["x_br"]} - {c["x_bl"]} AS sx, {c["y_tl"]} - {c["y_tr"]} + {c["y_br"]} - {c["y_bl"]} AS sy FROM q WHERE is_valid),
+ g AS (SELECT *, (sx * by_ - bx * sy) / (ax * by_ - bx * ay) AS g, (ax * sy - sx * ay) / (ax * by_ - bx * ay) AS h FROM e),
+ m AS (SELECT match_id, frame, {c["x_tr"]} - {c["x_tl"]} + g * {c["x_tr"]} AS a, {c["x_bl"]} - {c["x_tl"]} + h * {c["x_bl"]} AS b, {c["x_tl"]} AS c, {c["y_tr"]} - {c["y_tl"]} + g * {c["y_tr"]} AS d, {c["y_bl"]} - {c["y_tl"]} + h * {c["y_bl"]} AS e, {c["y_tl"]} AS f, g, h FROM g),
+ k AS (SELECT match_id, frame, 200 + x * 4 AS u, y * 2 + 300.0::DOUBLE AS v FROM tr WHERE event_type = 'click'),
+ j AS (SELECT k.match_id, k.frame, u, v, a, b, c, d, e, f, g, h FROM k ASOF LEFT JOIN m ON k.match_id = m.match_id AND k.frame >= m.frame),
+ w AS (SELECT match_id, frame, ((e - f * h) * u + (c * h - b) * v + b * f - c * e) / ((d * h - e * g) * u + (b * g - a * h) * v + a * e - b * d) * 2.74::DOUBLE AS x, ((f * g - d) * u + (a - c * g) * v + c * d - a * f) / ((d * h - e * g) * u + (b * g - a * h) * v + a * e - b * d) * 1.525::DOUBLE AS y FROM j)
+SELECT match_id, frame, round(CASE WHEN x BETWEEN -3 AND 5.74 AND y BETWEEN -3 AND 4.525 THEN x END, 6) AS x_m, round(CASE WHEN x BETWEEN -3 AND 5.74 AND y BETWEEN -3 AND 4.525 THEN y END, 6) AS y_m FROM w"""
+
+
 def manual_events(spark: SparkSession, d: str) -> DataFrame:
     """Points and sets from events: purchases score, errors take back, signups win a set, every 40th row swaps sides."""
     kind = F.when(F.col("frame") % 40 == 0, "swap").when(F.col("event_type") == "signup", "set").when(F.col("event_type").isin("purchase", "error"), "point").otherwise("none")
@@ -215,12 +237,13 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return out.select("match_id", "label", r6(F.col("probability"), "probability"), "predicted")
 
 
-QUERIES = {f.__name__: f for f in (scene_gate, skipped_frames, ema, corner_tracker, manual_score, elo, career_features, model_comparison, win_probability, default_model, meta_model, leave_one_out)}
+QUERIES = {f.__name__: f for f in (scene_gate, skipped_frames, ema, corner_tracker, tracked_positions, manual_score, elo, career_features, model_comparison, win_probability, default_model, meta_model, leave_one_out)}
 ORACLES = {
     "scene_gate": SCENE,
     "skipped_frames": f"WITH q AS ({SCENE}) SELECT match_id, count(*) FILTER (NOT process) AS skipped, count(*) FILTER (is_cut) AS cuts FROM q GROUP BY match_id",
     "ema": EMA,
     "corner_tracker": TRACKER_SQL,
+    "tracked_positions": _positions_sql(),
     "manual_score": MANUAL,
     "elo": f"{RATED} SELECT l_orderkey, l_linenumber, round(ea, 6) AS elo_a, round(eb, 6) AS elo_b, round(ea + up, 6) AS elo_a_after, round(eb - up, 6) AS elo_b_after FROM rated",
     "career_features": CAREERS,

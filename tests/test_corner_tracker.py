@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtside.functions import geometry as geo
+from courtside.operators import features as ft
 from courtside.operators import recurrence as rc
 
 FIRST = (200.0, 300.0, 600.0, 300.0, 600.0, 500.0, 200.0, 500.0)
@@ -82,3 +83,15 @@ def test_batch_form_and_columns(spark):
     quad = [(F.col(rc.CORNERS[i]), F.col(rc.CORNERS[i + 1])) for i in range(0, 8, 2)]
     got = df.select(*df.columns, geo.quad_passes(quad, F.col("area")).alias("fits"), geo.quad_passes(quad).alias("alone")).collect()
     assert all(r.fits == rc.quad_passes(r[:8], r.area) and r.alone == rc.quad_passes(r[:8], 0) for r in got)
+
+
+def test_positions_by_the_calibration_in_force(spark):
+    """Marks that are no table and rows of a tracker that lost it don't count; the last one that does says where a pixel is."""
+    names = ", ".join(f"{c} double" for c in rc.CORNERS)
+    marks = [(1, 5, *FIRST, True), (1, 10, *([1.0] * 8), True), (1, 20, *moved(100.0), False), (1, 30, *moved(50.0), True)]
+    frames = [(1, f, u, v) for f, u, v in ((1, 200.0, 300.0), (5, 200.0, 300.0), (15, 600.0, 500.0), (25, 400.0, 400.0), (30, 250.0, 350.0), (31, 9e5, 9e5))]
+    out = ft.calibrated_positions(
+        spark.createDataFrame(frames, "m int, f int, u double, v double"), spark.createDataFrame(marks, f"m int, f int, {names}, ok boolean"), ["m"], "f", rc.CORNERS, "u", "v", F.col("ok")
+    ).orderBy("f").collect()
+    want = [None, (0, 0), (2.74, 1.525), (1.37, 0.7625), (0, 0), None]
+    assert [None if r.x_m is None else (r.x_m, r.y_m) for r in out] == [w and pytest.approx(w, abs=1e-9) for w in want] and out[0].asDict().keys() == {"m", "f", "u", "v", "x_m", "y_m"}
