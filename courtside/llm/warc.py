@@ -7,10 +7,10 @@ transaction assembly joins them through these names into one nested row per capt
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +24,8 @@ from courtside.llm.common import shared_dir, stored, table, text_of
 LEAST_REVISIT_BYTES = 1000
 #: Records of a file at most, so that one file fits into a task.
 FILE_RECORDS = 3000
+#: Bytes of payloads that a worker gathers before it hands its rows on.
+CHUNK_BYTES = 8_000_000
 #: Equal payloads are numbered in so many groups.
 SALTS = 64
 #: Digests that are broadcast at most (about 70 bytes each).
@@ -88,15 +90,13 @@ def write_archives(captures: DataFrame, path: str) -> None:
 
 
 def parse(archive: bytes) -> Iterator[dict]:
-    """The records of one archive, plain or gzipped: type, headers by lower-case name, and the bytes of the body."""
+    """The records of one archive, plain or gzipped: type, headers by lower-case name, and the bytes of the body.
+
+    A gzipped archive is unpacked as it is read, so that one record is held at a time.
+    """
     data = io.BytesIO(archive)
     if archive[:2] == b"\x1f\x8b":
-        parts, rest = [], archive
-        while rest:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(rest) + member.flush())
-            rest = member.unused_data
-        data = io.BytesIO(b"".join(parts))
+        data = io.BufferedReader(gzip.GzipFile(fileobj=data), 1 << 20)
     while line := data.readline():
         if not line.startswith(b"WARC/"):
             continue  # the two line ends between records
@@ -113,10 +113,13 @@ RECORDS = "record_id string, type string, concurrent_to string, uri string, date
 def read_archives(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
     """One row per record. A response's payload is hashed and held against its header; without ``payload`` it isn't kept."""
 
+    def table_of(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in RECORDS.split(", ")]).astype({"payload_bytes": "Int64", "verified": "boolean"})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
-                rows = []
+                rows, held = [], 0
                 for record in parse(bytes(content)):
                     headers, body, kind = record["headers"], record["body"], record["type"]
                     digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
@@ -135,7 +138,11 @@ def read_archives(spark: SparkSession, path: str, *, payload: bool = True) -> Da
                     else:
                         kept = body
                     rows.append((headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-date"), headers.get("warc-refers-to"), digest, size, fine, fields, kept if payload else None))
-                yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in RECORDS.split(", ")]).astype({"payload_bytes": "Int64", "verified": "boolean"})
+                    held += len(kept or b"") if payload else 0
+                    if held >= CHUNK_BYTES:
+                        yield table_of(rows)
+                        rows, held = [], 0
+                yield table_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORDS)
 

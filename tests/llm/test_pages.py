@@ -174,3 +174,16 @@ def test_html_deep_markup(model):
         took.append(time.process_time() - began)
     assert took[1] < 12 * took[0] + 1
     assert html_extract.main_text("<body><article>" + "<p>word " * 30_000 + "</article></body>", model).count("\n") == 29_999
+
+
+def test_warc_in_chunks(spark, monkeypatch):
+    """Payloads that are far larger than what a worker hands on at once, in one file, and several gzip members in one archive."""
+    import gzip
+
+    rows = [(i, f"u{i}", chr(97 + i) * 300_000) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "CHUNK_BYTES", 500_000)
+    got = warc.assemble(warc.read_archives(spark, warc.archive(df))).collect()
+    assert sorted(bytes(r.response.payload).decode() for r in got) == [h for _, _, h in rows]
+    plain = b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [r["body"] for r in warc.parse(plain * 2)] == [r["body"] for r in warc.parse(gzip.compress(plain) + gzip.compress(plain))] == [b"abc", b"abc"]
