@@ -24,6 +24,14 @@ KEY = "row_key"
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 
+#: Rows that Spark hands to a Python worker at once. A worker keeps what its largest batch took, beside the JVM's own memory.
+BATCH_ROWS = "500"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """The documents with a key of each row's own; ids may be null or repeat. A new key is stored, so that it stays."""
     if KEY in docs.columns:
@@ -40,6 +48,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the row with the smallest id (null last), then the smallest hash of its values."""
+    small_batches(spark)
     rows = keyed(docs)
     groups = jaccard_components(rows, id_col=KEY, width=SHINGLE_WORDS, percent=SIMILARITY_PERCENT).select(KEY, "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS[1:]), KEY)
@@ -49,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced by a mark; n_chars follows the text."""
+    small_batches(spark)
     return redact_secrets(keyed(docs), id_col=KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS, KEY)
 
 
@@ -63,6 +73,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's token ids and what they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
+    small_batches(spark)
     return encode_digests(docs, path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
@@ -74,6 +85,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(COLUMNS)
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for _, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir))
+    finally:
+        spark.conf.set(setting, before)
     return docs
