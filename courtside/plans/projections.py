@@ -204,7 +204,7 @@ def name_parse(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     whole = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(F.concat(F.col("p_name"), F.lit(" (#"), F.col("p_partkey").cast("string"), F.lit(")")))
     name, key = tx.name_and_id(whole)
-    file = F.concat(F.lit("img_"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(".png"))
+    file = F.format_string("img_%06d.png", "p_partkey")  # at least six digits; a longer number stays whole
     return p.select("p_partkey", name.alias("name"), key.alias("id"), tx.frame_number(file).alias("frame"), tx.safe_name(F.col("p_name")).alias("safe_name"))
 
 
