@@ -70,16 +70,18 @@ def profile_join(rows: DataFrame, profiles: DataFrame, a: str, b: str, profile_k
 def name_search(rows: DataFrame, name: str, searches: DataFrame, text: str, gram: int = 3) -> DataFrame:
     """Rows whose name holds a searched text, case ignored, literally; the text comes in lower case.
 
-    Each search is keyed by its first ``gram`` characters, each row by the distinct pieces of that length and less of its
-    name, so both sides may be large: they meet on a piece, and what meets is checked. A null name or search finds nothing.
+    Each search is keyed by its first ``gram`` characters, each different name by the distinct pieces of that length and less,
+    so both sides may be large: they meet on a piece, and what meets is checked. Names with their pieces take far more room
+    than the files they are read from say, so they are merged and never broadcast. A null name or search finds nothing.
     """
     wanted = searches.select(F.lower(text).alias(text)).distinct().withColumn("j_piece", F.substring(text, 1, gram))
-    low = F.lower(name)
+    named, low = rows.withColumn("j_name", F.col(name)), F.lower("j_name")
     places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
     cut = lambda n: F.transform(places, lambda i: F.substring(low, i, F.lit(n)))
     pieces = [cut(n) for n in range(gram + 1)]
-    keyed = rows.withColumn("j_piece", F.explode(F.array_distinct(F.concat(*pieces))))
-    return keyed.join(wanted, "j_piece").filter(F.contains(low, F.col(text))).drop("j_piece")
+    keyed = named.select("j_name").filter("j_name is not null").distinct().withColumn("j_piece", F.explode(F.array_distinct(F.concat(*pieces))))
+    found = keyed.join(wanted.hint("merge"), "j_piece").filter(F.contains(low, F.col(text))).select("j_name", text)
+    return named.join(found.hint("merge"), "j_name").drop("j_name")
 
 
 def player_search(matches: DataFrame, searches: DataFrame, text: str, sides: dict[str, str], order: Column, columns: Names, gram: int = 3) -> DataFrame:
@@ -92,7 +94,7 @@ def player_search(matches: DataFrame, searches: DataFrame, text: str, sides: dic
     for rank, (side, name) in enumerate(sides.items()):
         own = matches.select(order.alias("j_order"), F.lit(-rank).alias("j_rank"), F.lit(side).alias("side"), F.col(name).alias("name"), *(F.col(f"{c}_{side}").alias(c) for c in columns))
         both = own if both is None else both.unionByName(own)
-    found = name_search(both, F.col("name"), searches, text, gram)
+    found = name_search(both, "name", searches, text, gram)
     last = found.groupBy(text).agg(F.max_by(F.struct("side", "name", *columns), F.struct("j_order", "j_rank", "name", *columns)).alias("r"))
     return last.select(text, "r.*")
 

@@ -15,3 +15,11 @@ def test_name_parse_takes_keys_of_more_than_six_digits(spark, tmp_path):
     spark.createDataFrame([(7, "hot bolt"), (1_234_567, "hot ring")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     assert {r.p_partkey: r.frame for r in projections.name_parse(spark, str(tmp_path)).collect()} == {7: 7, 1_234_567: 1_234_567}
 
+
+def test_name_search_broadcasts_no_exploded_names(spark, tmp_path):
+    spark.range(1000).select("id", F.concat(F.lit("name "), "id").alias("n")).write.parquet(f"{tmp_path}/names")
+    names = spark.read.parquet(f"{tmp_path}/names")
+    found = jn.name_search(names, "n", names.select(F.substring("n", 1, 6).alias("w")), "w")
+    assert "BroadcastExchange" not in plan_of(found)
+    assert found.count() == sum(f"name {j}" in f"name {i}" for i in range(1000) for j in range(10))
+
