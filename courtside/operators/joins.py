@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from courtside.shared import stored
+
 Names = Sequence[str]
 
 
@@ -89,14 +91,15 @@ def player_search(matches: DataFrame, searches: DataFrame, text: str, sides: dic
 
     ``sides`` maps a side to its name column; ``columns`` exist as <c>_<side>. If both names hold the text, the first side
     is the player. Searches that find nobody have no row. Of matches at the same place the one with the larger values counts.
+    A name's last match is found first, so that names are searched and not matches.
     """
     both = None
     for rank, (side, name) in enumerate(sides.items()):
         own = matches.select(order.alias("j_order"), F.lit(-rank).alias("j_rank"), F.lit(side).alias("side"), F.col(name).alias("name"), *(F.col(f"{c}_{side}").alias(c) for c in columns))
         both = own if both is None else both.unionByName(own)
-    found = name_search(both, "name", searches, text, gram)
-    last = found.groupBy(text).agg(F.max_by(F.struct("side", "name", *columns), F.struct("j_order", "j_rank", "name", *columns)).alias("r"))
-    return last.select(text, "r.*")
+    last = stored(both.filter("name is not null").groupBy("name").agg(F.max(F.struct("j_order", "j_rank", "name", *columns, "side")).alias("j_last")))
+    found = name_search(last, "name", searches, text, gram).groupBy(text).agg(F.max("j_last").alias("r"))
+    return found.select(text, "r.side", "r.name", *(f"r.{c}" for c in columns))
 
 
 def frame_pairs(left: DataFrame, right: DataFrame, game: str, name: str) -> DataFrame:

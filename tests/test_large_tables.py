@@ -1,6 +1,7 @@
 """What only larger tables show: plans that must not broadcast, keys with more digits, work that must not grow with pairs."""
 
 from __future__ import annotations
+
 from pyspark.sql import functions as F
 
 from courtside.operators import joins as jn
@@ -23,3 +24,10 @@ def test_name_search_broadcasts_no_exploded_names(spark, tmp_path):
     assert "BroadcastExchange" not in plan_of(found)
     assert found.count() == sum(f"name {j}" in f"name {i}" for i in range(1000) for j in range(10))
 
+
+def test_player_search_searches_names_not_matches(spark):
+    matches = spark.range(2000).selectExpr("id AS no", "concat('player ', id % 5) AS name_a", "concat('guest ', id % 3) AS name_b", "id AS age_a", "-id AS age_b")
+    searches = spark.createDataFrame([("R 2",), ("guest",), ("x",)], "w string")
+    found = jn.player_search(matches, searches, "w", {"a": "name_a", "b": "name_b"}, F.col("no"), ["age"])
+    assert sorted(map(tuple, found.collect())) == [("guest", "b", "guest 1", -1999), ("r 2", "a", "player 2", 1997)]
+    assert "Range (0, 2000" not in plan_of(found)  # a name's last match is found before names are cut up and searched
