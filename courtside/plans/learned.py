@@ -120,16 +120,31 @@ def tracked_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _positions_sql() -> str:
-    """The map of the unit square onto the corners has a closed form; a click's place is its inverse."""
+    """The map of the unit square onto the corners has a closed form; a click's place is its inverse.
+
+    The terms stand in the same order as in ``geometry``, so that doubles agree to the last bit before they are rounded. A
+    calibration counts as there: its corners map to the table's within REPROJECTION, and no side is shorter than SIDE.
+    """
     c = {k: f"smooth_{k}" for k in rc.CORNERS}
+    near = lambda x, y: f"{x} BETWEEN -3 AND 5.74::DOUBLE AND {y} BETWEEN -3 AND 4.525::DOUBLE"
+    place = lambda u, v: tuple(f"((h{i} * {u} + h{i + 1} * {v} + h{i + 2}) / (h6 * {u} + h7 * {v} + h8))" for i in (0, 3))
+    names, fits = ["tl", "tr", "br", "bl"], []
+    for i, (k, (u, v)) in enumerate(zip(names, (("0", "0"), ("2.74::DOUBLE", "0"), ("2.74::DOUBLE", "1.525::DOUBLE"), ("0", "1.525::DOUBLE")), strict=True)):
+        x, y = place(c[f"x_{k}"], c[f"y_{k}"])
+        after = names[(i + 1) % 4]
+        side = f"sqrt(({c[f'x_{k}']} - {c[f'x_{after}']}) ** 2 + ({c[f'y_{k}']} - {c[f'y_{after}']}) ** 2)"
+        fits.append(f"{near(x, y)} AND sqrt(({x} - {u}) ** 2 + ({y} - {v}) ** 2) <= 0.15::DOUBLE AND {side} >= 10")
+    x, y = place("u", "v")
     return f"""WITH q AS ({TRACKER_SQL}), {TR},
  e AS (SELECT q.*, {c["x_tr"]} - {c["x_br"]} AS ax, {c["y_tr"]} - {c["y_br"]} AS ay, {c["x_bl"]} - {c["x_br"]} AS bx, {c["y_bl"]} - {c["y_br"]} AS by_, {c["x_tl"]} - {c["x_tr"]} + {c["x_br"]} - {c["x_bl"]} AS sx, {c["y_tl"]} - {c["y_tr"]} + {c["y_br"]} - {c["y_bl"]} AS sy FROM q WHERE is_valid),
  g AS (SELECT *, (sx * by_ - bx * sy) / (ax * by_ - bx * ay) AS g, (ax * sy - sx * ay) / (ax * by_ - bx * ay) AS h FROM e),
- m AS (SELECT match_id, frame, {c["x_tr"]} - {c["x_tl"]} + g * {c["x_tr"]} AS a, {c["x_bl"]} - {c["x_tl"]} + h * {c["x_bl"]} AS b, {c["x_tl"]} AS c, {c["y_tr"]} - {c["y_tl"]} + g * {c["y_tr"]} AS d, {c["y_bl"]} - {c["y_tl"]} + h * {c["y_bl"]} AS e, {c["y_tl"]} AS f, g, h FROM g),
+ m AS (SELECT g.* EXCLUDE (ax, ay, bx, by_, sx, sy), {c["x_tr"]} - {c["x_tl"]} + g * {c["x_tr"]} AS a, {c["x_bl"]} - {c["x_tl"]} + h * {c["x_bl"]} AS b, {c["x_tl"]} AS c, {c["y_tr"]} - {c["y_tl"]} + g * {c["y_tr"]} AS d, {c["y_bl"]} - {c["y_tl"]} + h * {c["y_bl"]} AS e, {c["y_tl"]} AS f FROM g),
+ n AS (SELECT m.*, (e - f * h) * 2.74::DOUBLE AS h0, (c * h - b) * 2.74::DOUBLE AS h1, (b * f - c * e) * 2.74::DOUBLE AS h2, (f * g - d) * 1.525::DOUBLE AS h3, (a - c * g) * 1.525::DOUBLE AS h4, (c * d - a * f) * 1.525::DOUBLE AS h5, d * h - e * g AS h6, b * g - a * h AS h7, a * e - b * d AS h8 FROM m),
+ o AS (SELECT match_id, frame, h0, h1, h2, h3, h4, h5, h6, h7, h8 FROM n WHERE {" AND ".join(fits)}),
  k AS (SELECT match_id, frame, 200 + x * 4 AS u, y * 2 + 300.0::DOUBLE AS v FROM tr WHERE event_type = 'click'),
- j AS (SELECT k.match_id, k.frame, u, v, a, b, c, d, e, f, g, h FROM k ASOF LEFT JOIN m ON k.match_id = m.match_id AND k.frame >= m.frame),
- w AS (SELECT match_id, frame, ((e - f * h) * u + (c * h - b) * v + b * f - c * e) / ((d * h - e * g) * u + (b * g - a * h) * v + a * e - b * d) * 2.74::DOUBLE AS x, ((f * g - d) * u + (a - c * g) * v + c * d - a * f) / ((d * h - e * g) * u + (b * g - a * h) * v + a * e - b * d) * 1.525::DOUBLE AS y FROM j)
-SELECT match_id, frame, round(CASE WHEN x BETWEEN -3 AND 5.74 AND y BETWEEN -3 AND 4.525 THEN x END, 6) AS x_m, round(CASE WHEN x BETWEEN -3 AND 5.74 AND y BETWEEN -3 AND 4.525 THEN y END, 6) AS y_m FROM w"""
+ j AS (SELECT k.match_id, k.frame, u, v, h0, h1, h2, h3, h4, h5, h6, h7, h8 FROM k ASOF LEFT JOIN o ON k.match_id = o.match_id AND k.frame >= o.frame),
+ w AS (SELECT match_id, frame, {x} AS x, {y} AS y FROM j)
+SELECT match_id, frame, round(CASE WHEN {near("x", "y")} THEN x END, 6) AS x_m, round(CASE WHEN {near("x", "y")} THEN y END, 6) AS y_m FROM w"""
 
 
 def manual_events(spark: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from courtside.operators import joins as jn
-from courtside.plans import projections
+from courtside.plans import learned, projections
 
 
 def plan_of(df):
@@ -31,3 +32,14 @@ def test_player_search_searches_names_not_matches(spark):
     found = jn.player_search(matches, searches, "w", {"a": "name_a", "b": "name_b"}, F.col("no"), ["age"])
     assert sorted(map(tuple, found.collect())) == [("guest", "b", "guest 1", -1999), ("r 2", "a", "player 2", 1997)]
     assert "Range (0, 2000" not in plan_of(found)  # a name's last match is found before names are cut up and searched
+
+
+def test_positions_and_their_sql_leave_out_the_same_calibrations(spark, tmp_path):
+    """A mark whose upper side is under SIDE is valid for the tracker, but no calibration."""
+    rows = [(1, "signup", 10.0, 5), (2, "click", 20.0, 7), (3, "signup", 290.0, 0), (4, "click", 30.0, 9)]
+    events = spark.createDataFrame([(i, i, 7, kind, x, f'{{"k": {k}}}') for i, kind, x, k in rows], "event_id long, t long, user_id long, event_type string, value double, props string")
+    events.coalesce(1).select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    said = sorted(con.execute(learned.ORACLES["tracked_positions"]).fetchall())
+    assert len(said) == 2 and sorted(map(tuple, learned.tracked_positions(spark, str(tmp_path)).select("match_id", "frame", "x_m", "y_m").collect())) == said
