@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from courtside.operators import fold_fits as ff
 from courtside.operators import joins as jn
 from courtside.plans import learned, projections
+from courtside.shipping import ship
+from tests.test_folds_and_logs import one_fit
 
 
 def plan_of(df):
@@ -43,3 +48,18 @@ def test_positions_and_their_sql_leave_out_the_same_calibrations(spark, tmp_path
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     said = sorted(con.execute(learned.ORACLES["tracked_positions"]).fetchall())
     assert len(said) == 2 and sorted(map(tuple, learned.tracked_positions(spark, str(tmp_path)).select("match_id", "frame", "x_m", "y_m").collect())) == said
+
+
+def test_folds_near_the_whole_fit_are_solved_without_rounds_over_the_rows(spark, monkeypatch):
+    ship(spark)
+    r, n = np.random.default_rng(5), 40_000
+    x = r.random((n, 2))
+    y = (r.random(n) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1])))).astype(int)
+    fold = np.where(np.arange(n) < 9_000, -1, np.arange(n))  # one large fold, which goes through the rounds
+    df = spark.createDataFrame(list(zip(fold.tolist(), x[:, 0].tolist(), x[:, 1].tolist(), y.tolist(), strict=True)), "fold long, a double, b double, label int")
+    held, rounds = [], ff._rounds
+    monkeypatch.setattr(ff, "_rounds", lambda rows, folds, ridge: held.append(len(folds)) or rounds(rows, folds, ridge))
+    got = {f.fold: [f.intercept, *f.weights] for f in ff.fitted_folds(df, "fold", ["a", "b"], "label").collect()}
+    assert len(got) == len(set(fold.tolist())) and held[0] == 1 and sum(held) < 1000
+    for k in (-1, 9_000, 23_456, 39_999):
+        assert got[k] == pytest.approx(one_fit(x[fold != k], y[fold != k], 1.0), abs=1e-9)
