@@ -1,8 +1,8 @@
 """Secret scans: exact patterns, and dictionary-primed zstandard novelty.
 
 A candidate is a long token near a sensitive word. Its novelty is what it adds to the compressed size of the text around
-it, with a compressor primed by a dictionary of identifiers and code, and of the words that a sample of the corpus uses
-most. A token that the dictionary and its surroundings explain adds little; a random one adds more bytes than it has.
+it, with a compressor primed by a dictionary of identifiers and code, and of the words that most texts of the corpus
+use. A token that the dictionary and its surroundings explain adds little; a random one adds more bytes than it has.
 """
 
 from __future__ import annotations
@@ -50,17 +50,16 @@ NEAR, AROUND = 48, (96, 128, 160, 192, 224, 256, 288, 320)
 #: and upper-case hex of 20 to 4,096 characters are at or above it in 99 % at least; three to forty words of the corpus, joined
 #: by hyphens, slashes or underscores, in 1 % at most, in camel case in 8 % (three words) to 1 % (forty).
 NOVELTY = 0.85
-#: The dictionary is fitted on at most so many documents, drawn by the hash of their id, and holds so many of their words.
-SAMPLE_DOCUMENTS, SAMPLE_WORDS = 2_000, 4_000
-#: A word counts from so many different texts of the sample on, so that a secret which copies share doesn't prime its own search.
+#: The dictionary holds so many of the corpus' words.
+SAMPLE_WORDS = 4_000
+#: A word counts from so many different texts on, so that a secret which copies share doesn't prime its own search.
 SAMPLE_TEXTS = 10
 
 
-def common_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", documents: int = SAMPLE_DOCUMENTS, most: int = SAMPLE_WORDS) -> tuple[str, ...]:
-    """The words of a bounded sample that most of its documents use, rarest first, so that the common ones are nearest."""
-    drawn = docs.filter(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(documents)
-    sample = docs.join(F.broadcast(drawn.distinct()), id_col, "left_semi").select(text_of(text_col).alias("text")).distinct()
-    words = sample.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z][a-z]{2,23})\b"), 1))).alias("word"))
+def common_words(docs: DataFrame, *, text_col: str = "text", most: int = SAMPLE_WORDS) -> tuple[str, ...]:
+    """The words that most different texts of all documents use, rarest first, so that the common ones are nearest."""
+    texts = docs.select(text_of(text_col).alias("text")).distinct()
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z][a-z]{2,23})\b"), 1))).alias("word"))
     top = words.groupBy("word").count().filter(F.col("count") >= SAMPLE_TEXTS).orderBy(F.desc("count"), "word").limit(most)
     return tuple(r["word"] for r in reversed(top.collect()))
 
@@ -150,7 +149,7 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ids pass through, one result row each. An empty table gives an empty result. Other columns are not read. ``words``
     prime the compressor; they are fitted on the documents themselves if not given.
     """
-    words = common_words(docs, id_col=id_col, text_col=text_col) if words is None else words
+    words = common_words(docs, text_col=text_col) if words is None else words
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +183,7 @@ def redact_secrets(
 
     A null text stays null. An empty table stays empty.
     """
-    words = common_words(docs, id_col=id_col, text_col=text_col) if words is None else words
+    words = common_words(docs, text_col=text_col) if words is None else words
 
     @F.pandas_udf("string")
     def clean(texts):

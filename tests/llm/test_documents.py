@@ -345,3 +345,11 @@ def test_compaction(spark, awkward, nothing, tmp_path):
     other = compaction.ShardStore(spark, f"file://{tmp_path}/empty")
     other.append(nothing)
     assert other.read().count() == 0
+
+
+def test_common_words_count_over_all_documents(spark):
+    """A word of twelve texts among 8,000 is common, wherever they stand; one that only copies of a text have isn't."""
+    texts = spark.range(8000).selectExpr("id AS doc_id", "concat('text number ', id, CASE WHEN id % 700 = 3 THEN ' zebrafish' ELSE '' END) AS text")
+    copies = spark.range(8000, 8050).selectExpr("id AS doc_id", "'text with hunter' AS text")
+    words = secret_scan.common_words(texts.unionByName(copies))
+    assert set(words) == {"text", "number", "zebrafish"} and words[0] == "zebrafish"
