@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtside.operators import metrics as mt
+from courtside.shared import stored
 
 
 def logistic(features: Sequence[str], label: str = "label", rows: int | None = None) -> Pipeline:
@@ -42,7 +43,11 @@ def evaluate(df: DataFrame, label: str, model: str) -> DataFrame:
 
 
 def compare(train: DataFrame, test: DataFrame, pipelines: dict[str, Pipeline], label: str = "label") -> DataFrame:
-    """One row of metrics per model."""
+    """One row of metrics per model. Fits and metrics pass over the rows many times, so both sides are stored first."""
+    return _compared(stored(train), stored(test), pipelines, label)
+
+
+def _compared(train: DataFrame, test: DataFrame, pipelines: dict[str, Pipeline], label: str) -> DataFrame:
     out = None
     for name, pipeline in pipelines.items():
         row = evaluate(scored(pipeline.fit(train), test), label, name)
@@ -52,12 +57,13 @@ def compare(train: DataFrame, test: DataFrame, pipelines: dict[str, Pipeline], l
 
 def folds(df: DataFrame, fold: str, pipelines: dict[str, Pipeline], label: str = "label") -> DataFrame:
     """Metrics per fold and model; a fold is skipped if either side of it has one class only. Folds are few, by design."""
+    df = stored(df)
     counts = df.groupBy(fold).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).collect()
     whole_p, whole_n, out = sum(c["p"] for c in counts), sum(c["n"] for c in counts), None
     for c in counts:
         if not (c["p"] and c["n"] and whole_p - c["p"] and whole_n - c["n"]):
             continue
-        rows = compare(df.filter(F.col(fold) != c[fold]), df.filter(F.col(fold) == c[fold]), pipelines, label).withColumn(fold, F.lit(c[fold]))
+        rows = _compared(df.filter(F.col(fold) != c[fold]), df.filter(F.col(fold) == c[fold]), pipelines, label).withColumn(fold, F.lit(c[fold]))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courtside.operators import fold_fits as ff
 from courtside.operators import joins as jn
+from courtside.operators import learning as ml
 from courtside.plans import learned, projections
 from courtside.shipping import ship
 from tests.test_folds_and_logs import one_fit
@@ -63,3 +64,15 @@ def test_folds_near_the_whole_fit_are_solved_without_rounds_over_the_rows(spark,
     assert len(got) == len(set(fold.tolist())) and held[0] == 1 and sum(held) < 1000
     for k in (-1, 9_000, 23_456, 39_999):
         assert got[k] == pytest.approx(one_fit(x[fold != k], y[fold != k], 1.0), abs=1e-9)
+
+
+def test_folds_pass_over_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    df = spark.range(400).selectExpr("id % 2 AS fold", "rand(1) AS live", "rand(2) AS career", "int(rand(3) * 2) AS label").mapInPandas(counted, "fold long, live double, career double, label int")
+    assert ml.folds(df, "fold", {"meta": ml.meta("live", "career")}).count() == 2 and seen.value == 400
