@@ -12,6 +12,7 @@ from courtside.operators import ratings as rt
 from courtside.operators import recurrence as rc
 from courtside.operators import windows as win
 from courtside.plans.inputs import MH, TR, history, table, tracks
+from courtside.shared import stored
 from courtside.shipping import ship
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
@@ -219,14 +220,14 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Logistic regression and boosted trees on rally features: trained on four fifths of the matches, tested on the rest."""
-    p = _points(spark, d)
+    p = stored(_points(spark, d))
     held = F.pmod(F.xxhash64("match_id"), F.lit(5)) == 0
     return ml.compare(p.filter(~held), p.filter(held), {"logistic": ml.logistic(FEATURES), "boosted": ml.boosted(FEATURES, trees=10, depth=3)})
 
 
 def win_probability(spark: SparkSession, d: str) -> DataFrame:
     """Each match scored with its last rally."""
-    p = _points(spark, d)
+    p = stored(_points(spark, d))
     last = p.groupBy("match_id").agg(F.max_by(F.struct(*FEATURES, "label"), "rally_id").alias("r")).select("match_id", "r.*")
     return ml.scored(ml.logistic(FEATURES).fit(p), last).select("match_id", r6(F.col("probability_of"), "probability"), "predicted")
 
