@@ -56,7 +56,7 @@ def match_pages(spark: SparkSession, d: str) -> DataFrame:
     safe = lambda c: F.replace(c, F.lit("&"), F.lit("&amp;"))
     cells = [F.year("day"), F.concat(F.lit("Cup &lt;"), order, F.lit("&gt;")), F.lit("Main <i>draw</i>"), F.lit("MS"), F.concat(F.lit("R"), F.col("l_linenumber")), safe("a_name"), safe("b_name"), games, result, safe(winner)]
     row = F.concat(F.lit('<tr class="fabrik_row"><td>'), F.concat_ws("</td>\n<td> ", *cells), F.lit("</td></tr>"))
-    pages = h.groupBy("a", "b", "a_name", "b_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "l_orderkey", "l_linenumber", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    pages = h.groupBy("a", "b", "a_name", "b_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("day", "l_orderkey", "l_linenumber", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
     around = F.concat(
         F.lit('<html><table id="other"><tbody><tr class="fabrik_row">' + "<td>x</td>" * 10 + f'</tr></tbody></table><table class="list" id="{pg.MATCH_TABLE}"><thead><tr class="fabrik_row">' + "<td>head</td>" * 10 + "</tr></thead><tbody>"),
         "rows", F.lit('<tr class="fabrik_row"><td>too few</td></tr><tr class="sums">' + "<td>1</td>" * 10 + "</tr></tbody></table></html>"),

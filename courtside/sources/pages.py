@@ -2,14 +2,20 @@
 
 The site's pages are tables. One reader turns a page into its table rows, each a list of cells, each cell the list of its
 stripped texts. What the cells mean, a profile's lines or a match's games, is said in columns.
+
+Pages of plain markup (known tags, quoted attributes, no table in a table) are read by one pattern whose matches are whole
+rows where these are simple; all other pages go through the parser. Both give the same rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,15 +89,112 @@ class _Tables(HTMLParser):
             self.text.append(data)
 
 
-def table_rows(html: str | None) -> list[tuple]:
-    """(table_id, section, row_no, classes, cells) of every table row of a page; none for null."""
+_INLINE = r"</?+(?:a|b|i|p|div|span)>|<br ?/?+>"
+_CELL = rf"[^<]*+(?:(?:{_INLINE})[^<]*+)*+"
+#: A whole row of simple cells, else one tag of plain markup. A match has one "<" per tag and no other.
+_PLAIN = re.compile(
+    rf"""<tr(?: class="([^"<>&]*+)")?+>((?:\s*+<td>{_CELL}</td>)++)\s*+</tr>|<(/?+)(table|thead|tbody|tfoot|tr|td|th|html|body|a|b|i|p|div|span)((?: [a-z]++="[^"<>&]*+")*+)>|<br ?/?+>"""
+)
+_CELLS, _INLINES, _ATTRIBUTE = re.compile(f"<td>({_CELL})</td>"), re.compile(_INLINE), re.compile(r' ([a-z]+)="([^"]*)"')
+
+
+def _unescaped(text: str) -> str:
+    if text.count("&") == text.count("&amp;") + text.count("&lt;") + text.count("&gt;"):
+        return text.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&")
+    return unescape(text)
+
+
+def _pieces(cell: str) -> list[str]:
+    if "<" in cell:
+        return [piece for part in _INLINES.split(cell) for piece in _pieces(part)]
+    piece = (_unescaped(cell) if "&" in cell else cell).strip()
+    return [piece] if piece else []
+
+
+def _cells(body: str, known: dict[str, list[str]]) -> list[list[str]]:
+    """The texts of the simple cells of a whole row; equal cells of a page are taken apart once."""
+    return [known[c] if c in known else known.setdefault(c, _pieces(c)) for c in _CELLS.findall(body)]
+
+
+class Wanted(NamedTuple):
+    """The table rows to read: of one table, in one section, with a class. None takes all."""
+
+    table_id: str | None = None
+    section: str | None = None
+    kind: str | None = None
+
+    def takes(self, table_id: str | None, section: str | None, classes: list[str]) -> bool:
+        return self.table_id in (None, table_id) and self.section in (None, section) and (self.kind is None or self.kind in classes)
+
+
+EVERY = Wanted()
+
+
+def plain_table_rows(html: str, wanted: Wanted = EVERY) -> list[tuple] | None:
+    """``table_rows`` of a page of plain markup; None for other pages."""
+    rows, known, number, tags, end, inside, name, section, row, cell = [], {}, 0, 0, 0, False, None, None, None, None
+    for found in _PLAIN.finditer(html):
+        if cell is not None and found.start() > end:
+            text = html[end : found.start()]
+            if "<" in text:
+                return None
+            cell += _pieces(text)
+        end = found.end()
+        classes, body, closing, tag, attributes = found.groups()
+        if body is not None:
+            tags += body.count("<") + 2
+            if inside:
+                classes, row, cell = (classes or "").split(), None, None
+                if wanted.takes(name, section, classes):
+                    rows.append((name, section, number, classes, _cells(body, known)))
+                number += 1
+            continue
+        tags += 1
+        if tag == "table":
+            if inside and not closing or closing and attributes:
+                return None
+            inside, name, section, row, cell = not closing, None, None, None, None
+            if attributes:
+                name = dict(_ATTRIBUTE.findall(attributes)).get("id")
+        elif not inside or tag is None:
+            continue
+        elif tag in ("thead", "tbody", "tfoot"):
+            section, row, cell = None if closing else tag, None, None
+        elif tag == "tr":
+            row, cell = None if closing else [], None
+            if not closing:
+                classes = ((dict(_ATTRIBUTE.findall(attributes)).get("class") if attributes else None) or "").split()
+                if wanted.takes(name, section, classes):
+                    rows.append((name, section, number, classes, row))
+                number += 1
+        elif tag == "td":
+            cell = None if closing else []
+            if row is not None and not closing:
+                row.append(cell)
+        elif tag == "th":
+            cell = None
+    if tags != html.count("<"):
+        return None
+    if cell is not None:
+        cell += _pieces(html[end:])
+    return rows
+
+
+def parsed_table_rows(html: str) -> list[tuple]:
+    """``table_rows`` of any page, by the parser."""
     reader = _Tables()
-    reader.feed(html or "")
+    reader.feed(html)
     reader.close()
     reader.flush()
     return reader.rows
 
 
+def table_rows(html: str | None, wanted: Wanted = EVERY) -> list[tuple]:
+    """(table_id, section, row_no, classes, cells) of the wanted table rows of a page; none for null."""
+    rows = plain_table_rows(html or "", wanted)
+    return [r for r in parsed_table_rows(html) if wanted.takes(r[0], r[1], r[3])] if rows is None else rows
+
+
 class TableRows:
     """The table function: one row per table row of a page."""
 
@@ -99,15 +202,39 @@ class TableRows:
         yield from table_rows(html)
 
 
-def with_table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Every page's table rows beside the page's other columns; pages without tables have none."""
-    function = F.udtf(TableRows, returnType=ROW)
-    return pages.lateralJoin(function(F.col(html).outer())).drop(html)
+def _lists(ends: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _listed(pages: pa.Array, wanted: Wanted = EVERY) -> pa.Array:
+    """The pages' table rows as Arrow lists. Only texts and places are kept page by page, so that no page's lists live on."""
+    tables, sections, numbers, classes, texts = ([] for _ in range(5))
+    of_page, of_classes, of_row, of_cell = [0], [0], [0], [0]
+    for page in pages:
+        for table_id, section, number, kinds, cells in table_rows(page.as_py(), wanted):
+            tables.append(table_id)
+            sections.append(section)
+            numbers.append(number)
+            classes += kinds
+            of_classes.append(len(classes))
+            for cell in cells:
+                texts += cell
+                of_cell.append(len(texts))
+            of_row.append(len(of_cell) - 1)
+        of_page.append(len(of_row) - 1)
+    text = pa.string()
+    rows = [pa.array(tables, text), pa.array(sections, text), pa.array(numbers, pa.int32()), _lists(of_classes, pa.array(classes, text)), _lists(of_row, _lists(of_cell, pa.array(texts, text)))]
+    return _lists(of_page, pa.StructArray.from_arrays(rows, [c.split()[0] for c in ROW.split(", ")]))
+
+
+def listed_rows(html: str, wanted: Wanted = EVERY) -> Column:
+    """A page's wanted table rows as one array."""
+    return F.arrow_udf(lambda pages: _listed(pages, wanted), f"array<struct<{ROW}>>")(F.col(html))
 
 
-def _listed(html: pd.Series) -> pd.Series:
-    names = [c.split()[0] for c in ROW.split(", ")]
-    return html.map(lambda page: [dict(zip(names, row, strict=True)) for row in table_rows(page)])
+def with_table_rows(pages: DataFrame, html: str = "html", wanted: Wanted = EVERY) -> DataFrame:
+    """Every page's wanted table rows beside the page's other columns; pages without any have none."""
+    return pages.select(*(c for c in pages.columns if c != html), F.inline(listed_rows(html, wanted)))
 
 
 def joined(cell: Column) -> Column:
@@ -170,8 +297,7 @@ def profile_columns(cells: Column, as_of_year: int) -> dict[str, Column]:
 
 def profiles(pages: DataFrame, as_of_year: int, html: str = "html") -> DataFrame:
     """The pages that hold a profile, with its fields: the page's first data row, if it has six cells or more."""
-    listed = F.pandas_udf(_listed, f"array<struct<{ROW}>>")
-    rows = F.filter(listed(html), lambda r: F.exists(r["classes"], lambda c: F.contains(c, F.lit(DATA_ROW))))
+    rows = F.filter(listed_rows(html), lambda r: F.exists(r["classes"], lambda c: F.contains(c, F.lit(DATA_ROW))))
     first = pages.withColumn("v_cells", F.get(rows, F.lit(0))["cells"]).drop(html)
     return first.filter(F.size("v_cells") >= PROFILE_CELLS).withColumns(profile_columns(F.col("v_cells"), as_of_year)).drop("v_cells")
 
@@ -195,7 +321,7 @@ def match_columns(cells: Column, a: Column, b: Column) -> dict[str, Column]:
 
 def match_rows(pages: DataFrame, a: str, b: str, html: str = "html") -> DataFrame:
     """The matches of pages of two players named ``a`` and ``b``: one row per data row of ten cells in the body of the match table."""
-    rows = with_table_rows(pages, html).filter((F.col("table_id") == MATCH_TABLE) & (F.col("section") == "tbody") & F.array_contains("classes", DATA_ROW) & (F.size("cells") >= MATCH_CELLS))
+    rows = with_table_rows(pages, html, Wanted(MATCH_TABLE, "tbody", DATA_ROW)).filter(F.size("cells") >= MATCH_CELLS)
     return rows.withColumns(match_columns(F.col("cells"), F.col(a), F.col(b))).drop("table_id", "section", "classes", "cells")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from courtside.functions import text as tx
@@ -28,6 +30,26 @@ def test_table_rows():
     assert pg.table_rows(None) == pg.table_rows("") == pg.table_rows("plain </td></tr></table> text") == []
 
 
+PLAIN = [
+    "<table>", '<table id="a" class="q z">', '<table class="x" id="x" id="y">', "</table>", "<thead>", '<tbody class="k">', "</tbody>", "<tr>", '<tr class="a b">', '<tr id="3" class="c">', "</tr>", "<td>", "</td>", '<td class="m">', "<th>", "</th>",
+    "text", "  ", "a &amp; b", "&amp;lt;", "&nbsp;", "&lt", "x&copy y", "<b>", "</b>", "<br>", "<br/>", "<i>", "</i>", '<a href="/p?x">', "</a>", "\n", "<tr><td>1</td> <td> 2<b>3</b> </td></tr>", '<tr class="fabrik_row"><td>&lt;z&gt;</td>\n<td></td></tr>', "</br>", " > ",
+]
+ODD = ["<!-- c -->", "<script>", "</script>", "<", "<td/>", "<TD>", "<tr class=x>", '<table id="a&amp;b">', "<title>", "</td >", "<style>", "<x-y>", "&#65;", "<b/>", "</>", "<?x>"]
+
+
+def test_plain_pages_are_read_without_the_parser_and_alike():
+    r, plain, wanted = random.Random(3), 0, pg.Wanted("a", "tbody", "c")
+    for k in range(4000):
+        html = "<table>" * (k % 2) + "".join(r.choice(PLAIN if k % 4 or r.random() < 0.9 else ODD) for _ in range(r.randrange(1, 25)))
+        rows, said = pg.plain_table_rows(html), pg.parsed_table_rows(html)
+        plain += rows is not None
+        assert rows in (None, said), html
+        assert pg.table_rows(html, wanted) == [x for x in said if x[0] == "a" and x[1] == "tbody" and "c" in x[3]], html
+    assert plain > 1000
+    page = f'<html><table id="m"><tbody>{row(2024, "Cup &lt;1&gt;", "Main <i>draw</i>", "A &amp; B")}</tbody></table></html>'
+    assert pg.plain_table_rows(page) == pg.parsed_table_rows(page) == [("m", "tbody", 0, ["fabrik_row"], [["2024"], ["Cup <1>"], ["Main", "draw"], ["A & B"]])]
+
+
 def test_table_function(spark):
     pages = spark.createDataFrame([(1, "<table><tr><td>a</td></tr><tr><td>b</td></tr></table>"), (2, "none"), (3, None)], "page_id long, html string")
     got = sorted((r.page_id, r.row_no, r.cells) for r in pg.with_table_rows(pages).collect())
