@@ -72,11 +72,12 @@ class WinPredictor(ordered.InOrder):
     def recall(self) -> Any:
         import json
 
-        if not self.result.exists():
+        result = self.result.get()
+        if result is None:
             return START
         n, sums = self.history.get()
-        score, chance = self.result.get()
-        recent = [list(r[0]) for r in self.recent.get()] if self.recent.exists() else []
+        score, chance = result
+        recent = [list(r[0]) for r in self.recent.get() or []]
         return [json.loads(self.rally.get()[0]), [n, list(sums)], recent, list(score), chance]
 
     def remember(self, memory: list) -> None:

@@ -172,6 +172,24 @@ def test_silence_forgets_a_match(spark):
     assert not next(run.handleInputRows((1,), iter([again]), handle))["model_ready"].iloc[0]
 
 
+def test_rows_that_wait_are_few_values_of_state(spark):
+    """Each value is a call to another process, so waiting rows go together; a later batch's row takes its place among them."""
+    import pandas as pd
+
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    run = wm.WinPredictor("match_id", "ts", ["frame"], wm.COLUMNS, ["frame"], wm.START, wm._step(Mean(), 11), [c.split()[0] for c in wm.OUTPUTS.split(", ")])
+    handle = Handle()
+    run.init(handle)
+    rows = pd.DataFrame(match(1, random.Random(3), 30), columns=names).assign(ts=lambda x: pd.to_datetime(x["frame"], unit="s"))
+    assert len(next(run.handleInputRows((1,), iter([rows[rows["frame"] % 2 == 1]]), handle))) == 0
+    assert len(handle.states["waiting"].value) == 1
+    handle.mark = 30_000
+    out = next(run.handleInputRows((1,), iter([rows[rows["frame"] % 2 == 0]]), handle))
+    assert out["frame"].tolist() == list(range(1, 31)) and not handle.states["waiting"].exists()
+    want = steps([tuple(r) for r in match(1, random.Random(3), 30)], Mean())
+    assert out["player1_win_prob"].tolist() == pytest.approx([w[2] for w in want])
+
+
 def test_fitted_pipeline(spark):
     """The numbers of a fitted pipeline give its probabilities."""
     r = random.Random(1)
