@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from courtside.streaming.ordered import plain
+
 Step = Callable[[Any, tuple], tuple[Any, tuple]]
 
 
@@ -34,17 +36,19 @@ def stateful(stream: DataFrame, key: str, order: list[str], columns: list[str],
             state.remove()
             return
         at = json.loads(state.get[0]) if state.exists else start
-        rows = pd.concat(list(frames)).sort_values(order)
+        found = list(frames)
+        rows = pd.concat(found) if len(found) > 1 else found[0]
+        if len(order) > 1 or not rows[order[0]].is_monotonic_increasing:
+            rows = rows.sort_values(order)
         made = []
-        for row in rows[columns].itertuples(index=False, name=None):
-            at, out = step(at, tuple(None if pd.isna(v) else v for v in row))
+        for row in zip(*(plain(rows[c]) for c in columns), strict=True):
+            at, out = step(at, row)
             made.append(out)
         state.update((json.dumps(at),))
         if silence:
             state.setTimeoutDuration(silence)
-        out = rows[keep].reset_index(drop=True).assign(**{n: [m[i] for m in made] for i, n in enumerate(names)})
-        out.insert(0, key, group[0])
-        yield out
+        values = {n: list(v) for n, v in zip(names, zip(*made, strict=True), strict=True)}
+        yield pd.DataFrame({key: group[0], **{c: rows[c].to_numpy() for c in keep}, **values}, index=range(len(rows)))
 
     return stream.groupBy(key).applyInPandasWithState(run, shape, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if silence else GroupStateTimeout.NoTimeout)
 
