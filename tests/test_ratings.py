@@ -64,6 +64,13 @@ def test_prior_rates(spark):
     assert rt.prior_win_rates(df.limit(0), "a", "b", "a_won", ["day", "no"]).count() == 0
 
 
+def test_prior_rates_carry_the_order_once(spark):
+    df = spark.createDataFrame(matches(random.Random(3), 40), MATCHES)
+    out = rt.prior_win_rates(df, "a", "b", "a_won", ["day", "no"])
+    carried = [x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "AS m_match" in x and "struct" in x]
+    assert carried and not any("struct(day" in x for x in carried)
+
+
 def plain_elo(rows):
     ratings, out = {}, {}
     for _, i, a, b, won, _ in rows:
