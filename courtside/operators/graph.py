@@ -16,7 +16,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     end are left out.
     """
     known = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null")
-    links = stored(known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    ways = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    links = stored(known.select(F.inline(ways)).distinct())  # both ways from one scan
     roots = stored(links.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("root")))
     while True:
         near = links.join(roots, F.col("y") == F.col("node")).groupBy("x").agg(F.min("root").alias("near"))

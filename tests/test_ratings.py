@@ -34,6 +34,18 @@ def test_components(spark, seed):
     assert graph.components(df.limit(0), "a", "b").count() == 0
 
 
+def test_components_pass_over_the_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b").mapInPandas(counted, "a long, b long")
+    assert graph.components(edges, "a", "b").filter("root = 0").count() == 301 and seen.value == 300
+
+
 MATCHES = "day int, no int, a string, b string, a_won int, note string"
 
 
