@@ -124,6 +124,28 @@ def pair_enumeration(df: DataFrame, keys: Names, member: str) -> DataFrame:
     return left.join(right, list(keys)).filter(F.col(f"{member}_a") < F.col(f"{member}_b"))
 
 
+def pairs_with_known(df: DataFrame, keys: Names, member: str, columns: Names, known: DataFrame, low: str, high: str, value: str, default: object, blocks: int = 16) -> DataFrame:
+    """All unordered pairs of members within a key, with both sides' columns as <c>_a and <c>_b and what is known of some pairs.
+
+    ``known`` has one row per pair, with ``low`` < ``high``; pairs that it lacks, and null values, get the default. No pair is
+    shuffled: each key's members are dealt to ``blocks`` blocks, and a member goes once to each block that it meets, with what is
+    known of it and that block. So the shuffles grow with the members and the known pairs, a task holds one block of a key
+    at a time, and only the result grows with the pairs. Rows sent to the blocks are more than their files say, so they are
+    merged and never broadcast, and few for the pairs they make, so their partitions are as many as the session shuffles to
+    and not made fewer by their bytes. ``df`` is read several times.
+    """
+    a, b = f"{member}_a", f"{member}_b"
+    block, all_blocks = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    of = lambda name: df.select(*keys, F.col(member).alias(name)).distinct()
+    side = lambda name, tag, own, other: df.select(*keys, F.col(member).alias(name), *(F.col(c).alias(f"{c}_{tag}") for c in columns), block(member).alias(own), all_blocks.alias(other))
+    same = known.filter(F.col(value).isNotNull()).select(F.col(low).alias(a), F.col(high).alias(b), value).join(of(b), b).join(of(a), [*keys, a], "left_semi")
+    met = same.groupBy(*keys, a, block(b).alias("j_right")).agg(F.map_from_entries(F.collect_list(F.struct(b, value))).alias("j_known"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = side(a, "a", "j_left", "j_right").join(met, [*keys, a, "j_right"], "left").repartition(tasks, *keys, "j_left", "j_right")
+    both = left.join(side(b, "b", "j_right", "j_left").hint("merge"), [*keys, "j_left", "j_right"]).filter(F.col(a) < F.col(b))
+    return both.withColumn(value, F.coalesce(F.try_element_at("j_known", F.col(b)), F.lit(default))).drop("j_left", "j_right", "j_known")
+
+
 def union_sources(sources: dict[str, DataFrame], name: str) -> DataFrame:
     """All rows of several sources; names get their source as a prefix, columns that one lacks are null."""
     out = None

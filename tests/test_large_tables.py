@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from courtside.operators import fold_fits as ff
 from courtside.operators import joins as jn
 from courtside.operators import learning as ml
-from courtside.plans import learned, projections
+from courtside.plans import learned, projections, relations
 from courtside.shipping import ship
 from tests.test_folds_and_logs import one_fit
 
@@ -76,3 +76,41 @@ def test_folds_pass_over_their_input_once(spark):
 
     df = spark.range(400).selectExpr("id % 2 AS fold", "rand(1) AS live", "rand(2) AS career", "int(rand(3) * 2) AS label").mapInPandas(counted, "fold long, live double, career double, label int")
     assert ml.folds(df, "fold", {"meta": ml.meta("live", "career")}).count() == 2 and seen.value == 400
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    """Joins as of tables too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairing_features_shuffle_no_pairs(spark, tmp_path, unbroadcast):
+    """Suppliers listed twice, in two nations or in none, players who met half of their nation, and suppliers without a match."""
+    r = np.random.default_rng(8)
+    suppliers = [(i, i % 3 if i % 50 else None) for i in range(200)] + [(7, 1), (7, 2), (60, 0)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = [(i, int(p), int(s), 1, float(i), "ANR"[i % 3]) for i, (p, s) in enumerate(zip(r.integers(0, 12, 1500), r.integers(0, 180, 1500), strict=True))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string").selectExpr(
+        "*", "0d AS l_extendedprice", "0d AS l_discount", "0d AS l_tax", "'O' AS l_linestatus", "timestamp_seconds(l_orderkey) AS l_shipdate"
+    ).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = relations.pairing_features(spark, str(tmp_path))
+    said = con.execute(relations.PAIRING).fetchall()
+    assert len(said) > 4000 and sorted(map(tuple, got.collect())) == sorted(said)
+    plan = plan_of(got)
+    assert "Exchange" not in plan[: plan.index("(s_suppkey_a")]  # nothing is shuffled after the step that makes the pairs
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_pairs_with_known(spark, blocks):
+    df = spark.createDataFrame([("x", 1, 10), ("x", 2, 20), ("x", 2, 21), ("x", 3, None), ("y", 1, 11), ("y", 3, 31), (None, 1, 0), (None, 2, 0), ("x", None, 0)], "k string, m long, c long")
+    known = spark.createDataFrame([(1, 3, "met"), (2, 3, None), (1, 9, "gone")], "low long, high long, how string")
+    out = jn.pairs_with_known(df, ["k"], "m", ["c"], known, "low", "high", "how", "none", blocks)
+    assert out.columns == ["k", "m_a", "c_a", "m_b", "c_b", "how"]
+    assert sorted(map(tuple, out.collect()), key=str) == [
+        ("x", 1, 10, 2, 20, "none"), ("x", 1, 10, 2, 21, "none"), ("x", 1, 10, 3, None, "met"), ("x", 2, 20, 3, None, "none"), ("x", 2, 21, 3, None, "none"), ("y", 1, 11, 3, 31, "met"),
+    ]
