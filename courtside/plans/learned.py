@@ -222,7 +222,7 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Logistic regression and boosted trees on rally features: trained on four fifths of the matches, tested on the rest."""
     p = stored(_points(spark, d))
     held = F.pmod(F.xxhash64("match_id"), F.lit(5)) == 0
-    return ml.compare(p.filter(~held), p.filter(held), {"logistic": ml.logistic(FEATURES), "boosted": ml.boosted(FEATURES, trees=10, depth=3)})
+    return ml.compare(p.filter(~held), p.filter(held), {"logistic": ml.logistic(FEATURES), "boosted": ml.boosted(FEATURES)})
 
 
 def win_probability(spark: SparkSession, d: str) -> DataFrame:

@@ -78,6 +78,19 @@ def test_folds_pass_over_their_input_once(spark):
     assert ml.folds(df, "fold", {"meta": ml.meta("live", "career")}).count() == 2 and seen.value == 400
 
 
+def test_model_comparison_trains_the_whole_boosted_model(spark, monkeypatch):
+    """All trees of the default model at their depth, not a smaller one."""
+    points = spark.range(40).selectExpr("id AS match_id", "rand(1) AS x_diff", "rand(2) AS y_diff", "rand(3) AS conf_mean", "rand(4) AS duration", "int(id % 2) AS label")
+    compared = []
+    monkeypatch.setattr(learned, "_points", lambda spark, d: points)
+    monkeypatch.setattr(ml, "compare", lambda train, test, pipelines: compared.append(pipelines))
+    learned.model_comparison(spark, "")
+    assert list(compared[0]) == ["logistic", "boosted"]
+    trees = compared[0]["boosted"].getStages()[-1]
+    assert (trees.getMaxIter(), trees.getMaxDepth(), trees.getStepSize()) == (200, 5, 0.05)
+    assert (trees.getSubsamplingRate(), trees.getFeatureSubsetStrategy()) == (0.8, "0.8")
+
+
 @pytest.fixture
 def unbroadcast(spark):
     """Joins as of tables too large to broadcast."""
