@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtside.operators import metrics as mt
-from courtside.shared import stored
+from courtside.shared import shared_dir, stored
 
 
 def logistic(features: Sequence[str], label: str = "label", rows: int | None = None) -> Pipeline:
@@ -48,7 +48,9 @@ def compare(train: DataFrame, test: DataFrame, pipelines: dict[str, Pipeline], l
 
 
 def _compared(train: DataFrame, test: DataFrame, pipelines: dict[str, Pipeline], label: str) -> DataFrame:
-    out = None
+    out, context = None, train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # boosting cuts its lineage there; that of 200 trees overflows the stack
+        context.setCheckpointDir(shared_dir(train.sparkSession))
     for name, pipeline in pipelines.items():
         row = evaluate(scored(pipeline.fit(train), test), label, name)
         out = row if out is None else out.unionByName(row)

@@ -91,6 +91,18 @@ def test_model_comparison_trains_the_whole_boosted_model(spark, monkeypatch):
     assert (trees.getSubsamplingRate(), trees.getFeatureSubsetStrategy()) == (0.8, "0.8")
 
 
+def test_models_are_fitted_with_a_folder_for_checkpoints(spark):
+    """Also where the session names none: the lineage of 200 trees overflows the stack."""
+    scala, was = spark.sparkContext._jsc.sc(), spark.sparkContext._jsc.sc().getCheckpointDir()
+    rows = spark.createDataFrame([(i / 20, (i * 7 % 20) / 20, int(i > 9)) for i in range(20)], "live double, career double, label int")
+    getattr(scala, "checkpointDir_$eq")(spark._jvm.scala.Option.empty())
+    try:
+        assert ml.compare(rows, rows, {"meta": ml.meta("live", "career")}).count() == 1
+        assert spark.sparkContext.getCheckpointDir() is not None
+    finally:
+        getattr(scala, "checkpointDir_$eq")(was)
+
+
 @pytest.fixture
 def unbroadcast(spark):
     """Joins as of tables too large to broadcast."""
